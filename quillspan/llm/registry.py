@@ -1,7 +1,7 @@
 """Queries and oracle SQL of the training-data operators."""
 
-from . import decontaminate, exact_dedup, packing, token_files
+from . import decontaminate, exact_dedup, near_dedup, packing, token_files, warc
 
-MODULES = (decontaminate, token_files, packing, exact_dedup)
+MODULES = (decontaminate, near_dedup, token_files, packing, warc, exact_dedup)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
