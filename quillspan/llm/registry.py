@@ -1,7 +1,7 @@
 """Queries and oracle SQL of the training-data operators."""
 
-from . import decontaminate, exact_dedup, near_dedup, packing, token_files, warc
+from . import decontaminate, exact_dedup, language, line_dedup, near_dedup, packing, token_counts, token_files, toxicity, warc
 
-MODULES = (decontaminate, near_dedup, token_files, packing, warc, exact_dedup)
+MODULES = (decontaminate, near_dedup, token_files, packing, warc, toxicity, exact_dedup, language, token_counts, line_dedup)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
