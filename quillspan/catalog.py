@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-MODULES = ()
+from .operators import pages, registry, retrieval, series
+
+MODULES = (retrieval, series, registry, pages)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
