@@ -159,9 +159,9 @@ SQL = {
       SELECT doc_id, CAST(k * 1000 AS BIGINT) AS start, CAST(least(k * 1000 + 1200, length(text)) AS BIGINT) AS stop, md5(substr(text, k * 1000 + 1, 1200)) AS md5
       FROM (SELECT doc_id, text, unnest(range(0, CAST(greatest(0, ceil((length(text) - 1200) / 1000)) AS BIGINT) + 1)) AS k FROM documents WHERE text <> '')""",
     "asof_caption": """
-      WITH e AS (SELECT user_id, epoch_us(ts) AS at, event_type, event_id FROM events),
-      m AS (SELECT user_id, at, max(event_id) AS mark FROM e WHERE event_type = 'purchase' GROUP BY 1, 2)
-      SELECT e.event_id, CASE WHEN e.at - m.at <= 86400000000 THEN m.mark END AS mark FROM (SELECT * FROM e WHERE event_type <> 'purchase') e ASOF LEFT JOIN m ON e.user_id = m.user_id AND e.at >= m.at""",
+      WITH e AS (SELECT user_id, epoch_us(ts) AS us, event_type, event_id FROM events),
+      m AS (SELECT user_id, us, max(event_id) AS mark FROM e WHERE event_type = 'purchase' GROUP BY 1, 2)
+      SELECT e.event_id, CASE WHEN e.us - m.us <= 86400000000 THEN m.mark END AS mark FROM (SELECT * FROM e WHERE event_type <> 'purchase') e ASOF LEFT JOIN m ON e.user_id = m.user_id AND e.us >= m.us""",
     "reader_crosscheck": f"WITH {_R} SELECT * FROM x",
     "worst_verdict": f"""
       WITH {_R}, k AS (SELECT *, list_position(['agree', 'order', 'tokenize', 'diverge'], verdict) AS rank FROM x),
