@@ -57,3 +57,28 @@ def words(text: Column) -> Column:
 def id_remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the fold that a row belongs to. A null id is in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))
+
+
+#: Of a Bloom filter: bits of a segment (Spark's bitmaps), bits a value, and segments at most, so that 32 MiB are ever broadcast.
+SEGMENT_BITS, BITS_PER_VALUE, MAX_SEGMENTS = 1 << 15, 16, 1 << 13
+
+
+def maybe_in(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """The rows whose ``column`` is among the one column of ``values``, and perhaps a few others.
+
+    A Bloom filter of two bits a value, all in one segment, goes to every executor; its size is bounded,
+    so beyond 16 million values it lets more rows through, and never drops one it should not.
+    """
+    (name,) = values.columns
+    n, segments = values.count(), 1
+    while segments < MAX_SEGMENTS and segments * SEGMENT_BITS < n * BITS_PER_VALUE:
+        segments *= 2
+    h = f"xxhash64({{}}, 'in')"
+    seg = f"cast(shiftrightunsigned({h}, 40) & {segments - 1} as int)"
+    bit = [f"({h} & {SEGMENT_BITS - 1})", f"(shiftrightunsigned({h}, 20) & {SEGMENT_BITS - 1})"]
+    bits = values.select(F.expr(seg.format(f"`{name}`")).alias("__seg"), F.explode(F.expr(f"array({', '.join(b.format(f'`{name}`') for b in bit)})")).alias("b"))
+    bitmap = stored(bits.groupBy("__seg").agg(F.bitmap_construct_agg("b").alias("__bits")), "members")
+    own = f"`{column}`"
+    test = " AND ".join(f"(shiftright(cast(conv(hex(substring(__bits, cast({b.format(own)} div 8 as int) + 1, 1)), 16, 10) as int), cast({b.format(own)} % 8 as int)) & 1) = 1" for b in bit)
+    tested = rows.withColumn("__seg", F.expr(seg.format(own))).join(F.broadcast(bitmap), "__seg")
+    return tested.where(F.expr(test)).select(*rows.columns)
