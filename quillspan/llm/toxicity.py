@@ -71,10 +71,9 @@ def fit(labels: np.ndarray, grams: list[np.ndarray]) -> dict:
     prior = float(np.log((pos + 1) / (neg + 1)))
     if not pos or not neg:
         return {"buckets": [], "weights": [], "bias": prior}
-    rows = np.repeat(np.arange(len(y)), [len(g) for g in grams])
-    flat = np.concatenate(grams)
-    p = np.bincount(flat, y[rows], BUCKETS)
-    q = np.bincount(flat, 1 - y[rows], BUCKETS)
+    p, q = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for g, label in zip(grams, y):  # a text's buckets are distinct
+        (p if label else q)[g] += 1
     n, df = len(y), p + q
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = np.nan_to_num(n * (p * (neg - q) - q * (pos - p)) ** 2 / (pos * neg * df * (n - df)))
@@ -85,9 +84,11 @@ def fit(labels: np.ndarray, grams: list[np.ndarray]) -> dict:
         return {"buckets": [], "weights": [], "bias": prior}
     column = np.full(BUCKETS, -1)
     column[best] = np.arange(len(best))
-    use = column[flat] >= 0
     x = np.zeros((n, len(best) + 1))
-    x[rows[use], column[flat[use]]] = ratio[best][column[flat[use]]]
+    for i, g in enumerate(grams):
+        at = column[g]
+        at = at[at >= 0]
+        x[i, at] = ratio[best[at]]
     x[:, -1] = 1
     penalty = np.r_[np.full(len(best), RIDGE), 1e-6]
     w = np.zeros(len(best) + 1)
@@ -111,7 +112,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         labels.append(b.column(0).to_numpy())
         flat, at = b.column(1).values.to_numpy(), b.column(1).offsets.to_numpy()
-        grams += [flat[x:z] for x, z in zip(at[:-1], at[1:])]
+        grams += [flat[x:z].copy() for x, z in zip(at[:-1], at[1:])]  # so the batch itself can go
     model = fit(np.concatenate(labels), grams) if labels else {"buckets": [], "weights": [], "bias": 0.0}
     yield pa.RecordBatch.from_arrays([pa.array([json.dumps(model)])], ["model"])
 
