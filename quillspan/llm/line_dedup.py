@@ -68,9 +68,10 @@ def _near(lines: DataFrame, distinct: DataFrame, id_type: str) -> DataFrame:
     halves = F.expr("""
       flatten(transform(array(n, n - 1), m -> array(
         xxhash64(m, 'L', substring(line, 1, m div 2)), xxhash64(m, 'R', substring(line, n - (m - m div 2) + 1, m - m div 2)))))""")
-    keyed = lines.withColumn("n", F.length("line")).select("doc_id", "line_no", F.explode(halves).alias("half"))
-    keyed = keyed.join(distinct.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_semi")
-    keyed = stored(keyed, "halves")
+    # Four hashes a line go through the shuffle, not its text: an inner join, as a semi join would be moved below the hashing.
+    keyed = lines.withColumn("n", F.length("line")).select("doc_id", "line_no", halves.alias("halves"))
+    keyed = keyed.join(distinct.select("doc_id", "line_no").distinct(), ["doc_id", "line_no"])
+    keyed = stored(keyed.select("doc_id", "line_no", F.explode_outer("halves").alias("half")), "halves")  # outer: no filter that hashes twice
     at = F.struct("doc_id", "line_no")
     shared = stored(keyed.groupBy("half").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo <> hi").select("half"), "shared")
     some = stored(keyed.join(shared, "half", "left_semi").select("doc_id", "line_no").distinct(), "eligible")
