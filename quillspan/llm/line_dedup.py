@@ -1,9 +1,9 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 Two lines within one edit share a variant with one character deleted, or one is such a variant of the
-other. Only lines that share a half with another line of fitting length can be that near
-(one edit leaves a half as it was), so only those emit their variants as hashed keys. Equal keys
-are joined, the edit distance is verified, and the earliest line stays.
+other. One edit leaves a half of the line as it was, so a line emits hashed variants only where it
+shares a half with a different line of fitting length, and only of deletions in its other half. Equal
+keys are joined, the edit distance is verified, and the earliest line stays.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored, table
+from .shared import maybe_in, stored, table
 from .token_files import ID_TYPES
 
 MIN_CHARS = 20  # shorter lines say too little and always stay
-BROADCAST_ROWS = 200_000  # of lines' keys (about 20 MB); beyond it they meet texts in a shuffled join
+BROADCAST_ROWS = 200_000  # of codes or keys (about 10 MB); beyond it the same join is shuffled
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 
@@ -30,30 +30,44 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line_no", F.trim(F.col("line"), F.lit(" \t\r")).alias("line")).where(F.length("line") >= MIN_CHARS)
 
 
+#: Places of a variant row that deletes nothing, or that deletes a character to reach a shorter line.
+WHOLE, SHORTER = -1, -2
+#: Of length n and of length n - 1: the first and the last half, and the number of the line's half that it leaves out.
+HALVES = """
+  flatten(transform(array(n, n - 1), m -> array(
+    xxhash64(m, 'L', substring(line, 1, m div 2)), xxhash64(m, 'R', substring(line, n - (m - m div 2) + 1, m - m div 2)))))"""
+
+
 def _variants(id_type: pa.DataType):
-    """(key, place, line) of every variant with one character deleted; the whole line's own key has place -1."""
+    """(key, place) of variants with one character deleted in the halves that ``mask`` names.
+
+    Bits 0 and 1: a line of the same length, or longer by one, has the same first or last half. Bits 2
+    and 3: a line shorter by one has it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, places, owners, held = [], [], [], 0
 
             def out() -> pa.RecordBatch:
-                own = np.concatenate(owners)
-                take = pa.array(own)
+                take = pa.array(np.concatenate(owners))
                 return pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places))], ["doc_id", "line_no", "key", "place"])
 
-            for i, x in enumerate(b.column(2)):
-                c = np.frombuffer(x.as_py().encode("utf-32-le", "surrogatepass"), np.uint32).astype(U) + U(1)
+            for i, (x, m) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                c = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U) + U(1)
                 n = len(c)
                 power = np.cumprod(np.r_[U(1), np.full(n, U(_BASE))])
                 left = np.r_[U(0), np.cumsum(c * power[:n])]  # of the first i characters
                 down = np.r_[U(0), np.cumsum(c[1:] * power[: n - 1])]  # the same characters one place earlier
-                whole = left[n] + U(n) * U(0xD6E8FEB8 << 16)
                 gone = left[:n] + (down[n - 1] - down[:n]) + U((n - 1) * (0xD6E8FEB8 << 16) & (1 << 64) - 1)
-                keys += [np.array([whole], U), gone]
-                places += [np.arange(-1, n, dtype=np.int32)]
-                owners += [np.full(n + 1, i)]
-                held += n
+                at = np.arange(n, dtype=np.int32)
+                same = at[(n // 2 if not m & 2 else 0) : (n if m & 1 else n // 2)] if m & 3 else at[:0]
+                cut = at[((n - 1) // 2 if not m & 8 else 0) : (n if m & 4 else (n - 1) // 2 + 1)] if m & 12 else at[:0]
+                whole = [left[n] + U(n) * U(0xD6E8FEB8 << 16)] if m & 3 else []
+                keys += [np.array(whole, U), gone[same], gone[cut]]
+                places += [np.full(len(whole), WHOLE, np.int32), same, np.full(len(cut), SHORTER, np.int32)]
+                owners += [np.full(len(whole) + len(same) + len(cut), i)]
+                held += len(owners[-1])
                 if held > 500_000:
                     yield out()
                     keys, places, owners, held = [], [], [], 0
@@ -63,27 +77,28 @@ def _variants(id_type: pa.DataType):
     return run
 
 
-def _near(lines: DataFrame, distinct: DataFrame, id_type: str) -> DataFrame:
+def _near(lines: DataFrame, hashes: DataFrame, distinct: DataFrame, id_type: str) -> DataFrame:
     """(doc_id, line_no, keep_doc_id, keep_line_no): distinct lines with an earlier one at one edit."""
-    halves = F.expr("""
-      flatten(transform(array(n, n - 1), m -> array(
-        xxhash64(m, 'L', substring(line, 1, m div 2)), xxhash64(m, 'R', substring(line, n - (m - m div 2) + 1, m - m div 2)))))""")
-    # Four hashes a line go through the shuffle, not its text: an inner join, as a semi join would be moved below the hashing.
-    keyed = lines.withColumn("n", F.length("line")).select("doc_id", "line_no", halves.alias("halves"))
-    keyed = keyed.join(distinct.select("doc_id", "line_no").distinct(), ["doc_id", "line_no"])
-    keyed = stored(keyed.select("doc_id", "line_no", F.explode_outer("halves").alias("half")), "halves")  # outer: no filter that hashes twice
-    at = F.struct("doc_id", "line_no")
-    shared = stored(keyed.groupBy("half").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo <> hi").select("half"), "shared")
-    some = stored(keyed.join(shared, "half", "left_semi").select("doc_id", "line_no").distinct(), "eligible")
+    # Only hashes go through the shuffle. Equal lines have one code, and sharing halves among themselves counts for nothing.
+    keyed = hashes.select(F.col("h1").alias("code"), F.posexplode("halves").alias("which", "half"))
+    shared = stored(keyed.groupBy("half").agg(F.min("code").alias("lo"), F.max("code").alias("hi")).where("lo <> hi").select("half"), "shared")
+    few = shared.count() <= BROADCAST_ROWS
+    hits = keyed.join(F.broadcast(shared), "half", "left_semi") if few else maybe_in(keyed, "half", shared).join(shared, "half", "left_semi")
+    mask = F.bit_or(F.expr("shiftleft(1, which)")).alias("mask")
+    codes = stored(hits.groupBy("code").agg(mask).withColumnRenamed("code", "h1"), "codes")
+    codes = F.broadcast(codes) if codes.count() <= BROADCAST_ROWS else codes
+    some = stored(distinct.join(codes, "h1").groupBy("doc_id", "line_no").agg(F.bit_or("mask").alias("mask")), "eligible")
     some = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
     texts = stored(lines.join(some, ["doc_id", "line_no"]), "texts").dropDuplicates(["doc_id", "line_no"])
-    variants = texts.select("doc_id", "line_no", "line").mapInArrow(_variants(ID_TYPES[id_type]), f"doc_id {id_type}, line_no int, key bigint, place int")
+    variants = texts.select("doc_id", "line_no", "line", "mask").mapInArrow(_variants(ID_TYPES[id_type]), f"doc_id {id_type}, line_no int, key bigint, place int")
     variants = stored(variants, "variants")
-    cut, whole = variants.where("place >= 0"), variants.where("place = -1").drop("place")
+    at = F.struct("doc_id", "line_no")
     # One character differs: equal variants of one place. The earliest line of a key is near all its others.
-    first = cut.groupBy("key", "place").agg(F.min(at).alias("e"), F.max(at).alias("l")).where("e <> l").select("key", "place", "e")
-    swapped = cut.join(first, ["key", "place"]).select(at.alias("x"), F.col("e").alias("y"))
+    same = variants.where("place >= 0")
+    first = same.groupBy("key", "place").agg(F.min(at).alias("e"), F.max(at).alias("l")).where("e <> l").select("key", "place", "e")
+    swapped = same.join(first, ["key", "place"]).select(at.alias("x"), F.col("e").alias("y"))
     # One character more: a variant of the longer line is the shorter line.
+    cut, whole = variants.where(f"place = {SHORTER}"), variants.where(f"place = {WHOLE}")
     longer = cut.select("key", at.alias("x")).join(whole.select("key", at.alias("y")), "key").select("x", "y")
     pairs = swapped.unionByName(longer).where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
     left = texts.select(at.alias("x"), F.col("line").alias("line_x"))
@@ -101,13 +116,14 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     """
     id_type = dict(docs.dtypes)["doc_id"]
     lines = _lines(docs)
-    hashes = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit("2")).alias("h2"))
+    hashes = lines.withColumn("n", F.length("line")).select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit("2")).alias("h2"), F.expr(HALVES).alias("halves"))
+    hashes = stored(hashes, "hashes")
     distinct = stored(hashes.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("c")).select("h1", "h2", "first.*", "c"), "distinct")
-    near = stored(_near(lines, distinct, id_type), "near")
+    near = stored(_near(lines, hashes, distinct, id_type), "near")
     special = distinct.join(near, ["doc_id", "line_no"], "left").where("c > 1 OR keep_line_no IS NOT NULL")
     special = special.select("h1", "h2", F.struct("doc_id", "line_no").alias("first"), F.when(F.col("keep_line_no").isNotNull(), F.struct(F.col("keep_doc_id").alias("doc_id"), F.col("keep_line_no").alias("line_no"))).alias("near"))
     special = stored(special, "special")
-    hit = hashes.join(special, ["h1", "h2"]).where("near IS NOT NULL OR struct(doc_id, line_no) <> first")
+    hit = hashes.drop("halves").join(special, ["h1", "h2"]).where("near IS NOT NULL OR struct(doc_id, line_no) <> first")
     keep = F.coalesce("near", "first")
     return hit.select("doc_id", "line_no", keep["doc_id"].alias("keep_doc_id"), keep["line_no"].alias("keep_line_no"))
 
