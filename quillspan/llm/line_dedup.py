@@ -136,7 +136,8 @@ def clean_lines(docs: DataFrame) -> DataFrame:
     drop each other. Extra columns stay, but for names that this adds.
     """
     drops = stored(dropped_lines(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("dropped")), "drops")
-    rest = docs.drop("n_lines", "n_dropped", "dropped").join(drops, "doc_id", "left")
+    # Drops grow with the documents: joined in one way at every size, never broadcast.
+    rest = docs.drop("n_lines", "n_dropped", "dropped").join(drops.hint("merge"), "doc_id", "left")
     rest = rest.withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
     kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains(dropped, i)), '\\n')")
     return rest.select(
