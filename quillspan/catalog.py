@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .operators import pages, registry, retrieval, series
+from .operators import evidence, pages, registry, retrieval, series
 
-MODULES = (retrieval, series, registry, pages)
+MODULES = (retrieval, series, registry, pages, evidence)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}

@@ -70,3 +70,23 @@ def test_blank_duplicate_wins_and_is_filled(spark):
     rows = spark.createDataFrame([("2025-01-05", 78.5, 0), ("2025-01-01", 76.25, 1), ("2025-01-01", None, 2), ("2025-01-08", 80.0, 3)], "d string, close double, ord long")
     prices = series.keep_last(rows.select(F.to_date("d").alias("date"), "close", "ord"), "date", "ord").drop("ord")
     assert [r.close for r in series.calendar(prices).orderBy("date").collect()] == [78.5] * 7 + [80.0]
+
+
+def test_evidence_edges(spark):
+    from quillspan.operators import evidence as e
+
+    chunks = spark.createDataFrame([(1, 1, 3), (1, 5, 4), (2, 1, 1)], "doc long, page_start int, page_end int")
+    verdicts = spark.createDataFrame([(1, 1, "agree"), (1, 2, "tokenize"), (1, 3, "diverge"), (1, 5, "agree")], "doc long, page int, verdict string")
+    got = {(r.doc, r.page_start): (r.confidence, r.caveats) for r in e.chunk_confidence(chunks, verdicts, ["doc"]).collect()}
+    assert got == {(1, 1): ("disputed", ["2:tokenize", "3:diverge"]), (1, 5): ("direct", []), (2, 1): ("unchecked", [])}
+
+    numbers = spark.createDataFrame([("1,234 and 1.5, -2,5; 1234",), (None,)], "t string").select(e.normal_numbers(F.col("t"))).collect()
+    assert [r[0] for r in numbers] == [["1234", "1.5", "-2.5"], None]
+
+    cites = spark.createDataFrame([(1, "a", 2, 3), (2, "a", 9, 9), (3, None, 1, 1)], "citation_id int, src string, first int, last int")
+    frags = spark.createDataFrame([("a", 3, 5, "direct"), ("a", 1, 2, "unchecked"), ("a", 4, 5, "disputed")], "src string, page int, page_end int, level string")
+    assert {r.citation_id: r.level for r in e.citation_levels(cites, frags, ["src"]).collect()} == {1: "unchecked", 2: None, 3: None}
+
+    links = spark.createDataFrame([(1, 2)], "conv_id long, linked long")
+    new = spark.createDataFrame([(1, 2), (3, 3), (2, 1)], "conv_id long, linked long")
+    assert {tuple(r) for r in e.add_links(links, new).collect()} == {(1, 2), (2, 1)}
