@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -193,3 +194,31 @@ def test_pipeline_columns(spark):
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "decontamination", "packing"]
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+@pytest.mark.parametrize("rows", [0, 200_000])
+def test_lines_at_one_edit_anywhere(spark, monkeypatch, rows):
+    """Edits at every place of lines with runs of equal characters, by broadcast and by shuffled joins."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", rows)
+    rng, lines = random.Random(5), []
+    for n in (20, 21, 22, 27):
+        base = "".join(rng.choice("aab") for _ in range(n))
+        lines.append(base)
+        for i in range(n + 1):
+            lines.append(rng.choice([base[:i] + "b" + base[i + 1 :], base[:i] + "a" + base[i:], base[:i] + base[i + 1 :], base[:i] + "zz" + base[i:]]))
+    rng.shuffle(lines)
+    lines = [x for x in lines if len(x) >= 20]
+
+    def near(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(b) - len(a) > 1:
+            return False
+        i = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
+        return a[i:] == b[i + 1 :] or a[i + 1 :] == b[i + 1 :]
+
+    want = {i for i, x in enumerate(lines) if any(near(x, y) for y in lines[:i])}
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: r.keep_doc_id for r in line_dedup.dropped_lines(docs).collect()}
+    assert set(got) == want
+    assert all(k < i and near(lines[k], lines[i]) for i, k in got.items())
