@@ -26,6 +26,8 @@ BANDS, ROWS = 32, 4  # a pair at 0.8 shares no band with a chance of 5e-8
 PLACES = BANDS * ROWS
 CHUNK = 4 << 20  # bytes of text at once
 BUCKET = 2048  # members that are compared in one task
+#: Shares of a bag before the rarest code it has in common with a similar bag: of any, and of one that is not smaller.
+PROBE, INDEX = 1 - SIMILAR, (1 - SIMILAR) / (1 + SIMILAR)
 U = np.uint64
 _word = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 _low = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64)
@@ -236,12 +238,70 @@ def _blocks(large: DataFrame) -> DataFrame:
     return rows.select("v", "node").union(rows.select("v", "head")).distinct()
 
 
+def _prefixes(bags: DataFrame) -> DataFrame:
+    """(v, node, root, index) of the codes by which similar bags of ``bags`` (node, root, bag) must meet: prefix filtering.
+
+    A bag's distinct codes stand in one order, rarest first. Of bags similar by 0.8, the rarest common code has at
+    most a fifth of the larger bag before it, and at most a ninth of the smaller (``index``). Codes that one bag has are counted only.
+    """
+    each = stored(bags.select("node", "root", F.size("bag").alias("n"), F.array_distinct("bag").alias("codes")), "codes")
+    codes = each.select("node", F.explode("codes").alias("v"))
+    common = stored(codes.groupBy("v").agg(F.count("*").alias("f")).where("f > 1"), "common")
+    shared = codes.join(common, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("shared"))
+    at = each.select("node", "root", "n", F.size("codes").alias("d")).join(shared, "node")
+    at = at.select("node", "root", "n", (F.col("d") - F.size("shared")).alias("own"), F.posexplode("shared").alias("i", "x"))
+    before = F.col("own") + F.col("i")
+    most = lambda share: F.floor(F.col("n") * share + 1e-6)
+    return at.where(before <= most(PROBE)).select(F.col("x.v").cast("long").alias("v"), "node", "root", (before <= most(INDEX)).alias("index"))
+
+
+#: Kinds of a group's members: 0 and 1 outside its most frequent root, 2 and 3 inside; odd ones only probe. Those that meet:
+MEET = {0: (0, 1, 2, 3), 1: (0, 2), 2: (0, 1), 3: (0,)}
+
+
+def _cells(large: DataFrame) -> DataFrame:
+    """Groups of more than BUCKET members, (v, node, kind), as (v, node) of pairs of blocks of half as many members.
+
+    Every pair of members meets in a cell, unless both have the group's most frequent root or both only probe.
+    """
+    half = max(1, BUCKET // 2)
+    counts = large.groupBy("v").agg(*[F.ceil(F.count_if(F.col("kind") == k) / half).alias(f"b{k}") for k in MEET])
+    rows = large.join(counts, "v")
+    own = F.when(F.col("kind") == 0, F.col("b0")).when(F.col("kind") == 1, F.col("b1")).when(F.col("kind") == 2, F.col("b2")).otherwise(F.col("b3"))
+    rows = rows.withColumn("own", F.struct("kind", F.pmod(F.xxhash64("node"), own).alias("block")))
+    others = F.lit(None)
+    for k, kinds in MEET.items():
+        met = [F.expr(f"IF(b{q} > 0, transform(sequence(0L, b{q} - 1), j -> struct({q} AS kind, j AS block)), array())") for q in kinds]
+        others = F.when(F.col("kind") == k, F.concat(*met)).otherwise(others)
+    rows = rows.select("v", "node", "own", F.explode(others).alias("other"))
+    return rows.select(F.xxhash64("v", F.least("own", "other"), F.greatest("own", "other")).alias("v"), "node")
+
+
+def _exact(large: DataFrame, bags: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """(v, node): groups in which all similar pairs of a large bucket meet that ``roots`` does not join; None if it joins all."""
+    rooted = large.select("v", "node").join(roots, "node", "left").select("v", "node", F.coalesce("root", "node").alias("root"))
+    rooted = stored(rooted, "rooted")
+    apart = rooted.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("v")
+    some = stored(rooted.join(apart, "v", "left_semi").select("node", "root").distinct(), "apart")
+    if some.isEmpty():
+        return None
+    rows = stored(_prefixes(bags.join(some, "node")), "prefixes")
+    sums = [F.bit_xor(F.xxhash64("node", "index", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    groups = rows.groupBy("v").agg(F.count("*").alias("c"), *sums, F.mode("root").alias("most"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("index").alias("index"))
+    groups = stored(groups.where("lo <> hi AND index").groupBy("c", "x1", "x2").agg(F.min(F.struct("v", "most")).alias("g")).select("c", "g.*"), "groups")
+    small = rows.join(groups.where(F.col("c") <= BUCKET).select("v"), "v").select("v", "node")
+    kind = F.when(F.col("root") == F.col("most"), 2).otherwise(0) + F.when(F.col("index"), 0).otherwise(1)
+    many = stored(rows.join(groups.where(F.col("c") > BUCKET).select("v", "most"), "v").select("v", "node", kind.alias("kind")), "many")
+    return stored(small.unionByName(_cells(many)), "meet")
+
+
 def near_links(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, k1, k2: one for each distinct multiset) and (node, root) of those with links of 0.8 or more.
 
     A bucket's members meet in one task with their bags; buckets of the same members are taken once. A bucket of
     more than BUCKET members is split twice over: by each other band, so the most similar members still
-    meet, and into blocks that share the bucket's smallest member. All its members take part in both.
+    meet, and into blocks that share the bucket's smallest member. All its members take part in both. Where that leaves
+    such a bucket in several classes, its members are joined exactly, by the rarest codes of their bags.
     """
     id_type = dict(signed.dtypes)["doc_id"]
     some = signed.where("n > 0 AND doc_id IS NOT NULL")
@@ -251,7 +311,8 @@ def near_links(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     small, large = _buckets(heads.select("node", F.explode("bands").alias("v")))
     meet = [small]
     large = stored(large, "members")
-    if not large.isEmpty():
+    split = not large.isEmpty()
+    if split:
         finer = large.select("v", "node").join(heads.select("node", "bands"), "node")
         finer = finer.select("node", F.explode(F.expr("transform(bands, b -> xxhash64(v, b))")).alias("v"))
         within, still = _buckets(stored(finer, "finer"))
@@ -259,13 +320,22 @@ def near_links(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = meet[0]
     for x in meet[1:]:
         rows = rows.unionByName(x)
-    rows = stored(rows, "meet")
-    # Bags of documents without bucket mates are left where they are: a filter of bounded size tells most of them.
-    bags = maybe_in(some.select("doc_id", "k1", "k2", "bag"), "doc_id", rows.select("node"))
-    bags = bags.join(named, ["doc_id", "k1", "k2"], "left_semi").select(F.col("doc_id").alias("node"), "bag")
-    rows = rows.join(bags, "node").select("v", "node", "bag")
-    links = rows.repartition("v").sortWithinPartitions("v").mapInArrow(_link(ID_TYPES[id_type]), f"a {id_type}, b {id_type}")
-    return nodes, stored(components(stored(links, "links")), "roots")
+
+    def bags_of(rows: DataFrame) -> DataFrame:
+        # Bags of documents without bucket mates are left where they are: a filter of bounded size tells most of them.
+        bags = maybe_in(some.select("doc_id", "k1", "k2", "bag"), "doc_id", rows.select("node"))
+        return bags.join(named, ["doc_id", "k1", "k2"], "left_semi").select(F.col("doc_id").alias("node"), "bag")
+
+    def links(rows: DataFrame) -> DataFrame:
+        rows = rows.join(bags_of(rows), "node").select("v", "node", "bag")
+        return stored(rows.repartition("v").sortWithinPartitions("v").mapInArrow(_link(ID_TYPES[id_type]), f"a {id_type}, b {id_type}"), "links")
+
+    roots = stored(components(links(stored(rows, "meet"))), "roots")
+    rows = _exact(large, bags_of(large), roots) if split else None
+    if rows is not None:
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = stored(components(known.unionByName(links(rows))), "roots")
+    return nodes, roots
 
 
 def near_classes(docs: DataFrame) -> DataFrame:

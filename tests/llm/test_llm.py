@@ -222,3 +222,15 @@ def test_lines_at_one_edit_anywhere(spark, monkeypatch, rows):
     got = {r.doc_id: r.keep_doc_id for r in line_dedup.dropped_lines(docs).collect()}
     assert set(got) == want
     assert all(k < i and near(lines[k], lines[i]) for i, k in got.items())
+
+
+def test_near_copies_that_share_only_boilerplate(spark, monkeypatch):
+    """Texts of 200 common shingles: those with 40 own are similar to none, the two with 20 own to each other.
+
+    The hashes of the two ids differ by a number without a factor below 260, so no block of a bucket holds both.
+    """
+    monkeypatch.setattr(near_dedup, "BUCKET", 4)
+    head, two = " ".join(f"b{i}" for i in range(204)), (10000, 10002)
+    rows = [(i, f"{head} " + " ".join(f"o{i}x{j}" for j in range(20 if i in two else 40))) for i in (*range(1000), *two)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: two[0] if i in two else i for i, _ in rows}
