@@ -18,16 +18,16 @@ from pyspark.sql import functions as F
 from .shared import maybe_in, stored, table
 from .token_files import ID_TYPES
 
-MIN_CHARS = 20  # shorter lines say too little and always stay
+MIN_CHARS = 20  # shorter lines have no variants: one edit changes what they say
 BROADCAST_ROWS = 200_000  # of codes or keys (about 10 MB); beyond it the same join is shuffled
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no and line (without spaces, tabs or carriage returns at its ends) of all lines of 20 characters or more."""
+def _lines(docs: DataFrame, shortest: int) -> DataFrame:
+    """doc_id, line_no and line (without spaces, tabs or carriage returns at its ends) of all lines of ``shortest`` characters or more."""
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.select("doc_id", "line_no", F.trim(F.col("line"), F.lit(" \t\r")).alias("line")).where(F.length("line") >= MIN_CHARS)
+    return rows.select("doc_id", "line_no", F.trim(F.col("line"), F.lit(" \t\r")).alias("line")).where(F.length("line") >= shortest)
 
 
 #: Places of a variant row that deletes nothing, or that deletes a character to reach a shorter line.
@@ -107,16 +107,16 @@ def _near(lines: DataFrame, hashes: DataFrame, distinct: DataFrame, id_type: str
     return near.groupBy("x").agg(F.min("y").alias("y")).select("x.doc_id", "x.line_no", F.col("y.doc_id").alias("keep_doc_id"), F.col("y.line_no").alias("keep_line_no"))
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
     """(doc_id, line_no, keep_doc_id, keep_line_no) of every line that goes.
 
     A line goes if an equal line, or one within a single inserted, deleted or changed character,
     stands earlier (by document id, then line number). Equality is of lines without white space at
-    their ends, told by 128 bits of hash.
+    their ends, told by 128 bits of hash. Lines of fewer than 20 characters go for equal ones only, those of fewer than ``shortest`` never.
     """
     id_type = dict(docs.dtypes)["doc_id"]
-    lines = _lines(docs)
-    hashes = lines.withColumn("n", F.length("line")).select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit("2")).alias("h2"), F.expr(HALVES).alias("halves"))
+    lines = _lines(docs, shortest)
+    hashes = lines.withColumn("n", F.length("line")).select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit("2")).alias("h2"), F.when(F.col("n") >= MIN_CHARS, F.expr(HALVES)).alias("halves"))
     hashes = stored(hashes, "hashes")
     distinct = stored(hashes.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("c")).select("h1", "h2", "first.*", "c"), "distinct")
     near = stored(_near(lines, hashes, distinct, id_type), "near")
@@ -128,16 +128,15 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return hit.select("doc_id", "line_no", keep["doc_id"].alias("keep_doc_id"), keep["line_no"].alias("keep_line_no"))
 
 
-def clean_lines(docs: DataFrame) -> DataFrame:
+def clean_lines(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
     """``docs`` with ``text`` less its dropped lines, and n_lines, n_dropped and dropped (line numbers from 0).
 
-    Lines of fewer than 20 characters always stay. A null text stays null with no lines, a null id leaves its
+    Lines of fewer than ``shortest`` characters, and empty ones, always stay. A null text stays null with no lines, a null id leaves its
     row as it is, and an empty text is one empty line. Rows of one id are versions of one document: lines at one place do not
     drop each other. Extra columns stay, but for names that this adds.
     """
-    drops = stored(dropped_lines(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("dropped")), "drops")
-    # Drops grow with the documents: joined in one way at every size, never broadcast.
-    rest = docs.drop("n_lines", "n_dropped", "dropped").join(drops.hint("merge"), "doc_id", "left")
+    drops = stored(dropped_lines(docs, max(1, shortest)).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("dropped")), "drops")
+    rest = docs.drop("n_lines", "n_dropped", "dropped").join(drops, "doc_id", "left")
     rest = rest.withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
     kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains(dropped, i)), '\\n')")
     return rest.select(
@@ -150,7 +149,7 @@ def clean_lines(docs: DataFrame) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many go and which, and the digest of what is left (null text: of the empty one)."""
-    rows = clean_lines(table(spark, sf_dir, "documents"))
+    rows = clean_lines(table(spark, sf_dir, "documents"), shortest=1)
     return rows.select("doc_id", "n_lines", "n_dropped", "dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 

@@ -234,3 +234,11 @@ def test_near_copies_that_share_only_boilerplate(spark, monkeypatch):
     rows = [(i, f"{head} " + " ".join(f"o{i}x{j}" for j in range(20 if i in two else 40))) for i in (*range(1000), *two)]
     got = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: two[0] if i in two else i for i, _ in rows}
+
+
+def test_equal_short_lines_go(spark, tmp_path):
+    """Short lines go if equal ones stand earlier, never for near ones; empty lines stay."""
+    rows = [(1, "Read more\n\nx"), (2, " Read more\n\nRead mare\nx"), (3, "Read more\t\n  \nRead more\ny")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_lines, r.dropped) for r in line_dedup.op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (3, []), 2: (4, [0, 3]), 3: (4, [0, 2])}
