@@ -11,6 +11,7 @@ from ..sources.tables import table
 #: 95 % quantiles of Student's t by degrees of freedom (fixed values); beyond 30 the normal 1.96.
 T95 = {1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 6: 2.447, 7: 2.365, 8: 2.306, 9: 2.262, 10: 2.228, 12: 2.179, 15: 2.131, 20: 2.086, 25: 2.060, 30: 2.042}
 ALPHAS = [round(0.05 * i, 2) for i in range(1, 20)]
+MIN_FIT = 30  # values; a shorter series has no fitted alpha
 
 
 def keep_last(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -45,15 +46,28 @@ def smooth(values: Column, alpha: Column) -> Column:
     return F.aggregate(F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0))), seed, step)
 
 
-def fit_alpha(series: DataFrame, key: list[str], alphas: list[float] = ALPHAS) -> DataFrame:
-    """Per key the alpha of the smallest one-step RMSE on a grid, its level and RMSE; ties keep the smallest. Needs (date, close)."""
-    held = series.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "close"))), lambda x: x["close"]).alias("v"))
-    grid = held.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas]))).withColumn("s", smooth(F.col("v"), F.col("alpha")))
+def best_alpha(held: DataFrame, key: list[str], alphas: Column) -> DataFrame:
+    """Per row of (key, v) the alpha of the smallest one-step RMSE among ``alphas``, its level, RMSE and v; ties keep the smallest."""
+    grid = held.withColumn("alpha", F.explode(alphas)).withColumn("s", smooth(F.col("v"), F.col("alpha")))
     rmse = F.sqrt(F.col("s.sse") / F.greatest(F.size("v") - 1, F.lit(1)))
-    best = grid.groupBy(*key).agg(F.min(F.struct(F.round(rmse, 9).alias("rmse"), "alpha", F.col("s.level").alias("level"), F.size("v").alias("n"))).alias("b"))
+    best = grid.groupBy(*key).agg(F.min(F.struct(F.round(rmse, 9).alias("rmse"), "alpha", F.col("s.level").alias("level"), F.size("v").alias("n"), "v")).alias("b"))
     return best.select(*key, "b.*")
 
 
+def fit_alpha(series: DataFrame, key: list[str], alphas: list[float] = ALPHAS, fine: bool = True) -> DataFrame:
+    """Per key the alpha of the smallest one-step RMSE, its level and RMSE. Needs (date, close).
+
+    A second grid in steps of 0.01 lies around the best of ``alphas``; fewer than 30 values give nulls. Without ``fine``, ``alphas`` alone at any length.
+    """
+    held = series.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "close"))), lambda x: x["close"]).alias("v"))
+    best = best_alpha(held, key, F.array(*[F.lit(a) for a in alphas]))
+    if not fine:
+        return best.drop("v")
+    near = F.filter(F.array(*[F.round(F.col("alpha") + 0.01 * i, 2) for i in range(-4, 5)]), lambda a: a.between(ALPHAS[0], ALPHAS[-1]))
+    best = best_alpha(best.select(*key, "v", near.alias("near")), key, F.col("near"))
+    return best.select(*key, *[F.when(F.col("n") >= MIN_FIT, F.col(c)).alias(c) for c in ("rmse", "alpha", "level")], "n")
+
+
 def band(level: Column, log_sigma: Column, h: Column) -> tuple[Column, Column]:
     """The 95 % band at h steps: multiplied by exp(plus or minus 1.96 sigma sqrt h)."""
     wide = 1.96 * log_sigma * F.sqrt(h)
@@ -138,9 +152,18 @@ def q_iv(spark: SparkSession, d: str) -> DataFrame:
     return instrument_ratio(rows, "d_consumption", "d_price", "d_production").select(F.round("elasticity", 6).alias("elasticity"), "n")
 
 
+def daily_value(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("date")).agg((F.sum(F.round(F.col("value") * 10000).cast("bigint")) / 10000 / F.count("*")).alias("close"))
+
+
 def q_alpha(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("date")).agg((F.sum(F.round(F.col("value") * 10000).cast("bigint")) / 10000 / F.count("*")).alias("close"))
-    return fit_alpha(e, ["event_type"]).select("event_type", F.round("rmse", 6).alias("rmse"), "alpha", F.round("level", 6).alias("level"), "n")
+    """The coarse grid alone, as in its SQL."""
+    return fit_alpha(daily_value(spark, d), ["event_type"], fine=False).select("event_type", F.round("rmse", 6).alias("rmse"), "alpha", F.round("level", 6).alias("level"), "n")
+
+
+def q_alpha_fit(spark: SparkSession, d: str) -> DataFrame:
+    """The whole fit: both grids, and nulls for short series."""
+    return fit_alpha(daily_value(spark, d), ["event_type"]).select("event_type", F.round("rmse", 6).alias("rmse"), "alpha", F.round("level", 6).alias("level"), "n")
 
 
 def q_scenario(spark: SparkSession, d: str) -> DataFrame:
@@ -191,5 +214,5 @@ SQL = {
 }
 QUERIES = {
     "calendar_fill": q_calendar, "dedup_keep_last": q_keep_last, "log_diff": q_log_diff, "ols_slope": q_slope, "iv_elasticity": q_iv,
-    "alpha_grid": q_alpha, "supply_scenario": q_scenario, "vintage_select": q_vintage,
+    "alpha_grid": q_alpha, "alpha_fit": q_alpha_fit, "supply_scenario": q_scenario, "vintage_select": q_vintage,
 }

@@ -90,3 +90,26 @@ def test_evidence_edges(spark):
     links = spark.createDataFrame([(1, 2)], "conv_id long, linked long")
     new = spark.createDataFrame([(1, 2), (3, 3), (2, 1)], "conv_id long, linked long")
     assert {tuple(r) for r in e.add_links(links, new).collect()} == {(1, 2), (2, 1)}
+
+
+def test_alpha_of_both_grids(spark):
+    """Against a plain loop over 0.05 to 0.95 and then over the hundredths around its best; short series have no fit."""
+    rng, rows, want = random.Random(7), [], {}
+
+    def rmse(v, a):
+        level, sse = v[0], 0.0
+        for y in v[1:]:
+            sse, level = sse + (y - level) ** 2, a * y + (1 - a) * level
+        return (sse / (len(v) - 1)) ** 0.5
+
+    for k, n in enumerate((29, 30, 60, 90)):
+        v = [50.0]
+        for _ in range(n - 1):
+            v.append(v[-1] + rng.gauss(0, 1) * (k + 1) / 2)
+        v = [y + rng.gauss(0, 1) for y in v]
+        best = min((round(0.05 * i, 2) for i in range(1, 20)), key=lambda a: rmse(v, a))
+        fine = [a for a in (round(best + 0.01 * i, 2) for i in range(-4, 5)) if 0.05 <= a <= 0.95]
+        want[k] = min(fine, key=lambda a: rmse(v, a)) if n >= 30 else None
+        rows += [(k, i, y) for i, y in enumerate(v)]
+    got = {r.k: r.alpha for r in series.fit_alpha(spark.createDataFrame(rows, "k int, date int, close double"), ["k"]).collect()}
+    assert got == want and any(a and round(a * 100) % 5 for a in want.values())
