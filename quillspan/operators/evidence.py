@@ -55,9 +55,15 @@ def citation_stats(marked: DataFrame, group: list[str]) -> DataFrame:
 
 
 def normal_numbers(text: Column) -> Column:
-    """Distinct numbers of a text, in order; groups of three digits lose their separators, other commas are decimal points."""
+    """Distinct numbers of a text, in order and in one spelling: groups of three digits lose their separators, the last of other separators is the
+    decimal point, and six decimals are kept, less the zeros at their end."""
     found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
-    plain = lambda x: F.when(x.rlike(r"^-?\d{1,3}(?:[.,]\d{3})+$"), F.regexp_replace(x, "[.,]", "")).otherwise(F.regexp_replace(x, ",", "."))
+
+    def plain(x: Column) -> Column:
+        point = F.regexp_replace(F.regexp_replace(x, r"[.,](?=.*[.,])", ""), ",", ".")
+        value = F.regexp_replace(F.format_string("%.6f", point.cast("double")), r"\.?0+$", "")
+        return F.when(x.rlike(r"^-?\d{1,3}(?:[.,]\d{3})+$"), F.regexp_replace(x, "[.,]", "")).otherwise(value)
+
     return F.array_distinct(F.transform(found, plain))
 
 
@@ -194,7 +200,9 @@ _SHOWN = """t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id
 _MARKED = """g AS (SELECT l_orderkey, l_linenumber AS p, l_linenumber + 1 AS e, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 4 END AS r FROM lineitem WHERE l_linestatus = 'F'),
   m AS (SELECT o_orderkey AS citation_id, o_custkey, ['direct', 'geometry', 'unchecked', 'disputed'][max(r)] AS level
     FROM orders LEFT JOIN g ON o_orderkey = l_orderkey AND NOT (e < 2 OR p > 3) GROUP BY 1, 2)"""
-_PLAIN = r"CASE WHEN regexp_full_match(x, '-?\d{1,3}([.,]\d{3})+') THEN regexp_replace(x, '[.,]', '', 'g') ELSE replace(x, ',', '.') END"
+_PARTS = "string_split(replace(x, ',', '.'), '.')"
+_PLAIN = rf"""CASE WHEN regexp_full_match(x, '-?\d{{1,3}}([.,]\d{{3}})+') THEN regexp_replace(x, '[.,]', '', 'g')
+  ELSE regexp_replace(printf('%.6f', CAST(CASE WHEN len({_PARTS}) > 1 THEN array_to_string({_PARTS}[1:len({_PARTS}) - 1], '') || '.' || {_PARTS}[len({_PARTS})] ELSE x END AS DOUBLE)), '\.?0+$', '') END"""
 _HAS = "contains(lower(p_name || chr(10) || p_type), x)"
 SQL = {
     "chunk_confidence": """

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 
 #: 95 % quantiles of Student's t by degrees of freedom (fixed values); beyond 30 the normal 1.96.
-T95 = {1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 6: 2.447, 7: 2.365, 8: 2.306, 9: 2.262, 10: 2.228, 12: 2.179, 15: 2.131, 20: 2.086, 25: 2.060, 30: 2.042}
+T95 = {
+    1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 6: 2.447, 7: 2.365, 8: 2.306, 9: 2.262, 10: 2.228, 11: 2.201, 12: 2.179,
+    13: 2.160, 14: 2.145, 15: 2.131, 16: 2.120, 17: 2.110, 18: 2.101, 19: 2.093, 20: 2.086, 25: 2.060, 30: 2.042,
+}
 ALPHAS = [round(0.05 * i, 2) for i in range(1, 20)]
 MIN_FIT = 30  # values; a shorter series has no fitted alpha
 
@@ -185,6 +188,8 @@ _Q = """p AS (SELECT CAST(date_trunc('quarter', l_shipdate) AS DATE) AS quarter,
   CAST(sum(CAST(l_extendedprice * 100 AS DECIMAL(18,0))) AS DOUBLE) / 100 / sum(l_quantity) AS price FROM lineitem GROUP BY 1),
 g AS (SELECT quarter, ln(production) - lag(ln(production)) OVER w AS d_production, ln(consumption) - lag(ln(consumption)) OVER w AS d_consumption,
   ln(price) - lag(ln(price)) OVER w AS d_price FROM p WINDOW w AS (ORDER BY quarter)), c AS (SELECT * FROM g WHERE d_price IS NOT NULL)"""
+_LEVELS = "[list_reduce(v[1:i], lambda x, y: alpha * y + (1 - alpha) * x) FOR i IN range(1, len(v) + 1)]"
+_RMSE = "sqrt(list_sum([(v[i] - lv[i - 1]) ** 2 FOR i IN range(2, len(v) + 1)]) / greatest(len(v) - 1, 1))"
 SQL = {
     "calendar_fill": """
       WITH o AS (SELECT CAST(o_orderdate AS DATE) AS date, sum(CAST(round(o_totalprice * 100) AS BIGINT)) / count(*) / 100 AS close FROM orders GROUP BY 1),
@@ -206,6 +211,14 @@ SQL = {
       l AS (SELECT event_type, alpha, v, [list_reduce(v[1:i], lambda x, y: alpha * y + (1 - alpha) * x) FOR i IN range(1, len(v) + 1)] AS lv FROM v, a),
       e AS (SELECT event_type, alpha, lv[len(v)] AS level, len(v) AS n, round(sqrt(list_sum([(v[i] - lv[i - 1]) ** 2 FOR i IN range(2, len(v) + 1)]) / greatest(len(v) - 1, 1)), 9) AS rmse FROM l)
       SELECT event_type, round(rmse, 6) AS rmse, alpha, round(level, 6) AS level, n FROM e QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY rmse, alpha) = 1""",
+    "alpha_fit": f"""
+      WITH s AS (SELECT event_type, CAST(ts AS DATE) AS date, sum(CAST(round(value * 10000) AS BIGINT)) / 10000 / count(*) AS close FROM events GROUP BY 1, 2),
+      v AS (SELECT event_type, list(close ORDER BY date) AS v FROM s GROUP BY 1),
+      c AS (SELECT event_type, v, alpha, {_RMSE} AS rmse FROM (SELECT *, {_LEVELS} AS lv FROM (SELECT *, unnest([round(0.05 * i, 2) FOR i IN range(1, 20)]) AS alpha FROM v))),
+      b AS (SELECT event_type, v, alpha AS a0 FROM c QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY round(rmse, 9), alpha) = 1),
+      f AS (SELECT event_type, v, alpha, lv, {_RMSE} AS rmse FROM (SELECT *, {_LEVELS} AS lv FROM (SELECT *, unnest([round(a0 + 0.01 * i, 2) FOR i IN range(-4, 5)]) AS alpha FROM b)) WHERE alpha BETWEEN 0.05 AND 0.95),
+      w AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY round(rmse, 9), alpha) = 1)
+      SELECT event_type, CASE WHEN len(v) >= 30 THEN round(rmse, 6) END AS rmse, CASE WHEN len(v) >= 30 THEN alpha END AS alpha, CASE WHEN len(v) >= 30 THEN round(lv[len(v)], 6) END AS level, len(v) AS n FROM w""",
     "supply_scenario": """
       SELECT l_suppkey, round(pow(1 - sum(l_quantity) / (SELECT sum(l_quantity) FROM lineitem), 1 / (-0.31 + (-0.9 + 0.31) * (365 - 90) / (1825.0 - 90))), 9) AS multiplier FROM lineitem GROUP BY 1""",
     "vintage_select": """
