@@ -23,11 +23,14 @@ def components(links: DataFrame) -> DataFrame:
         both = links.join(low, "a")
         moved = both.select(F.when(F.col("b") == F.col("p"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("p").alias("b"))
         links = stored(moved.distinct(), "links")
-    tree = links
+    tree = ends(links).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return tree.unionByName(tree.select(F.col("root").alias("node"), "root").distinct())
+
+
+def ends(tree: DataFrame) -> DataFrame:
+    """(a, b) of a forest of pointers with b at the end of a's chain: each round doubles the pointers' reach."""
     while True:
         up = tree.select(F.col("a").alias("b"), F.col("b").alias("up"))
         if tree.join(up, "b", "left_semi").isEmpty():
-            break
+            return tree
         tree = stored(tree.join(up, "b", "left").select("a", F.coalesce("up", "b").alias("b")), "links")
-    tree = tree.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return tree.unionByName(tree.select(F.col("root").alias("node"), "root").distinct())
