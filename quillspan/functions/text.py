@@ -25,19 +25,55 @@ def axis_scale(text: Column) -> Column:
 
     Years and runs in steps of one are common in prose and tables and don't count.
     """
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![\w.])-?\d+(?:\.\d+)?(?![\w])"), F.lit(0)), lambda x: x.cast("double"))
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"-?\d+\.?\d*"), F.lit(0)), lambda x: x.cast("double"))
 
     def run(v: Column, i: Column) -> Column:
         part = F.slice(v, i, 5)
-        step = F.element_at(part, 2) - F.element_at(part, 1)
-        even = F.forall(F.sequence(F.lit(1), F.lit(4)), lambda j: F.abs(F.element_at(part, j + 1) - F.element_at(part, j) - step) < 1e-6)
-        years = F.forall(part, lambda x: (x == F.floor(x)) & x.between(1900, 2100))
-        return even & (step != 0) & ~years & ~((F.abs(step) == 1) & F.forall(part, lambda x: x == F.floor(x)))
+        step = lambda j: F.round(F.element_at(part, j + 1) - F.element_at(part, j), 6)
+        first = step(F.lit(1))
+        even = F.forall(F.sequence(F.lit(2), F.lit(4)), lambda j: step(j) == first)
+        whole = F.forall(part, lambda x: x == F.floor(x))
+        return even & (first != 0) & ~(whole & (F.forall(part, lambda x: x.between(1900, 2100)) | (F.abs(first) == 1)))
 
     held = F.array(numbers)
     return F.exists(held, lambda v: (F.size(v) >= 5) & F.exists(F.when(F.size(v) >= 5, F.sequence(F.lit(1), F.size(v) - 4)).otherwise(F.array().cast("array<int>")), lambda i: run(v, i)))
 
 
+#: What glossaries and notes on methods say (fixed values).
+BOILERPLATE = ["defined in the glossary", "= organization for", "purchasing power parity", "apparent consumption", "oxford economics", "stand-alone report"]
+
+
+def boilerplate(text: Column) -> Column:
+    """Whether a text holds a phrase of glossaries and methods."""
+    low = F.lower(text)
+    return F.exists(F.array(*[F.lit(x) for x in BOILERPLATE]), lambda x: F.contains(low, x))
+
+
+def carries_no_data(text: Column) -> Column:
+    """A chart's axis or boilerplate."""
+    return axis_scale(text) | boilerplate(text)
+
+
+#: Beginnings of Russian words and the words of the reports for them (fixed values).
+GLOSSARY = [
+    ("добыч производств", "production"), ("нефт сыр", "oil crude petroleum"), ("запас резерв хранилищ", "inventories reserves stocks storage"), ("сша америк штат", "united states"),
+    ("цен стоимост котиров", "price prices spot"), ("спрос потреблен", "consumption demand"), ("предложен поставк", "supply"), ("газ", "gas natural"), ("опек", "opec"), ("бензин", "gasoline"),
+    ("дизел мазут", "distillate diesel"), ("переработк нпз рафинир", "refinery refining refiner"), ("экспорт", "exports export"), ("импорт", "imports import"), ("брент", "brent"), ("прогноз", "forecast forecasts"),
+    ("миров глобальн", "world global"), ("баланс", "balance balances"), ("электро электрич", "electricity generation"), ("уголь угл", "coal"), ("сланц", "shale tight"), ("квот сокращен", "quota cuts curtailment"),
+]
+
+
+def expand(question: Column) -> Column:
+    """Words of a question in the reports' language, each once: ASCII words as they are, others by the beginnings that the glossary knows, in its order."""
+    known = F.array(*[F.struct(F.split(F.lit(a), " ").alias("starts"), F.split(F.lit(b), " ").alias("words")) for a, b in GLOSSARY])
+
+    def of(word: Column) -> Column:
+        found = F.filter(known, lambda g: F.exists(g["starts"], lambda s: F.startswith(word, s)))
+        return F.when(word.rlike("^[a-z]+$"), F.array(word)).otherwise(F.flatten(F.transform(found, lambda g: g["words"])))
+
+    return F.array_distinct(F.flatten(F.transform(tokens(question), of)))
+
+
 def stem(word: Column) -> Column:
     """A word less 3, 2 or 1 of its last characters if it has 8, 6 or 4 of them."""
     n = F.length(word)
