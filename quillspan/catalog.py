@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .operators import evidence, pages, registry, retrieval, series
+from .operators import citations, dialogue, evidence, factors, forecast, layout, pages, questions, readings, registers, registry, reports, retrieval, series
 
-MODULES = (retrieval, series, registry, pages, evidence)
+MODULES = (retrieval, series, registry, pages, evidence, forecast, factors, citations, questions, reports, readings, dialogue, layout, registers)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}

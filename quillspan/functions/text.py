@@ -74,6 +74,32 @@ def expand(question: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(tokens(question), of)))
 
 
+def collapse(text: Column) -> Column:
+    """Spaces and tabs in a row as one space, and no more than one empty line."""
+    return F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n")
+
+
+def strip_tags(html: Column) -> Column:
+    """A text without its markup and without space at its ends."""
+    return F.trim(F.regexp_replace(html, "<[^>]+>", ""))
+
+
+#: Names of months in citations (fixed values).
+MONTHS = ["январь", "февраль", "март", "апрель", "май", "июнь", "июль", "август", "сентябрь", "октябрь", "ноябрь", "декабрь"]
+
+
+def file_meta(path: Column) -> Column:
+    """source_name and date of a report's file name: NAME_2026-07 or NAME_2026; else the whole name and an empty date. A month beyond 12 stays a number."""
+    stem_ = F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
+    month = F.regexp_extract(stem_, r"[_-]\d{4}-(\d{2})$", 1)
+    dated = stem_.rlike(r"[_-]\d{4}-\d{2}$")
+    year = stem_.rlike(r"[_-]\d{4}$")
+    named = F.coalesce(F.get(F.array(*[F.lit(m) for m in MONTHS]), month.try_cast("int") - 1), month.try_cast("int").cast("string"))
+    name = F.when(dated, F.regexp_replace(stem_, r"[_-]\d{4}-\d{2}$", "")).when(year, F.regexp_replace(stem_, r"[_-]\d{4}$", "")).otherwise(stem_)
+    date = F.when(dated, F.concat_ws(" ", named, F.regexp_extract(stem_, r"(\d{4})-\d{2}$", 1))).when(year, F.regexp_extract(stem_, r"(\d{4})$", 1)).otherwise("")
+    return F.struct(F.trim(F.replace(name, F.lit("_"), F.lit(" "))).alias("source_name"), date.alias("date"))
+
+
 def stem(word: Column) -> Column:
     """A word less 3, 2 or 1 of its last characters if it has 8, 6 or 4 of them."""
     n = F.length(word)
