@@ -23,18 +23,19 @@ def windows(docs: DataFrame, cut: str | None = None, size: int = SIZE, overlap:
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and below size")
     step = size - overlap
+    # Each segment with its start and whether it is the last; then its windows as one array, so that no row repeats a whole text.
     parts = F.split("text", f"(?={cut})") if cut else F.array("text")
-    seg = docs.where("text <> ''").select("doc_id", "text", parts.alias("parts"))
-    seg = seg.select("doc_id", "text", F.posexplode(F.expr("transform(parts, (p, i) -> struct(coalesce(aggregate(slice(parts, 1, i), 0, (a, x) -> a + length(x)), 0) as st, length(p) as n, i = size(parts) - 1 as final))")).alias("i", "s"))
-    n = F.col("s.n")
+    starts = "aggregate(parts, array(0), (acc, p) -> concat(acc, array(element_at(acc, -1) + length(p))))"
+    seg = docs.where("text <> ''").select("doc_id", parts.alias("parts")).select("doc_id", "parts", F.expr(starts).alias("starts"))
+    seg = seg.select("doc_id", F.explode(F.expr("transform(parts, (p, i) -> struct(p, starts[i] as st, i = size(parts) - 1 as final))")).alias("s")).select("doc_id", "s.*")
+    n = F.length("p")
     last = F.greatest(F.lit(0), F.ceil((n - size) / step))
     inner = F.when(n < size, 0).otherwise(F.floor((n - size) / step) + 1)
     inner = inner - F.when(inner * step >= n, 1).otherwise(0)
-    k = F.when(F.col("s.final"), last).otherwise(inner).cast("int")
-    rows = seg.where(n > 0).select("doc_id", "text", "s", F.explode(F.sequence(F.lit(0), k)).alias("k"))
-    start = F.col("s.st") + F.col("k") * step
-    stop = F.least(start + size, F.col("s.st") + n)
-    return rows.select("doc_id", start.alias("start"), stop.alias("stop"), F.substring("text", start + 1, stop - start).alias("text"))
+    k = F.when(F.col("final"), last).otherwise(inner).cast("int")
+    at = lambda i: i.cast("bigint") * step
+    window = lambda i: F.struct((F.col("st") + at(i)).alias("start"), (F.col("st") + F.least(at(i) + size, n)).alias("stop"), F.substring("p", at(i).cast("int") + 1, F.lit(size)).alias("text"))
+    return seg.where(n > 0).select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), k), window)).alias("w")).select("doc_id", "w.*")
 
 
 def as_of(rows: DataFrame, marks: DataFrame, key: list[str], at: str, value: str, tolerance: int) -> DataFrame:
@@ -54,17 +55,30 @@ def numbers(text: Column) -> Column:
     return F.transform(found, lambda x: F.regexp_replace(x, "[,+]", ""))
 
 
+def _digits(tokens: Column) -> Column:
+    """How often each digit occurs in the tokens: their multiset, in ten numbers."""
+    text = F.array_join(tokens, "")
+    return F.array(*[F.length(text) - F.length(F.replace(text, F.lit(str(i)), F.lit(""))) for i in range(10)])
+
+
 def verdict(a: Column, b: Column) -> Column:
     """How two readings' numbers compare: equal, reordered, cut otherwise (same digits), or different."""
-    digits = lambda x: F.array_sort(F.split(F.regexp_replace(F.array_join(x, ""), r"\D", ""), ""))
-    return F.when(a == b, "agree").when(F.array_sort(a) == F.array_sort(b), "order").when(digits(a) == digits(b), "tokenize").otherwise("diverge")
+    return F.when(a == b, "agree").when(F.sort_array(a) == F.sort_array(b), "order").when(_digits(a) == _digits(b), "tokenize").otherwise("diverge")
 
 
 def cross_check(readings: DataFrame) -> DataFrame:
-    """(doc_id, reader_a, reader_b, verdict) of all pairs of readings (doc_id, reader, tokens) of a page."""
-    a, b = readings.alias("a"), readings.alias("b")
-    pairs = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.reader") < F.col("b.reader")))
-    return pairs.select("a.doc_id", F.col("a.reader").alias("reader_a"), F.col("b.reader").alias("reader_b"), verdict(F.col("a.tokens"), F.col("b.tokens")).alias("verdict"))
+    """(doc_id, reader_a, reader_b, verdict) of all pairs of readings (doc_id, reader, tokens) of a page.
+
+    A reading is told by digests of its tokens in order, sorted, and of their digits: some bytes a row are shuffled once.
+    """
+    digest = lambda t: F.sha2(F.array_join(t.cast("array<string>"), "\x01").cast("binary"), 256)
+    t = F.col("tokens")
+    prints = readings.select("doc_id", "reader", digest(t).alias("a"), digest(F.sort_array(t)).alias("b"), digest(_digits(t)).alias("c"))
+    held = prints.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("reader", "a", "b", "c"))).alias("r"))  # readers are few
+    told = lambda x, y: F.when(x["a"] == y["a"], "agree").when(x["b"] == y["b"], "order").when(x["c"] == y["c"], "tokenize").otherwise("diverge")
+    pair = lambda x, y: F.struct(x["reader"].alias("reader_a"), y["reader"].alias("reader_b"), told(x, y).alias("verdict"))
+    pairs = F.flatten(F.transform("r", lambda x: F.transform(F.filter("r", lambda y: x["reader"] < y["reader"]), lambda y: pair(x, y))))
+    return held.select("doc_id", F.inline(pairs))
 
 
 def worst(verdicts: DataFrame) -> DataFrame:
@@ -80,9 +94,14 @@ def worst(verdicts: DataFrame) -> DataFrame:
 
 
 def residual(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Tokens (doc_id, pos, token) of the left that the right has not as often, in order: the k-th occurrence meets the k-th."""
-    number = lambda x: x.withColumn("k", F.row_number().over(W.partitionBy("doc_id", "token").orderBy("pos")))
-    return number(left).join(number(right).select("doc_id", "token", "k"), ["doc_id", "token", "k"], "left_anti").drop("k")
+    """Tokens (doc_id, pos, token) of the left that the right has not as often, in order: the k-th occurrence meets the k-th.
+
+    Tokens are counted first; only those that the left has more often are numbered.
+    """
+    both = left.select("doc_id", "token", F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(right.select("doc_id", "token", F.lit(0), F.lit(1)))
+    more = both.groupBy("doc_id", "token").agg(F.sum("l").alias("l"), F.sum("r").alias("r")).where("l > r").drop("l")
+    some = left.join(more, ["doc_id", "token"]).withColumn("k", F.row_number().over(W.partitionBy("doc_id", "token").orderBy("pos")))
+    return some.where("k > r").drop("k", "r").select(*left.columns)
 
 
 def one_per_host(pages: DataFrame, denied: list[str], preferred: list[str]) -> DataFrame:
@@ -171,7 +190,17 @@ SQL = {
     "multiset_residual": f"""
       WITH {_R}, t AS (SELECT doc_id, reader, unnest(t) AS token, CAST(unnest(range(len(t))) AS INTEGER) AS pos FROM r WHERE reader <> 'beta'),
       n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, reader, token ORDER BY pos) AS k FROM t)
-      SELECT doc_id, token, pos FROM n a WHERE reader = 'alpha' AND NOT EXISTS (SELECT 1 FROM n b WHERE b.reader = 'gamma' AND b.doc_id = a.doc_id AND b.token = a.token AND b.k = a.k)""",
+      SELECT doc_id, token, pos FROM (SELECT * FROM n WHERE reader = 'alpha') a ANTI JOIN (SELECT * FROM n WHERE reader = 'gamma') b ON b.doc_id = a.doc_id AND b.token = a.token AND b.k = a.k""",
+    "chunk_windows_cut": """
+      WITH s AS (SELECT doc_id, text, unnest(string_split(substr(text, 2), chr(10))) AS p, unnest(range(len(string_split(substr(text, 2), chr(10))))) AS i, len(string_split(substr(text, 2), chr(10))) AS m FROM documents WHERE text <> ''),
+      l AS (SELECT doc_id, i, i = m - 1 AS final, CAST(length(p) + 1 AS BIGINT) AS n FROM s),
+      o AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS st FROM l),
+      k AS (SELECT *, unnest(range(0, n // 1000 + 1)) AS k FROM o)
+      SELECT doc_id, st + k * 1000 AS start, CAST(st + least(k * 1000 + 1200, n) AS BIGINT) AS stop FROM k
+      WHERE CASE WHEN final THEN k = 0 OR (k - 1) * 1000 + 1200 < n ELSE k = 0 OR ((k - 1) * 1000 + 1200 <= n AND k * 1000 < n) END""",
+    "chunk_id": """
+      WITH h AS (SELECT doc_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(coalesce(source, '') || '|' || coalesce(lang, '') || '|' || coalesce(text, ''))) AS h FROM documents)
+      SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8', '9', 'a', 'b'][CAST('0x' || h[17] AS INTEGER) % 4 + 1] || h[18:20] || '-' || h[21:32] AS chunk_id FROM h""",
     "one_per_domain": r"""
       WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '') AS host FROM pages)
       SELECT host, min(page_id) AS page_id, host = 'example.org' OR ends_with(host, '.example.org') AS preferred FROM h WHERE host <> '' AND host <> 'example.net' AND NOT ends_with(host, '.example.net') GROUP BY 1""",

@@ -40,6 +40,13 @@ def matching(rows: DataFrame, queries: DataFrame) -> DataFrame:
     return low.join(F.broadcast(asked), F.forall("stems", lambda s: F.contains(F.col("t"), s))).select("query_id", "conv_id", "turn")
 
 
+def found_turns(matches: DataFrame, heads: DataFrame, limit: int = 50) -> DataFrame:
+    """Matches with the title of their conversation (conv_id, title; empty for one that is gone) and their place: the latest turns first, ``limit`` a query at most."""
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("turn").desc(), "conv_id"))
+    rows = matches.distinct().withColumn("place", place).where(F.col("place") <= limit)
+    return rows.join(heads.select("conv_id", "title"), "conv_id", "left").withColumn("title", F.coalesce("title", F.lit("")))
+
+
 def latest_searches(rows: DataFrame, keep: int = 200) -> DataFrame:
     """(query, hits, last_run) of the latest run of each query, the ``keep`` most recent of them."""
     last = rows.groupBy("query").agg(F.max_by("hits", F.struct("last_run", "hits")).alias("hits"), F.max("last_run").alias("last_run"))
@@ -56,18 +63,21 @@ def q_threads(spark: SparkSession, d: str) -> DataFrame:
 
 def q_history(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").withColumn("size", F.least(F.length("text"), F.lit(1000)))
-    return within_budget(rows, ["conv_id"], [F.col("turn").desc(), F.col("role")], F.col("size"), 2500).select("conv_id", "turn", "role", "size")
+    return within_budget(rows, ["conv_id"], [F.col("turn").desc(), F.col("role"), F.col("text")], F.col("size"), 2500).select("conv_id", "turn", "role", "size")
 
 
 def q_context(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").withColumn("size", F.length("text"))
-    return within_budget(rows, ["conv_id"], [F.col("turn"), F.col("role")], F.col("size"), 1500).select("conv_id", "turn", "role", "size")
+    return within_budget(rows, ["conv_id"], [F.col("turn"), F.col("role"), F.col("text")], F.col("size"), 1500).select("conv_id", "turn", "role", "size")
 
 
 def q_match(spark: SparkSession, d: str) -> DataFrame:
+    """Whole items whose number is divisible by 50, and each line of the turns of such conversations, against all turns."""
     conv = table(spark, d, "conversations")
-    asked = table(spark, d, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.regexp_extract("text", r"^(\S+ \S+)", 1).alias("question"))
-    return matching(conv, asked)
+    items = table(spark, d, "benchmark").where("item_id % 50 = 0").select((-1 - F.col("item_id")).alias("query_id"), F.col("text").alias("question"))
+    lines = conv.where("conv_id % 50 = 0").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("i", "question"))
+    lines = lines.select(((F.col("conv_id") * 100 + F.col("turn")) * 10_000 + F.col("i")).alias("query_id"), "question")
+    return found_turns(matching(conv, items.unionByName(lines)), threads(conv).where("conv_id % 3 <> 0"))
 
 
 def q_searches(spark: SparkSession, d: str) -> DataFrame:
@@ -80,14 +90,20 @@ SQL = {
     "turn_ordinal": "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS ordinal FROM conversations",
     "list_threads": "SELECT conv_id, count(*) AS n_turns, max(turn) AS last_turn FROM conversations GROUP BY 1",
     "history_budget": """SELECT conv_id, turn, role, least(length(text), 1000) AS size FROM conversations
-      QUALIFY sum(least(length(text), 1000)) OVER (PARTITION BY conv_id ORDER BY turn DESC, role ROWS UNBOUNDED PRECEDING) <= 2500 OR row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role) = 1""",
+      QUALIFY sum(least(length(text), 1000)) OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text ROWS UNBOUNDED PRECEDING) <= 2500 OR row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) = 1""",
     "context_budget": """SELECT conv_id, turn, role, length(text) AS size FROM conversations
-      QUALIFY sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS UNBOUNDED PRECEDING) <= 1500 OR row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) = 1""",
+      QUALIFY sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) <= 1500 OR row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) = 1""",
     "search_turns": f"""
-      WITH q AS (SELECT item_id AS query_id, regexp_extract(text, '^([^ \\t\\n]+ [^ \\t\\n]+)', 1) AS question FROM benchmark WHERE item_id % 50 = 0),
+      WITH q AS (SELECT -1 - item_id AS query_id, text AS question FROM benchmark WHERE item_id % 50 = 0 UNION ALL
+        SELECT (conv_id * 100 + turn) * 10000 + i, l FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM conversations WHERE conv_id % 50 = 0)),
       s AS (SELECT DISTINCT query_id, {_STEM} AS s FROM (SELECT query_id, unnest(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}_]{{3,}}')) AS w FROM q)),
-      n AS (SELECT query_id, count(*) AS n FROM s GROUP BY 1)
-      SELECT query_id, conv_id, turn FROM s JOIN conversations ON contains(lower(text), s) JOIN n USING (query_id) GROUP BY query_id, conv_id, turn, n HAVING count(*) = n""",
+      n AS (SELECT query_id, count(*) AS n FROM s GROUP BY 1), c AS (SELECT DISTINCT conv_id, turn, lower(text) AS t FROM conversations),
+      m AS (SELECT DISTINCT query_id, conv_id, turn FROM (SELECT query_id, conv_id, turn, t, n FROM s JOIN c ON contains(t, s) JOIN n USING (query_id) GROUP BY ALL HAVING count(*) = n)),
+      p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY turn DESC, conv_id) AS place FROM m QUALIFY place <= 50),
+      h AS (SELECT conv_id, arg_min(text, (turn, text)) FILTER (WHERE role = 'user') AS q FROM conversations WHERE conv_id % 3 <> 0 GROUP BY 1),
+      f AS (SELECT conv_id, trim(regexp_replace(coalesce(q, ''), '\\s+', ' ', 'g'), ' ') AS f FROM h), g AS (SELECT *, substr(f, 1, 60) AS g, 60 - instr(reverse(substr(f, 1, 60)), ' ') AS z FROM f)
+      SELECT query_id, p.conv_id, turn, place, CASE WHEN g.conv_id IS NULL THEN '' WHEN f = '' THEN 'Untitled' WHEN length(f) <= 60 THEN f
+        ELSE regexp_replace(CASE WHEN contains(g.g, ' ') AND z >= 30 THEN substr(g.g, 1, CAST(z AS BIGINT)) ELSE g.g END, '[ ,.;:!?-]+$', '') || '…' END AS title FROM p LEFT JOIN g USING (conv_id)""",
     "search_history_evict": """
       SELECT event_type || ':' || user_id AS query, CAST(floor(arg_max(value, event_id)) AS BIGINT) AS hits, max(event_id) AS last_run FROM events GROUP BY 1 ORDER BY last_run DESC, query LIMIT 200""",
 }

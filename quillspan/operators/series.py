@@ -23,13 +23,14 @@ def keep_last(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def calendar(prices: DataFrame) -> DataFrame:
-    """(date, close) for every day from first to last: gaps take the last known price, leading ones the first."""
-    days = prices.agg(F.explode(F.sequence(F.min("date"), F.max("date"))).alias("date"))
-    w = W.partitionBy(F.lit(0)).orderBy("date")  # one series: a row a day
+def calendar(prices: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """(key, date, close) for every day from each series' first to its last: gaps take the last known price, leading ones the first. Without ``key`` there is one series, of a row a day."""
+    key = key or []
+    days = prices.groupBy(*key).agg(F.sequence(F.min("date"), F.max("date")).alias("d")).select(*key, F.explode("d").alias("date"))
+    w = W.partitionBy(*key or [F.lit(0)]).orderBy("date")
     back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
     filled = F.coalesce(F.last("close", True).over(back), F.first("close", True).over(ahead))
-    return days.join(prices, "date", "left").select("date", filled.alias("close"))
+    return days.join(prices, [*key, "date"], "left").select(*key, "date", filled.alias("close"))
 
 
 def daily_price(spark: SparkSession, d: str) -> DataFrame:
@@ -87,11 +88,11 @@ def quarterly(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def log_changes(panel: DataFrame, columns: list[str], order: str) -> DataFrame:
-    """First differences of logarithms of positive complete rows; a panel has a row a period."""
-    w = W.partitionBy(F.lit(0)).orderBy(order)
+def log_changes(panel: DataFrame, columns: list[str], order: str, key: list[str] | None = None) -> DataFrame:
+    """First differences of logarithms of positive complete rows, by key; a panel has a row a key and period."""
+    w = W.partitionBy(*key or [F.lit(0)]).orderBy(order)
     held = panel.dropna(subset=columns)
-    return held.select(order, *[(F.log(c) - F.lag(F.log(c)).over(w)).alias(f"d_{c}") for c in columns]).dropna()
+    return held.select(*key or [], order, *[(F.log(c) - F.lag(F.log(c)).over(w)).alias(f"d_{c}") for c in columns]).dropna()
 
 
 def t95(df: Column) -> Column:
