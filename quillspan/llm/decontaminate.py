@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, UPPER, stored, table, words
+from .shared import LOWER, UPPER, less, maybe_in, stored, table, words
 
 WINDOW, GRAM = 13, 5
 GUARD = WINDOW - GRAM + 1  # hashes in a winnowing window
@@ -45,6 +45,63 @@ def _windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.select("item_id", "n", _span(F.col("ws"), F.col("at"), F.col("n")).alias("window")).distinct()
 
 
+def _candidates(docs: DataFrame, windows: DataFrame, hint) -> DataFrame:
+    """(doc_id, k, n_words, copies, at): places (0-based word, words) where a window may stand; one row for each id and text.
+
+    Exploded rows carry hashes and positions only. One sentinel (-1) a document keeps documents without places and counts copies.
+    """
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("k"), words(F.col("text")).alias("ws"))
+    prints = keyed.select("doc_id", "k", F.size("ws").alias("n_words"), _fingerprints("ws").alias("p"))
+    prints = prints.select("doc_id", "k", "n_words", F.explode(F.concat(F.array(F.lit(-1).cast("long")), "p")).alias("p"))
+    prints = prints.withColumn("hash", F.expr(f"if(p = -1, null, shiftright(p, {POSITION_BITS}))")).withColumn("pos", F.expr(f"cast(p & {(1 << POSITION_BITS) - 1} as int)"))
+    long_items = windows.where(F.col("n") == WINDOW).select(F.split("window", " ").alias("ws"))
+    known = long_items.select(F.explode(_fingerprints("ws")).alias("p")).select(F.expr(f"shiftright(p, {POSITION_BITS})").alias("hash")).distinct()
+    # A hit's window may start at any of nine words.
+    near = F.expr(f"if(met, sequence(greatest(0, pos - {GUARD - 1}), least(pos, n_words - {WINDOW})), null)")
+    rows = prints.join(hint(known.withColumn("met", F.lit(True))), "hash", "left").where("met OR p = -1")
+    rows = rows.select("doc_id", "k", "n_words", (F.col("p") == -1).alias("own"), F.explode_outer(near).alias("i"), F.lit(WINDOW).alias("n"))
+    # An item of fewer than 13 words is found by its longest word, wherever that is: at most 12 lengths and places a word.
+    first = windows.where(F.col("n") < WINDOW).withColumn("ws", F.split("window", " "))
+    if not first.isEmpty():
+        anchor = first.select("n", F.expr("array_max(transform(ws, (w, i) -> struct(length(w) as l, -i as o, w)))").alias("a"))
+        anchor = anchor.select(F.xxhash64(F.lower("a.w")).alias("word"), F.struct("n", (-F.col("a.o")).alias("o")).alias("s"))
+        anchor = anchor.groupBy("word").agg(F.collect_set("s").alias("shapes"))
+        each = keyed.select("doc_id", "k", F.size("ws").alias("n_words"), F.expr("transform(ws, w -> xxhash64(lower(w)))").alias("hs"))
+        each = each.select("doc_id", "k", "n_words", F.posexplode("hs").alias("pos", "word")).join(hint(anchor), "word")
+        each = each.select("doc_id", "k", "n_words", "pos", F.explode("shapes").alias("s"))
+        each = each.select("doc_id", "k", "n_words", F.lit(False).alias("own"), (F.col("pos") - F.col("s.o")).alias("i"), F.col("s.n").alias("n"))
+        rows = rows.unionByName(each.where("i >= 0 AND i + n <= n_words"))
+    return rows.groupBy("doc_id", "k").agg(
+        F.max("n_words").cast("long").alias("n_words"), F.count_if("own").alias("copies"), F.collect_set(F.when(F.col("i").isNotNull(), F.struct("i", "n"))).alias("at")
+    )
+
+
+def _checked(docs: DataFrame, windows: DataFrame, hint) -> DataFrame:
+    """``_candidates`` with ``spans`` (the places where a window does stand, as start and stop) and ``items``; k tells texts of one id apart."""
+    marks = stored(_candidates(docs, windows, hint), "candidates")
+    some = marks.where("size(at) > 0").select("doc_id", "k", "at")
+    # Texts of documents with candidates are read again; beyond the bound those that a filter lets through are moved.
+    few = some.count() <= BROADCAST_ROWS // 5
+    texts = docs.select("doc_id", "text") if few else maybe_in(docs.select("doc_id", "text").withColumn("__t", F.xxhash64("text")), "__t", some.select("k"))
+    texts = texts.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__k"), words(F.col("text")).alias("ws"))
+    found = texts.join(F.broadcast(some) if few else some, F.expr("doc_id <=> __id AND k = __k"))
+    spans = F.transform("at", lambda s: F.struct(s["i"].alias("i"), s["n"].alias("n"), _span(F.col("ws"), s["i"], s["n"]).alias("window")))
+    each = found.select("doc_id", "k", F.explode(spans).alias("s")).select("doc_id", "k", "s.*")
+    owners = windows.groupBy("n", "window").agg(F.collect_set("item_id").alias("items"))
+    hit = each.join(hint(owners), ["n", "window"])
+    hit = hit.groupBy("doc_id", "k").agg(F.collect_set(F.struct("i", (F.col("i") + F.col("n")).alias("stop"))).alias("hits"), F.collect_set("items").alias("items"))
+    hit = hit.select(F.col("doc_id").alias("__id"), F.col("k").alias("__k"), "hits", F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
+    merge = """
+      aggregate(array_sort(hits), cast(array() as array<struct<start:int,stop:int>>), (acc, s) ->
+        if(size(acc) > 0 AND s.i <= element_at(acc, -1).stop,
+           concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'stop', greatest(element_at(acc, -1).stop, s.stop)))),
+           concat(acc, array(named_struct('start', s.i, 'stop', s.stop)))))"""
+    hit = stored(hit.select("__id", "__k", F.expr(merge).alias("spans"), "items"), "hits")
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+    out = marks.drop("at").join(hit, F.expr("doc_id <=> __id AND k = __k"), "left")
+    return out.select("doc_id", "k", "n_words", "copies", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
@@ -54,63 +111,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     twentieth of its words or more are. ``spans`` are the merged hits as (start, end).
     Null texts have no words. Rows with one id and one text count once in the work and come out
     as often as they went in; rows with one id and different texts are told apart. Extra columns
-    are ignored. Null item ids are left out of the digest's list but their windows hit.
+    are ignored. Null item ids are left out of the digest's list but their windows hit. An empty table of either kind is no error.
     """
-    windows = stored(_windows(benchmark, item_col, item_text), "windows")
-    few = windows.count() <= BROADCAST_ROWS
-    hint = F.broadcast if few else lambda df: df
-    shorter = [r.n for r in windows.where(F.col("n") < WINDOW).select("n").distinct().collect()]  # at most 12 numbers
+    out = _flagged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), benchmark, item_col, item_text)
+    return out.withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).drop("copy", "copies", "k")
 
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("k"), words(F.col(text_col)).alias("ws"))
-    n_words = F.size("ws").cast("long").alias("n_words")
 
-    # One sentinel (-1) a document, then its fingerprints: a document without hits stays.
-    prints = keyed.select("doc_id", "k", "ws", F.explode(F.concat(F.array(F.lit(-1).cast("long")), _fingerprints("ws"))).alias("p"))
-    prints = prints.withColumn("hash", F.expr(f"if(p = -1, null, shiftright(p, {POSITION_BITS}))")).withColumn("pos", F.expr(f"cast(p & {(1 << POSITION_BITS) - 1} as int)"))
-    long_items = windows.where(F.col("n") == WINDOW)
-    spaced = long_items.select(F.split("window", " ").alias("ws"))
-    item_prints = spaced.select(F.explode(_fingerprints("ws")).alias("p")).select(F.expr(f"shiftright(p, {POSITION_BITS})").alias("hash")).distinct()
-    item_prints = item_prints.withColumn("met", F.lit(True))
-    if few:
-        near = prints.join(F.broadcast(item_prints), "hash", "left").where("met OR p = -1")
-        near = near.select("doc_id", "k", "ws", "pos", F.col("met").alias("met"))
-    else:  # ids and positions are shuffled, not texts; hits then meet their texts again
-        hits = prints.where("p <> -1").select("doc_id", "k", "hash", "pos").join(item_prints, "hash", "left_semi")
-        hits = hits.groupBy("doc_id", "k").agg(F.collect_set("pos").alias("at"))
-        again = keyed.alias("d").join(stored(hits, "hits").alias("h"), F.expr("d.doc_id <=> h.doc_id AND d.k = h.k"), "left")
-        near = again.select("d.doc_id", "d.k", "ws", F.explode(F.concat(F.array(F.lit(-1)), F.coalesce("at", F.array().cast("array<int>")))).alias("pos")).withColumn("met", F.expr("if(pos = -1, null, true)"))
-    starts = F.expr(f"if(met, sequence(greatest(0, pos - {GUARD - 1}), least(pos, size(ws) - {WINDOW})), array(-1))")
-    spans = near.select("doc_id", "k", "ws", F.explode(starts).alias("at"), F.lit(WINDOW).alias("n"))
-    if shorter:  # an item of fewer than 13 words is found by its longest word, wherever that is
-        first = windows.where(F.col("n") < WINDOW).withColumn("ws", F.split("window", " "))
-        anchor = first.select("n", F.expr("array_max(transform(ws, (w, i) -> struct(length(w) as l, -i as o, w)))").alias("a"))
-        anchor = anchor.select(F.xxhash64(F.lower("a.w")).alias("word"), F.struct("n", (-F.col("a.o")).alias("o")).alias("s"))
-        anchor = anchor.groupBy("word").agg(F.collect_set("s").alias("shapes"))  # at most 12 lengths and places
-        each = keyed.select("doc_id", "k", "ws", F.posexplode(F.expr("transform(ws, w -> xxhash64(lower(w)))")).alias("pos", "word"))
-        found = each.join(hint(anchor), "word").select("doc_id", "k", "ws", "pos", F.explode("shapes").alias("s"))
-        found = found.select("doc_id", "k", "ws", (F.col("pos") - F.col("s.o")).alias("at"), F.col("s.n").alias("n"))
-        spans = spans.unionByName(found.where("at >= 0 AND at + n <= size(ws)"))
-    texts = windows.groupBy("n", "window").agg(F.collect_set("item_id").alias("items"))
-    spans = spans.withColumn("window", F.when(F.col("at") >= 0, _span(F.col("ws"), F.col("at"), F.col("n"))))
-    hit = spans.select("doc_id", "k", n_words, "at", "n", "window").join(hint(texts), ["n", "window"], "left").where("items IS NOT NULL OR at = -1")
-    # Copies of a row give equal spans: sets take them once, sentinels count the copies.
-    sentinel = F.col("at") == -1
-    docs_hit = hit.groupBy("doc_id", "k").agg(
-        F.max("n_words").alias("n_words"),
-        F.count_if(sentinel).alias("copies"),
-        F.collect_set(F.when(~sentinel, F.struct("at", (F.col("at") + F.col("n")).alias("stop")))).alias("at"),
-        F.collect_set("items").alias("items"),
-    )
-    merge = """
-      aggregate(array_sort(at), cast(array() as array<struct<start:int,stop:int>>), (acc, s) ->
-        if(size(acc) > 0 AND s.at <= element_at(acc, -1).stop,
-           concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'stop', greatest(element_at(acc, -1).stop, s.stop)))),
-           concat(acc, array(named_struct('start', s.at, 'stop', s.stop)))))"""
-    out = docs_hit.select(
-        "doc_id", "n_words", "copies", F.expr(merge).alias("spans"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items")
-    ).withColumn("n_hit", F.expr("aggregate(spans, 0L, (a, s) -> a + s.stop - s.start)"))
-    out = out.select(
+def _flagged(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    windows = stored(_windows(benchmark, item_col, item_text), "windows")
+    hint = F.broadcast if windows.count() <= BROADCAST_ROWS else lambda df: df
+    out = _checked(docs, windows, hint).withColumn("n_hit", F.expr("aggregate(spans, 0L, (a, s) -> a + s.stop - s.start)"))
+    return out.select(
         "doc_id",
+        "k",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
@@ -119,15 +132,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         "spans",
         "copies",
     )
-    return out.withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).drop("copy", "copies")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
-    bad = contamination(docs.select("doc_id", "text"), benchmark)
-    bad = stored(bad.where("contaminated").select(F.col("doc_id").alias("__id"), F.col("n_words").alias("__n")).distinct(), "contaminated")
-    n = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]) & (n == bad["__n"]), "left_anti")
+    """The rows of ``docs`` that are not contaminated, with all their columns.
+
+    Rows are known by id and text, so rows that share an id stay or go on their own, and rows that repeat in both go together.
+    """
+    bad = stored(_flagged(docs.select("doc_id", "text"), benchmark, "item_id", "text").where("contaminated").select("doc_id", "k"), "contaminated")
+    return less(docs, [F.col("doc_id"), F.xxhash64("text")], bad)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
