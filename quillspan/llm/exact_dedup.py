@@ -2,7 +2,8 @@
 
 Pass one keeps, per filter segment, the bits set once and the bits set again; pass two tests
 every row against the bits set again. Rows whose text cannot repeat leave the job without a
-shuffle; only possibly repeated ones (id, digest, length: no text) are grouped.
+shuffle; only possibly repeated ones (id, digest, length: no text) are grouped. A filter too large
+to broadcast stays in its shards, to which the digests go.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored, table
+from .shared import less, maybe_in, stored, table
 
 SEGMENT_BITS = 1 << 15  # of one segment: 4 KiB
 BITS_PER_ROW = 16
-MAX_SEGMENTS = 1 << 13  # at most 32 MiB of filter are ever broadcast, whatever the input
+BROADCAST_SEGMENTS = 1 << 13  # of 32 MiB; a larger filter stays in shards, and digests go to them
 PROBES = 3
 _SPACE = [" ", "\t", "\n", "\x0b", "\x0c", "\r"]
 
@@ -34,7 +35,7 @@ def normalised(text: Column) -> Column:
 
 def _segments(rows: int) -> int:
     n = 1
-    while n < MAX_SEGMENTS and n * SEGMENT_BITS < rows * BITS_PER_ROW:
+    while n * SEGMENT_BITS < rows * BITS_PER_ROW and n < 1 << 30:
         n *= 2
     return n
 
@@ -91,13 +92,50 @@ def repeated_filter(hashes: DataFrame, segments: int) -> DataFrame:
     never the other way round.
     """
     return (
-        hashes.select(F.expr(f"cast(shiftrightunsigned(h, 48) & {segments - 1} as int)").alias("seg"), "h")
+        hashes.select(F.expr(_seg(segments)).alias("seg"), "h")
         .mapInArrow(_fill, "seg int, once binary, again binary")
         .groupBy("seg")
         .applyInArrow(_merge, "seg int, bits binary")
     )
 
 
+def _seg(segments: int) -> str:
+    return f"cast(xxhash64(h) & {segments - 1} as int)"
+
+
+def _tested(rows: DataFrame, segments: int, again: DataFrame) -> DataFrame:
+    """``rows`` (with h, the hash of a digest) and ``maybe``: false where the text surely occurs once."""
+    at = lambda i: f"cast(shiftrightunsigned(h, {16 * i}) & {SEGMENT_BITS - 1} as int)"
+    byte = lambda i: f"cast(conv(hex(substring(bits, ({at(i)} div 8) + 1, 1)), 16, 10) as int)"
+    bit = " AND ".join(f"(shiftright({byte(i)}, 7 - ({at(i)} % 8)) & 1) = 1" for i in range(PROBES))
+    held = rows.withColumn("seg", F.expr(_seg(segments))).join(F.broadcast(again) if segments <= BROADCAST_SEGMENTS else again, "seg", "left")
+    return held.select(*rows.columns, F.expr(f"coalesce({bit}, false)").alias("maybe"))
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(normalised(text).cast("binary"), 256))
+
+
+def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of documents (doc_id, text): rows that cannot repeat (doc_id, sha), those that may (doc_id, sha, len, t, u),
+    and of each of their digests the row that stays (sha, doc_id, t, u, copies, group_size).
+
+    Digests are counted from the texts once and stored; t is a hash of the text as it is, u a row's number, copies how often
+    the row that stays occurs with this id and text.
+    """
+    rows = docs.select("doc_id", _digest(F.col("text")).alias("sha"), F.coalesce(F.length("text"), F.lit(0)).alias("len"), F.xxhash64("text").alias("t"))
+    rows = stored(rows.withColumn("h", F.xxhash64("sha")).withColumn("u", F.monotonically_increasing_id()), "digests")
+    segments = _segments(rows.count())
+    tested = _tested(rows, segments, stored(repeated_filter(rows.select("h"), segments), "bloom"))
+    some = stored(tested.where("maybe").drop("h", "maybe"), "repeats")
+    # Repeated rows become one, then the longest of a digest stays; partial minima keep a hot text to a row a task.
+    each = some.groupBy("sha", "doc_id", "t").agg(F.max("len").alias("len"), F.min("u").alias("u"), F.count("*").alias("copies"))
+    best = F.min(F.struct((-F.col("len")).alias("l"), F.col("doc_id").isNull().alias("n"), "doc_id", "u", "t", "copies")).alias("b")
+    groups = each.groupBy("sha").agg(best, F.sum("copies").alias("group_size"))
+    groups = stored(groups.select("sha", "b.doc_id", "b.t", "b.u", "b.copies", "group_size"), "groups")
+    return tested.where("NOT maybe").select("doc_id", "sha"), some, groups
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -106,41 +144,31 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows (same id, same length) stay once: the others are not kept. Any other columns are ignored. An empty
     table gives an empty result.
     """
-    spark = docs.sparkSession
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.sha2(normalised(F.col(text_col)).cast("binary"), 256).alias("text_sha256"),
-        F.coalesce(F.length(text_col), F.lit(0)).alias("len"),
-    ).withColumn("h", F.xxhash64("text_sha256"))
-    segments = _segments(docs.count())
-    again = stored(repeated_filter(rows.select("h"), segments), "bloom")
-    at = lambda i: f"cast(shiftrightunsigned(h, {16 * i}) & {SEGMENT_BITS - 1} as int)"
-    byte = lambda i: f"cast(conv(hex(substring(bits, ({at(i)} div 8) + 1, 1)), 16, 10) as int)"
-    bit = " AND ".join(f"(shiftright({byte(i)}, 7 - ({at(i)} % 8)) & 1) = 1" for i in range(PROBES))
-    tested = rows.withColumn("seg", F.expr(f"cast(shiftrightunsigned(h, 48) & {segments - 1} as int)")).join(F.broadcast(again), "seg", "left")
-    tested = tested.withColumn("maybe", F.expr(f"coalesce({bit}, false)"))
-    single = tested.where("NOT maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-
-    some = stored(tested.where("maybe").select("doc_id", "text_sha256", "len").withColumn("u", F.monotonically_increasing_id()), "repeats")
-    # min over (-len, id, u) is the row that stays; partial sums keep a hot text to a row a task.
-    best = F.min(F.struct((-F.col("len")).alias("l"), F.col("doc_id").isNull().alias("n"), "doc_id", "u"))
-    groups = stored(some.groupBy("text_sha256").agg(best.alias("best"), F.count("*").alias("group_size")), "groups")
-    grouped = some.join(groups, "text_sha256").select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("u") == F.col("best.u")).alias("kept"), "text_sha256"
-    )
-    return single.unionByName(grouped)
+    single, some, groups = _groups(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    single = single.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
+    groups = groups.select("sha", F.col("doc_id").alias("keep_id"), F.col("u").alias("u0"), "group_size")
+    grouped = some.join(groups, "sha").select("doc_id", "keep_id", "group_size", (F.col("u") == F.col("u0")).alias("kept"), "sha")
+    return single.unionByName(grouped).withColumn("text_sha256", F.lower(F.hex("sha"))).drop("sha")
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows with one id and equal texts, the longest."""
-    marks = exact_groups(docs).where("NOT kept")
-    gone = stored(marks.groupBy("doc_id", "text_sha256").agg(F.max(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("__same")), "gone")
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__gone"), "__same")
-    keyed = docs.withColumn("__sha", F.sha2(normalised(F.col("text")).cast("binary"), 256))
-    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["__id"]) & (keyed["__sha"] == gone["__gone"]), "left")
-    stay = joined.where("__gone IS NULL").select(*docs.columns)
-    same = joined.where("__same").groupBy("__sha", "__id").agg(F.max_by(F.struct(*docs.columns), F.coalesce(F.length("text"), F.lit(0))).alias("r"))
-    return stay.unionByName(same.select("r.*"))
+    """The rows of ``docs`` that stay, with all their columns: one of each group of ``exact_groups``.
+
+    Rows are known by id and text. A row stays where it is if its digest cannot repeat; if it may, its digest alone was
+    grouped, and the row goes unless it is the one that stays. Of rows equal in id and text one stays, whatever their other columns.
+    """
+    _, some, groups = _groups(docs.select("doc_id", "text"))
+    copies = some.groupBy("doc_id", "t").agg(F.count("*").alias("rows"))
+    keep = groups.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), "copies")
+    marks = copies.join(keep, F.expr("doc_id <=> __id AND t = __t"), "left").select("doc_id", "t", "rows", F.col("copies").isNotNull().alias("stays"))
+    marks = stored(marks.where("NOT stays OR rows > 1"), "marks")
+    rest = less(docs, [F.col("doc_id"), F.xxhash64("text")], marks.select("doc_id", "t"))
+    once = marks.where("stays").select(F.col("doc_id").alias("__id"), F.col("t").alias("__h"))
+    if once.isEmpty():
+        return rest
+    held = docs.withColumn("__t", F.xxhash64("text"))
+    again = maybe_in(held, "__t", once.select("__h")).join(once, F.expr("doc_id <=> __id AND __t = __h"), "left_semi")
+    return rest.unionByName(again.dropDuplicates(["doc_id", "__t"]).drop("__t"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
