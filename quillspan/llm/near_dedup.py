@@ -18,13 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import maybe_in, stored, table
-from .token_files import ID_TYPES
+from .shared import less, maybe_in, stored, table
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 4  # a pair at 0.8 shares no band with a chance of 5e-8
 PLACES = BANDS * ROWS
-CHUNK = 4 << 20  # bytes of text at once
+CHUNK = 1 << 19  # bytes of text at once
 BUCKET = 2048  # members that are compared in one task
 #: Shares of a bag before the rarest code it has in common with a similar bag: of any, and of one that is not smaller.
 PROBE, INDEX = 1 - SIMILAR, (1 - SIMILAR) / (1 + SIMILAR)
@@ -77,26 +76,40 @@ def _shingles(words: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray
 
 
 def _intervals(s: np.ndarray, doc: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, text, width, covered share) of each weight interval [0,1), [1,2), [2,4), [4,8) ... that a count reaches into."""
-    keys, docs, widths, shares = [], [], [], []
+    """(key, text, width, covered units) of each weight interval [0,1), [1,2), [2,4), [4,8) ... that a count reaches into."""
+    keys, docs, widths, covered = [], [], [], []
     low, width, level = 0, 1, 0
     while len(s):
         keys.append(_mix(s + U(level * 0xD6E8FEB86659FD93 & (1 << 64) - 1)))
         docs.append(doc)
-        widths.append(np.full(len(s), float(width)))
-        shares.append(np.minimum((count - low) / width, 1.0))
+        widths.append(np.full(len(s), width))
+        covered.append(np.minimum(count - low, width))
         low += width
         more = count > low
         s, doc, count = s[more], doc[more], count[more]
         width, level = low, level + 1
-    return tuple(np.concatenate(x) if x else np.empty(0) for x in (keys, docs, widths, shares))
+    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, docs, widths, covered))
+
+
+def _inside(mark: np.ndarray, width: np.ndarray, covered: np.ndarray) -> np.ndarray:
+    """Whether points lie in the covered part of their intervals: each is sent to a half by a bit of its mark, and that half
+    is split again until it lies wholly inside or outside."""
+    out = np.zeros(len(mark), bool)
+    at, half, covered = np.arange(len(mark)), width // 2, covered.copy()
+    while len(at):
+        upper = (mark & U(1)).astype(bool)
+        out[at[~upper & (covered >= half)]] = True
+        on = np.where(upper, covered > half, covered < half)
+        covered = np.where(upper, covered - half, covered)[on]
+        at, half, mark = at[on], half[on] // 2, mark[on] >> U(1)
+    return out
 
 
 def bag_minhash(s: np.ndarray, doc: np.ndarray, count: np.ndarray, docs: int) -> np.ndarray:
     """The smallest point of every place and text; a process ends when it is past its text's largest minimum."""
     sig = np.full((docs, PLACES), np.inf)
     flat = sig.reshape(-1)
-    key, doc, width, share = _intervals(s, doc, count)
+    key, doc, width, covered = _intervals(s, doc, count)
     time, step = np.zeros(len(key)), 0
     unit = 2.0**-53
     while len(key):
@@ -105,24 +118,41 @@ def bag_minhash(s: np.ndarray, doc: np.ndarray, count: np.ndarray, docs: int) ->
         time = time - np.log(((r >> U(11)).astype(float) + 1) * unit) / width
         r = _mix(r)
         place, hit = (r % U(PLACES)).astype(np.int64), np.ones(len(r), bool)
-        part = share < 1
+        part = covered < width
         if part.any():
-            hit[part] = (_mix(r[part] + U(1)) >> U(11)).astype(float) * unit < share[part]
+            hit[part] = _inside(_mix(r[part] + U(1)), width[part], covered[part])
         np.minimum.at(flat, doc[hit] * PLACES + place[hit], time[hit])
         go = time < sig.max(axis=1)[doc]
-        key, doc, width, share, time = key[go], doc[go], width[go], share[go], time[go]
+        key, doc, width, covered, time = key[go], doc[go], width[go], covered[go], time[go]
     return sig
 
 
-def _signatures(id_type: pa.DataType):
-    names = ["doc_id", "n", "k1", "k2", "bands", "bag"]
-
-    def part(ids: pa.Array, text: pa.Array) -> pa.RecordBatch:
-        text = text.fill_null("")
-        docs = len(text)
-        at = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + docs + 1].astype(np.int64)
-        data = np.frombuffer(text.buffers()[2], np.uint8)[at[0] : at[-1]] if text.buffers()[2] else np.empty(0, np.uint8)
-        s, doc, count = _shingles(*_word_hashes(data, at - at[0]), docs)
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, tuple]]:
+    """Slices of batches of about CHUNK bytes of their last column, ``text``, with the shingles of their texts."""
+    for b in batches:
+        text = b.column(b.num_columns - 1).cast(pa.string()).fill_null("")
+        size = np.cumsum([0, *pc.binary_length(text).to_pylist()])
+        a = 0
+        while a < len(text):
+            z = max(a + 1, int(np.searchsorted(size, size[a] + CHUNK, "right")) - 1)
+            some = pa.concat_arrays([text.slice(a, z - a)])
+            at = np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + z - a + 1].astype(np.int64)
+            data = np.frombuffer(some.buffers()[2], np.uint8)[at[0] : at[-1]] if some.buffers()[2] else np.empty(0, np.uint8)
+            yield b.slice(a, z - a), _shingles(*_word_hashes(data, at - at[0]), z - a)
+            a = z
+
+
+def _multiset(s: np.ndarray, doc: np.ndarray, count: np.ndarray, docs: int) -> list[pa.Array]:
+    """Two 64-bit keys of each text's multiset."""
+    k1, k2 = np.zeros(docs, U), np.zeros(docs, U)
+    np.add.at(k1, doc, _mix(s ^ _mix(count.astype(U))))
+    np.add.at(k2, doc, _mix(s + _mix(count.astype(U) + U(7))))
+    return [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))]
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b, (s, doc, count) in _parts(batches):
+        docs = b.num_rows
         n = np.bincount(doc, count, docs).astype(np.int64)
         sig = bag_minhash(s, doc, count, docs).view(U).reshape(docs, BANDS, ROWS)
         band = np.broadcast_to(np.arange(BANDS, dtype=U) + U(1), (docs, BANDS)).copy()
@@ -130,32 +160,28 @@ def _signatures(id_type: pa.DataType):
             band = _mix(band * U(0x2545F4914F6CDD1D) + sig[:, :, i])
         has = n > 0
         bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(has, BANDS, 0))], pa.int32()), pa.array(band[has].reshape(-1).view(np.int64)))
-        k1, k2 = np.zeros(docs, U), np.zeros(docs, U)
-        np.add.at(k1, doc, _mix(s ^ _mix(count.astype(U))))
-        np.add.at(k2, doc, _mix(s + _mix(count.astype(U) + U(7))))
-        again = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        bag = (_mix(np.repeat(s, count) + again.astype(U) * U(0xD6E8FEB86659FD93)) >> U(32)).astype(np.uint32).view(np.int32)
-        bags = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(bag))
-        return pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), bands, bags], names)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), *_multiset(s, doc, count, docs), bands], ["doc_id", "h", "n", "k1", "k2", "bands"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, text = b.column(0), b.column(1).cast(pa.string())
-            size = np.cumsum([0, *(x or 0 for x in pc.binary_length(text).to_pylist())])
-            a = 0
-            while a < len(text):
-                z = max(a + 1, int(np.searchsorted(size, size[a] + CHUNK, "right")) - 1)
-                yield part(ids.slice(a, z - a), pa.concat_arrays([text.slice(a, z - a)]))
-                a = z
 
-    return run
+def signatures(docs: DataFrame) -> DataFrame:
+    """doc_id, h (hash of the text), n (shingles), k1 and k2 (of the multiset), and bands."""
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, h bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(_signatures, schema)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (shingles), k1 and k2 (of the multiset), bands, and the multiset as 32-bit codes, one for each occurrence."""
-    id_type = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {id_type}, n bigint, k1 bigint, k2 bigint, bands array<bigint>, bag array<int>"
-    return docs.select("doc_id", "text").mapInArrow(_signatures(ID_TYPES[id_type]), schema)
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b, (s, doc, count) in _parts(batches):
+        keys = _multiset(s, doc, count, b.num_rows)
+        again = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        bag = _mix(np.repeat(s, count) + again.astype(U) * U(0xD6E8FEB86659FD93)).view(np.int64)
+        n = np.bincount(doc, count, b.num_rows).astype(np.int64)
+        bags = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(bag))
+        yield pa.RecordBatch.from_arrays([b.column(0), *keys, bags], ["doc_id", "k1", "k2", "bag"])
+
+
+def bags(docs: DataFrame) -> DataFrame:
+    """doc_id, k1, k2 and the multiset of shingles as 64-bit codes, one for each occurrence."""
+    return docs.select("doc_id", "text").mapInArrow(_bags, f"doc_id {dict(docs.dtypes)['doc_id']}, k1 bigint, k2 bigint, bag array<bigint>")
 
 
 def bucket_links(bags: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -190,34 +216,34 @@ def bucket_links(bags: list[np.ndarray]) -> Iterator[tuple[int, int]]:
             left = np.setdiff1d(left, new, assume_unique=True)
 
 
-def _link(id_type: pa.DataType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket; one bucket's bags are held at a time."""
-        found: dict = {"a": [], "b": []}
-        held, nodes, bags = None, [], []
-
-        def close() -> None:
-            for x, y in bucket_links(bags) if len(bags) > 1 else ():
-                found["a"].append(nodes[x])
-                found["b"].append(nodes[y])
-
-        for batch in batches:
-            keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            flat, at = batch.column(2).values.to_numpy(), batch.column(2).offsets.to_numpy()
-            for i, key in enumerate(keys):
-                if key != held:
-                    close()
-                    held, nodes, bags = key, [], []
-                nodes.append(ids[i])
-                bags.append(flat[at[i] : at[i + 1]].copy())
-            if len(found["a"]) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(found["a"], id_type), pa.array(found["b"], id_type)], ["a", "b"])
-                found = {"a": [], "b": []}
-        close()
-        if found["a"]:
-            yield pa.RecordBatch.from_arrays([pa.array(found["a"], id_type), pa.array(found["b"], id_type)], ["a", "b"])
-
-    return run
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket; one bucket's bags are held at a time."""
+    found: dict = {"a": [], "b": []}
+    held, nodes, bags = None, [], []
+
+    def close() -> None:
+        for x, y in bucket_links(bags) if len(bags) > 1 else ():
+            found["a"].append(nodes[x])
+            found["b"].append(nodes[y])
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found["a"], pa.int64()), pa.array(found["b"], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        flat, at = batch.column(2).values.to_numpy(), batch.column(2).offsets.to_numpy()
+        for i, key in enumerate(keys):
+            if key != held:
+                close()
+                held, nodes, bags = key, [], []
+            nodes.append(ids[i])
+            bags.append(flat[at[i] : at[i + 1]].copy())
+        if len(found["a"]) > 10_000:
+            yield out()
+            found = {"a": [], "b": []}
+    close()
+    if found["a"]:
+        yield out()
 
 
 def _buckets(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -228,7 +254,9 @@ def _buckets(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = stored(groups.where("c > 1"), "groups")
     small = stored(groups.where(F.col("c") <= BUCKET).groupBy("c", "x1", "x2").agg(F.min("v").alias("v")).select("v"), "small")
     large = stored(groups.where(F.col("c") > BUCKET).select("v", "c", "head"), "large")
-    return members.join(small, "v").select("v", "node"), members.join(large, "v").select("v", "node", "c", "head")
+    # Most bands have one member: a filter of the chosen buckets keeps them out of the joins.
+    held = lambda chosen: maybe_in(members, "v", chosen.select("v")).join(chosen, "v")
+    return held(small).select("v", "node"), held(large).select("v", "node", "c", "head")
 
 
 def _blocks(large: DataFrame) -> DataFrame:
@@ -295,49 +323,68 @@ def _exact(large: DataFrame, bags: DataFrame, roots: DataFrame) -> DataFrame | N
     return stored(small.unionByName(_cells(many)), "meet")
 
 
-def near_links(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node, k1, k2: one for each distinct multiset) and (node, root) of those with links of 0.8 or more.
+def near_links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (k1, k2, doc_id, node, rows), one for each distinct multiset, and (node, root) of those with links of 0.8 or more.
 
-    A bucket's members meet in one task with their bags; buckets of the same members are taken once. A bucket of
-    more than BUCKET members is split twice over: by each other band, so the most similar members still
-    meet, and into blocks that share the bucket's smallest member. All its members take part in both. Where that leaves
-    such a bucket in several classes, its members are joined exactly, by the rarest codes of their bags.
+    A node is the number ``u`` of a row of ``signed`` with the multiset's smallest id. Bags of nodes with bucket mates are
+    counted from the texts again, so signatures alone are stored for all rows. A bucket's members meet in one task with
+    their bags; buckets of the same members are taken once. A bucket of more than BUCKET members is split twice
+    over: by each other band, so the most similar members still meet, and into blocks that share the bucket's smallest member.
+    All its members take part in both. Where that leaves such a bucket in several classes, its members are joined
+    exactly, by the rarest codes of their bags.
     """
-    id_type = dict(signed.dtypes)["doc_id"]
     some = signed.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = stored(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "nodes")
-    named = nodes.withColumnRenamed("node", "doc_id")
-    heads = some.select("doc_id", "k1", "k2", "bands").join(named, ["doc_id", "k1", "k2"], "left_semi").select(F.col("doc_id").alias("node"), "bands")
+    each = some.groupBy("k1", "k2", "doc_id").agg(F.min("u").alias("u"), F.count("*").alias("c"))
+    nodes = each.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "u", "c")).alias("m"), F.sum("c").alias("rows"))
+    nodes = stored(nodes.select("k1", "k2", "m.doc_id", F.col("m.u").alias("node"), F.col("m.c").alias("c"), "rows"), "nodes")
+    heads = stored(some.select(F.col("u").alias("node"), "bands").join(nodes.select("node"), "node", "left_semi"), "heads")
     small, large = _buckets(heads.select("node", F.explode("bands").alias("v")))
     meet = [small]
     large = stored(large, "members")
     split = not large.isEmpty()
     if split:
-        finer = large.select("v", "node").join(heads.select("node", "bands"), "node")
+        finer = large.select("v", "node").join(heads, "node")
         finer = finer.select("node", F.explode(F.expr("transform(bands, b -> xxhash64(v, b))")).alias("v"))
         within, still = _buckets(stored(finer, "finer"))
         meet += [_blocks(large), within, _blocks(still)]
     rows = meet[0]
     for x in meet[1:]:
         rows = rows.unionByName(x)
+    again = not nodes.where("c > 1").isEmpty()  # rows that share id and multiset have equal bags, of which one is wanted
 
-    def bags_of(rows: DataFrame) -> DataFrame:
-        # Bags of documents without bucket mates are left where they are: a filter of bounded size tells most of them.
-        bags = maybe_in(some.select("doc_id", "k1", "k2", "bag"), "doc_id", rows.select("node"))
-        return bags.join(named, ["doc_id", "k1", "k2"], "left_semi").select(F.col("doc_id").alias("node"), "bag")
+    def with_bags(rows: DataFrame) -> DataFrame:
+        """``rows`` (with node) and the bag of each node; bags are shuffled once."""
+        keyed = stored(rows.join(nodes.select("node", "doc_id", "k1", "k2"), "node"), "wanted")
+        found = bags(maybe_in(docs.where("doc_id IS NOT NULL"), "doc_id", keyed.select("doc_id").distinct()))
+        found = found.dropDuplicates(["doc_id", "k1", "k2"]) if again else found
+        return found.join(keyed, ["doc_id", "k1", "k2"]).select(*rows.columns, "bag")
 
     def links(rows: DataFrame) -> DataFrame:
-        rows = rows.join(bags_of(rows), "node").select("v", "node", "bag")
-        return stored(rows.repartition("v").sortWithinPartitions("v").mapInArrow(_link(ID_TYPES[id_type]), f"a {id_type}, b {id_type}"), "links")
+        rows = with_bags(rows).select("v", "node", "bag")
+        return stored(rows.repartition("v").sortWithinPartitions("v").mapInArrow(_link, "a bigint, b bigint"), "links")
 
     roots = stored(components(links(stored(rows, "meet"))), "roots")
-    rows = _exact(large, bags_of(large), roots) if split else None
+    rows = _exact(large, with_bags(large.select("node").distinct()), roots) if split else None
     if rows is not None:
         known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = stored(components(known.unionByName(links(rows))), "roots")
     return nodes, roots
 
 
+def near_marks(docs: DataFrame) -> DataFrame:
+    """``near_classes`` with h, the hash of the text, beside each id: together they name a row of ``docs``, or rows that repeat it."""
+    signed = stored(signatures(docs).withColumn("u", F.monotonically_increasing_id()), "signed")
+    nodes, roots = near_links(docs, signed)
+    known = stored(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "classes")
+    lead = known.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("lead"), F.sum("rows").alias("class_size"))
+    known = stored(known.join(lead, "root").select("k1", "k2", F.col("lead.doc_id").alias("class_id"), "class_size", F.col("lead.node").alias("u0")), "leads")
+    has = "n > 0 AND doc_id IS NOT NULL"
+    member = signed.where(has).select("doc_id", "h", "u", "k1", "k2").join(known, ["k1", "k2"])
+    member = member.select("doc_id", "h", "class_id", "class_size", (F.col("u") == F.col("u0")).alias("kept"))
+    alone = signed.where(f"NOT ({has})").select("doc_id", "h", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    return member.unionByName(alone)
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id (smallest id of its class), class_size, kept.
 
@@ -345,24 +392,27 @@ def near_classes(docs: DataFrame) -> DataFrame:
     (sum of smaller counts over sum of larger ones); classes are the connected components. Words are runs of letters, digits and characters
     beyond ASCII, A-Z as a-z; fewer than five words are one shingle. Documents without words or with a null
     id are in a class of their own. Equal multisets are one node, so copies are not
-    compared with each other. Rows with one id and one multiset come out as often as they went in, but one only is
-    kept if another row leads their class. Extra columns are ignored; an empty table gives an empty result.
+    compared with each other. Rows with one id come out as often as they went in and are told apart by their texts; exactly one row
+    of a class is kept. Extra columns are ignored; an empty table gives an empty result.
     """
-    signed = stored(signatures(docs), "signed")
-    nodes, root = near_links(signed)
-    known = nodes.join(root, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("class_id"))
-    known = stored(known, "classes")
-    member = signed.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "k1", "k2").join(known, ["k1", "k2"]).select("doc_id", "class_id")
-    alone = signed.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    sizes = stored(member.groupBy("class_id").agg(F.count("*").alias("class_size")), "sizes")
-    member = member.join(sizes, "class_id").select("doc_id", "class_id", "class_size")
-    return member.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return near_marks(docs).drop("h")
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """The documents of ``docs`` that lead their class, with all their columns."""
-    gone = stored(near_classes(docs).where("NOT kept").select("doc_id").distinct(), "near")
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of ``docs`` of each class of ``near_classes``, with all its columns.
+
+    Rows are known by id and text, so rows that share an id stay or go on their own; of rows equal in both, one
+    at most stays. Texts move only of rows that a filter cannot tell from dropped ones.
+    """
+    marks = stored(near_marks(docs).groupBy("doc_id", "h").agg(F.count_if("kept").alias("stay"), F.count("*").alias("rows")).where("stay < rows"), "near")
+    keys = [F.col("doc_id"), F.xxhash64("text")]
+    rest = less(docs, keys, marks.select("doc_id", "h"))
+    once = marks.where("stay > 0").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
+    if once.isEmpty():
+        return rest
+    held = docs.withColumn("__t", F.xxhash64("text"))
+    again = maybe_in(held, "doc_id", once.select("__id")).join(once, F.expr("doc_id = __id AND __t = __h"), "left_semi")
+    return rest.unionByName(again.dropDuplicates(["doc_id", "__t"]).drop("__t"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
