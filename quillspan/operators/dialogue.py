@@ -65,6 +65,26 @@ def history(turns: DataFrame, cap: int = ANSWER, budget: int = 2500) -> DataFram
     return held.groupBy("thread_id").agg(F.array_join(blocks, "\n\n").alias("history"))
 
 
+def fed_context(rows: DataFrame, key: list[str], order: list[Column], budget: int) -> DataFrame:
+    """The blocks (key, block) that a model is given: in order, as many as fit the budget; a first one that does not is cut, with a mark."""
+    return within_budget(rows, key, order, F.length("block"), budget).withColumn("block", clip(F.col("block"), budget))
+
+
+def recent(threads: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` threads whose last turn is the latest, then smallest id, in that order."""
+    return threads.orderBy(F.col("updated_at").desc(), "thread_id").limit(limit)
+
+
+def utc(at: Column) -> Column:
+    """An instant in ISO form, in UTC and whole seconds."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss+00:00")
+
+
+def months_back(day: Column, count: int) -> Column:
+    """The months before a day as yyyy-MM, the latest first."""
+    return F.transform(F.sequence(F.lit(1), F.lit(count)), lambda i: F.date_format(F.add_months(F.trunc(day, "month"), -i), "yyyy-MM"))
+
+
 def source_note(reports: Column, web: Column) -> Column:
     """What to say of sources that were silent: one note for both, one for either, none if all answered. A status is ok, empty, unavailable or failed, with a reason after a colon."""
     reason = lambda s: F.coalesce(F.nullif(F.trim(F.regexp_extract(s, "^[^:]*:(.*)$", 1)), F.lit("")), F.lit("no reason given"))
@@ -129,6 +149,18 @@ def q_titles(spark: SparkSession, d: str) -> DataFrame:
     return threads(table(spark, d, "conversations"))
 
 
+def q_fed(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").withColumnRenamed("text", "block")
+    out = fed_context(rows, ["conv_id"], [F.col("turn"), F.col("role"), F.col("block")], 300)
+    return out.select("conv_id", "turn", "role", F.md5(F.col("block").cast("binary")).alias("md5"))
+
+
+def q_recent(spark: SparkSession, d: str) -> DataFrame:
+    """The 50 busiest users by their last event, and the three months before it."""
+    e = table(spark, d, "events").groupBy(F.col("user_id").alias("thread_id")).agg(F.max("ts").alias("updated_at"))
+    return recent(e, 50).select("thread_id", utc(F.col("updated_at").cast("timestamp")).alias("updated_at"), F.array_join(months_back(F.col("updated_at"), 3), ",").alias("months"))
+
+
 def q_notes(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     reports = F.when(F.col("event_type") == "error", F.concat(F.lit("failed: code "), F.col("user_id").cast("string"))).when(F.col("event_type") == "signup", "empty").otherwise("ok")
@@ -167,9 +199,15 @@ SQL = {
     "thread_titles": f"""
       WITH g AS (SELECT conv_id, arg_min(text, (turn, text)) FILTER (WHERE role = 'user') AS q, count(*) AS n_turns, max(turn) AS last_turn FROM conversations GROUP BY 1)
       SELECT conv_id, {_title("q")} AS title, n_turns, last_turn FROM g""",
+    "fed_context": """
+      WITH w AS (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations)
+      SELECT conv_id, turn, role, md5(CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || chr(10) || '[…фрагмент обрезан по бюджету контекста]' ELSE text END) AS md5 FROM w WHERE s <= 300 OR n = 1""",
+    "recent_threads": """
+      WITH u AS (SELECT user_id AS thread_id, max(ts) AS t FROM events GROUP BY 1 ORDER BY t DESC, thread_id LIMIT 50)
+      SELECT thread_id, strftime(t, '%Y-%m-%dT%H:%M:%S+00:00') AS updated_at, array_to_string([strftime(date_trunc('month', t) - to_months(CAST(i AS INTEGER)), '%Y-%m') FOR i IN range(1, 4)], ',') AS months FROM u""",
     "source_notes": """
       WITH s AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'code ' || user_id WHEN 'signup' THEN 'no index is built' END AS r, CASE event_id % 3 WHEN 0 THEN 'no reason given' WHEN 1 THEN 'timeout' END AS w FROM events)
       SELECT event_id, CASE WHEN r IS NOT NULL AND w IS NOT NULL THEN 'no source answered: reports (' || r || '), web (' || w || ')' WHEN r IS NOT NULL THEN 'reports were not searched (' || r || ')'
         WHEN w IS NOT NULL THEN 'the web was not searched (' || w || ')' ELSE '' END AS note FROM s""",
 }
-QUERIES = {"recorded_threads": q_recorded, "recorded_trail": q_trail, "deleted_threads": q_deleted, "prompt_history": q_history, "thread_titles": q_titles, "source_notes": q_notes}
+QUERIES = {"recorded_threads": q_recorded, "recorded_trail": q_trail, "deleted_threads": q_deleted, "prompt_history": q_history, "thread_titles": q_titles, "source_notes": q_notes, "fed_context": q_fed, "recent_threads": q_recent}

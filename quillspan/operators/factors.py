@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from .forecast import sample_sigma
+from .forecast import chosen_elasticity, sample_sigma
 from .series import daily_price, t95
 
 #: Rows of the balance table by their number (fixed values of the report's layout).
@@ -200,6 +200,10 @@ def q_clearing(spark: SparkSession, d: str) -> DataFrame:
     return clearing_elasticity(changes(panel(spark, d))).select("key", *[F.round(c, 4).alias(c) for c in ("value", "low", "high")], "usable", "n")
 
 
+def q_chosen(spark: SparkSession, d: str) -> DataFrame:
+    return chosen_elasticity(clearing_elasticity(changes(panel(spark, d)))).withColumn("elasticity", F.round("elasticity", 4))
+
+
 def q_demand(spark: SparkSession, d: str) -> DataFrame:
     return demand_elasticity(changes(panel(spark, d))).select("key", *[F.round(c, 4).alias(c) for c in ("value", "low", "high", "r2")], "usable", "n")
 
@@ -270,6 +274,7 @@ SQL = {
       n AS (SELECT j.key, j.date, y0 + (date - x0) / (x1 - x0) * (r.y - y0) AS p, 1.96 * r.s * sqrt(q0 + (date - x0) / (x1 - x0) * (r.q - q0)) AS h FROM j JOIN z r ON r.key = j.key AND r.x = x1)
       SELECT key, date, round(exp(p), 3) AS forecast, round(exp(p - h), 3) AS lower, round(exp(p + h), 3) AS upper FROM n""",
 }
+SQL["chosen_elasticity"] = f"WITH c AS ({SQL['clearing_elasticity']}) SELECT key, CASE WHEN usable THEN value ELSE -0.31 END AS elasticity, usable AS measured FROM c"
 QUERIES = {
-    "report_factors": q_report, "latest_factors": q_latest, "projection_errors": q_errors, "clearing_elasticity": q_clearing, "demand_elasticity": q_demand, "price_response": q_response, "factor_path": q_path,
+    "chosen_elasticity": q_chosen, "report_factors": q_report, "latest_factors": q_latest, "projection_errors": q_errors, "clearing_elasticity": q_clearing, "demand_elasticity": q_demand, "price_response": q_response, "factor_path": q_path,
 }

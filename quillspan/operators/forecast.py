@@ -54,6 +54,52 @@ def forecast(series: DataFrame, key: list[str], horizon: int) -> DataFrame:
     return rows.select(*key, F.date_add("last", F.col("h")).alias("date"), F.col("level").alias("forecast"), low.alias("lower"), high.alias("upper"), "alpha", "fitted", "sigma", "n")
 
 
+def arma_errors(changes: Column, phi: Column, theta: Column) -> Column:
+    """d and e, the last change and error, and sse of a model of changes on their predecessor and its error; errors before the first are 0."""
+    zero = F.lit(0.0)
+    seed = F.struct(F.element_at(changes, 1).alias("d"), zero.alias("e"), zero.alias("sse"))
+
+    def step(a: Column, d: Column) -> Column:
+        e = d - phi * a["d"] - theta * a["e"]
+        return F.struct(d.alias("d"), e.alias("e"), (a["sse"] + e * e).alias("sse"))
+
+    return F.aggregate(F.slice(changes, F.lit(2), F.greatest(F.size(changes) - 1, F.lit(0))), seed, step)
+
+
+GRID = [round(-0.9 + 0.1 * i, 1) for i in range(19)]
+
+
+def arima(series: DataFrame, key: list[str], horizon: int) -> DataFrame:
+    """(key, date, forecast, lower, upper, phi, theta) of an ARIMA(1, 1, 1) model of log prices for the ``horizon`` days after each series (date, close).
+
+    Both coefficients come from a grid of tenths, by the smallest sum of squared one-step errors; of equal ones the smallest. The 95 % interval adds
+    up the weights of past errors. Series of fewer than ten positive values have no forecast.
+    """
+    if horizon < 1:
+        raise ValueError("the horizon is at least one day")
+    v = F.transform(F.array_sort(F.collect_list(F.struct("date", "close"))), lambda x: x["close"])
+    held = series.groupBy(*key).agg(F.max("date").alias("last"), v.alias("v")).where((F.size("v") >= 10) & (F.array_min("v") > 0))
+    logs = F.transform("v", lambda x: F.log(x))
+    held = held.select(*key, "last", F.element_at(logs, -1).alias("y"), F.zip_with(F.expr("slice(v, 2, size(v) - 1)"), F.expr("slice(v, 1, size(v) - 1)"), lambda a, b: F.log(a) - F.log(b)).alias("c"))
+    grid = held.withColumn("phi", F.explode(F.array(*[F.lit(x) for x in GRID]))).withColumn("theta", F.explode(F.array(*[F.lit(x) for x in GRID])))
+    tried = grid.withColumn("s", arma_errors(F.col("c"), F.col("phi"), F.col("theta")))
+    best = tried.groupBy(*key).agg(F.min(F.struct(F.round("s.sse", 12).alias("o"), "phi", "theta", "s", "y", "last", F.size("c").alias("n"))).alias("b")).select(*key, "b.*")
+    one = F.col("phi") * F.col("s.d") + F.col("theta") * F.col("s.e")  # the change after the last
+    power = lambda j: (1 - F.pow("phi", j)) / (1 - F.col("phi"))  # noqa: E731  1 + phi + ... + phi^(j - 1)
+    rows = best.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    weight = lambda j: 1 + (F.col("phi") + F.col("theta")) * power(j)
+    spread = F.aggregate(F.sequence(F.lit(0), F.col("h") - 1), F.lit(0.0), lambda a, j: a + weight(j) * weight(j))
+    wide = 1.96 * F.sqrt(F.col("s.sse") / (F.col("n") - 1) * spread)
+    y = F.col("y") + one * power(F.col("h"))
+    return rows.select(*key, F.date_add("last", F.col("h")).alias("date"), F.exp(y).alias("forecast"), F.exp(y - wide).alias("lower"), F.exp(y + wide).alias("upper"), "phi", "theta")
+
+
+def chosen_elasticity(measured: DataFrame, literature: float = ELASTICITY) -> DataFrame:
+    """(key, elasticity, measured): the measured one where it is of use, else that of the literature."""
+    good = F.coalesce("usable", F.lit(False))
+    return measured.select("key", F.when(good, F.col("value")).otherwise(F.lit(literature)).alias("elasticity"), good.alias("measured"))
+
+
 def coverage(series: DataFrame, key: list[str], first: int, horizon: int, step: int = 1) -> DataFrame:
     """(key, windows, inside, share): of forecasts made after ``first`` values, and each ``step`` values on, how many hold the value ``horizon`` days later."""
     held = series.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "close"))), lambda x: x["close"]).alias("all"))
@@ -98,6 +144,10 @@ def q_forecast(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_type", "date", *[F.round(c, 6).alias(c) for c in ("forecast", "lower", "upper", "sigma")], "alpha", "fitted", "n")
 
 
+def q_arima(spark: SparkSession, d: str) -> DataFrame:
+    return arima(daily_value(spark, d), ["event_type"], 7).select("event_type", "date", *[F.round(c, 5).alias(c) for c in ("forecast", "lower", "upper")], "phi", "theta")
+
+
 def q_coverage(spark: SparkSession, d: str) -> DataFrame:
     return coverage(daily_value(spark, d), ["event_type"], 8, 3).withColumn("share", F.round("share", 6))
 
@@ -150,6 +200,14 @@ _ROWS = f"""{_SERIES}, {fit_sql("event_type", "v")}, {_SMOOTH},
 _M = "pow(1 + {x} / 102.0, 1 / {e})"
 SQL = {
     "forecast_rows": f"WITH {_ROWS} SELECT event_type, date, round(forecast, 6) AS forecast, round(lower, 6) AS lower, round(upper, 6) AS upper, round(sigma, 6) AS sigma, alpha, fitted, n FROM o",
+    "arima_rows": f"""
+      WITH {_SERIES}, c AS (SELECT event_type, last, ln(v[len(v)]) AS y, [{{'d': ln(v[i]) - ln(v[i - 1]), 'e': CAST(0 AS DOUBLE), 's': CAST(0 AS DOUBLE)}} FOR i IN range(2, len(v) + 1)] AS c FROM v WHERE len(v) >= 10),
+      g AS (SELECT *, unnest([round(-0.9 + 0.1 * i, 1) FOR i IN range(0, 19)]) AS phi FROM c), t AS (SELECT *, unnest([round(-0.9 + 0.1 * i, 1) FOR i IN range(0, 19)]) AS theta FROM g),
+      f AS (SELECT *, list_reduce(c, lambda a, x: {{'d': x.d, 'e': x.d - phi * a.d - theta * a.e, 's': a.s + (x.d - phi * a.d - theta * a.e) ** 2}}) AS r FROM t),
+      b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY round(r.s, 12), phi, theta) = 1),
+      h AS (SELECT *, (1 - phi ** h) / (1 - phi) AS p, list_sum([(1 + (phi + theta) * (1 - phi ** j) / (1 - phi)) ** 2 FOR j IN range(0, h)]) AS w FROM b, (SELECT CAST(unnest(range(1, 8)) AS INTEGER) AS h)),
+      o AS (SELECT event_type, CAST(last + h AS DATE) AS date, y + (phi * r.d + theta * r.e) * p AS m, 1.96 * sqrt(r.s / (len(c) - 1) * w) AS e, phi, theta FROM h)
+      SELECT event_type, date, round(exp(m), 5) AS forecast, round(exp(m - e), 5) AS lower, round(exp(m + e), 5) AS upper, CAST(phi AS DOUBLE) AS phi, CAST(theta AS DOUBLE) AS theta FROM o""",
     "band_coverage": f"""
       WITH {_SERIES}, k AS (SELECT event_type, cut, v[1:cut] AS v, v[cut + 3] AS actual FROM (SELECT *, unnest(range(8, len(v) - 3)) AS cut FROM v)), {fit_sql("event_type, cut", "k")}, {_SMOOTH},
       b AS (SELECT p.event_type, p.actual, p.lv[len(p.v)] AS level, q.sd AS ls FROM sg p JOIN sg q USING (event_type, cut) WHERE p.kind = 'plain' AND q.kind = 'log'),
@@ -166,4 +224,4 @@ SQL = {
       WITH u AS (SELECT user_id, CAST(max(ts) AS DATE) AS last_day FROM events GROUP BY 1), t AS (SELECT CAST(max(ts) AS DATE) AS today FROM events)
       SELECT user_id, last_day, CASE WHEN date_diff('day', last_day, today) > 7 THEN date_diff('day', last_day, today) END AS behind FROM u, t""",
 }
-QUERIES = {"forecast_rows": q_forecast, "band_coverage": q_coverage, "scenario_range": q_range, "second_opinion": q_second, "stale_series": q_stale}
+QUERIES = {"arima_rows": q_arima, "forecast_rows": q_forecast, "band_coverage": q_coverage, "scenario_range": q_range, "second_opinion": q_second, "stale_series": q_stale}

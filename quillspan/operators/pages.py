@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import content_id, digit_ratio, host
+from ..functions.text import content_id, digit_ratio, host, strip_tags
 from ..sources.tables import table
 
 SIZE, OVERLAP = 1200, 200
@@ -165,7 +165,7 @@ def q_digits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_tags(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.md5(F.trim(F.regexp_replace("html", "<[^>]+>", "")).cast("binary")).alias("md5"))
+    return table(spark, d, "pages").select("page_id", F.md5(strip_tags(F.col("html")).cast("binary")).alias("md5"))
 
 
 _R = """r AS (SELECT doc_id, 'alpha' AS reader, string_split(text, ' ') AS t FROM documents UNION ALL SELECT doc_id, 'beta', list_reverse(string_split(text, ' ')) FROM documents

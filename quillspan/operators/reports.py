@@ -173,6 +173,26 @@ def chunks(pages: DataFrame, sections: DataFrame, key: list[str], size: int = 12
     return out.select(*key, "index", "kind", "start", "stop", F.col("page_start").cast("int").alias("page_start"), F.col("page_end").cast("int").alias("page_end"), "context", "text")
 
 
+def locate(streams: DataFrame, titles: DataFrame, key: list[str]) -> DataFrame:
+    """(key, n, title, at) of section titles (key, n, title) in streams (key, text): each as a whole line, at or after the end of the one before; those not found are left out."""
+    lines = _lines(streams, key).select(*key, F.trim("line").alias("title"), "at")
+    places = lines.join(titles.select(*key, "title").distinct(), [*key, "title"], "left_semi").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("at", "title"))).alias("places"))
+    wanted = titles.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("n", "title"))).alias("wanted"))  # the sections of one report
+    seed = F.struct(F.lit(0).cast("bigint").alias("cursor"), F.expr("cast(array() as array<struct<n:int,title:string,at:bigint>>)").alias("found"))
+
+    def step(a: Column, t: Column) -> Column:
+        at = F.try_element_at(F.filter("places", lambda p: (p["title"] == t["title"]) & (p["at"] >= a["cursor"])), F.lit(1))["at"]
+        hit = F.struct(t["n"].alias("n"), t["title"].alias("title"), at.alias("at"))
+        return F.struct(F.coalesce(at + F.length(t["title"]), a["cursor"]).alias("cursor"), F.when(at.isNotNull(), F.concat(a["found"], F.array(hit))).otherwise(a["found"]).alias("found"))
+
+    return wanted.join(places, key).select(*key, F.inline(F.aggregate("wanted", seed, step)["found"]))
+
+
+def stamped(made: DataFrame, meta: DataFrame, key: list[str]) -> DataFrame:
+    """Chunks with the source_name and date of their report (key, source_name, date), and page, where they begin."""
+    return made.join(meta.select(*key, "source_name", "date"), key, "left").withColumn("page", F.col("page_start"))
+
+
 # ---- Reports made of line items: a table an order, printed over several pages ------------------
 
 
@@ -214,6 +234,15 @@ def q_chunks(spark: SparkSession, d: str) -> DataFrame:
     return out.select("l_orderkey", "index", "kind", "start", "stop", "page_start", "page_end", F.md5(F.col("context").cast("binary")).alias("context"), F.md5(embedded(F.col("text"), F.col("context")).cast("binary")).alias("md5"))
 
 
+def q_located(spark: SparkSession, d: str) -> DataFrame:
+    """Titles are the items' states in their order, each twice over what the stream holds, and one that is nowhere."""
+    rows = _items(spark, d).select("l_orderkey", "l_linenumber", F.concat(F.lit("State "), "l_linestatus").alias("title"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "title"))), lambda x: F.concat(F.lit("about "), x["title"], F.lit("\n "), x["title"], F.lit(" \n"))), "")
+    streams = rows.groupBy("l_orderkey").agg(text.alias("text"))
+    titles = rows.select("l_orderkey", F.explode(F.array(F.struct((F.col("l_linenumber") * 2).cast("int").alias("n"), "title"), F.struct((F.col("l_linenumber") * 2 + 1).cast("int").alias("n"), F.lit("State none").alias("title")))).alias("t"))
+    return locate(streams, titles.select("l_orderkey", "t.*"), ["l_orderkey"])
+
+
 _REPORT = """i AS (SELECT l_orderkey, l_linenumber AS n, l_quantity, l_discount, l_extendedprice, l_linestatus FROM lineitem
     QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity, l_discount, l_extendedprice, l_linestatus) = 1),
   c AS (SELECT *, format('{:,.2f}', l_extendedprice) || ' ' || printf('%.1f', l_quantity) || ' - ' || n || CASE WHEN l_linestatus = 'O' THEN '' WHEN l_discount = 0 THEN ' -' ELSE printf(' %.2f', l_discount) END AS cells,
@@ -223,6 +252,8 @@ _REPORT = """i AS (SELECT l_orderkey, l_linenumber AS n, l_quantity, l_discount,
   r AS (SELECT *, CAST(length(prose) + length(head) + coalesce(sum(length(body) + 1) OVER (PARTITION BY l_orderkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM h)"""
 _WIDTH = "CASE WHEN arg_min(l_linestatus, n) = 'O' THEN '' ELSE 'Q1 Q2 Q3 Q4 2026' END"
 SQL = {
+    "located_sections": f"""
+      WITH {_REPORT} SELECT l_orderkey, CAST(2 * n AS INTEGER) AS n, 'State ' || l_linestatus AS title, CAST(24 * row_number() OVER (PARTITION BY l_orderkey ORDER BY n) - 10 AS BIGINT) AS at FROM r""",
     "table_rows": f"WITH {_REPORT} SELECT l_orderkey, start, CAST(start + length(body) AS BIGINT) AS stop, replace(raw, chr(10), ' ') AS label, cells FROM r",
     "column_headers": f"""
       WITH {_REPORT} SELECT l_orderkey, CAST(25 AS BIGINT) AS at, any_value(caption) AS caption, CASE WHEN l_orderkey % 4 = 0 THEN '2026Q1 ' || arg_max(printf('%.1f', l_quantity), n) ELSE {_WIDTH} END AS header FROM r GROUP BY l_orderkey""",
@@ -239,4 +270,4 @@ SQL = {
         CAST(coalesce(list_last(list_filter(pages, lambda p, i: starts[i] <= a)), 1) AS INTEGER) AS page_start, CAST(coalesce(list_last(list_filter(pages, lambda p, i: starts[i] <= z - 1)), 1) AS INTEGER) AS page_end FROM y)
       SELECT l_orderkey, index, kind, CAST(a AS BIGINT) AS start, CAST(z AS BIGINT) AS stop, page_start, page_end, md5(context) AS context, md5(CASE WHEN context = '' THEN body ELSE context || chr(10) || body END) AS md5 FROM v WHERE trim(body, ' ') <> ''""",
 }
-QUERIES = {"table_rows": q_rows, "column_headers": q_headers, "report_chunks": q_chunks}
+QUERIES = {"located_sections": q_located, "table_rows": q_rows, "column_headers": q_headers, "report_chunks": q_chunks}

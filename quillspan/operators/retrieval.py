@@ -51,11 +51,12 @@ def best(scored: DataFrame, score: str, pool: int) -> DataFrame:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors; a zero norm counts as 1."""
+    """Cosine of two vectors; a zero norm counts as 1, and vectors of different length are an error."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = lambda x: F.sqrt(dot(x, x))
     one = lambda x: F.when(x == 0, 1.0).otherwise(x)
-    return dot(a, b) / (one(norm(a)) * one(norm(b)))
+    cos = dot(a, b) / (one(norm(a)) * one(norm(b)))
+    return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors of different length"))).otherwise(cos)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
