@@ -1,6 +1,8 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again.
 
-The first four return rows of ``documents`` with its columns; the last one packs what is left.
+The first four return rows of ``documents`` with its columns; the last one packs what is left. In all of them a null
+text counts as empty, rows are known by id and text (so rows that share an id are told apart), other columns stay as they are, and an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,29 +16,29 @@ from quillspan.llm.shared import on_workers, stored, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones among them, does not reject."""
+    """Documents that the classifier, trained on the labelled ones among them, does not reject; repeated rows are judged alike."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the longest, then that of the smallest id; of rows equal in id and text one stays."""
     on_workers(spark)
     return exact_dedup.drop_exact(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates: that of the smallest id. Documents without words or with a null id stay."""
     on_workers(spark)
     return near_dedup.drop_near(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth stands in benchmark items."""
+    """Documents of which less than a twentieth stands in benchmark items; those without words stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of 2048-token sequences that hold every id of what is left."""
+    """Pieces of 2048-token sequences that hold every id of what is left, of repeated rows as often as they come."""
     on_workers(spark)
     return packing.pieces(docs)
 
