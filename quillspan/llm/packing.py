@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
-from .token_files import ID_TYPES
+from .shared import arrow_type, table
 from .tokens import encoder, vocabulary
 
 CAPACITY, END, CLASSES = 2048, 1, 64
@@ -112,7 +111,7 @@ def _pack(path: str, end: int, id_type: pa.DataType, capacity: int, classes: int
                 ids = enc.encode(text.as_py()) + tail
                 packer.add(doc_id.as_py(), ids)
                 size += len(ids)
-                if size > 8 << 20 and packer.out:
+                if size > 1 << 20 and packer.out:
                     yield flush()
                     size = 0
         packer.end()
@@ -131,11 +130,11 @@ def pack(docs: DataFrame, vocab: str, end: int = END, capacity: int = CAPACITY,
     The sequence id is the task's number and the bin's within it.
     """
     id_type = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_pack(vocab, end, ID_TYPES[id_type], capacity, classes), SCHEMA.format(id_type))
+    return docs.select("doc_id", "text").mapInArrow(_pack(vocab, end, arrow_type(docs, "doc_id"), capacity, classes), SCHEMA.format(id_type))
 
 
 def pieces(docs: DataFrame) -> DataFrame:
-    """Packed pieces with the checksum of their ids in place of the ids."""
+    """Packed pieces with the checksum of their ids in place of the ids; rows as ``pack`` takes them, other columns left out."""
     return pack(docs, vocabulary()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 

@@ -43,7 +43,7 @@ def stored(df: DataFrame, what: str, **options: object) -> DataFrame:
 
 #: Environment of Python workers: freed arrays go back to the system, so a worker that waits between stages holds little.
 WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "2097152", "MALLOC_TRIM_THRESHOLD_": "2097152"}
-BATCH_BYTES = 8 << 20  # of the Arrow batches that tasks take, where the session has Spark's own 64 MiB
+BATCH_BYTES = 2 << 20  # of the Arrow batches that tasks take, where the session has Spark's own 64 MiB
 
 
 def on_workers(spark: SparkSession) -> None:

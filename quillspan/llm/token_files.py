@@ -17,12 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import scratch, table
+from .shared import arrow_type, scratch, table
 from .tokens import encoder, vocabulary
 
 END = 2
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 64 << 10, 500
-ID_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16(), "tinyint": pa.int8()}
 SCHEMA = "doc_id {0}, place bigint, n_tokens bigint, ids array<int>"
 
 
@@ -45,7 +44,7 @@ def _encode(path: str, end: int, id_type: pa.DataType):
                 ids.append(doc_id)
                 raw.append(enc.encode(text.as_py()) + tail)
                 size += len(raw[-1])
-                if size > 8 << 20:
+                if size > 2 << 20:
                     yield out(ids, raw)
                     ids, raw, size = [], [], 0
             if ids:
@@ -65,7 +64,7 @@ def write_tokens(docs: DataFrame, path: str, vocab: str, end: int = END, per_fil
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     rows = docs.select("doc_id", "text").repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    tokens = rows.mapInArrow(_encode(vocab, end, ID_TYPES[id_type]), SCHEMA.format(id_type)).withColumn("shard", F.spark_partition_id())
+    tokens = rows.mapInArrow(_encode(vocab, end, arrow_type(docs, "doc_id")), SCHEMA.format(id_type)).withColumn("shard", F.spark_partition_id())
     (
         tokens.write.option("parquet.block.size", ROW_GROUP)
         .option("parquet.page.size", PAGE)

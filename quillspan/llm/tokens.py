@@ -14,7 +14,7 @@ import struct
 
 import numpy as np
 
-WORDS = 600_000  # entries kept per Python worker and dictionary
+WORDS = 300_000  # entries kept per Python worker and dictionary
 _encoders: dict[str, "Encoder"] = {}
 #: Letters and numbers below U+0250; the splitter's classes for texts without higher characters.
 _L, _N = r"a-zA-Zªµº\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9²³¹¼½¾"
