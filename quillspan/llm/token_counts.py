@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WORD, scratch, table
-from .token_files import ID_TYPES
+from .shared import WORD, marked, scratch, table
 from .tokens import encoder, vocabulary
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -28,11 +27,12 @@ class Rollup:
     """Totals in a folder that Spark can reach.
 
     ``ledger/`` has signed rows a document, ``sums/`` signed sums a batch, ``commits/`` a marker a batch that
-    names the attempt whose rows count. Null sources, languages and versions are groups of their own.
+    holds the name of the attempt whose rows count. Null sources, languages and versions are groups of their own.
     """
 
     def __init__(self, spark: SparkSession, path: str, id_type: str = "bigint"):
         self.spark, self.path = spark, path.rstrip("/")
+        self._known: dict[str, str] = {}
         self.ledger_schema = f"doc_id {id_type}, source string, lang string, tokenizer string, docs bigint, tokens bigint"
         self.sums_schema = "source string, lang string, tokenizer string, docs bigint, tokens bigint"
 
@@ -41,12 +41,16 @@ class Rollup:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def committed(self) -> dict[str, str]:
-        """The attempt that counts for each committed batch: of writers that raced, the first by name."""
+        """The attempt that counts for each committed batch. A marker never changes, so each is read once."""
         fs, path = self._file("commits")
         if not fs.exists(path):
             return {}
-        names = sorted((s.getPath().getName() for s in fs.listStatus(path)), reverse=True)
-        return dict(n.split("@", 1) for n in names if "@" in n and not n.startswith("."))
+        for status in fs.listStatus(path):
+            name = status.getPath().getName()
+            if not name.startswith(".") and name not in self._known:
+                held = self.spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(fs.open(status.getPath()))
+                self._known[name] = bytes(held).decode()
+        return dict(self._known)
 
     def _read(self, kind: str, schema: str) -> DataFrame:
         paths = [f"{self.path}/{kind}/{a}" for a in self.committed().values()]
@@ -66,8 +70,8 @@ class Rollup:
         should occur once in a batch: repeated inserts add up, a repeated delete or revision takes back once.
         A null count is 0.
         """
-        if "@" in batch or "/" in batch:
-            raise ValueError("a batch name has no @ and no /")
+        if "/" in batch or not batch.strip(".") or batch.startswith("."):
+            raise ValueError("a batch name has no / and does not begin with a point")
         if batch in self.committed():
             return False
         attempt = f"{batch}-{uuid.uuid4().hex}"
@@ -77,8 +81,11 @@ class Rollup:
         signed = plus
         if self.committed():
             back = rows.where("op <> 'insert'").select(F.col("doc_id").alias("i"), F.col("tokenizer").alias("t")).distinct()
-            now = self.ledger()
-            old = now.join(back, now["doc_id"].eqNullSafe(back["i"]) & now["tokenizer"].eqNullSafe(back["t"]), "left_semi")
+            # Of all past rows a filter lets through those of the batch's documents; only they are joined and summed.
+            wanted = back.select(F.xxhash64("i", "t").alias("v"))
+            past = marked(self._read("ledger", self.ledger_schema), F.xxhash64("doc_id", "tokenizer"), wanted).where("__maybe").drop("__maybe")
+            past = past.join(back, past["doc_id"].eqNullSafe(back["i"]) & past["tokenizer"].eqNullSafe(back["t"]), "left_semi")
+            old = past.groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
             signed = plus.unionByName(old.select("doc_id", *KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")))
         signed.write.parquet(f"{self.path}/ledger/{attempt}")
         written = self.spark.read.schema(self.ledger_schema).parquet(f"{self.path}/ledger/{attempt}")
@@ -86,9 +93,15 @@ class Rollup:
         return self._mark(batch, attempt)
 
     def _mark(self, batch: str, attempt: str) -> bool:
-        fs, mark = self._file(f"commits/{batch}@{attempt}")
-        fs.create(mark, False).close()
-        return self.committed()[batch] == attempt
+        """Puts the whole marker in its place by a rename, unless one is there: of writers that race, the first counts."""
+        fs, mark = self._file(f"commits/{batch}")
+        _, own = self._file(f"commits/.{attempt}")
+        out = fs.create(own, False)
+        out.write(bytearray(attempt.encode()))
+        out.close()
+        if not fs.exists(mark):
+            fs.rename(own, mark)
+        return self.committed().get(batch) == attempt
 
     def totals(self) -> DataFrame:
         """docs and tokens of every group that is not empty, from the sums of all batches."""
@@ -97,14 +110,16 @@ class Rollup:
 
     def rollup(self) -> DataFrame:
         """Totals by (source, lang, tokenizer), (source, tokenizer), (lang, tokenizer) and (tokenizer); ``level`` names the set."""
-        self.totals().createOrReplaceTempView(name := f"totals_{uuid.uuid4().hex}")
-        return self.spark.sql(f"""
+        return self.spark.sql(
+            """
           SELECT source, lang, tokenizer, CASE grouping_id(source, lang, tokenizer) WHEN 0 THEN 'source-lang' WHEN 2 THEN 'source' WHEN 4 THEN 'lang' ELSE 'all' END AS level,
                  sum(docs) AS n_docs, sum(tokens) AS n_tokens
-          FROM {name} GROUP BY GROUPING SETS ((source, lang, tokenizer), (source, tokenizer), (lang, tokenizer), (tokenizer))""")
+          FROM {totals} GROUP BY GROUPING SETS ((source, lang, tokenizer), (source, tokenizer), (lang, tokenizer), (tokenizer))""",
+            totals=self.totals(),
+        )
 
 
-def _count(path: str, id_type: pa.DataType):
+def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
@@ -115,9 +130,9 @@ def _count(path: str, id_type: pa.DataType):
 
 
 def token_counts(docs: DataFrame, vocab: str) -> DataFrame:
-    """doc_id, source, lang and n_tokens of every whole text (null: 0) by a public vocabulary."""
+    """doc_id, source, lang and n_tokens of every whole text (null: 0) by a public vocabulary. Repeated rows stay, extra columns are left out, and an empty table gives an empty result."""
     id_type = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "source", "lang", "text").mapInArrow(_count(vocab, ID_TYPES[id_type]), f"doc_id {id_type}, source string, lang string, n_tokens bigint")
+    return docs.select("doc_id", "source", "lang", "text").mapInArrow(_count(vocab), f"doc_id {id_type}, source string, lang string, n_tokens bigint")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

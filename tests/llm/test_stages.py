@@ -259,3 +259,13 @@ def test_archives_of_both_versions(spark, tmp_path):
         for h, content in warc.arc_records(raw):
             if "Offset" in h:
                 assert gzip.decompress(raw[int(h["Offset"]) :]).startswith(h["URL"].encode() + b" ") and content.startswith(b"HTTP/")
+
+
+def test_the_first_of_racing_writers_counts(spark, tmp_path):
+    r, other = (token_counts.Rollup(spark, str(tmp_path / "r")) for _ in range(2))
+    change = spark.createDataFrame([("insert", 1, "s", "en", "v1", 10)], "op string, doc_id long, source string, lang string, tokenizer string, n_tokens long")
+    assert other.committed() == {} and r.commit("b", change)
+    before = r.committed()["b"]
+    assert not other._mark("b", "a-smaller-name") and other.committed() == {"b": before} == token_counts.Rollup(spark, r.path).committed()
+    with pytest.raises(ValueError):
+        r.commit("a/b", change)
