@@ -14,7 +14,7 @@ import struct
 
 import numpy as np
 
-WORDS = 300_000  # entries kept per Python worker and dictionary
+WORDS = 450_000  # entries kept per Python worker and kind, half of them in a dictionary that is dropped when the other is full
 _encoders: dict[str, "Encoder"] = {}
 #: Letters and numbers below U+0250; the splitter's classes for texts without higher characters.
 _L, _N = r"a-zA-Zªµº\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9²³¹¼½¾"
@@ -65,16 +65,23 @@ class Encoder:
         self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_words, self.old_pieces = self.words, self.pieces
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, w: str) -> bytes:
+        if out := self.old_words.get(w):
+            self.words[w] = out
+            return out
         ids = [t.id for t in self.tokenizer.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.letters))]
         self.words[w] = out = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
     def _piece(self, piece: str) -> bytes:
+        if out := self.old_pieces.get(piece):
+            self.pieces[piece] = out
+            return out
         if piece.isascii() or not _high(piece):
             parts = self.split_low(piece.lower())
         else:
@@ -88,10 +95,10 @@ class Encoder:
             return b""
         if not self.fast or _control(text) or any(s in text for s in self.special):
             return self.plain(text)
-        if len(self.pieces) > WORDS:
-            self.pieces.clear()
-        if len(self.words) > WORDS:
-            self.words.clear()
+        if len(self.pieces) > WORDS // 2:  # what is still in use moves on from the old dictionary
+            self.old_pieces, self.pieces = self.pieces, {}
+        if len(self.words) > WORDS // 2:
+            self.old_words, self.words = self.words, {}
         get, piece = self.pieces.get, self._piece
         return b"".join([get(p) or piece(p) for p in text.split()])
 
