@@ -30,8 +30,10 @@ def _fingerprints(ws: str) -> Column:
     A text of 13 words or more has them; equal windows have equal smallest hashes.
     """
     hashed = f"transform({ws}, w -> xxhash64(lower(w)))"
-    grams = f"transform(sequence(1, size(g) - {GRAM - 1}), i -> (xxhash64(slice(g, i, {GRAM})) & -{1 << POSITION_BITS}) | cast(i - 1 as bigint))"
-    winnow = f"array_distinct(transform(sequence(1, size(p) - {GUARD - 1}), i -> array_min(slice(p, i, {GUARD}))))"
+    gram = ", ".join(f"g[i + {j}]" for j in range(GRAM))
+    grams = f"transform(sequence(0, size(g) - {GRAM}), i -> (xxhash64({gram}) & -{1 << POSITION_BITS}) | cast(i as bigint))"
+    window = ", ".join(f"p[i + {j}]" for j in range(GUARD))
+    winnow = f"array_distinct(transform(sequence(0, size(p) - {GUARD}), i -> least({window})))"
     # Each step once a row: an array of one element stands in for a name.
     inner = f"transform(transform(array({hashed}), g -> {grams}), p -> {winnow})[0]"
     return F.expr(f"if(size({ws}) >= {WINDOW}, {inner}, array())")
@@ -81,7 +83,8 @@ def _checked(docs: DataFrame, windows: DataFrame, hint) -> DataFrame:
     marks = stored(_candidates(docs, windows, hint), "candidates")
     some = marks.where("size(at) > 0").select("doc_id", "k", "at")
     # Texts of documents with candidates are read again; beyond the bound those that a filter lets through are moved.
-    few = some.count() <= BROADCAST_ROWS // 5
+    size = some.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("at")), F.lit(0)).alias("places")).first()
+    few = size.rows <= BROADCAST_ROWS // 5 and size.places <= 4 * BROADCAST_ROWS
     texts = docs.select("doc_id", "text") if few else maybe_in(docs.select("doc_id", "text").withColumn("__t", F.xxhash64("text")), "__t", some.select("k"))
     texts = texts.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__k"), words(F.col("text")).alias("ws"))
     found = texts.join(F.broadcast(some) if few else some, F.expr("doc_id <=> __id AND k = __k"))
