@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,10 @@ SLIDE = WINDOW - GRAM + 1  # grams of a window
 PIECE, SHARD = 2_000, 400_000  # words of a passage in an automaton, and of all passages in one
 ROW = 50_000  # hashes of a row at most
 U = np.uint64
-BYTE, STEP = U(0x9E3779B97F4A7C15), (U(0xD1342543DE82EF95), U(0xAF251AF3B0F025B5))  # odd: bases of the polynomials over bytes and words
+STEP = U(0xD1342543DE82EF95), U(0xAF251AF3B0F025B5)  # odd: bases of the polynomials over words
+INSIDE = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])  # bytes of words
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U)  # masks of a number's first bytes
+LONG_WORD = 1 << 12  # bytes; longer words are hashed one by one
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -48,20 +52,26 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word of a column of texts, and where each text's words begin (with the end of the last)."""
     data, at = _texts(column)
-    inside = (data != 0x20) & ((data < 0x09) | (data > 0x0D))
+    inside = INSIDE[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     begins = at[:-1][at[:-1] < len(data)]
     first[begins] = inside[begins]
-    starts = np.flatnonzero(first)
-    counts = np.searchsorted(starts, at)
-    if not len(starts):
-        return np.zeros(0, U), counts
-    kept = np.flatnonzero(inside)
-    word = np.cumsum(first[kept]) - 1
-    place = kept - starts[word]
-    values = (data[kept].astype(U) + U(1)) * _powers(BYTE, int(place.max()) + 1)[place]
-    return _mixed(np.add.reduceat(values, np.flatnonzero(first[kept]))), counts
+    last = inside
+    last[:-1] &= ~inside[1:] | first[1:]
+    starts, size = np.flatnonzero(first), np.flatnonzero(last) + 1
+    size -= starts
+    # Eight bytes at a time, of the words that have so many.
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    words, left, done = size.astype(U) * STEP[0], np.arange(len(starts)), 0
+    while len(left) and done < LONG_WORD:
+        rest = size[left] - done
+        words[left] = _mixed(words[left] ^ (eight[starts[left] + done] & FIRST[np.minimum(rest, 8)]))
+        left, done = left[rest > 8], done + 8
+    for n in left:
+        words[n] = int.from_bytes(hashlib.blake2b(data[starts[n] : starts[n] + size[n]].tobytes(), digest_size=8).digest(), "little")
+    return words, np.searchsorted(starts, at)
 
 
 def _runs(words: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
@@ -168,10 +178,9 @@ def _located(texts: list[list[bytes]], passages: set[tuple[bytes, ...]]) -> list
             size += len(passage)
         shard.make_automaton()
         for ws, marks in zip(texts, hit):
-            if len(ws) >= WINDOW:
-                for end, n in shard.iter(tuple([ids.get(w, 0) for w in ws])):
-                    marks[end + 1 - n] += 1
-                    marks[end + 1] -= 1
+            for end, n in shard.iter(tuple(map(ids.get, ws, repeat(0)))):
+                marks[end + 1 - n] += 1
+                marks[end + 1] -= 1
     return [np.cumsum(m)[:-1] > 0 for m in hit]
 
 
@@ -189,10 +198,13 @@ def _remove(id_type: pa.DataType):
             data, begins = _texts(batch.column(1))
             texts = [data[begins[i] : begins[i + 1]].tobytes().split() for i in range(len(batch))]
             cuts, passages = np.searchsorted(at, counts), set()
-            for n in np.flatnonzero(np.diff(cuts)):
+            some = np.flatnonzero(np.diff(cuts))  # texts without a window that recurs hold no passage
+            for n in some:
                 passages |= {tuple(texts[n][lo:hi]) for lo, hi in _passages(at[cuts[n] : cuts[n + 1]] - counts[n])}
-            gone = _located(texts, passages) if passages else [np.zeros(len(ws), bool) for ws in texts]
-            kept = [b" ".join([w for w, g in zip(ws, g_) if not g] if g_.any() else ws) for ws, g_ in zip(texts, gone)]
+            gone = [np.zeros(len(ws), bool) for ws in texts]
+            for n, hit in zip(some, _located([texts[n] for n in some], passages)):
+                gone[n] = hit
+            kept = [b" ".join(compress(ws, (~g).tolist()) if g.any() else ws) for ws, g in zip(texts, gone)]
             columns = [batch.column(0), pa.array([len(g) for g in gone], pa.int64()), pa.array([int(g.sum()) for g in gone], pa.int64())]
             digests = pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())
             yield pa.RecordBatch.from_arrays([columns[0].cast(id_type), *columns[1:], digests, pa.array(kept, pa.binary()).cast(pa.string())], names)
@@ -221,7 +233,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.select(F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"), F.col(id_col).alias("doc_id"))
     anchors = keyed.select("key", "text").mapInArrow(_count_anchors, "key long, hs array<long>").select("key", F.explode("hs").alias("h"))
     held = keyed.join(once_only(anchors, ["h"]), "key", "left")
-    windows = held.select("key", "text", "h").mapInArrow(_count_windows, "key long, h1 array<long>, h2 array<int>").select("key", F.inline(F.arrays_zip("h1", "h2")))
+    # The same columns as below, so that texts are shuffled once for both.
+    windows = held.select("key", "text", "h", "doc_id").mapInArrow(_count_windows, "key long, h1 array<long>, h2 array<int>").select("key", F.inline(F.arrays_zip("h1", "h2")))
     held = held.join(once_only(windows, ["h1", "h2"]), "key", "left")
     id_type = dict(docs.dtypes)[id_col]
     return held.select("doc_id", "text", "h", "h1", "h2").mapInArrow(_remove(arrow_type(keyed, "doc_id")), f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string, kept string")
