@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import stem, title
-from ..sources.tables import table
+from ..sources.tables import shared_folder, table
 
 
 def turns(rows: DataFrame) -> DataFrame:
@@ -32,19 +32,99 @@ def within_budget(rows: DataFrame, partition: list[str], order: list[Column], si
     return held.where((F.col("__sum") <= budget) | (F.col("__n") == 1)).drop("__sum", "__n")
 
 
-def matching(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, conv_id, turn) where every stem of a query's words of three letters or more occurs in the text. Queries are (query_id, question)."""
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("question"), F.lit(r"(?U)\w{3,}"), F.lit(0)), stem))
-    asked = queries.select("query_id", words.alias("stems")).where(F.size("stems") > 0)
-    low = rows.select("conv_id", "turn", F.lower("text").alias("t"))
-    return low.join(F.broadcast(asked), F.forall("stems", lambda s: F.contains(F.col("t"), s))).select("query_id", "conv_id", "turn")
+#: Weights of ranked search: saturation of a stem's hits in a turn, and how much a turn's length counts.
+SATURATION, LENGTH = 1.2, 0.75
+WORD = r"(?U)\w{3,}"
+
+
+def stems(question: Column) -> Column:
+    """The stems of a question's words of three letters or more, as often as they come."""
+    return F.transform(F.regexp_extract_all(F.lower(question), F.lit(WORD), F.lit(0)), stem)
+
+
+def trigrams(word: Column) -> Column:
+    """All runs of three characters of a word; none of a shorter one."""
+    return F.when(F.length(word) >= 3, F.transform(F.sequence(F.lit(1), F.length(word) - 2), lambda i: F.substring(word, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+
+
+class TurnIndex:
+    """A stored inverted index of conversations' turns, kept in step by deltas.
+
+    Each ``add`` or ``remove`` appends a batch of postings (conv_id, turn, word, n) and of lengths (conv_id, turn, n, rows), with a sign; their sums are
+    what the index holds. ``check`` compares it with the turns by counts, and rebuilds it when they differ. Words are whole, so
+    a stem, which has no other characters than words, meets the vocabulary first and only then postings.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def _append(self, turns_: DataFrame, sign: int) -> None:
+        rows = turns_.select("conv_id", "turn", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
+        words = rows.select("conv_id", "turn", F.explode(F.regexp_extract_all("t", F.lit(WORD), F.lit(0))).alias("word"))
+        words.groupBy("conv_id", "turn", "word").agg((F.count("*") * sign).alias("n")).write.mode("append").parquet(f"{self.path}/postings")
+        sizes = rows.groupBy("conv_id", "turn").agg((F.sum(F.greatest(F.length("t") - 2, F.lit(0))) * sign).alias("n"), (F.count("*") * sign).alias("rows"))
+        sizes.write.mode("append").parquet(f"{self.path}/lengths")
+
+    def add(self, turns_: DataFrame) -> TurnIndex:
+        self._append(turns_, 1)
+        return self
+
+    def remove(self, turns_: DataFrame) -> TurnIndex:
+        """Takes out turns as they were added, so what is deleted is not found any more."""
+        self._append(turns_, -1)
+        return self
+
+    def lengths(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/lengths").groupBy("conv_id", "turn").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).where("rows > 0")
+
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/postings").groupBy("conv_id", "turn", "word").agg(F.sum("n").alias("n")).where("n > 0")
+
+    def compact(self) -> TurnIndex:
+        """The same index with all deltas summed up, in a new folder."""
+        new = shared_folder(self.spark, "turn-index")
+        self.postings().write.parquet(f"{new}/postings")
+        self.lengths().write.parquet(f"{new}/lengths")
+        return TurnIndex(self.spark, new)
+
+    def check(self, turns_: DataFrame) -> TurnIndex:
+        """This index, or a new one of all turns if the numbers of turns differ: an index that lacks some finds nothing there, without an error."""
+        held = self.lengths().agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+        return self if held == turns_.count() else TurnIndex(self.spark, shared_folder(self.spark, "turn-index")).add(turns_)
+
+    def search(self, queries: DataFrame) -> DataFrame:
+        """(query_id, conv_id, turn, score) where every stem of a query (query_id, question) occurs within a word of the turn.
+
+        The score is BM25 of the stems, each as often as the question has it, over the trigrams of a turn. Stems meet
+        words by the rarest trigram of the stem.
+        """
+        asked = queries.select("query_id", F.explode(stems(F.col("question"))).alias("stem")).groupBy("query_id", "stem").agg(F.count("*").alias("w"))
+        asked = asked.withColumn("stems", F.count("*").over(W.partitionBy("query_id")))
+        postings = self.postings()
+        vocabulary = postings.select("word").distinct()
+        grams = vocabulary.select("word", F.explode(F.array_distinct(trigrams(F.col("word")))).alias("gram"))
+        known = asked.select("stem").distinct()
+        rare = known.select("stem", F.explode(F.array_distinct(trigrams(F.col("stem")))).alias("gram")).join(grams.groupBy("gram").agg(F.count("*").alias("words")), "gram", "left")
+        rare = rare.groupBy("stem").agg(F.min_by("gram", F.struct(F.coalesce("words", F.lit(0)), "gram")).alias("gram"))
+        hits = F.size(F.filter(F.sequence(F.lit(1), F.length("word") - F.length("stem") + 1), lambda i: F.substring(F.col("word"), i, F.length("stem")) == F.col("stem")))
+        meets = rare.join(grams, "gram").where(F.contains("word", F.col("stem"))).select("stem", "word", hits.alias("hits"))
+        held = meets.join(postings, "word").groupBy("stem", "conv_id", "turn").agg(F.sum(F.col("n") * F.col("hits")).alias("tf"))
+        lengths = self.lengths()
+        total = lengths.agg(F.sum("rows").alias("docs"), (F.sum("n") / F.sum("rows")).alias("mean"))
+        often = held.groupBy("stem").agg(F.count("*").alias("df"))
+        found = asked.join(held.join(often, "stem"), "stem").join(lengths.select("conv_id", "turn", F.col("n").alias("len")), ["conv_id", "turn"]).crossJoin(F.broadcast(total))  # one row
+        idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        idf = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
+        part = F.col("w") * idf * F.col("tf") * (SATURATION + 1) / (F.col("tf") + SATURATION * (1 - LENGTH + LENGTH * F.col("len") / F.col("mean")))
+        every = found.groupBy("query_id", "conv_id", "turn").agg(F.sum(part).alias("score"), F.count("*").alias("have"), F.first("stems").alias("stems"))
+        return every.where("have = stems").select("query_id", "conv_id", "turn", "score")
 
 
 def found_turns(matches: DataFrame, heads: DataFrame, limit: int = 50) -> DataFrame:
-    """Matches with the title of their conversation (conv_id, title; empty for one that is gone) and their place: the latest turns first, ``limit`` a query at most."""
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("turn").desc(), "conv_id"))
-    rows = matches.distinct().withColumn("place", place).where(F.col("place") <= limit)
-    return rows.join(heads.select("conv_id", "title"), "conv_id", "left").withColumn("title", F.coalesce("title", F.lit("")))
+    """Matches with the title of their conversation (conv_id, title; its id for one that has none) and their place: the best first, of equal ones the latest, ``limit`` a query at most."""
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("turn").desc(), "conv_id"))
+    rows = matches.withColumn("place", place).where(F.col("place") <= limit)
+    return rows.join(heads.select("conv_id", "title"), "conv_id", "left").withColumn("title", F.coalesce("title", F.col("conv_id").cast("string")))
 
 
 def latest_searches(rows: DataFrame, keep: int = 200) -> DataFrame:
@@ -71,13 +151,22 @@ def q_context(spark: SparkSession, d: str) -> DataFrame:
     return within_budget(rows, ["conv_id"], [F.col("turn"), F.col("role"), F.col("text")], F.col("size"), 1500).select("conv_id", "turn", "role", "size")
 
 
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    """Whole benchmark items, each line of the turns of conversations whose number is divisible by 50, and each word of their user's turns."""
+    conv = table(spark, d, "conversations")
+    items = table(spark, d, "benchmark").select(F.format_string("item %d", "item_id").alias("query_id"), F.col("text").alias("question"))
+    some = conv.where("conv_id % 50 = 0")
+    lines = some.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("i", "question")).select(F.format_string("line %d %d %d", "conv_id", "turn", "i").alias("query_id"), "question")
+    words = some.where("role = 'user'").select(F.explode(F.split(F.lower("text"), " ")).alias("question")).distinct().select(F.concat(F.lit("word "), "question").alias("query_id"), "question")
+    return items.unionByName(lines).unionByName(words)
+
+
 def q_match(spark: SparkSession, d: str) -> DataFrame:
-    """Whole items whose number is divisible by 50, and each line of the turns of such conversations, against all turns."""
+    """An index that took all turns in two batches and lost those of some conversations; every fifth conversation has no title left."""
     conv = table(spark, d, "conversations")
-    items = table(spark, d, "benchmark").where("item_id % 50 = 0").select((-1 - F.col("item_id")).alias("query_id"), F.col("text").alias("question"))
-    lines = conv.where("conv_id % 50 = 0").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("i", "question"))
-    lines = lines.select(((F.col("conv_id") * 100 + F.col("turn")) * 10_000 + F.col("i")).alias("query_id"), "question")
-    return found_turns(matching(conv, items.unionByName(lines)), threads(conv).where("conv_id % 3 <> 0"))
+    index = TurnIndex(spark, shared_folder(spark, "turn-index")).add(conv.where("conv_id % 2 = 0")).add(conv.where("conv_id % 2 = 1")).remove(conv.where("conv_id % 7 = 3"))
+    rows = found_turns(index.search(_questions(spark, d)), threads(conv).where("conv_id % 5 <> 0"))
+    return rows.withColumn("score", F.round("score", 6))
 
 
 def q_searches(spark: SparkSession, d: str) -> DataFrame:
@@ -94,15 +183,19 @@ SQL = {
     "context_budget": """SELECT conv_id, turn, role, length(text) AS size FROM conversations
       QUALIFY sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) <= 1500 OR row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) = 1""",
     "search_turns": f"""
-      WITH q AS (SELECT -1 - item_id AS query_id, text AS question FROM benchmark WHERE item_id % 50 = 0 UNION ALL
-        SELECT (conv_id * 100 + turn) * 10000 + i, l FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM conversations WHERE conv_id % 50 = 0)),
-      s AS (SELECT DISTINCT query_id, {_STEM} AS s FROM (SELECT query_id, unnest(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}_]{{3,}}')) AS w FROM q)),
-      n AS (SELECT query_id, count(*) AS n FROM s GROUP BY 1), c AS (SELECT DISTINCT conv_id, turn, lower(text) AS t FROM conversations),
-      m AS (SELECT DISTINCT query_id, conv_id, turn FROM (SELECT query_id, conv_id, turn, t, n FROM s JOIN c ON contains(t, s) JOIN n USING (query_id) GROUP BY ALL HAVING count(*) = n)),
-      p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY turn DESC, conv_id) AS place FROM m QUALIFY place <= 50),
-      h AS (SELECT conv_id, arg_min(text, (turn, text)) FILTER (WHERE role = 'user') AS q FROM conversations WHERE conv_id % 3 <> 0 GROUP BY 1),
+      WITH q AS (SELECT 'item ' || item_id AS query_id, text AS question FROM benchmark UNION ALL
+        SELECT 'line ' || conv_id || ' ' || turn || ' ' || i, l FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM conversations WHERE conv_id % 50 = 0) UNION ALL
+        SELECT DISTINCT 'word ' || w, w FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM conversations WHERE conv_id % 50 = 0 AND role = 'user')),
+      s AS (SELECT query_id, {_STEM} AS s, count(*) AS w FROM (SELECT query_id, unnest(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}\\p{{M}}_]{{3,}}')) AS w FROM q) GROUP BY ALL),
+      c AS (SELECT conv_id, turn, lower(text) AS t, greatest(length(text) - 2, 0) AS len, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}_]{{3,}}') AS ws FROM conversations WHERE conv_id % 7 <> 3), z AS (SELECT count(*) AS docs, avg(len) AS mean FROM c),
+      k AS MATERIALIZED (SELECT s, conv_id, turn, len, list_filter(ws, lambda x: contains(x, s)) AS ws FROM (SELECT DISTINCT s FROM s) JOIN c ON contains(t, s)),
+      v AS (SELECT s, conv_id, turn, len, list_sum(list_transform(ws, lambda x: len(list_filter(range(1, length(x) - length(s) + 2), lambda i: x[i : i + length(s) - 1] = s)))) AS tf, count(*) OVER (PARTITION BY s) AS df FROM k),
+      e AS (SELECT query_id, conv_id, turn, w, count(*) OVER (PARTITION BY query_id, conv_id, turn) AS have, tf, df, len FROM s JOIN v USING (s)), n AS (SELECT query_id, count(*) AS n FROM s GROUP BY 1),
+      m AS (SELECT query_id, conv_id, turn, sum(w * CASE WHEN ln((docs - df + 0.5) / (df + 0.5)) > 0 THEN ln((docs - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score FROM e JOIN n USING (query_id), z WHERE have = n GROUP BY ALL),
+      p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, turn DESC, conv_id) AS place FROM m QUALIFY place <= 50),
+      h AS (SELECT conv_id, arg_min(text, (turn, text)) FILTER (WHERE role = 'user') AS q FROM conversations WHERE conv_id % 5 <> 0 GROUP BY 1),
       f AS (SELECT conv_id, trim(regexp_replace(coalesce(q, ''), '\\s+', ' ', 'g'), ' ') AS f FROM h), g AS (SELECT *, substr(f, 1, 60) AS g, 60 - instr(reverse(substr(f, 1, 60)), ' ') AS z FROM f)
-      SELECT query_id, p.conv_id, turn, place, CASE WHEN g.conv_id IS NULL THEN '' WHEN f = '' THEN 'Untitled' WHEN length(f) <= 60 THEN f
+      SELECT query_id, p.conv_id, turn, place, round(score, 6) AS score, CASE WHEN g.conv_id IS NULL THEN CAST(p.conv_id AS VARCHAR) WHEN f = '' THEN 'Untitled' WHEN length(f) <= 60 THEN f
         ELSE regexp_replace(CASE WHEN contains(g.g, ' ') AND z >= 30 THEN substr(g.g, 1, CAST(z AS BIGINT)) ELSE g.g END, '[ ,.;:!?-]+$', '') || '…' END AS title FROM p LEFT JOIN g USING (conv_id)""",
     "search_history_evict": """
       SELECT event_type || ':' || user_id AS query, CAST(floor(arg_max(value, event_id)) AS BIGINT) AS hits, max(event_id) AS last_run FROM events GROUP BY 1 ORDER BY last_run DESC, query LIMIT 200""",

@@ -65,30 +65,3 @@ def report_cells(spark: SparkSession, path: str) -> DataFrame:
     """Cells (path, row_no, label, cell) of all reports' CSV files below a folder; files that cannot be read are skipped."""
     rows = spark.read.option("ignoreCorruptFiles", "true").csv(path, schema="row_no int, label string, cell string")
     return rows.select(F.col("_metadata.file_name").alias("path"), "*")
-
-
-def pdf_files(spark: SparkSession, path: str) -> DataFrame:
-    """All PDF files below a folder, in any case of the suffix, as (path, length, content, error): why a file is no whole PDF, else null."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", "content", pdf_error(F.col("content")).alias("error"))
-
-
-def pdf_error(content: Column) -> Column:
-    """Why bytes are no whole PDF file: no header in the first 1,024, or no end mark in the last; null if both are there."""
-    head = F.decode(F.substring(content, 1, 1024), "ISO-8859-1")
-    tail = F.decode(F.substring(content, -1024, 1024), "ISO-8859-1")
-    return F.when(F.length(content) == 0, "empty").when(~F.contains(head, F.lit("%PDF-")), "no header").when(~F.contains(tail, F.lit("%%EOF")), "no end mark")
-
-
-def pdf_findings(files: DataFrame) -> DataFrame:
-    """(path, code, severity, detail) of files (path, content): broken or cut files, revisions that were appended, encryption, and fonts without a map to Unicode."""
-    text = F.decode("content", "ISO-8859-1")
-    error, count = pdf_error(F.col("content")), lambda rx: F.regexp_count(text, F.lit(rx))
-    finding = lambda when, code, severity, detail: F.when(when, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), detail.alias("detail")))
-    found = [
-        finding(error.isin("empty", "no header"), "not_a_pdf", "broken", error), finding(error == "no end mark", "cut_off", "warn", error),
-        finding(count("%%EOF") > 1, "incremental_updates", "notice", F.concat((count("%%EOF") - 1).cast("string"), F.lit(" revisions"))),
-        finding(F.contains(text, F.lit("/Encrypt")), "encrypted", "warn", F.lit("the file is encrypted")),
-        finding((count(r"/Type\s*/Font\b") > 0) & (count("/ToUnicode") == 0), "fonts_without_tounicode", "notice", F.lit("no font has a map to Unicode")),
-    ]
-    return files.select("path", F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))

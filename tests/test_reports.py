@@ -151,11 +151,6 @@ def test_turns_are_recorded(spark):
 
 
 def test_files(spark, tmp_path):
-    for name, data in (("a.pdf", b"%PDF-1.4 /Type /Font %%EOF"), ("b.PDF", b"nothing"), ("c.pdf", b"%PDF-1.4 cut"), ("d.pdf", b"%PDF-1 /Encrypt %%EOF more %%EOF"), ("e.txt", b"x")):
-        (tmp_path / name).write_bytes(data)
-    files = tables.pdf_files(spark, str(tmp_path))
-    assert {r.path[-5:]: r.error for r in files.collect()} == {"a.pdf": None, "b.PDF": "no header", "c.pdf": "no end mark", "d.pdf": None}
-    assert sorted((r.path[-5:], r.code) for r in tables.pdf_findings(files).collect()) == [("a.pdf", "fonts_without_tounicode"), ("b.PDF", "not_a_pdf"), ("c.pdf", "cut_off"), ("d.pdf", "encrypted"), ("d.pdf", "incremental_updates")]
     few = spark.createDataFrame([("2025-01-01", "1")], "date string, close string")
     with pytest.raises(ValueError):
         tables.write_prices(few, str(tmp_path / "p"))
