@@ -9,15 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
-from .pages import as_of, windows
+from ..sources.tables import on_workers, stored, table
+from .pages import windows
+from .scanner import CAPTION, CAPTION_AT, FOUND, HEADER_AT, LABELS, LEADER, PERIOD, ROW_AT, SECTION_AT, VALUE, scanned
 
-#: Formats of the reports (fixed values): a table's caption, a leader of dots, values after it, and names of columns.
-CAPTION = r"Table\s+\d+[a-z]?\.\s+[A-Z](?:[A-Za-z .,/&'-]|(?<=[A-Za-z])\d){4,80}(?:\([^)]{0,40}\))?"
-LEADER, VALUE = r"\.{3,}", r"(?:-?[\d,]+(?:\.\d+)?|-)"
-PERIOD = r"(?:Q[1-4]|Year|(?:18|19|20)\d{2}|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
-ROW = rf"{LEADER}\s*((?:{VALUE}(?:[ \t]+|$)){{4,}})"
-FAR, HEADER_WITHIN, LABEL_WITHIN, LABELS = 8000, 6000, 200, 3
+FAR, HEADER_WITHIN = 8000, 6000
+PAGE_AT, WINDOW_AT = -1, ROW_AT + 1  # beside the events of a stream: where pages begin, and windows
 
 
 def find_all(rows: DataFrame, key: list[str], text: str, pattern: str) -> DataFrame:
@@ -29,9 +26,18 @@ def find_all(rows: DataFrame, key: list[str], text: str, pattern: str) -> DataFr
     return each.select(*key, "i", at.alias("at"), "found").where("found IS NOT NULL")
 
 
-def captions(streams: DataFrame, key: list[str]) -> DataFrame:
-    """(key, at, caption) of the tables' captions in streams (key, text)."""
-    return find_all(streams, key, "text", CAPTION).select(*key, "at", F.trim("found").alias("caption"))
+def events(streams: DataFrame, sections: DataFrame, key: list[str]) -> DataFrame:
+    """(key, at, what, stop, text, width) of the captions, sections, column headers and table rows of streams (key, text); sections are (key, title)."""
+    on_workers(streams.sparkSession)
+    titles = sections.groupBy(*key).agg(F.collect_set("title").alias("titles"))
+    held = streams.select(*key, "text").join(titles, key, "left")
+    kinds = dict(held.dtypes)
+    return held.select(*key, "text", "titles").mapInArrow(scanned(len(key)), ", ".join([*(f"`{k}` {kinds[k]}" for k in key), FOUND]))
+
+
+def captions(found: DataFrame, key: list[str]) -> DataFrame:
+    """(key, at, caption) of the tables' captions among ``events``."""
+    return found.where(F.col("what") == CAPTION_AT).select(*key, "at", F.col("text").alias("caption"))
 
 
 def is_column_header(line: Column) -> Column:
@@ -66,68 +72,41 @@ def _lines(streams: DataFrame, key: list[str]) -> DataFrame:
     return rows.withColumn("at", F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0)))
 
 
-def table_rows(streams: DataFrame, sections: DataFrame, key: list[str]) -> DataFrame:
-    """(key, start, stop, label, text) of the table rows of streams (key, text): a label, a leader of dots and four values at least.
-
-    A label may begin on lines before its leader: after the last line that is empty, itself a row, a caption, a section (key, title) as
-    a whole line, or holds three cells or more, and at most 200 characters before the leader. Numbers inside a label stay in it.
-    """
-    lines, titles = _lines(streams, key), sections.distinct().withColumn("section", F.lit(True))
-    lines = lines.withColumn("title", F.trim("line")).join(titles, [*key, "title"], "left").withColumn("section", F.coalesce("section", F.lit(False)))
-    cells = F.size(F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x.rlike(rf"(?i)^(?:{VALUE}|{PERIOD})$")))
-    is_row = F.col("line").rlike(ROW)
-    stop = is_row | (F.trim("line") == "") | F.col("section") | F.col("line").rlike(CAPTION) | (cells >= 3)
-    lines = lines.withColumns({"row": is_row, "stop": stop})
-    w = W.partitionBy(*key).orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    after = F.coalesce(F.max(F.when(F.col("stop"), F.col("at") + F.length("line") + 1)).over(w), F.lit(0))
-    held = lines.withColumn("after", after).where("row")
-    leader = F.col("at") + F.length(F.element_at(F.split("line", ROW, 2), 1))
-    held = held.withColumns({"leader": leader, "start": F.greatest("after", leader - LABEL_WITHIN), "stop": F.col("at") + F.length("line")})
-    rows = held.select(*key, "start", "stop", "leader").join(streams.select(*key, F.col("text").alias("__t")), key)
-    piece = F.expr("substring(__t, CAST(start + 1 AS INT), CAST(stop - start AS INT))")
-    rows = rows.withColumn("text", F.ltrim(F.regexp_replace(piece, r"^\s+", "")))
-    rows = rows.withColumn("start", F.col("start") + F.length(piece) - F.length("text"))
+def table_rows(found: DataFrame, key: list[str]) -> DataFrame:
+    """(key, start, stop, label, text) of the table rows among ``events``."""
     label = F.trim(F.regexp_replace(F.element_at(F.split("text", LEADER, 2), 1), r"\s+", " "))
-    return rows.withColumn("label", label).where("label <> ''").select(*key, "start", "stop", "label", "text")
+    return found.where(F.col("what") == ROW_AT).select(*key, F.col("at").alias("start"), "stop", label.alias("label"), "text")
 
 
-def column_headers(streams: DataFrame, rows: DataFrame, found: DataFrame, key: list[str], known: DataFrame | None = None) -> DataFrame:
-    """(key, at, caption, header): captions with the names of their columns, or an empty header.
+def tabled(items: DataFrame, key: list[str]) -> DataFrame:
+    """``items`` (key, at, what, text, width, ...) with cap (at, caption) and block (at, title) that stand last at or before them, and the header of cap.
 
-    The header is the last line of period names between the caption and its first row within 6,000 characters, if it names as many
-    columns as that row has values. ``known`` (key, caption, table_no, columns) goes before what the text gives; of tables of one caption the last counts.
+    A header is the last line of period names between a caption and its first row within 6,000 characters, if it names as many columns as
+    that row has values; else it is empty. One order of places serves all of it.
     """
     w = W.partitionBy(*key).orderBy("at", "what")
-    ahead = w.rowsBetween(1, W.unboundedFollowing)
-    marks = found.select(*key, "at", F.lit(0).alias("what"), "caption", F.lit(None).cast("int").alias("width"), F.lit(None).cast("string").alias("names"))
-    width = rows.select(*key, F.col("start").alias("at"), F.lit(2).alias("what"), F.lit(None).cast("string").alias("caption"), F.size(values_of(F.col("text"))).alias("width"), F.lit(None).cast("string").alias("names"))
-    names = _lines(streams, key).where(is_column_header(F.col("line"))).select(*key, "at", F.lit(1).alias("what"), F.lit(None).cast("string").alias("caption"), F.lit(None).cast("int").alias("width"), F.trim("line").alias("names"))
-    both = marks.unionByName(width).unionByName(names)
-    # Each header line learns the next row and the last caption; each caption then takes the last fitting header before its first row.
-    row = F.first(F.when(F.col("what") == 2, F.struct("at", "width")), True).over(ahead)
-    both = both.withColumns({"next_row": row, "of": F.last(F.when(F.col("what") == 0, F.col("at")), True).over(w.rowsBetween(W.unboundedPreceding, 0))})
-    first_row = both.where("what = 0").select(*key, F.col("at").alias("of"), F.col("next_row.at").alias("row_at"), "next_row.width", "caption")
-    fits = both.where("what = 1").select(*key, "of", F.col("at").alias("h_at"), "names").join(first_row, [*key, "of"])
-    fits = fits.where((F.col("h_at") < F.col("row_at")) & (F.col("row_at") - F.col("of") < HEADER_WITHIN) & (F.size(F.split("names", r"\s+")) == F.col("width")))
-    header = fits.groupBy(*key, "of").agg(F.max_by("names", "h_at").alias("names"))
-    out = first_row.select(*key, F.col("of").alias("at"), "caption").join(header.withColumnRenamed("of", "at"), [*key, "at"], "left")
+    so_far, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(1, W.unboundedFollowing)
+    last = lambda what, name: F.last(F.when(F.col("what") == what, F.struct("at", F.col("text").alias(name))), True).over(so_far)
+    row = F.first(F.when(F.col("what") == ROW_AT, F.struct("at", "width")), True).over(ahead)
+    held = items.withColumns({"cap": last(CAPTION_AT, "caption"), "block": last(SECTION_AT, "title"), "__row": row})
+    table_ = W.partitionBy(*key, "cap.at")
+    first_row = F.max(F.when(F.col("what") == CAPTION_AT, F.col("__row"))).over(table_)
+    held = held.withColumn("__first", first_row)
+    fits = (F.col("what") == HEADER_AT) & (F.col("at") < F.col("__first.at")) & (F.col("__first.at") - F.col("cap.at") < HEADER_WITHIN) & (F.col("width") == F.col("__first.width"))
+    header = F.max(F.when(fits & F.col("cap").isNotNull(), F.struct("at", "text"))).over(table_)["text"]
+    return held.withColumn("header", F.coalesce(header, F.lit(""))).drop("__row", "__first")
+
+
+def column_headers(found: DataFrame, key: list[str], known: DataFrame | None = None) -> DataFrame:
+    """(key, at, caption, header): captions among ``events`` with the names of their columns, or an empty header.
+
+    ``known`` (key, caption, table_no, columns) goes before what the text gives; of tables of one caption the last counts.
+    """
+    out = tabled(found, key).where(F.col("what") == CAPTION_AT).select(*key, "at", F.col("text").alias("caption"), "header")
     if known is None:
-        return out.select(*key, "at", "caption", F.coalesce("names", F.lit("")).alias("header"))
+        return out
     best = known.groupBy(*key, "caption").agg(F.max_by("columns", "table_no").alias("__known"))
-    return out.join(best, [*key, "caption"], "left").select(*key, "at", "caption", F.coalesce(F.array_join("__known", " "), "names", F.lit("")).alias("header"))
-
-
-def with_context(items: DataFrame, headed: DataFrame, sections: DataFrame, key: list[str]) -> DataFrame:
-    """``items`` (key, start, ...) with caption, section and header of the table they stand in: the nearest caption at or before them, within
-    8,000 characters, and the nearest section line (key, at, title) after that caption."""
-    held = items.withColumn("at", F.col("start"))
-    packed = headed.withColumn("__head", F.to_json(F.struct("at", "caption", "header")))
-    held = as_of(held, packed, key, "at", "__head", FAR)
-    held = as_of(held, sections.select(*key, "at", F.to_json(F.struct("at", "title")).alias("__block")), key, "at", "__block", FAR)
-    held = held.withColumns({"__h": F.from_json("__head", "at bigint, caption string, header string"), "__b": F.from_json("__block", "at bigint, title string")})
-    section = F.when(F.col("__b.at") >= F.col("__h.at"), F.col("__b.title"))
-    caption = F.when(section.isNotNull(), F.concat("__h.caption", F.lit(" — "), section)).otherwise(F.coalesce("__h.caption", F.lit("")))
-    return held.select(*items.columns, caption.alias("caption"), F.coalesce("__h.header", F.lit("")).alias("header"))
+    return out.join(best, [*key, "caption"], "left").select(*key, "at", "caption", F.coalesce(F.array_join("__known", " "), "header").alias("header"))
 
 
 def row_context(row: Column, caption: Column, header: Column) -> Column:
@@ -141,36 +120,46 @@ def embedded(text: Column, context: Column) -> Column:
     return F.when(F.trim(F.coalesce(context, F.lit(""))) == "", text).otherwise(F.concat(F.trim(context), F.lit("\n"), text))
 
 
-def streams_of(pages: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Streams (key, text) of pages (key, page, text), in the order of their numbers, and where each page that has text starts (key, page, at)."""
+def streams_of(pages: DataFrame, key: list[str]) -> DataFrame:
+    """Streams (key, text, places) of pages (key, page, text), in the order of their numbers; places (at, page) are where pages that have text begin."""
     w = W.partitionBy(*key).orderBy("page").rowsBetween(W.unboundedPreceding, -1)
-    at = pages.withColumn("at", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0))).where("text <> ''").select(*key, "page", "at")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "")
-    return pages.groupBy(*key).agg(text.alias("text")), at
+    placed = pages.withColumn("at", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)))
+    held = placed.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "page", "text"))).alias("p"))
+    places = F.transform(F.filter("p", lambda p: p["text"] != ""), lambda p: F.struct(p["at"].alias("at"), p["page"].cast("int").alias("page")))
+    return held.select(*key, F.array_join(F.transform("p", lambda p: p["text"]), "").alias("text"), places.alias("places"))
 
 
 def chunks(pages: DataFrame, sections: DataFrame, key: list[str], size: int = 1200, overlap: int = 200) -> DataFrame:
     """(key, index, kind, start, stop, page_start, page_end, context, text): windows over a report's pages, none across a caption, then its table rows.
 
-    Pages are (key, page, text), sections (key, title). Chunks of white space alone are left out; they still count in ``index``.
+    Pages are (key, page, text), sections (key, title). Chunks without anything but white space are left out; they still count in ``index``.
+    Streams and the events in them are ordered once; what stands last before a chunk is read off along that order.
     """
     (one,) = key
-    streams, starts = streams_of(pages, key)
-    window = windows(streams.withColumnRenamed(one, "doc_id"), CAPTION, size, overlap).withColumnRenamed("doc_id", one).withColumn("kind", F.lit("window"))
-    rows = table_rows(streams, sections, key)
-    found = captions(streams, key)
-    headed = column_headers(streams, rows, found, key)
-    lines = _lines(streams, key)
-    blocks = lines.join(sections.distinct(), (F.trim("line") == F.col("title")) & (lines[one] == sections[one]), "left_semi").select(one, "at", F.trim("line").alias("title"))
-    both = window.select(one, "start", "stop", "kind", "text").unionByName(rows.select(one, "start", "stop", F.lit("row").alias("kind"), "text"))
-    both = with_context(both.withColumn("start", F.col("start").cast("bigint")), headed, blocks, key)
+    streams = stored(streams_of(pages, key), "streams")
+    found = events(streams, sections, key)
+    starts = streams.select(*key, F.inline("places"))
+    window = windows(streams.drop("places").withColumnRenamed(one, "doc_id"), CAPTION, size, overlap).withColumnRenamed("doc_id", one)
+    none = lambda kind: F.lit(None).cast(kind)
+    # Events and pages go before windows that begin where they do; a row is both an event and a chunk.
+    columns = [*key, "at", "what", "stop", "text", "width", "page"]
+    rows = found.withColumn("page", none("int")).select(columns)
+    rows = rows.unionByName(window.select(*key, F.col("start").cast("bigint").alias("at"), F.lit(WINDOW_AT).alias("what"), F.col("stop").cast("bigint").alias("stop"), "text", none("int").alias("width"), none("int").alias("page")))
+    rows = rows.unionByName(starts.select(*key, "at", F.lit(PAGE_AT).alias("what"), none("bigint").alias("stop"), none("string").alias("text"), none("int").alias("width"), F.col("page").cast("int").alias("page")))
+    page = F.last("page", True).over(W.partitionBy(*key).orderBy("at", "what").rowsBetween(W.unboundedPreceding, 0))
+    held = tabled(rows.withColumn("page_start", page), key).where(F.col("what").isin(WINDOW_AT, ROW_AT))
+    # The page of a chunk's last character: pages of one report are few, their starts go along as one array.
+    held = held.join(streams.select(*key, "places"), key).withColumn("page_end", F.element_at(F.filter("places", lambda p: p["at"] < F.col("stop")), -1)["page"].cast("int"))
+    near = F.when(F.col("at") - F.col("cap.at") <= FAR, F.col("cap"))
+    inside = F.when((F.col("at") - F.col("block.at") <= FAR) & (F.col("block.at") >= near["at"]), F.col("block.title"))
+    caption = F.when(inside.isNotNull(), F.concat(near["caption"], F.lit(" — "), inside)).otherwise(F.coalesce(near["caption"], F.lit("")))
+    held = held.withColumns({"caption": caption, "header": F.when(near.isNotNull(), F.col("header")).otherwise("")})
     plain = outside(F.col("text"), F.when(F.col("header") == "", F.col("caption")).otherwise(F.concat("caption", F.lit("\n"), "header")))
-    both = both.withColumn("context", F.when(F.col("kind") == "row", row_context(F.col("text"), F.col("caption"), F.col("header"))).otherwise(plain)).drop("caption", "header")
-    both = as_of(both.withColumn("at", F.col("start")), starts.withColumn("page_start", F.col("page")), key, "at", "page_start", 1 << 40)
-    both = as_of(both.withColumn("at", F.col("stop") - 1), starts.withColumn("page_end", F.col("page")), key, "at", "page_end", 1 << 40)
-    index = F.row_number().over(W.partitionBy(*key).orderBy(F.col("kind").desc(), "start")) - 1
-    out = both.withColumn("index", index).where(F.trim("text") != "")
-    return out.select(*key, "index", "kind", "start", "stop", F.col("page_start").cast("int").alias("page_start"), F.col("page_end").cast("int").alias("page_end"), "context", "text")
+    context = F.when(F.col("what") == ROW_AT, row_context(F.col("text"), F.col("caption"), F.col("header"))).otherwise(plain)
+    index = F.row_number().over(W.partitionBy(*key).orderBy(F.col("what").desc(), "at")) - 1
+    out = held.withColumns({"index": index, "context": context}).where(F.col("text").rlike(r"(?U)\S"))
+    kind = F.when(F.col("what") == ROW_AT, "row").otherwise("window")
+    return out.select(*key, "index", kind.alias("kind"), F.col("at").alias("start"), "stop", "page_start", "page_end", "context", "text")
 
 
 def locate(streams: DataFrame, titles: DataFrame, key: list[str]) -> DataFrame:
@@ -202,12 +191,15 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    """Page 1 has prose and the table's head, page n + 1 the item of number n; some labels hold numbers, some start a line earlier, and open items lack a value."""
-    k = F.col("l_orderkey")
-    label = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("Returned goods\n(Index, 2017=100, line "), "l_linenumber", F.lit(")"))).otherwise(F.concat(F.lit("Lower 48 lines, number "), "l_linenumber"))
+    """Page 1 has prose and the table's head, page n + 1 the item of number n. Labels hold numbers; some start a line earlier, some in the
+    middle of the line of the row before; open items lack a value."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    label = F.when(n % 3 == 0, F.concat(F.lit("Carried 12 over, item "), n, F.lit(" of goods"))).when(n % 2 == 0, F.concat(F.lit("Returned goods\n(Index, 2017=100, line "), n, F.lit(")")))
+    label = label.otherwise(F.concat(F.lit("Lower 48 lines, item "), n, F.lit(" (net)")))
     last = F.when(F.col("l_linestatus") == "O", "").otherwise(F.when(F.col("l_discount") == 0, " -").otherwise(F.format_string(" %.2f", "l_discount")))
-    line = F.concat(label, F.lit(" ........ "), F.format_number("l_extendedprice", 2), F.lit(" "), F.format_string("%.1f", "l_quantity"), F.lit(" - "), "l_linenumber", last, F.lit("\n"))
-    rows = _items(spark, d).select(k, (F.col("l_linenumber") + 1).alias("page"), line.alias("text"))
+    after = F.when(F.lead(n).over(W.partitionBy("l_orderkey").orderBy("l_linenumber")) % 3 == 0, " ").otherwise("\n")
+    line = F.concat(label, F.lit(" ........ "), F.format_number("l_extendedprice", 2), F.lit(" "), F.format_string("%.1f", "l_quantity"), F.lit(" - "), n, last, after)
+    rows = _items(spark, d).select(k, (n + 1).alias("page"), line.alias("text"))
     head = F.concat(F.lit("Orders rose... and fell.\nTable "), k % 9 + 1, F.lit("a. Items of the Order and CO2 (thousand units)\nAgency | Outlook - July 2026\nQ1 Q2 Q3 Q4 2026\nOrder Lines\n"))
     return rows.unionByName(rows.select("l_orderkey").distinct().select(k, F.lit(1).alias("page"), head.alias("text")))
 
@@ -216,17 +208,18 @@ def _sections(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", F.lit("Order Lines").alias("title")).distinct()
 
 
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    return events(streams_of(_pages(spark, d), ["l_orderkey"]), _sections(spark, d), ["l_orderkey"])
+
+
 def q_rows(spark: SparkSession, d: str) -> DataFrame:
-    streams, _ = streams_of(_pages(spark, d), ["l_orderkey"])
-    rows = table_rows(streams, _sections(spark, d), ["l_orderkey"])
+    rows = table_rows(_found(spark, d), ["l_orderkey"])
     return rows.select("l_orderkey", "start", "stop", "label", F.array_join(values_of(F.col("text")), " ").alias("cells"))
 
 
 def q_headers(spark: SparkSession, d: str) -> DataFrame:
-    streams, _ = streams_of(_pages(spark, d), ["l_orderkey"])
-    key = ["l_orderkey"]
     known = _items(spark, d).where("l_orderkey % 4 = 0").select("l_orderkey", F.concat(F.lit("Table "), F.col("l_orderkey") % 9 + 1, F.lit("a. Items of the Order and CO2 (thousand units)")).alias("caption"), F.col("l_linenumber").alias("table_no"), F.array(F.lit("2026Q1"), F.format_string("%.1f", "l_quantity")).alias("columns"))
-    return column_headers(streams, table_rows(streams, _sections(spark, d), key), captions(streams, key), key, known)
+    return column_headers(_found(spark, d), ["l_orderkey"], known)
 
 
 def q_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -246,7 +239,8 @@ def q_located(spark: SparkSession, d: str) -> DataFrame:
 _REPORT = """i AS (SELECT l_orderkey, l_linenumber AS n, l_quantity, l_discount, l_extendedprice, l_linestatus FROM lineitem
     QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity, l_discount, l_extendedprice, l_linestatus) = 1),
   c AS (SELECT *, format('{:,.2f}', l_extendedprice) || ' ' || printf('%.1f', l_quantity) || ' - ' || n || CASE WHEN l_linestatus = 'O' THEN '' WHEN l_discount = 0 THEN ' -' ELSE printf(' %.2f', l_discount) END AS cells,
-    CASE WHEN n % 2 = 0 THEN 'Returned goods' || chr(10) || '(Index, 2017=100, line ' || n || ')' ELSE 'Lower 48 lines, number ' || n END AS raw,
+    CASE WHEN n % 3 = 0 THEN 'Carried 12 over, item ' || n || ' of goods' WHEN n % 2 = 0 THEN 'Returned goods' || chr(10) || '(Index, 2017=100, line ' || n || ')' ELSE 'Lower 48 lines, item ' || n || ' (net)' END AS raw,
+    CASE WHEN lead(n) OVER (PARTITION BY l_orderkey ORDER BY n) % 3 = 0 THEN ' ' ELSE chr(10) END AS sep,
     'Table ' || (l_orderkey % 9 + 1) || 'a. Items of the Order and CO2 (thousand units)' AS caption FROM i),
   h AS (SELECT *, 'Orders rose... and fell.' || chr(10) AS prose, caption || chr(10) || 'Agency | Outlook - July 2026' || chr(10) || 'Q1 Q2 Q3 Q4 2026' || chr(10) || 'Order Lines' || chr(10) AS head, raw || ' ........ ' || cells AS body FROM c),
   r AS (SELECT *, CAST(length(prose) + length(head) + coalesce(sum(length(body) + 1) OVER (PARTITION BY l_orderkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM h)"""
@@ -254,17 +248,17 @@ _WIDTH = "CASE WHEN arg_min(l_linestatus, n) = 'O' THEN '' ELSE 'Q1 Q2 Q3 Q4 202
 SQL = {
     "located_sections": f"""
       WITH {_REPORT} SELECT l_orderkey, CAST(2 * n AS INTEGER) AS n, 'State ' || l_linestatus AS title, CAST(24 * row_number() OVER (PARTITION BY l_orderkey ORDER BY n) - 10 AS BIGINT) AS at FROM r""",
-    "table_rows": f"WITH {_REPORT} SELECT l_orderkey, start, CAST(start + length(body) AS BIGINT) AS stop, replace(raw, chr(10), ' ') AS label, cells FROM r",
+    "table_rows": f"WITH {_REPORT} SELECT l_orderkey, start, CAST(start + length(body) + CASE sep WHEN ' ' THEN 1 ELSE 0 END AS BIGINT) AS stop, replace(raw, chr(10), ' ') AS label, cells FROM r",
     "column_headers": f"""
       WITH {_REPORT} SELECT l_orderkey, CAST(25 AS BIGINT) AS at, any_value(caption) AS caption, CASE WHEN l_orderkey % 4 = 0 THEN '2026Q1 ' || arg_max(printf('%.1f', l_quantity), n) ELSE {_WIDTH} END AS header FROM r GROUP BY l_orderkey""",
     "report_chunks": f"""
-      WITH {_REPORT}, s AS (SELECT l_orderkey, any_value(caption) AS caption, {_WIDTH} AS header, any_value(prose) AS prose, any_value(prose) || any_value(head) || string_agg(body || chr(10), '' ORDER BY n) AS text, list(n + 1 ORDER BY n) AS pages, list(start ORDER BY n) AS starts FROM r GROUP BY 1),
+      WITH {_REPORT}, s AS (SELECT l_orderkey, any_value(caption) AS caption, {_WIDTH} AS header, any_value(prose) AS prose, any_value(prose) || any_value(head) || string_agg(body || sep, '' ORDER BY n) AS text, list(n + 1 ORDER BY n) AS pages, list(start ORDER BY n) AS starts FROM r GROUP BY 1),
       w AS (SELECT *, 'window' AS kind, 0 AS a, length(prose) AS z, 0 AS k FROM s UNION ALL
             SELECT * EXCLUDE (k), 'window', length(prose) + 120 * k, least(length(prose) + 120 * k + 150, length(text)), k + 1 FROM (SELECT *, unnest(range(0, CAST(greatest(0, ceil((length(text) - length(prose) - 150) / 120)) AS BIGINT) + 1)) AS k FROM s) UNION ALL
-            SELECT s.*, 'row', start, start + length(body), 1000000 + n FROM s JOIN r USING (l_orderkey)),
+            SELECT s.*, 'row', start, start + length(body) + CASE sep WHEN ' ' THEN 1 ELSE 0 END, 1000000 + n FROM s JOIN r USING (l_orderkey)),
       x AS (SELECT *, text[a + 1 : z] AS body, caption || CASE WHEN a >= instr(text, 'Order Lines') - 1 THEN ' — Order Lines' ELSE '' END AS title FROM w),
-      y AS (SELECT *, CASE WHEN kind = 'row' AND header <> '' AND len(string_split(regexp_extract(body, '\\.{{3,}} (.*)$', 1), ' ')) = 5 THEN title || chr(10) || replace(regexp_extract(body, '^((?s).*?) \\.{{3,}}', 1), chr(10), ' ') || ': ' ||
-          array_to_string(list_transform(list_zip(string_split(header, ' '), string_split(regexp_extract(body, '\\.{{3,}} (.*)$', 1), ' ')), lambda p: p[1] || ' = ' || p[2]), ', ')
+      y AS (SELECT *, CASE WHEN kind = 'row' AND header <> '' AND len(string_split(regexp_extract(rtrim(body), '\\.{{3,}} (.*)$', 1), ' ')) = 5 THEN title || chr(10) || replace(regexp_extract(body, '^((?s).*?) \\.{{3,}}', 1), chr(10), ' ') || ': ' ||
+          array_to_string(list_transform(list_zip(string_split(header, ' '), string_split(regexp_extract(rtrim(body), '\\.{{3,}} (.*)$', 1), ' ')), lambda p: p[1] || ' = ' || p[2]), ', ')
           WHEN k = 0 THEN '' WHEN kind = 'row' THEN title ELSE array_to_string(list_filter([title, header], lambda p: p <> '' AND NOT contains(body, p)), chr(10)) END AS context FROM x),
       v AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY k) - 1 AS INTEGER) AS index,
         CAST(coalesce(list_last(list_filter(pages, lambda p, i: starts[i] <= a)), 1) AS INTEGER) AS page_start, CAST(coalesce(list_last(list_filter(pages, lambda p, i: starts[i] <= z - 1)), 1) AS INTEGER) AS page_end FROM y)
