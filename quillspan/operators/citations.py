@@ -25,8 +25,11 @@ def mark_of(level: Column) -> Column:
 
 
 def claim(text: Column, kind: Column, source: Column, date: Column, page: Column, level: Column) -> Column:
-    """A claim with its citation: of a report's page with its level's mark, or of a web source; another kind is an error, and so is a null field."""
-    note = mark_of(level)
+    """A claim with its citation: of a report's page with its level's mark, or of a web source; another kind is an error, and so is a null field.
+
+    A claim without a level was not checked, and its citation says so.
+    """
+    note = mark_of(F.coalesce(level, F.lit("unchecked")))
     report = F.concat(text, F.lit(" [Отчёт "), source, F.lit(", "), date, F.lit(", с. "), page.cast("string"), F.when(note != "", F.concat(F.lit("; "), note)).otherwise(""), F.lit("]"))
     web = F.concat(text, F.lit(" [Источник: "), source, F.lit(", web]"))
     out = F.when(kind == "report", report).when(kind == "web", web)
@@ -159,12 +162,12 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return li.select("l_orderkey", "l_linenumber", "l_linestatus", source.alias("source_name"), date.alias("date"), F.format_string("%.1f", "l_quantity").alias("q"), F.format_string("%.2f", "l_discount").alias("disc"))
 
 
-def _answers(spark: SparkSession, d: str) -> DataFrame:
-    """A claim an item; open items come from the web, and the order's total closes the answer without a mark, as the question names it for urgent ones."""
+def _answers(spark: SparkSession, d: str, level: Column | None = None) -> DataFrame:
+    """A claim an item, each read directly or at ``level``; open items come from the web, and the order's total closes the answer without a mark, as the question names it for urgent ones."""
     rows = _lines(spark, d)
     text = F.concat(F.lit("объём "), "q", F.lit("\nпри скидке "), F.replace("disc", F.lit("."), F.lit(",")))
     kind = F.when(F.col("l_linestatus") == "O", "web").otherwise("report")
-    made = answer(rows.select("l_orderkey", F.col("l_linenumber").alias("place"), claim(text, kind, F.col("source_name"), F.col("date"), F.col("l_linenumber"), F.lit("direct")).alias("claim")), ["l_orderkey"])
+    made = answer(rows.select("l_orderkey", F.col("l_linenumber").alias("place"), claim(text, kind, F.col("source_name"), F.col("date"), F.col("l_linenumber"), F.lit("direct") if level is None else level).alias("claim")), ["l_orderkey"])
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", F.format_string("%.2f", "o_totalprice").alias("total"))
     rows = made.join(orders, "l_orderkey")
     asked = F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("Верно ли, что "), "total")).otherwise("Что известно")
@@ -178,7 +181,9 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_claims(spark: SparkSession, d: str) -> DataFrame:
-    return _answers(spark, d).select("l_orderkey", F.md5(F.col("answer").cast("binary")).alias("md5"))
+    """Claims of all levels; every third has none."""
+    level = F.when(F.col("l_linenumber") % 3 != 0, F.element_at(F.array(*[F.lit(x) for x in LEVELS]), (F.col("l_linenumber") % 4 + 1).cast("int")))
+    return _answers(spark, d, level).select("l_orderkey", F.md5(F.col("answer").cast("binary")).alias("md5"))
 
 
 def q_citations(spark: SparkSession, d: str) -> DataFrame:
@@ -226,6 +231,7 @@ _BASE = """i AS (SELECT l_orderkey, l_linenumber, l_linestatus, CASE l_returnfla
 _CLAIM = """'объём ' || q || {sep} || 'при скидке ' || replace(disc, '.', ',') || CASE WHEN l_linestatus = 'O' THEN ' [Источник: ' || source_name || ', web]' ELSE ' [Отчёт ' || source_name || ', ' || date || ', с. ' || l_linenumber || {note} || ']' END"""
 _LEVEL = "CASE WHEN l_linenumber % 5 <> 0 AND l_linestatus = 'F' THEN ['direct', 'geometry', 'unchecked', 'disputed'][l_linenumber % 4 + 1] END"
 _NOTE = "CASE WHEN l_linenumber % 5 = 0 THEN '' ELSE ['', '; текст собран по геометрии страницы', '; сверка чтения не выполнялась', '; ⚠ два пути чтения расходятся по цифрам'][l_linenumber % 4 + 1] END"
+_READ = "['', '; текст собран по геометрии страницы', '; сверка чтения не выполнялась', '; ⚠ два пути чтения расходятся по цифрам'][CASE WHEN l_linenumber % 3 = 0 THEN 3 ELSE l_linenumber % 4 + 1 END]"
 _BLOCKS = f"""{_BASE}, n AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INTEGER) AS block FROM i),
   z AS (SELECT l_orderkey, CAST(max(block) + 1 AS INTEGER) AS block FROM n GROUP BY 1)"""
 _STATES = f"""{_BLOCKS}, pg AS (SELECT date, l_linenumber AS page, string_agg(DISTINCT q, '; ' ORDER BY q) AS text FROM i WHERE source_name = 'архив' AND l_linestatus = 'F' GROUP BY 1, 2),
@@ -233,7 +239,7 @@ _STATES = f"""{_BLOCKS}, pg AS (SELECT date, l_linenumber AS page, string_agg(DI
   st AS (SELECT l_orderkey, block, number, CASE WHEN l_linestatus = 'O' THEN 'web' WHEN text IS NULL THEN 'no source' WHEN contains(text, replace(number, ',', '.')) OR contains(text, replace(number, '.', ',')) THEN 'found' ELSE 'missing' END AS state FROM x
     UNION ALL SELECT l_orderkey, block, total, CASE WHEN echo THEN 'echo' ELSE 'bare' END FROM z JOIN t USING (l_orderkey))"""
 SQL = {
-    "claims": f"WITH {_BASE} SELECT l_orderkey, md5(string_agg({_CLAIM.format(sep='chr(10)', note=chr(39) * 2)}, chr(10) || chr(10) ORDER BY l_linenumber) || chr(10) || ' ' || chr(10) || 'всего ' || any_value(total)) AS md5 FROM i JOIN t USING (l_orderkey) GROUP BY 1",
+    "claims": f"WITH {_BASE} SELECT l_orderkey, md5(string_agg({_CLAIM.format(sep='chr(10)', note=_READ)}, chr(10) || chr(10) ORDER BY l_linenumber) || chr(10) || ' ' || chr(10) || 'всего ' || any_value(total)) AS md5 FROM i JOIN t USING (l_orderkey) GROUP BY 1",
     "citations": f"WITH {_BASE} SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INTEGER) AS place, source_name, date, l_linenumber AS first, l_linenumber AS last FROM i JOIN t USING (l_orderkey) WHERE l_linestatus = 'F'",
     "annotated_answers": f"""
       WITH {_BASE} SELECT l_orderkey, md5(string_agg({_CLAIM.format(sep="chr(10)", note=_NOTE)}, chr(10) || chr(10) ORDER BY l_linenumber) || chr(10) || ' ' || chr(10) || 'всего ' || any_value(total)) AS md5,

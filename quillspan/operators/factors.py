@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .forecast import chosen_elasticity, sample_sigma
-from .series import daily_price, t95
+from .series import daily_price, t95, vintages, vintages
 
 #: Rows of the balance table by their number (fixed values of the report's layout).
 ROWS = {0: "production", 10: "consumption", 24: "stock_change", 28: "inventories"}
@@ -46,9 +46,8 @@ def report_factors(cells: DataFrame) -> DataFrame:
 
 
 def latest(observations: DataFrame) -> DataFrame:
-    """One row a quarter: of the latest vintage in which it is actual, else of the latest one."""
-    w = W.partitionBy("quarter_end").orderBy(F.col("actual").desc(), F.col("vintage").desc_nulls_last(), *[F.col(c) for c in sorted(ROWS.values())])
-    return observations.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """One row a quarter: of the latest vintage in which it is actual, else of the latest one, as in ``vintages``."""
+    return vintages(observations, "quarter_end", tuple(sorted(ROWS.values())))
 
 
 def projection_errors(observations: DataFrame) -> DataFrame:
@@ -168,12 +167,12 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, d: str) -> DataFrame:
-    """Quarters of line items as reported four months before to four months after they shipped."""
+    """Quarters of line items as reported four months before to four months after they shipped; some reports have no month."""
     li = table(spark, d, "lineitem")
-    vintage = F.trunc(F.add_months(F.col("l_shipdate").cast("date"), (F.col("l_orderkey") % 9).cast("int") - 4), "month")
+    vintage = F.when(F.col("l_orderkey") % 13 != 0, F.trunc(F.add_months(F.col("l_shipdate").cast("date"), (F.col("l_orderkey") % 9).cast("int") - 4), "month"))
     q = F.last_day(F.add_months(F.date_trunc("quarter", "l_shipdate"), 2))
     rows = li.groupBy(q.alias("quarter_end"), vintage.alias("vintage")).agg(F.sum("l_quantity").alias("production"), F.sum("l_linenumber").cast("double").alias("consumption"))
-    return rows.select("vintage", "quarter_end", (F.col("quarter_end") < F.col("vintage")).alias("actual"), "production", "consumption", F.lit(None).cast("double").alias("stock_change"), F.lit(None).cast("double").alias("inventories"))
+    return rows.select("vintage", "quarter_end", F.coalesce(F.col("quarter_end") < F.col("vintage"), F.lit(False)).alias("actual"), "production", "consumption", F.lit(None).cast("double").alias("stock_change"), F.lit(None).cast("double").alias("inventories"))
 
 
 def q_report(spark: SparkSession, d: str) -> DataFrame:
@@ -227,8 +226,8 @@ _PANEL = """p AS (SELECT p_brand AS key, last_day(CAST(date_trunc('quarter', l_s
   i AS (SELECT *, sum(net) OVER (PARTITION BY key ORDER BY quarter_end ROWS UNBOUNDED PRECEDING) AS inventories FROM p),
   g AS (SELECT * FROM (SELECT key, quarter_end, ln(price) - lag(ln(price)) OVER w AS dP, ln(production) - lag(ln(production)) OVER w AS dS, ln(consumption) - lag(ln(consumption)) OVER w AS dC,
     (inventories - lag(inventories) OVER w) / consumption / 91 AS dI FROM i WHERE consumption IS NOT NULL WINDOW w AS (PARTITION BY key ORDER BY quarter_end)) WHERE dS IS NOT NULL)"""
-_OBS = """o AS (SELECT last_day(CAST(date_trunc('quarter', l_shipdate) AS DATE) + INTERVAL 2 MONTH) AS quarter_end, CAST(date_trunc('month', CAST(l_shipdate AS DATE) + to_months(CAST(l_orderkey % 9 - 4 AS INTEGER))) AS DATE) AS vintage,
-    sum(l_quantity) AS production, CAST(sum(l_linenumber) AS DOUBLE) AS consumption FROM lineitem GROUP BY 1, 2), v AS (SELECT *, quarter_end < vintage AS actual FROM o)"""
+_OBS = """o AS (SELECT last_day(CAST(date_trunc('quarter', l_shipdate) AS DATE) + INTERVAL 2 MONTH) AS quarter_end, CASE WHEN l_orderkey % 13 <> 0 THEN CAST(date_trunc('month', CAST(l_shipdate AS DATE) + to_months(CAST(l_orderkey % 9 - 4 AS INTEGER))) AS DATE) END AS vintage,
+    sum(l_quantity) AS production, CAST(sum(l_linenumber) AS DOUBLE) AS consumption FROM lineitem GROUP BY 1, 2), v AS (SELECT *, coalesce(quarter_end < vintage, FALSE) AS actual FROM o)"""
 #: The quantiles at the degrees of freedom that the tables lead to, beside the normal one (fixed values).
 _T = "CASE {n} - 2 WHEN 4 THEN 2.776 WHEN 18 THEN 2.101 WHEN 19 THEN 2.093 WHEN 20 THEN 2.086 WHEN 21 THEN 2.086 WHEN 22 THEN 2.086 WHEN 23 THEN 2.060 WHEN 24 THEN 2.060 WHEN 25 THEN 2.060 WHEN 26 THEN 2.060 WHEN 27 THEN 2.060 END"
 _SE = "sqrt(greatest(regr_syy({y}, dS) - regr_sxy({y}, dS) ** 2 / regr_sxx({y}, dS), 0) / (count(*) - 2) / regr_sxx({y}, dS))"
@@ -249,7 +248,7 @@ SQL = {
       c AS (SELECT *, CASE WHEN x % 7 = 0 THEN NULL WHEN k = 3 THEN -x ELSE x END AS z FROM s)
       SELECT '/in/REPORT_' || y || '-0' || v || '.pdf' AS path, make_date(y, v, 1) AS vintage, quarter_end, quarter_end < make_date(y, v, 1) AS actual, max(z) FILTER (WHERE k = 1) AS production,
         max(z) FILTER (WHERE k = 2) AS consumption, max(z) FILTER (WHERE k = 3) AS stock_change, max(z) FILTER (WHERE k = 4) AS inventories FROM c GROUP BY 1, 2, 3, 4""",
-    "latest_factors": f"WITH {_OBS} SELECT quarter_end, vintage, actual, production, consumption FROM v QUALIFY row_number() OVER (PARTITION BY quarter_end ORDER BY actual DESC, vintage DESC) = 1",
+    "latest_factors": f"WITH {_OBS} SELECT quarter_end, vintage, actual, production, consumption FROM v QUALIFY row_number() OVER (PARTITION BY quarter_end ORDER BY actual DESC, vintage DESC NULLS FIRST, consumption) = 1",
     "projection_errors": f"""
       WITH {_OBS}, t AS (SELECT quarter_end, arg_max(production, vintage) AS truth FROM v WHERE actual GROUP BY 1)
       SELECT count(*) AS n, round(stddev_samp(ln(truth) - ln(production)), 6) AS sigma FROM v JOIN t USING (quarter_end) WHERE NOT actual AND quarter_end - vintage <= 120""",

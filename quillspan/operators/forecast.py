@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .series import band, daily_value, fit_alpha, horizon_elasticity, multiplier
+from ..sources.tables import on_workers, table
+from .series import MIN_FIT, band, daily_value, fit_alpha, horizon_elasticity, multiplier
 
 ALPHA = 0.3  # of a series too short for a fit
 WORLD_SUPPLY = 102.0  # million barrels a day
@@ -54,44 +59,107 @@ def forecast(series: DataFrame, key: list[str], horizon: int) -> DataFrame:
     return rows.select(*key, F.date_add("last", F.col("h")).alias("date"), F.col("level").alias("forecast"), low.alias("lower"), high.alias("upper"), "alpha", "fitted", "sigma", "n")
 
 
-def arma_errors(changes: Column, phi: Column, theta: Column) -> Column:
-    """d and e, the last change and error, and sse of a model of changes on their predecessor and its error; errors before the first are 0."""
-    zero = F.lit(0.0)
-    seed = F.struct(F.element_at(changes, 1).alias("d"), zero.alias("e"), zero.alias("sse"))
-
-    def step(a: Column, d: Column) -> Column:
-        e = d - phi * a["d"] - theta * a["e"]
-        return F.struct(d.alias("d"), e.alias("e"), (a["sse"] + e * e).alias("sse"))
-
-    return F.aggregate(F.slice(changes, F.lit(2), F.greatest(F.size(changes) - 1, F.lit(0))), seed, step)
-
-
-GRID = [round(-0.9 + 0.1 * i, 1) for i in range(19)]
+SHORTEST, EDGE, ROUNDS, POINTS, WIDEST, FINE = 10, 0.98, 20, 4, 0.96, 0.004  # values of a model at least; the search: bound, rounds, points to a side, first and last half width
+
+
+def innovations(x: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> dict[str, np.ndarray]:
+    """The exact Gaussian likelihood of an ARMA(1, 1) model of ``x``, for many coefficients at once: what is lost (the likelihood with the best
+    variance, to be least), var, and the next value that is expected. One pass carries the expectation and its variance, as a Kalman filter does."""
+    r = (1 + 2 * phi * theta + theta * theta) / (1 - phi * phi)
+    ahead, ss, logs = np.zeros_like(phi), np.zeros_like(phi), np.zeros_like(phi)
+    for value in x:
+        e = value - ahead
+        ss, logs = ss + e * e / r, logs + np.log(r)
+        ahead, r = phi * value + theta / r * e, 1 + theta * theta - theta * theta / r
+    var = ss / len(x)
+    return {"lost": len(x) * np.log(np.maximum(var, 1e-300)) + logs, "var": var, "next": ahead}
+
+
+def likeliest(x: np.ndarray) -> tuple[float, float, bool]:
+    """phi, theta and whether the search ended: nine values of each around the best so far, half as far apart in each round, or moved where the best lies at their edge."""
+    p = t = 0.0
+    half, inside = WIDEST, False
+    for _ in range(ROUNDS):
+        steps = half / POINTS * np.arange(-POINTS, POINTS + 1)
+        phi, theta = (g.ravel() for g in np.meshgrid(np.round(p + steps, 6), np.round(t + steps, 6), indexing="ij"))
+        ok = (abs(phi) <= EDGE) & (abs(theta) <= EDGE)
+        phi, theta = phi[ok], theta[ok]
+        best = np.lexsort((theta, phi, np.round(innovations(x, phi, theta)["lost"], 9)))[0]
+        inside = bool(max(abs(phi[best] - p), abs(theta[best] - t)) < half - 1e-9)
+        p, t = float(phi[best]), float(theta[best])
+        if inside:
+            if half < FINE:
+                return p, t, True
+            half /= 2
+    return p, t, False
+
+
+def _arima_rows(key: list[str], horizon: int):
+    names = [*key, "date", "forecast", "lower", "upper", "phi", "theta", "converged", "in_logs", "sigma", "n"]
+
+    def run(series: pa.Table) -> pa.Table:
+        rows = sorted(zip(series["date"].to_pylist(), series["close"].to_pylist()))
+        values = np.array([c for _, c in rows], float)
+        logs = bool(values.min() > 0)
+        y = np.log(values) if logs else values
+        x = np.diff(y)
+        phi, theta, converged = likeliest(x)
+        at = innovations(x, np.array([phi]), np.array([theta]))
+        back = [innovations(x[:i], np.array([phi]), np.array([theta]))["next"][0] if i else 0.0 for i in range(len(x))]
+        told = y[:-1] + np.array(back)
+        left = values[1:] - (np.exp(told) if logs else told)
+        j = np.arange(horizon)
+        weight = 1 + (phi + theta) * (1 - phi**j) / (1 - phi)
+        wide = 1.96 * np.sqrt(at["var"][0] * np.cumsum(weight**2))
+        level = y[-1] + at["next"][0] * (1 - phi ** (j + 1)) / (1 - phi)
+        out = [np.exp(v) if logs else v for v in (level, level - wide, level + wide)]
+        n = len(j)
+        columns = [*(series[k].slice(0, 1).take(pa.array([0] * n)) for k in key), pa.array([rows[-1][0] + timedelta(int(i) + 1) for i in j], pa.date32()), *(pa.array(v) for v in out)]
+        columns += [pa.array([c] * n) for c in (phi, theta, converged, logs, float(left.std(ddof=1)))] + [pa.array([len(values)] * n, pa.int64())]
+        return pa.table(dict(zip(names, columns)))
+
+    return run
 
 
 def arima(series: DataFrame, key: list[str], horizon: int) -> DataFrame:
-    """(key, date, forecast, lower, upper, phi, theta) of an ARIMA(1, 1, 1) model of log prices for the ``horizon`` days after each series (date, close).
+    """(key, date, forecast, lower, upper, phi, theta, converged, in_logs, sigma, n): an ARIMA(1, 1, 1) model by maximum likelihood, for the ``horizon`` days after each series (date, close).
 
-    Both coefficients come from a grid of tenths, by the smallest sum of squared one-step errors; of equal ones the smallest. The 95 % interval adds
-    up the weights of past errors. Series of fewer than ten positive values have no forecast.
+    It is fitted to log prices, or to prices where one is not positive; ``sigma`` is the deviation of its one-step errors in prices. A search that
+    has not ended says so in ``converged``. Series of fewer than ten values, or of equal ones, have no model. A series is one group: as long as its days.
     """
     if horizon < 1:
         raise ValueError("the horizon is at least one day")
-    v = F.transform(F.array_sort(F.collect_list(F.struct("date", "close"))), lambda x: x["close"])
-    held = series.groupBy(*key).agg(F.max("date").alias("last"), v.alias("v")).where((F.size("v") >= 10) & (F.array_min("v") > 0))
-    logs = F.transform("v", lambda x: F.log(x))
-    held = held.select(*key, "last", F.element_at(logs, -1).alias("y"), F.zip_with(F.expr("slice(v, 2, size(v) - 1)"), F.expr("slice(v, 1, size(v) - 1)"), lambda a, b: F.log(a) - F.log(b)).alias("c"))
-    grid = held.withColumn("phi", F.explode(F.array(*[F.lit(x) for x in GRID]))).withColumn("theta", F.explode(F.array(*[F.lit(x) for x in GRID])))
-    tried = grid.withColumn("s", arma_errors(F.col("c"), F.col("phi"), F.col("theta")))
-    best = tried.groupBy(*key).agg(F.min(F.struct(F.round("s.sse", 12).alias("o"), "phi", "theta", "s", "y", "last", F.size("c").alias("n"))).alias("b")).select(*key, "b.*")
-    one = F.col("phi") * F.col("s.d") + F.col("theta") * F.col("s.e")  # the change after the last
-    power = lambda j: (1 - F.pow("phi", j)) / (1 - F.col("phi"))  # noqa: E731  1 + phi + ... + phi^(j - 1)
-    rows = best.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-    weight = lambda j: 1 + (F.col("phi") + F.col("theta")) * power(j)
-    spread = F.aggregate(F.sequence(F.lit(0), F.col("h") - 1), F.lit(0.0), lambda a, j: a + weight(j) * weight(j))
-    wide = 1.96 * F.sqrt(F.col("s.sse") / (F.col("n") - 1) * spread)
-    y = F.col("y") + one * power(F.col("h"))
-    return rows.select(*key, F.date_add("last", F.col("h")).alias("date"), F.exp(y).alias("forecast"), F.exp(y - wide).alias("lower"), F.exp(y + wide).alias("upper"), "phi", "theta")
+    on_workers(series.sparkSession)
+    fit = fitness(series, key).where("reason = ''").select(*key)
+    rows = series.select(*key, F.col("date").cast("date").alias("date"), F.col("close").cast("double").alias("close")).join(fit, key, "left_semi")
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in key), "date date, forecast double, lower double, upper double, phi double, theta double, converged boolean, in_logs boolean, sigma double, n long"])
+    return rows.groupBy(*key).applyInArrow(_arima_rows(key, horizon), schema)
+
+
+def fitness(series: DataFrame, key: list[str]) -> DataFrame:
+    """(key, reason): why a series has no ARIMA model, or nothing."""
+    few = F.when(F.count("close") < SHORTEST, F.concat(F.lit("only "), F.count("close").cast("string"), F.lit(f" of {SHORTEST} values")))
+    return series.groupBy(*key).agg(F.coalesce(few, F.when(F.min("close") == F.max("close"), "all values are equal"), F.lit("")).alias("reason"))
+
+
+#: Methods of forecasting by name: each takes (series, key, horizon) and gives (key, date, forecast, lower, upper, sigma, n).
+METHODS = {"ses": forecast, "arima": arima}
+
+
+def by_method(series: DataFrame, key: list[str], horizon: int, method: str = "auto") -> DataFrame:
+    """(key, date, forecast, lower, upper, sigma, n, method, reason) by a method of METHODS. ``auto`` prefers ARIMA; where it has no model, smoothing
+    takes its place and ``reason`` says why. A method that is asked for by name is never replaced; an unknown one is an error."""
+    shared = [*key, "date", "forecast", "lower", "upper", "sigma", "n"]
+    if method != "auto":
+        if method not in METHODS:
+            raise ValueError(f"no method of this name: {method}")
+        return METHODS[method](series, key, horizon).select(*shared, F.lit(method).alias("method"), F.lit("").alias("reason"))
+    why = fitness(series, key)
+    first = arima(series, key, horizon).select(*shared, F.lit("arima").alias("method"), F.lit("").alias("reason"))
+    rest = series.join(why.where("reason <> ''").select(*key), key, "left_semi")
+    other = forecast(rest, key, horizon).join(why, key).select(*shared, F.lit("ses").alias("method"), "reason")
+    return first.unionByName(other)
 
 
 def chosen_elasticity(measured: DataFrame, literature: float = ELASTICITY) -> DataFrame:
@@ -100,15 +168,49 @@ def chosen_elasticity(measured: DataFrame, literature: float = ELASTICITY) -> Da
     return measured.select("key", F.when(good, F.col("value")).otherwise(F.lit(literature)).alias("elasticity"), good.alias("measured"))
 
 
+#: All alphas that the two grids of a fit can lead to; every fifth is of the coarse one.
+LATTICE = np.round(0.05 + 0.01 * np.arange(91), 2)
+
+
+def _back_test(key: list[str], first: int, horizon: int, step: int):
+    """One pass over a series with the errors of all alphas: after each value both grids are read off, as if the series ended there."""
+
+    def run(series: pa.Table) -> pa.Table:
+        v = np.array([c for _, c in sorted(zip(series["date"].to_pylist(), series["close"].to_pylist()))], float)
+        logs = np.log(np.where(v > 0, v, 1.0))
+        level, log_level = np.full(91, v[0]), np.full(91, logs[0])
+        sse, log_s, log_ss = np.zeros(91), np.zeros(91), np.zeros(91)
+        windows = inside = 0
+        for n in range(1, len(v) - horizon):
+            if n > 1:
+                e, f = v[n - 1] - level, logs[n - 1] - log_level
+                sse, log_s, log_ss = sse + e * e, log_s + f, log_ss + f * f
+                level, log_level = level + LATTICE * e, log_level + LATTICE * f
+            if n < first or (n - first) % step:
+                continue
+            at = int(np.flatnonzero(LATTICE == ALPHA)[0])
+            if n >= MIN_FIT:
+                rmse = np.round(np.sqrt(sse / max(n - 1, 1)), 9)
+                coarse = 5 * int(rmse[::5].argmin())
+                low = max(coarse - 4, 0)
+                at = low + int(rmse[low : coarse + 5].argmin())
+            k = n - 1
+            sigma = np.sqrt(max((log_ss[at] - log_s[at] ** 2 / k) / (k - 1), 0.0)) if k >= 2 and v[:n].min() > 0 else 0.0
+            wide = 1.96 * sigma * np.sqrt(horizon)
+            windows += 1
+            inside += int(level[at] * np.exp(-wide) <= v[n + horizon - 1] <= level[at] * np.exp(wide))
+        return pa.table({**{k: series[k].slice(0, 1) for k in key}, "windows": pa.array([windows], pa.int64()), "inside": pa.array([inside], pa.int64())})
+
+    return run
+
+
 def coverage(series: DataFrame, key: list[str], first: int, horizon: int, step: int = 1) -> DataFrame:
-    """(key, windows, inside, share): of forecasts made after ``first`` values, and each ``step`` values on, how many hold the value ``horizon`` days later."""
-    held = series.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "close"))), lambda x: x["close"]).alias("all"))
-    cuts = held.where(F.size("all") - horizon > first).withColumn("cut", F.explode(F.sequence(F.lit(first), F.size("all") - horizon - 1, F.lit(step))))
-    cuts = cuts.select(*key, "cut", F.element_at("all", F.col("cut") + horizon).alias("actual"), F.slice("all", F.lit(1), F.col("cut")).alias("v"))
-    alpha = fit_alpha(cuts.select(*key, "cut", F.posexplode("v").alias("date", "close")), [*key, "cut"]).select(*key, "cut", "alpha")
-    done = smoothing(cuts.join(alpha, [*key, "cut"]), F.coalesce("alpha", F.lit(ALPHA)))
-    low, high = band(F.col("level"), F.col("log_sigma"), F.lit(horizon))
-    return done.groupBy(*key).agg(F.count("*").alias("windows"), F.count_if(F.col("actual").between(low, high)).alias("inside")).withColumn("share", F.col("inside") / F.col("windows"))
+    """(key, windows, inside, share): of forecasts made after ``first`` values, and each ``step`` values on, how many hold the value ``horizon`` days later. Each series is read once."""
+    on_workers(series.sparkSession)
+    rows = series.select(*key, "date", F.col("close").cast("double").alias("close"))
+    kinds = dict(rows.dtypes)
+    done = rows.groupBy(*key).applyInArrow(_back_test(key, first, horizon, step), ", ".join([*(f"`{k}` {kinds[k]}" for k in key), "windows long, inside long"])).where("windows > 0")
+    return done.withColumn("share", F.col("inside") / F.col("windows"))
 
 
 def under_scenario(rows: DataFrame, change: Column, days: Column, edge: float = ELASTICITY_EDGE) -> DataFrame:
@@ -134,9 +236,16 @@ def second_opinion(mine: DataFrame, theirs: DataFrame, key: list[str]) -> DataFr
 
 
 def staleness(last: Column, today: Column, limit: int = STALE_DAYS) -> Column:
-    """Days that a series lags if they are more than the limit; null if it is fresh or no limit is set."""
-    behind = F.date_diff(today, last)
-    return F.when(F.lit(limit) > 0, F.when(behind > limit, behind))
+    """behind and note of the date, a text, on which a series ends: the days that it lags if they are more than the limit, and what to say of it.
+
+    A date that cannot be read is told, as nobody knows how old it is; a fresh one, or no limit, gives an empty note.
+    """
+    day = F.try_to_date(last)
+    behind = F.when(F.date_diff(today, day) > limit, F.date_diff(today, day))
+    late = F.when(behind.isNotNull(), F.concat(behind.cast("string"), F.lit(" days behind")))
+    note = F.when(day.isNull(), F.concat(F.lit("no date: "), F.coalesce(last, F.lit("none")))).otherwise(F.coalesce(late, F.lit("")))
+    on = F.lit(limit > 0)
+    return F.struct(F.when(on, behind).alias("behind"), F.when(on, note).otherwise("").alias("note"))
 
 
 def q_forecast(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +254,16 @@ def q_forecast(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_arima(spark: SparkSession, d: str) -> DataFrame:
-    return arima(daily_value(spark, d), ["event_type"], 7).select("event_type", "date", *[F.round(c, 5).alias(c) for c in ("forecast", "lower", "upper")], "phi", "theta")
+    out = arima(daily_value(spark, d), ["event_type"], 7)
+    return out.select("event_type", "date", *[F.round(c, 3).alias(c) for c in ("forecast", "lower", "upper", "phi", "theta")], "converged", "in_logs", "n")
+
+
+def q_methods(spark: SparkSession, d: str) -> DataFrame:
+    """The method of each user's days and why: users of few days, or of the same value on each, have no ARIMA model."""
+    e = table(spark, d, "events").select("user_id", F.to_date("ts").alias("date"), F.when(F.col("user_id") % 9 == 0, F.lit(5.0)).otherwise(F.col("value")).alias("close"))
+    rows = e.where("user_id % 5 <> 0 OR day(date) % 5 = 0").groupBy("user_id", "date").agg(F.max("close").alias("close"))
+    out = by_method(rows, ["user_id"], 2)
+    return out.groupBy("user_id", "method", "reason").agg(F.max("n").alias("n"), F.min("date").alias("from"), F.count("*").alias("days"))
 
 
 def q_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -168,12 +286,11 @@ def q_second(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_stale(spark: SparkSession, d: str) -> DataFrame:
-    """Users whose last event lies more than a week before the last of all."""
-    from ..sources.tables import table
-
+    """Users whose last event lies more than a week before the last of all; some days are no days, some are missing."""
     e = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"))
     rows = e.groupBy("user_id").agg(F.max("day").alias("last_day")).crossJoin(F.broadcast(e.agg(F.max("day").alias("today"))))
-    return rows.select("user_id", "last_day", staleness(F.col("last_day"), F.col("today")).alias("behind"))
+    last = F.when(F.col("user_id") % 10 == 3, F.date_format("last_day", "yyyy-MM-99")).when(F.col("user_id") % 10 != 7, F.col("last_day").cast("string"))
+    return rows.select("user_id", last.alias("last_day"), F.col("today")).select("user_id", "last_day", staleness(F.col("last_day"), F.col("today")).alias("s")).select("user_id", "last_day", "s.*")
 
 
 _LEVELS = "[list_reduce(v[1:i], lambda x, y: alpha * y + (1 - alpha) * x) FOR i IN range(1, len(v) + 1)]"
@@ -198,16 +315,38 @@ _ROWS = f"""{_SERIES}, {fit_sql("event_type", "v")}, {_SMOOTH},
   b AS (SELECT p.event_type, p.last, p.alpha, p.fitted, p.lv[len(p.v)] AS level, p.sd AS sigma, len(p.v) AS n, q.sd AS ls FROM sg p JOIN sg q USING (event_type) WHERE p.kind = 'plain' AND q.kind = 'log'),
   o AS (SELECT event_type, CAST(last + h AS DATE) AS date, level AS forecast, level * exp(-1.96 * ls * sqrt(h)) AS lower, level * exp(1.96 * ls * sqrt(h)) AS upper, sigma, alpha, fitted, n, h FROM b, (SELECT CAST(unnest(range(1, 11)) AS INTEGER) AS h))"""
 _M = "pow(1 + {x} / 102.0, 1 / {e})"
+
+
+def _arima_sql() -> str:
+    """The search for the likeliest coefficients, round by round: candidates (c), their likelihood (l), and the best with its next half width (b)."""
+    zero = "CAST(0 AS DOUBLE)"
+    walk = """list_reduce(list_prepend({'v': CAST(0 AS DOUBLE), 'a': CAST(0 AS DOUBLE), 'r': (1 + 2 * phi * theta + theta * theta) / (1 - phi * phi), 's': CAST(0 AS DOUBLE), 'l': CAST(0 AS DOUBLE)}, x),
+      lambda w, z: {'v': z.v, 'a': phi * z.v + theta / w.r * (z.v - w.a), 'r': 1 + theta * theta - theta * theta / w.r, 's': w.s + (z.v - w.a) ** 2 / w.r, 'l': w.l + ln(w.r)})"""
+    steps = [
+        f"""x AS MATERIALIZED (SELECT event_type, last, len(v) AS n, ln(v[len(v)]) AS y, [{{'v': ln(v[i]) - ln(v[i - 1]), 'a': {zero}, 'r': {zero}, 's': {zero}, 'l': {zero}}} FOR i IN range(2, len(v) + 1)] AS x FROM v WHERE len(v) >= {SHORTEST})""",
+        f"b0 AS MATERIALIZED (SELECT event_type, {zero} AS p, {zero} AS t, CAST({WIDEST} AS DOUBLE) AS half, FALSE AS done FROM x)",
+    ]
+    for n in range(ROUNDS):
+        steps += [
+            f"""c{n} AS (SELECT event_type, p, t, half, done, phi, round(t + half / {POINTS} * j, 6) AS theta FROM (SELECT *, round(p + half / {POINTS} * unnest(range(-{POINTS}, {POINTS + 1})), 6) AS phi FROM b{n}), range(-{POINTS}, {POINTS + 1}) k(j) WHERE abs(phi) <= {EDGE} AND abs(round(t + half / {POINTS} * j, 6)) <= {EDGE} AND NOT done)""",
+            f"l{n} AS (SELECT c.*, {walk} AS w, len(x) AS m FROM c{n} c JOIN x USING (event_type))",
+            f"""b{n + 1} AS MATERIALIZED (SELECT event_type, phi AS p, theta AS t, CASE WHEN greatest(abs(phi - p), abs(theta - t)) < half - 1e-9 AND half >= {FINE} THEN half / 2 ELSE half END AS half,
+              greatest(abs(phi - p), abs(theta - t)) < half - 1e-9 AND half < {FINE} AS done FROM l{n} QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY round(m * ln(greatest(w.s / m, 1e-300)) + w.l, 9), phi, theta) = 1
+              UNION ALL SELECT * FROM b{n} WHERE done)""",
+        ]
+    return f"""WITH {_SERIES}, {", ".join(steps)}, f AS (SELECT event_type, last, n, y, p AS phi, t AS theta, done, x FROM b{ROUNDS} JOIN x USING (event_type)), g AS (SELECT *, {walk} AS w FROM f),
+      h AS (SELECT *, (1 - phi ** h) / (1 - phi) AS k, list_sum([(1 + (phi + theta) * (1 - phi ** j) / (1 - phi)) ** 2 FOR j IN range(0, h)]) AS u FROM g, (SELECT CAST(unnest(range(1, 8)) AS INTEGER) AS h)),
+      o AS (SELECT *, y + w.a * k AS m, 1.96 * sqrt(w.s / (n - 1) * u) AS e FROM h)
+      SELECT event_type, CAST(last + h AS DATE) AS date, round(exp(m), 3) AS forecast, round(exp(m - e), 3) AS lower, round(exp(m + e), 3) AS upper, round(phi, 3) AS phi, round(theta, 3) AS theta, done AS converged, TRUE AS in_logs, n FROM o"""
+
+
 SQL = {
     "forecast_rows": f"WITH {_ROWS} SELECT event_type, date, round(forecast, 6) AS forecast, round(lower, 6) AS lower, round(upper, 6) AS upper, round(sigma, 6) AS sigma, alpha, fitted, n FROM o",
-    "arima_rows": f"""
-      WITH {_SERIES}, c AS (SELECT event_type, last, ln(v[len(v)]) AS y, [{{'d': ln(v[i]) - ln(v[i - 1]), 'e': CAST(0 AS DOUBLE), 's': CAST(0 AS DOUBLE)}} FOR i IN range(2, len(v) + 1)] AS c FROM v WHERE len(v) >= 10),
-      g AS (SELECT *, unnest([round(-0.9 + 0.1 * i, 1) FOR i IN range(0, 19)]) AS phi FROM c), t AS (SELECT *, unnest([round(-0.9 + 0.1 * i, 1) FOR i IN range(0, 19)]) AS theta FROM g),
-      f AS (SELECT *, list_reduce(c, lambda a, x: {{'d': x.d, 'e': x.d - phi * a.d - theta * a.e, 's': a.s + (x.d - phi * a.d - theta * a.e) ** 2}}) AS r FROM t),
-      b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY round(r.s, 12), phi, theta) = 1),
-      h AS (SELECT *, (1 - phi ** h) / (1 - phi) AS p, list_sum([(1 + (phi + theta) * (1 - phi ** j) / (1 - phi)) ** 2 FOR j IN range(0, h)]) AS w FROM b, (SELECT CAST(unnest(range(1, 8)) AS INTEGER) AS h)),
-      o AS (SELECT event_type, CAST(last + h AS DATE) AS date, y + (phi * r.d + theta * r.e) * p AS m, 1.96 * sqrt(r.s / (len(c) - 1) * w) AS e, phi, theta FROM h)
-      SELECT event_type, date, round(exp(m), 5) AS forecast, round(exp(m - e), 5) AS lower, round(exp(m + e), 5) AS upper, CAST(phi AS DOUBLE) AS phi, CAST(theta AS DOUBLE) AS theta FROM o""",
+    "arima_rows": _arima_sql(),
+    "forecast_methods": """
+      WITH r AS (SELECT user_id, CAST(ts AS DATE) AS date, max(CASE WHEN user_id % 9 = 0 THEN 5.0 ELSE value END) AS close FROM events WHERE user_id % 5 <> 0 OR day(ts) % 5 = 0 GROUP BY 1, 2),
+      g AS (SELECT user_id, count(*) AS n, max(date) AS last, CASE WHEN count(*) < 10 THEN 'only ' || count(*) || ' of 10 values' WHEN min(close) = max(close) THEN 'all values are equal' ELSE '' END AS reason FROM r GROUP BY 1)
+      SELECT user_id, CASE WHEN reason = '' THEN 'arima' ELSE 'ses' END AS method, reason, n, CAST(last + 1 AS DATE) AS "from", CAST(2 AS BIGINT) AS days FROM g WHERE n > 1""",
     "band_coverage": f"""
       WITH {_SERIES}, k AS (SELECT event_type, cut, v[1:cut] AS v, v[cut + 3] AS actual FROM (SELECT *, unnest(range(8, len(v) - 3)) AS cut FROM v)), {fit_sql("event_type, cut", "k")}, {_SMOOTH},
       b AS (SELECT p.event_type, p.actual, p.lv[len(p.v)] AS level, q.sd AS ls FROM sg p JOIN sg q USING (event_type, cut) WHERE p.kind = 'plain' AND q.kind = 'log'),
@@ -221,7 +360,9 @@ SQL = {
       WITH {_ROWS}, n AS (SELECT event_type, arg_max(close, date) AS theirs FROM s GROUP BY 1)
       SELECT event_type, round(forecast, 6) AS mine, round(theirs, 6) AS theirs, round((theirs - forecast) / forecast * 100, 6) AS gap FROM o JOIN n USING (event_type) WHERE h = 5""",
     "stale_series": """
-      WITH u AS (SELECT user_id, CAST(max(ts) AS DATE) AS last_day FROM events GROUP BY 1), t AS (SELECT CAST(max(ts) AS DATE) AS today FROM events)
-      SELECT user_id, last_day, CASE WHEN date_diff('day', last_day, today) > 7 THEN date_diff('day', last_day, today) END AS behind FROM u, t""",
+      WITH u AS (SELECT user_id, CAST(max(ts) AS DATE) AS day FROM events GROUP BY 1), t AS (SELECT CAST(max(ts) AS DATE) AS today FROM events),
+      b AS (SELECT user_id, day, CASE WHEN user_id % 10 NOT IN (3, 7) AND date_diff('day', day, today) > 7 THEN date_diff('day', day, today) END AS behind FROM u, t)
+      SELECT user_id, CASE user_id % 10 WHEN 3 THEN strftime(day, '%Y-%m-99') WHEN 7 THEN NULL ELSE CAST(day AS VARCHAR) END AS last_day, behind,
+        CASE user_id % 10 WHEN 3 THEN 'no date: ' || strftime(day, '%Y-%m-99') WHEN 7 THEN 'no date: none' ELSE coalesce(behind || ' days behind', '') END AS note FROM b""",
 }
-QUERIES = {"arima_rows": q_arima, "forecast_rows": q_forecast, "band_coverage": q_coverage, "scenario_range": q_range, "second_opinion": q_second, "stale_series": q_stale}
+QUERIES = {"arima_rows": q_arima, "forecast_methods": q_methods, "forecast_rows": q_forecast, "band_coverage": q_coverage, "scenario_range": q_range, "second_opinion": q_second, "stale_series": q_stale}

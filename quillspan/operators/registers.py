@@ -37,9 +37,12 @@ def subjects(rows: DataFrame, key: list[str], tags: dict[str, list[str]]) -> Dat
 
 
 def tag_summary(rows: DataFrame, group: list[str]) -> DataFrame:
-    """records, untagged, the median and the most of tags a record, by group."""
-    n = F.size("tags")
-    return rows.groupBy(*group).agg(F.count("*").alias("records"), F.count_if(n == 0).alias("untagged"), F.median(n).alias("median_tags"), F.max(n).alias("most_tags"))
+    """records, untagged, the median and the most of tags a record, by group; of an even number of records the upper of the two in the middle is the median."""
+    often = rows.groupBy(*group, F.size("tags").alias("n")).agg(F.count("*").alias("times"))
+    w = W.partitionBy(*group)
+    placed = often.withColumns({"upto": F.sum("times").over(w.orderBy("n").rowsBetween(W.unboundedPreceding, 0)), "all": F.sum("times").over(w)})
+    middle = F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("n")))
+    return placed.groupBy(*group).agg(F.sum("times").alias("records"), F.sum(F.when(F.col("n") == 0, F.col("times")).otherwise(0)).alias("untagged"), middle.alias("median_tags"), F.max("n").alias("most_tags"))
 
 
 def upsert(points: DataFrame, new: DataFrame, dimension: int) -> DataFrame:
@@ -152,7 +155,7 @@ SQL = {
     "register_records": f"""
       WITH {_PART} SELECT p_brand, 'Р-' || p_partkey AS number, p_name AS title, md5('intro gear' || chr(10) || '**Задача.** Make ' || task || chr(10) || '**Обоснование.** widget ring' || chr(10) || '**Выбранная альтернатива.** ' || pick) AS body FROM p""",
     "record_subjects": f"WITH {_PART} SELECT 'Р-' || p_partkey AS number, tags FROM g",
-    "tag_summary": f"WITH {_PART} SELECT p_brand, count(*) AS records, count(*) FILTER (WHERE n = 0) AS untagged, median(n) AS median_tags, CAST(max(n) AS INTEGER) AS most_tags FROM g GROUP BY 1",
+    "tag_summary": f"WITH {_PART} SELECT p_brand, count(*) AS records, count(*) FILTER (WHERE n = 0) AS untagged, CAST(list_sort(list(n))[count(*) // 2 + 1] AS INTEGER) AS median_tags, CAST(max(n) AS INTEGER) AS most_tags FROM g GROUP BY 1",
     "vector_upsert": """
       SELECT vec_id AS id, round(CAST(CASE WHEN vec_id % 7 = 0 THEN embedding[64] ELSE embedding[1] END AS DOUBLE), 6) AS first, CASE WHEN vec_id % 7 = 0 THEN label + 100 ELSE label END AS payload FROM embeddings
       UNION ALL SELECT vec_id + 1000000, round(CAST(embedding[64] AS DOUBLE), 6), label + 100 FROM embeddings WHERE vec_id % 7 = 0""",

@@ -128,9 +128,9 @@ def multiplier(share: Column, elasticity: Column) -> Column:
     return F.when(good, F.pow(1 + share, 1 / elasticity)).otherwise(F.raise_error(F.lit("elasticity must be negative and supply positive")))
 
 
-def vintages(rows: DataFrame, key: str) -> DataFrame:
-    """One row a key: the latest actual value, else the latest projection; a null vintage counts as the latest."""
-    w = W.partitionBy(key).orderBy(F.col("actual").desc(), F.col("vintage").desc_nulls_first(), F.col("value"))
+def vintages(rows: DataFrame, key: str, ties: tuple[str, ...] = ("value",)) -> DataFrame:
+    """One row a key: the latest actual value, else the latest projection; a null vintage counts as the latest. Of one vintage the smallest of ``ties`` is taken."""
+    w = W.partitionBy(key).orderBy(F.col("actual").desc(), F.col("vintage").desc_nulls_first(), *ties)
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
