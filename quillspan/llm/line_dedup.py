@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from .components import ends
 from .shared import marked, maybe_in, stored, table
 
-MIN_CHARS = 20  # shorter lines have no variants: one edit changes what they say
 BROADCAST_ROWS = 200_000  # of codes or keys (about 10 MB); beyond it the same join is shuffled
 BROADCAST_BYTES = 32 << 20  # of line numbers to drop; beyond it the documents that may have some are shuffled
 U = np.uint64
@@ -63,8 +62,8 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.arange(n, dtype=np.int32)
             same = at[(n // 2 if not m & 2 else 0) : (n if m & 1 else n // 2)] if m & 3 else at[:0]
             cut = at[((n - 1) // 2 if not m & 8 else 0) : (n if m & 4 else (n - 1) // 2 + 1)] if m & 12 else at[:0]
-            whole = [left[n] + U(n) * U(0xD6E8FEB8 << 16)] if m & 3 else []
-            keys += [np.array(whole, U), gone[same], gone[cut]]
+            whole = left[n:] + U(n * (0xD6E8FEB8 << 16) & (1 << 64) - 1) if m & 3 else left[:0]
+            keys += [whole, gone[same], gone[cut]]
             places += [np.full(len(whole), WHOLE, np.int32), same, np.full(len(cut), SHORTER, np.int32)]
             owners += [np.full(len(whole) + len(same) + len(cut), i)]
             held += len(owners[-1])
@@ -105,16 +104,16 @@ def _near(lines: DataFrame, hashes: DataFrame, distinct: DataFrame) -> DataFrame
     return near.groupBy("x").agg(F.min("y").alias("y")).select("x.doc_id", "x.line_no", F.col("y.doc_id").alias("keep_doc_id"), F.col("y.line_no").alias("keep_line_no"))
 
 
-def dropped_lines(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
+def dropped_lines(docs: DataFrame, shortest: int = 1, edited: int = 1) -> DataFrame:
     """(doc_id, line_no, keep_doc_id, keep_line_no, end_doc_id, end_line_no) of every line that goes.
 
     A line goes if an equal line, or one within a single inserted, deleted or changed character,
     stands earlier (by document id, then line number); keep names the earliest such line. That line may itself go for a still
     earlier one: end names the line at which this chain ends, which stays. Equality is of lines without white space at
-    their ends, told by 128 bits of hash. Lines of fewer than 20 characters go for equal ones only, those of fewer than ``shortest`` never.
+    their ends, told by 128 bits of hash. Lines of fewer than ``edited`` characters, if more than 1 is asked for, go for equal ones only, those of fewer than ``shortest`` never.
     """
     lines = _lines(docs, shortest)
-    hashes = lines.withColumn("n", F.length("line")).select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit("2")).alias("h2"), F.when(F.col("n") >= MIN_CHARS, F.expr(HALVES)).alias("halves"))
+    hashes = lines.withColumn("n", F.length("line")).select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit("2")).alias("h2"), F.when(F.col("n") >= edited, F.expr(HALVES)).alias("halves"))
     hashes = stored(hashes, "hashes")
     distinct = stored(hashes.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("c")).select("h1", "h2", "first.*", "c"), "distinct")
     near = stored(_near(lines, hashes, distinct), "near")
@@ -128,17 +127,17 @@ def dropped_lines(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
     return hit.select("doc_id", "line_no", keep["doc_id"].alias("keep_doc_id"), keep["line_no"].alias("keep_line_no"), end["doc_id"].alias("end_doc_id"), end["line_no"].alias("end_line_no"))
 
 
-def clean_lines(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
+def clean_lines(docs: DataFrame, shortest: int = 1, edited: int = 1) -> DataFrame:
     """``docs`` with ``text`` less its dropped lines, and n_lines, n_dropped and dropped (line numbers from 0).
 
-    Lines of fewer than ``shortest`` characters, and empty ones, always stay. A null text stays null with no lines, a null id leaves its
+    Lines of fewer than ``shortest`` characters, and empty ones, always stay; ``edited`` is as in ``dropped_lines``. A null text stays null with no lines, a null id leaves its
     row as it is, and an empty text is one empty line. Rows of one id are versions of one document: lines at one place do not
     drop each other. Extra columns stay, but for names that this adds.
 
     Line numbers go to the documents where they stand if they fit into BROADCAST_BYTES; else the documents that a
     filter lets through, those with dropped lines and few others, are shuffled, and all others stay where they are.
     """
-    drops = stored(dropped_lines(docs, max(1, shortest)).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("dropped")), "drops")
+    drops = stored(dropped_lines(docs, max(1, shortest), edited).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("dropped")), "drops")
     size = drops.agg(F.coalesce(F.sum(64 + 4 * F.size("dropped")), F.lit(0)).alias("bytes")).first().bytes
     rest = docs.drop("n_lines", "n_dropped", "dropped")
     if size <= BROADCAST_BYTES:
@@ -159,7 +158,7 @@ def clean_lines(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many go and which, and the digest of what is left (null text: of the empty one)."""
-    rows = clean_lines(table(spark, sf_dir, "documents"), shortest=1)
+    rows = clean_lines(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_dropped", "dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
