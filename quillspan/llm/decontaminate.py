@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, UPPER, less, maybe_in, stored, table, words
+from .shared import LOWER, UPPER, less, maybe_in, stored, table, whole_rows, words
 
 WINDOW, GRAM = 13, 5
 GUARD = WINDOW - GRAM + 1  # hashes in a winnowing window
@@ -143,7 +143,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Rows are known by id and text, so rows that share an id stay or go on their own, and rows that repeat in both go together.
     """
     bad = stored(_flagged(docs.select("doc_id", "text"), benchmark, "item_id", "text").where("contaminated").select("doc_id", "k"), "contaminated")
-    return less(docs, [F.col("doc_id"), F.xxhash64("text")], bad)
+    return less(whole_rows(docs), [F.col("doc_id"), F.xxhash64("text")], bad).select("row.*")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import less, maybe_in, stored, table
+from .shared import less, maybe_in, stored, table, whole_rows
 
 SEGMENT_BITS = 1 << 15  # of one segment: 4 KiB
 BITS_PER_ROW = 16
@@ -157,6 +157,7 @@ def drop_exact(docs: DataFrame) -> DataFrame:
     Rows are known by id and text. A row stays where it is if its digest cannot repeat; if it may, its digest alone was
     grouped, and the row goes unless it is the one that stays. Of rows equal in id and text one stays, whatever their other columns.
     """
+    docs = whole_rows(docs)
     _, some, groups = _groups(docs.select("doc_id", "text"))
     copies = some.groupBy("doc_id", "t").agg(F.count("*").alias("rows"))
     keep = groups.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), "copies")
@@ -165,10 +166,10 @@ def drop_exact(docs: DataFrame) -> DataFrame:
     rest = less(docs, [F.col("doc_id"), F.xxhash64("text")], marks.select("doc_id", "t"))
     once = marks.where("stays").select(F.col("doc_id").alias("__id"), F.col("t").alias("__h"))
     if once.isEmpty():
-        return rest
+        return rest.select("row.*")
     held = docs.withColumn("__t", F.xxhash64("text"))
     again = maybe_in(held, "__t", once.select("__h")).join(once, F.expr("doc_id <=> __id AND __t = __h"), "left_semi")
-    return rest.unionByName(again.dropDuplicates(["doc_id", "__t"]).drop("__t"))
+    return rest.unionByName(again.dropDuplicates(["doc_id", "__t"]).drop("__t")).select("row.*")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

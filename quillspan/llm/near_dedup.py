@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import less, maybe_in, stored, table
+from .shared import less, maybe_in, stored, table, whole_rows
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 4  # a pair at 0.8 shares no band with a chance of 5e-8
@@ -404,15 +404,16 @@ def drop_near(docs: DataFrame) -> DataFrame:
     Rows are known by id and text, so rows that share an id stay or go on their own; of rows equal in both, one
     at most stays. Texts move only of rows that a filter cannot tell from dropped ones.
     """
-    marks = stored(near_marks(docs).groupBy("doc_id", "h").agg(F.count_if("kept").alias("stay"), F.count("*").alias("rows")).where("stay < rows"), "near")
+    docs = whole_rows(docs)
+    marks = stored(near_marks(docs.select("doc_id", "text")).groupBy("doc_id", "h").agg(F.count_if("kept").alias("stay"), F.count("*").alias("rows")).where("stay < rows"), "near")
     keys = [F.col("doc_id"), F.xxhash64("text")]
     rest = less(docs, keys, marks.select("doc_id", "h"))
     once = marks.where("stay > 0").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
     if once.isEmpty():
-        return rest
+        return rest.select("row.*")
     held = docs.withColumn("__t", F.xxhash64("text"))
     again = maybe_in(held, "doc_id", once.select("__id")).join(once, F.expr("doc_id = __id AND __t = __h"), "left_semi")
-    return rest.unionByName(again.dropDuplicates(["doc_id", "__t"]).drop("__t"))
+    return rest.unionByName(again.dropDuplicates(["doc_id", "__t"]).drop("__t")).select("row.*")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,6 +104,11 @@ def marked(rows: DataFrame, key: Column, values: DataFrame) -> DataFrame:
     return tested.select(*[tested[c] for c in rows.columns], F.expr(f"coalesce({test}, false)").alias("__maybe"))
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row): rows with all their columns as one, so that no name of theirs meets one that a step adds; ``row.*`` gives them back."""
+    return docs.select("doc_id", "text", F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"))
+
+
 def maybe_in(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
     """The rows whose ``column`` is among the one column of ``values``, and perhaps a few others."""
     (name,) = values.columns

@@ -1,6 +1,7 @@
 """Stages and operators against plain versions: rows that share ids, whole pipelines, files, phrases, scores and totals."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -163,11 +164,66 @@ def test_chains_of_near_lines(spark):
     assert {(r.doc_id, r.line_no): (r.keep_doc_id, r.end_doc_id, r.end_line_no) for r in rows} == {(2, 0): (1, 1, 0), (3, 0): (2, 1, 0), (3, 1): (2, 1, 0)}
 
 
+def one_edit(a, b):
+    if abs(len(a) - len(b)) > 1:
+        return False
+    a, b = sorted((a, b), key=len)
+    i = next((i for i in range(len(a)) if a[i] != b[i]), len(a))
+    return a[i + (len(a) == len(b)) :] == b[i + 1 :] or a == b
+
+
+def test_short_lines_equal_brute_force(spark):
+    """Lines of one character and more, with repeats, against all earlier ones; with a bound, shorter ones go for equal ones only."""
+    rng = random.Random(9)
+    lines = ["short line here", "short line hero", "a", "", "b", "é", "1.", "12."] + ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 12))) for _ in range(150)]
+    docs = frame(spark, [(i, x, None, 0) for i, x in enumerate(lines)])
+    bare = [x.strip(" ") for x in lines]
+    for edited in (1, 5):
+        fit = lambda x, y: x == y or min(len(x), len(y)) >= edited and one_edit(x, y)
+        want = {i for i, x in enumerate(bare) if x and any(y and fit(x, y) for y in bare[:i])}
+        got = {r.doc_id: r.keep_doc_id for r in line_dedup.dropped_lines(docs, 1, edited).collect()}
+        assert set(got) == want and all(fit(bare[k], bare[i]) for i, k in got.items())
+    assert 1 in line_dedup.dropped_lines(docs).select("doc_id").toPandas()["doc_id"].tolist()
+
+
+def test_lines_of_documents_equal_brute_force(spark):
+    """The whole query on the smallest table against a search by wild cards over all earlier lines."""
+    rows = table(spark, SMALL, "documents").select("doc_id", "text").collect()
+    lines = sorted((r.doc_id, n, x.strip(" \t\r")) for r in rows for n, x in enumerate((r.text or "").split("\n")))
+    seen, gone = set(), defaultdict(list)
+    for doc, n, x in lines:
+        if not x:
+            continue
+        keys = {("=", x)} | {("*", x[:i] + "\0" + x[i + 1 :]) for i in range(len(x))} | {("-", x[:i] + x[i + 1 :]) for i in range(len(x))}
+        if ("=", x) in seen or any(("*", x[:i] + "\0" + x[i + 1 :]) in seen for i in range(len(x))) or ("-", x) in seen or any(("=", x[:i] + x[i + 1 :]) in seen for i in range(len(x))):
+            gone[doc].append(n)
+        seen |= keys
+    assert {r.doc_id: r.dropped for r in line_dedup.op10_line_dedup(spark, SMALL).collect() if r.dropped} == dict(gone)
+
+
+#: Names that steps of the operators use.
+INNER = ["__t", "__maybe", "__key", "__seg", "__bits", "__k0", "__k1", "__id", "__h", "__g0", "h", "k", "k1", "u", "n", "seg", "row", "t", "rows", "stays", "copies", "b", "v"]
+
+
+def test_stages_with_any_column_names(spark):
+    """Columns with the names of all helpers stay as they are, with nulls, repeats and rows that share an id."""
+    texts = [(3, A), (5, A), (5, B), (5, B), (7, C), (8, None), (8, None), (None, B), (9, A + " eight nine ten eleven twelve thirteen fourteen")]
+    schema = "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in INNER)
+    shared.on_workers(spark)
+    df = spark.createDataFrame([(i, t, *[f"{c}{n}" if n % 2 else None for c in INNER]) for n, (i, t) in enumerate(texts)], schema)
+    bench, labels = spark.createDataFrame([(1, C)], "item_id long, text string"), spark.createDataFrame([(3, 0)], "doc_id long, toxic int")
+    whole = Counter(map(tuple, df.collect()))
+    for out, n in ((exact_dedup.drop_exact(df), 5), (near_dedup.drop_near(df), 7), (decontaminate.drop_contaminated(df, bench), 8), (toxicity.drop_toxic(df, labels), 9)):
+        rows = Counter(map(tuple, out.collect()))
+        assert out.columns == df.columns and sum(rows.values()) == n and not rows - whole
+        assert out.limit(0).columns == df.columns
+
+
 def test_lines_by_both_joins(spark, monkeypatch):
     docs = table(spark, SMALL, "documents")
-    plain = sorted(map(tuple, line_dedup.clean_lines(docs, 1).select("doc_id", "text", "n_lines", "dropped").collect()))
+    plain = sorted(map(tuple, line_dedup.clean_lines(docs).select("doc_id", "text", "n_lines", "dropped").collect()))
     monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
-    assert sorted(map(tuple, line_dedup.clean_lines(docs, 1).select("doc_id", "text", "n_lines", "dropped").collect())) == plain
+    assert sorted(map(tuple, line_dedup.clean_lines(docs).select("doc_id", "text", "n_lines", "dropped").collect())) == plain
 
 
 def test_filters_in_shards(spark, monkeypatch):
