@@ -136,11 +136,11 @@ def price_path(projected: DataFrame, model: DataFrame, anchor: DataFrame, error:
     """
     w = W.partitionBy("key").orderBy("quarter_end")
     change = F.col("intercept") + F.col("supply") * F.col("dS") + F.col("inventory") * F.col("dI")
-    steps = projected.join(F.broadcast(model), "key").withColumn("change", change)
+    steps = projected.join(model, "key").withColumn("change", change)
     steps = steps.withColumn("bad", F.max(F.col("change").isNull() | F.isnan("change")).over(w)).where("NOT bad")
     steps = steps.withColumns({"sum": F.sum("change").over(w.rowsBetween(W.unboundedPreceding, 0)), "k": F.row_number().over(w).cast("double")})
     step_sigma = F.hypot("sigma", F.col("supply") * F.coalesce(error, F.lit(0.0)))
-    at = steps.join(F.broadcast(anchor), "key").select("key", "quarter_end", (F.log("close") + F.col("sum")).alias("y"), "k", step_sigma.alias("s"), "date", F.log("close").alias("y0"))
+    at = steps.join(anchor, "key").select("key", "quarter_end", (F.log("close") + F.col("sum")).alias("y"), "k", step_sigma.alias("s"), "date", F.log("close").alias("y0"))
     before = lambda c, first: F.coalesce(F.lag(c).over(w), first)
     legs = at.select("key", "quarter_end", "y", "k", "s", before("quarter_end", F.col("date")).alias("d0"), before("y", F.col("y0")).alias("from_y"), before("k", F.lit(0.0)).alias("from_k"))
     days = legs.where("quarter_end > d0").withColumn("date", F.explode(F.sequence(F.date_add("d0", 1), "quarter_end")))

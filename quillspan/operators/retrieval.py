@@ -9,35 +9,42 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import axis_scale, boilerplate, carries_no_data, digit_ratio, expand, tokens
-from ..sources.tables import table
+from ..sources.tables import stored, table
 
 K1, B, FUSION = 1.5, 0.75, 60
 BLOCK = 20_000  # query vectors that are broadcast at once
 TOP_K, FLOOR = 5, 0.1  # the floor fits random vectors; trained ones would take 0.55
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, word, tf, len): term frequencies and document lengths."""
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).withColumn("len", F.size("w"))
-    return words.select("id", "len", F.explode("w").alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+def document_frequency(docs: DataFrame) -> DataFrame:
+    """(word, df, tf) over all documents (text). A word's first place in the order of its document's words counts for df, so only sums by word are shuffled."""
+    held = docs.select(F.array_sort(tokens(F.col("text"))).alias("w"))
+    each = held.select(F.explode(F.transform("w", lambda x, i: F.struct(x.alias("word"), ((i == 0) | (x != F.get("w", i - 1))).cast("bigint").alias("first")))).alias("e"))
+    return each.groupBy("e.word").agg(F.sum("e.first").alias("df"), F.count("*").alias("tf"))
 
 
-def document_frequency(docs: DataFrame) -> DataFrame:
-    """(word, df, tf) over all documents."""
-    return postings(docs).groupBy("word").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+def asked_postings(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, word, tf, len) of the ``asked`` words (word) in documents (doc_id, text, and context where they have one), and a row of the empty word for each document.
+
+    One pass over the texts, written once: all that a ranking needs is read from it.
+    """
+    whole = F.concat_ws("\n", "context", "text") if "context" in docs.columns else F.col("text")
+    words = docs.select(F.col("doc_id").alias("id"), tokens(whole).alias("w"))
+    each = words.select("id", F.size("w").alias("len"), F.explode(F.concat(F.array(F.lit("")), "w")).alias("word"))
+    wanted = asked.select("word").unionByName(docs.sparkSession.range(1).select(F.lit("").alias("word"))).distinct()
+    return stored(each.join(wanted, "word", "left_semi").groupBy("id", "word").agg(F.count("*").alias("tf"), F.first("len").alias("len")), "postings")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
-    """(query_id, id, score, place) of the ``pool`` best documents a query; queries are (query_id, word), distinct.
+    """(query_id, id, score, place) of the ``pool`` best documents a query; queries are (query_id, word), distinct. The context of a document counts with its text.
 
-    Frequencies of the queries' words only are kept, so common words that nobody asks for cost no shuffle.
+    Words that nobody asks for are dropped before anything is shuffled.
     """
-    lens = docs.select(F.size(tokens(F.col("text"))).alias("n"))
-    corpus = lens.agg(F.count("*").alias("docs"), F.coalesce(F.avg("n"), F.lit(1.0)).alias("avg_len"))
-    asked = queries.select("word").distinct()
-    held = postings(docs).join(asked, "word", "left_semi")
+    held = asked_postings(docs, queries)
+    corpus = held.where("word = ''").agg(F.count("*").alias("docs"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avg_len"))
+    held = held.where("word <> ''")
     df = held.groupBy("word").agg(F.count("*").alias("df"))
-    scored = held.join(df, "word").join(queries, "word").crossJoin(F.broadcast(corpus))
+    scored = held.join(df, "word").join(queries, "word").crossJoin(F.broadcast(corpus))  # one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     total = scored.groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
@@ -92,7 +99,7 @@ def search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, words: DataF
     found = found.select("query_id", "id", F.col("place").alias("kp"))
     fused = near.join(found, ["query_id", "id"], "full_outer")
     score = F.coalesce(1 / (FUSION + F.col("vp") + 1), F.lit(0.0)) + F.coalesce(1 / (FUSION + F.col("kp") + 1), F.lit(0.0))
-    fused = fused.withColumn("fused", score).join(vectors, "id").join(F.broadcast(queries), "query_id")
+    fused = fused.withColumn("fused", score).join(vectors, "id").join(queries, "query_id")
     fused = fused.withColumn("score", cosine(F.col("vector"), F.col("query"))).where(F.col("score") >= floor)
     w = W.partitionBy("query_id").orderBy(F.round("fused", 12).desc(), "id")
     out = fused.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top_k)
@@ -100,9 +107,9 @@ def search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, words: DataF
 
 
 def _inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Documents, vectors (vec_id stands for doc_id), query vectors, and query words: items whose id is divisible by 50 are the queries."""
-    docs, emb = table(spark, d, "documents"), table(spark, d, "embeddings")
-    asked = table(spark, d, "benchmark").where("item_id % 50 = 0")
+    """Documents with their source and language as context, vectors (vec_id stands for doc_id), query vectors, and query words: all benchmark items are the queries."""
+    docs = table(spark, d, "documents").withColumn("context", F.concat_ws(" ", "source", "lang"))
+    emb, asked = table(spark, d, "embeddings"), table(spark, d, "benchmark")
     vectors = emb.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     queries = asked.join(emb, asked.item_id == emb.vec_id).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("query"))
     words = asked.select(F.col("item_id").alias("query_id"), F.explode(expand(F.col("text"))).alias("word"))
@@ -133,7 +140,7 @@ def fetch_scored(wanted: DataFrame, vectors: DataFrame, docs: DataFrame, queries
 
     Ids that are no longer there, and texts that carry no data, give nothing; ``stale`` counts the former. Order: score, then text.
     """
-    held = wanted.distinct().join(vectors, "id").join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(F.broadcast(queries), "query_id")
+    held = wanted.distinct().join(vectors, "id").join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(queries, "query_id")
     held = held.withColumn("score", cosine(F.col("vector"), F.col("query"))).where((F.col("score") >= floor) & ~carries_no_data(F.coalesce("text", F.lit(""))))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "text", "id"))
     return held.select("query_id", place.alias("place"), "id", F.round("score", 6).alias("score"))
@@ -163,10 +170,11 @@ def merge_borrowed(rows: DataFrame) -> DataFrame:
 
 
 def _wanted(spark: SparkSession, d: str) -> DataFrame:
-    """Fragments asked for by the queries: every third id up to twice the number of vectors, so some are gone."""
-    _, vectors, queries, _ = _inputs(spark, d)
-    ids = vectors.select(F.explode(F.array(F.col("id") * 3, F.col("id") * 3 + 1_000_000)).alias("id"))
-    return queries.select("query_id").crossJoin(F.broadcast(ids.where("id % 2 = 0")))
+    """Fragments asked for by each query: fifty by a rule of its number, some of which are gone, and one of them twice."""
+    _, _, queries, _ = _inputs(spark, d)
+    q, i = F.col("query_id"), F.col("i")
+    each = queries.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("i"))
+    return each.select("query_id", F.when(i % 7 == 6, q + i + 1_000_000).when(i == 49, q).otherwise((q * 31 + i * 17) % 400).alias("id"))
 
 
 def q_fetch(spark: SparkSession, d: str) -> DataFrame:
@@ -198,10 +206,10 @@ def q_expand(spark: SparkSession, d: str) -> DataFrame:
 
 _T = "list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-zА-Яа-яЁё]{2,}'), lambda x: lower(x))"
 _BM25 = f"""
-tok AS (SELECT doc_id AS id, {_T} AS w FROM documents),
+tok AS (SELECT doc_id AS id, {_T} AS w FROM (SELECT doc_id, concat_ws(chr(10), concat_ws(' ', source, lang), text) AS text FROM documents)),
 post AS (SELECT id, word, count(*) AS tf, any_value(n) AS len FROM (SELECT id, len(w) AS n, unnest(w) AS word FROM tok) GROUP BY 1, 2),
 corpus AS (SELECT count(*) AS docs, avg(len(w)) AS avg_len FROM tok),
-asked AS (SELECT DISTINCT item_id AS query_id, unnest({_T}) AS word FROM benchmark WHERE item_id % 50 = 0),
+asked AS (SELECT DISTINCT item_id AS query_id, unnest({_T}) AS word FROM benchmark),
 df AS (SELECT word, count(*) AS df FROM post GROUP BY 1),
 bm AS (
   SELECT query_id, id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))) AS score
@@ -213,8 +221,8 @@ _AXIS = f"""(len(list_filter(range(1, len({_N}) - 3), lambda i: round({_N}[i + 1
   AND len(list_distinct([round({_N}[i + j + 1] - {_N}[i + j], 6) FOR j IN range(0, 4)])) = 1
   AND NOT (len(list_filter({_N}[i : i + 4], lambda v: v <> floor(v))) = 0 AND (len(list_filter({_N}[i : i + 4], lambda v: v < 1900 OR v > 2100)) = 0 OR abs(round({_N}[i + 1] - {_N}[i], 6)) = 1)))) > 0)"""
 _BOILER = "(len(list_filter(['defined in the glossary', '= organization for', 'purchasing power parity', 'apparent consumption', 'oxford economics', 'stand-alone report'], lambda b: contains(lower(coalesce(text, '')), b))) > 0)"
-_WANTED = """w AS (SELECT q.item_id AS query_id, unnest([e.vec_id * 3, e.vec_id * 3 + 1000000]) AS id FROM embeddings e, (SELECT item_id FROM benchmark JOIN embeddings ON item_id = vec_id WHERE item_id % 50 = 0) q),
-  v AS (SELECT * FROM w WHERE id % 2 = 0)"""
+_WANTED = """q AS (SELECT item_id AS query_id FROM benchmark JOIN embeddings ON item_id = vec_id),
+  v AS (SELECT DISTINCT query_id, CASE WHEN i % 7 = 6 THEN query_id + i + 1000000 WHEN i = 49 THEN query_id ELSE (query_id * 31 + i * 17) % 400 END AS id FROM q, range(50) r(i))"""
 SQL = {
     "no_data": f"SELECT conv_id, turn, role, {_AXIS} AS axis, {_BOILER} AS boilerplate FROM (SELECT conv_id, turn, role, text || CASE turn % 5 WHEN 0 THEN ' 11.5 12.0 12.5 13.0 13.5' WHEN 1 THEN ' 1990 1991 1992 1993 1994 are 1 2 3 4 5' WHEN 2 THEN ' as defined in the GLOSSARY' WHEN 3 THEN ' 5 15 25 35 45.0' ELSE ' 3 5 7 9 12' END AS text FROM conversations)",
     "fetch_scored": f"""
@@ -242,7 +250,7 @@ SQL = {
     "hybrid_search": f"""
       WITH {_BM25},
       c AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS.replace("a::", "e.embedding::").replace("b::", "q.embedding::")} AS cos
-            FROM embeddings e, embeddings q JOIN benchmark ON item_id = q.vec_id WHERE item_id % 50 = 0),
+            FROM embeddings e, embeddings q JOIN benchmark ON item_id = q.vec_id),
       near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cos, 9) DESC, id) - 1 AS p FROM c QUALIFY p < 20),
       adj AS (SELECT query_id, id, cos + 0.06 * least(greatest((CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^0-9]', '', 'g')) / length(text) ELSE 0 END - 0.02) / 0.18, 0), 1)
                 - CASE WHEN {_AXIS} THEN 0.1 ELSE 0 END - CASE WHEN {_BOILER} THEN 0.04 ELSE 0 END AS a
