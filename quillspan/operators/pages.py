@@ -187,10 +187,10 @@ SQL = {
       o AS (SELECT doc_id, s.reader FROM k, (VALUES ('alpha'), ('beta'), ('gamma')) s(reader) GROUP BY 1, 2
             HAVING min(CASE WHEN s.reader IN (reader_a, reader_b) THEN rank END) > max(CASE WHEN s.reader NOT IN (reader_a, reader_b) THEN rank END))
       SELECT doc_id, ['agree', 'order', 'tokenize', 'diverge'][max(rank)] AS verdict, (SELECT min(reader) FROM o WHERE o.doc_id = k.doc_id) AS outlier FROM k GROUP BY doc_id""",
-    "multiset_residual": f"""
-      WITH {_R}, t AS (SELECT doc_id, reader, unnest(t) AS token, CAST(unnest(range(len(t))) AS INTEGER) AS pos FROM r WHERE reader <> 'beta'),
-      n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, reader, token ORDER BY pos) AS k FROM t)
-      SELECT doc_id, token, pos FROM (SELECT * FROM n WHERE reader = 'alpha') a ANTI JOIN (SELECT * FROM n WHERE reader = 'gamma') b ON b.doc_id = a.doc_id AND b.token = a.token AND b.k = a.k""",
+    "multiset_residual": """
+      WITH t AS (SELECT doc_id, unnest(string_split(text, ' ')) AS token, CAST(unnest(range(len(string_split(text, ' ')))) AS INTEGER) AS pos FROM documents),
+      n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, token ORDER BY pos) AS k FROM t), g AS (SELECT doc_id, regexp_replace(token, '[0-9]', '', 'g') AS token, count(*) AS n FROM t GROUP BY ALL)
+      SELECT doc_id, token, pos FROM n LEFT JOIN g USING (doc_id, token) WHERE k > coalesce(g.n, 0)""",
     "chunk_windows_cut": """
       WITH s AS (SELECT doc_id, text, unnest(string_split(substr(text, 2), chr(10))) AS p, unnest(range(len(string_split(substr(text, 2), chr(10))))) AS i, len(string_split(substr(text, 2), chr(10))) AS m FROM documents WHERE text <> ''),
       l AS (SELECT doc_id, i, i = m - 1 AS final, CAST(length(p) + 1 AS BIGINT) AS n FROM s),

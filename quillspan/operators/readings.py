@@ -171,8 +171,9 @@ _READ = f"""i AS (SELECT l_orderkey AS k, list({{'q': l_quantity, 'x': l_extende
   l AS (SELECT k, flatten([[printf('%.1f', e.q), printf('%.2f', e.x)] FOR e IN i]) AS a, flatten([[printf('%.1f', e.q), printf('%.2f', e.x)] FOR e IN list_reverse(i)]) AS b,
     flatten([[printf('%d', CAST(e.q AS INTEGER)), '0', printf('%.2f', e.x)] FOR e IN i]) AS g FROM i),
   r AS (SELECT k, 'layout' AS reader, a AS t FROM l UNION ALL SELECT k, 'plain', CASE k % 3 WHEN 0 THEN b WHEN 1 THEN g ELSE a END FROM l UNION ALL SELECT k, 'stream', CASE WHEN k % 5 = 0 THEN b[2:] ELSE b END FROM l),
-  v AS (SELECT x.k, x.reader AS reader_a, y.reader AS reader_b, len(x.t) AS numbers_a, len(y.t) AS numbers_b, CASE WHEN x.t = y.t THEN 'agree' WHEN list_sort(x.t) = list_sort(y.t) THEN 'order'
-    WHEN {_SAME.format(x="x.t")} = {_SAME.format(x="y.t")} THEN 'tokenize' ELSE 'diverge' END AS told FROM r x JOIN r y ON x.k = y.k AND x.reader < y.reader),
+  z AS MATERIALIZED (SELECT k, reader, len(t) AS n, md5(array_to_string(t, ' ')) AS same, md5(array_to_string(list_sort(t), ' ')) AS bag, md5(array_to_string({_SAME.format(x="t")}, '')) AS digits FROM r),
+  v AS (SELECT x.k, x.reader AS reader_a, y.reader AS reader_b, x.n AS numbers_a, y.n AS numbers_b, CASE WHEN x.same = y.same THEN 'agree' WHEN x.bag = y.bag THEN 'order' WHEN x.digits = y.digits THEN 'tokenize' ELSE 'diverge' END AS told
+    FROM z x JOIN z y ON x.k = y.k AND x.reader < y.reader),
   p AS (SELECT *, CASE WHEN reader_b = 'stream' AND told <> 'diverge' THEN 'agree' ELSE told END AS verdict FROM v),
   w AS (SELECT *, list_position(['agree', 'order', 'tokenize', 'diverge'], verdict) AS rank FROM p),
   o AS (SELECT k, s.reader FROM w, (VALUES ('layout'), ('plain'), ('stream')) s(reader) GROUP BY 1, 2 HAVING min(CASE WHEN s.reader IN (reader_a, reader_b) THEN rank END) > max(CASE WHEN s.reader NOT IN (reader_a, reader_b) THEN rank END)),
