@@ -84,6 +84,30 @@ def marked_pages(cited: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key, "level").agg(F.array_join(F.array_sort(F.collect_set("p")), "; ").alias("pages"))
 
 
+#: What a reader should do about each level, the worst level first; callers give their own words.
+ADVICE = {
+    "disputed": "two readings of the page differ: look at the report before you rely on the number",
+    "unchecked": "the page was read once and by no other reader: nobody knows whether it was read well",
+    "geometry": "the numbers agree, their places were put together here: check the row, the column and the unit",
+}
+
+
+def legend(pages: DataFrame, key: list[str], advice: dict[str, str] = ADVICE) -> DataFrame:
+    """(key, legend) of the marks of an answer (``marked_pages``): a line a level, the worst first, with its pages and what to do about it."""
+    order = F.array(*[F.lit(x) for x in advice])
+    words = F.element_at(F.create_map(*[F.lit(x) for kv in advice.items() for x in kv]), F.col("level"))
+    line = F.concat(F.lit("* **"), mark_of(F.col("level")), F.lit("** ("), "pages", F.lit(") — "), words)
+    held = pages.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.array_position(order, F.col("level")).alias("n"), line.alias("line")))).alias("l"))
+    return held.select(*key, F.array_join("l.line", "\n").alias("legend"))
+
+
+def with_legend(answers: DataFrame, legends: DataFrame, key: list[str]) -> DataFrame:
+    """Answers (key, answer) with the legend of their marks once below a rule; those without marks, or that have it already, stay as they are."""
+    below = F.concat(F.lit("\n\n---\n"), "legend")
+    rows = answers.join(legends, key, "left")
+    return rows.withColumn("answer", F.when(F.col("legend").isNull() | F.contains("answer", below), F.col("answer")).otherwise(F.concat("answer", below))).drop("legend")
+
+
 def paragraphs(answers: DataFrame, key: list[str], text: str = "answer") -> DataFrame:
     """(key, block, text): runs of lines up to an empty one, joined by spaces; those with verbatim output are left out."""
     parts = F.transform(F.split(text, r"\n[ \t\r]*(?=\n|$)"), lambda p: F.array_join(F.filter(F.split(p, "\n"), lambda x: F.trim(x) != ""), " "))
@@ -135,6 +159,14 @@ def check_totals(numbers: DataFrame, group: list[str]) -> DataFrame:
     return out.withColumn("ok", (F.col("missing") == 0) & (F.col("unmarked") == 0) & (F.col("checked") > 0))
 
 
+def check_summary(totals: DataFrame, group: str) -> DataFrame:
+    """Sums of ``check_totals`` by a group, and over all (a null group), with answers, those that failed, and a verdict; where no number was held against anything, nothing was checked."""
+    sums = [F.sum(c).alias(c) for c in ("checked", "missing", "unmarked", "web")]
+    out = totals.rollup(group).agg(F.count("*").alias("answers"), F.count_if(~F.col("ok")).alias("failed"), *sums)
+    bad = (F.col("missing") > 0) | (F.col("unmarked") > 0)
+    return out.withColumn("verdict", F.when(bad, "failed").when(F.col("checked") == 0, "nothing checked").otherwise("ok"))
+
+
 def allowed_numbers(sources: list[DataFrame], key: list[str]) -> DataFrame:
     """(key, number): numbers of all sources (key, text) that an answer may use, in one spelling."""
     rows = reduce(lambda a, b: a.unionByName(b), [s.select(*key, "text") for s in sources])
@@ -218,6 +250,20 @@ def q_totals(spark: SparkSession, d: str) -> DataFrame:
     return check_totals(checked_numbers(_answers(spark, d), _pages(spark, d), ["l_orderkey"]), ["l_orderkey"])
 
 
+def q_legends(spark: SparkSession, d: str) -> DataFrame:
+    answers, fed = _annotated(spark, d)
+    pages = marked_pages(levels(citations(answers, ["l_orderkey"]), fed, ["l_orderkey"]), ["l_orderkey"])
+    out = with_legend(annotate(answers, fed, ["l_orderkey"]).select("l_orderkey", F.lit("").alias("answer")), legend(pages, ["l_orderkey"]), ["l_orderkey"])
+    return out.select("l_orderkey", F.md5(F.col("answer").cast("binary")).alias("md5"))
+
+
+def q_summary(spark: SparkSession, d: str) -> DataFrame:
+    """By the first letter of an order's clerk and priority; some groups have web sources only."""
+    totals = check_totals(checked_numbers(_answers(spark, d), _pages(spark, d), ["l_orderkey"]), ["l_orderkey"])
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus", (F.col("o_orderkey") % 7).cast("string")).alias("kind"))
+    return check_summary(totals.join(orders, "l_orderkey"), "kind")
+
+
 def q_allowed(spark: SparkSession, d: str) -> DataFrame:
     """Numbers that pages' addresses, markup and numbers together allow."""
     p = table(spark, d, "pages")
@@ -256,6 +302,18 @@ SQL = {
       WITH {_STATES}, c AS (SELECT l_orderkey, count(*) FILTER (WHERE state IN ('found', 'missing')) AS checked, count(*) FILTER (WHERE state = 'missing') + count(DISTINCT block) FILTER (WHERE state = 'no source') AS missing,
         count(*) FILTER (WHERE state = 'bare') AS unmarked, count(*) FILTER (WHERE state = 'web') AS web FROM st SEMI JOIN t USING (l_orderkey) GROUP BY 1)
       SELECT *, missing = 0 AND unmarked = 0 AND checked > 0 AS ok FROM c""",
+    "answer_legends": f"""
+      WITH {_BASE}, w AS (SELECT l_orderkey, {_LEVEL} AS level, source_name || ', ' || date || ', с. ' || l_linenumber AS p FROM i JOIN t USING (l_orderkey)),
+      g AS (SELECT l_orderkey, level, string_agg(DISTINCT p, '; ' ORDER BY p) AS pages FROM w WHERE level <> 'direct' GROUP BY 1, 2),
+      l AS (SELECT l_orderkey, string_agg('* **' || CASE level WHEN 'disputed' THEN '⚠ два пути чтения расходятся по цифрам' WHEN 'unchecked' THEN 'сверка чтения не выполнялась' ELSE 'текст собран по геометрии страницы' END || '** (' || pages || ') — ' ||
+        CASE level WHEN 'disputed' THEN '{ADVICE["disputed"]}' WHEN 'unchecked' THEN '{ADVICE["unchecked"]}' ELSE '{ADVICE["geometry"]}' END, chr(10) ORDER BY CASE level WHEN 'disputed' THEN 1 WHEN 'unchecked' THEN 2 ELSE 3 END) AS l FROM g GROUP BY 1)
+      SELECT t.l_orderkey, md5(coalesce(chr(10) || chr(10) || '---' || chr(10) || l, '')) AS md5 FROM t LEFT JOIN l USING (l_orderkey)""",
+    "check_summary": f"""
+      WITH {_STATES}, c AS (SELECT l_orderkey, count(*) FILTER (WHERE state IN ('found', 'missing')) AS checked, count(*) FILTER (WHERE state = 'missing') + count(DISTINCT block) FILTER (WHERE state = 'no source') AS missing,
+        count(*) FILTER (WHERE state = 'bare') AS unmarked, count(*) FILTER (WHERE state = 'web') AS web FROM st SEMI JOIN t USING (l_orderkey) GROUP BY 1),
+      g AS (SELECT o_orderpriority || ' ' || o_orderstatus || ' ' || o_orderkey % 7 AS kind, count(*) AS answers, count(*) FILTER (WHERE NOT (missing = 0 AND unmarked = 0 AND checked > 0)) AS failed, CAST(sum(checked) AS BIGINT) AS checked,
+        CAST(sum(missing) AS BIGINT) AS missing, CAST(sum(unmarked) AS BIGINT) AS unmarked, CAST(sum(web) AS BIGINT) AS web FROM c JOIN orders ON o_orderkey = l_orderkey GROUP BY ROLLUP (1))
+      SELECT *, CASE WHEN missing > 0 OR unmarked > 0 THEN 'failed' WHEN checked = 0 THEN 'nothing checked' ELSE 'ok' END AS verdict FROM g""",
     "allowed_numbers": rf"""
       WITH a AS (SELECT DISTINCT page_id, x FROM (SELECT page_id, unnest(regexp_extract_all(url || ' ' || html || ' ' || page_id, '-?\d+(?:[.,]\d+)*')) AS x FROM pages)),
       b AS (SELECT page_id, x, string_split(replace(x, ',', '.'), '.') AS p FROM a)
@@ -264,4 +322,5 @@ SQL = {
 }
 QUERIES = {
     "claims": q_claims, "citations": q_citations, "annotated_answers": q_annotated, "marked_pages": q_marked, "answer_segments": q_segments, "checked_numbers": q_checked, "check_totals": q_totals, "allowed_numbers": q_allowed,
+    "answer_legends": q_legends, "check_summary": q_summary,
 }

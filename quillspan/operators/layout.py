@@ -13,6 +13,20 @@ SAME_LINE, CAPTION, VALUE, COLUMN = 1.6, r"^Table\s+\d+[a-z]?\.", r"^(-|--|NA|W|
 COLUMNS, VALUES, SHIFT = 8, 3, 3
 
 
+#: What a layout tool writes of a document: pages of flows, blocks, lines and words with the corners of their boxes.
+BBOX = "body struct<doc struct<page array<struct<flow array<struct<block array<struct<line array<struct<word array<struct<_VALUE string, _xMin double, _xMax double, _yMin double>>>>>>>>>>>>"
+
+
+def bbox_words(files: DataFrame, text: str = "xml") -> DataFrame:
+    """(path, page, word, x0, x1, top) of all words in XML files (path, xml) of boxes, pages from 1; what cannot be read has none."""
+    read = F.from_xml(F.col(text), BBOX)
+    rows = files.select("path", F.posexplode(read["body"]["doc"]["page"]).alias("page", "p"))
+    for inner, outer in (("flow", "p"), ("block", "flow"), ("line", "block"), ("word", "line")):
+        rows = rows.select("path", "page", F.explode(f"{outer}.{inner}").alias(inner))
+    word = F.coalesce("word._VALUE", F.lit(""))
+    return rows.select("path", (F.col("page") + 1).alias("page"), word.alias("word"), F.col("word._xMin").alias("x0"), F.col("word._xMax").alias("x1"), F.col("word._yMin").alias("top"))
+
+
 def with_lines(words: DataFrame, key: list[str]) -> DataFrame:
     """``words`` (key, word, x0, x1, top) with the line they stand in, from 1: a line goes on while a word is at most 1.6 below its first one."""
     heights = words.groupBy(*key).agg(F.array_sort(F.collect_set("top")).alias("h"))  # of one page
@@ -136,6 +150,19 @@ def _placed(spark: SparkSession, d: str) -> DataFrame:
     return with_lines(_words(spark, d), ["o_custkey", "l_orderkey"])
 
 
+def q_bbox(spark: SparkSession, d: str) -> DataFrame:
+    """The words of all pages written as boxes, a file a customer, and read back into lines; marks of XML stand in some words."""
+    rows = _words(spark, d).withColumn("word", F.when(F.col("word") == "....", "a<b & \"c\"").otherwise(F.col("word")))
+    plain = F.replace(F.replace(F.replace("word", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    one = F.concat(F.lit('<word xMin="'), "x0", F.lit('" yMin="'), "top", F.lit('" xMax="'), "x1", F.lit('" yMax="0">'), plain, F.lit("</word>"))
+    page = rows.groupBy("o_custkey", "l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(one)), "").alias("words"))
+    page = page.withColumn("page", F.concat(F.lit("<page><flow><block><line>"), "words", F.lit("</line></block></flow></page>")))
+    file = page.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "page"))), lambda p: p["page"]), "").alias("pages"))
+    files = file.select(F.col("o_custkey").cast("string").alias("path"), F.concat(F.lit('<html xmlns="http://www.w3.org/1999/xhtml"><body><doc>'), "pages", F.lit("</doc></body></html>")).alias("xml"))
+    held = with_lines(bbox_words(files), ["path", "page"])
+    return held.groupBy("path", "page").agg(F.count("*").alias("words"), F.max("line").alias("lines"), F.count_if(F.col("word") == 'a<b & "c"').alias("marks"), F.round(F.sum("x0"), 3).alias("left"), F.round(F.sum("x1"), 3).alias("right"))
+
+
 def q_captions(spark: SparkSession, d: str) -> DataFrame:
     return page_captions(lines(_placed(spark, d), ["o_custkey", "l_orderkey"]), "o_custkey", "l_orderkey")
 
@@ -166,6 +193,12 @@ _BASE = """b AS (SELECT l_orderkey, l_linenumber AS n, min(l_quantity) AS q, min
   o AS (SELECT b.*, o_custkey FROM b JOIN orders ON o_orderkey = l_orderkey),
   c AS (SELECT *, unnest(range(0, 8)) AS j FROM o), k AS (SELECT l_orderkey, 'Line ' || n AS label, CAST(j AS INTEGER) AS col, (2025 + j // 4) || 'Q' || (j % 4 + 1) AS name, printf('%.1f', q + j) AS value FROM c WHERE (p + j) % 3 <> 0)"""
 SQL = {
+    "bbox_words": f"""
+      WITH {_BASE}, g AS (SELECT o_custkey, l_orderkey, count(*) AS n, sum(c) AS cells, sum(s) AS x FROM (SELECT o_custkey, l_orderkey, n, count(*) FILTER (WHERE (p + j) % 3 <> 0) AS c,
+          sum(193 + 50 * j + p % 5 * 5) FILTER (WHERE (p + j) % 3 <> 0) AS s FROM c GROUP BY ALL) GROUP BY ALL)
+      SELECT CAST(o_custkey AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey) AS INTEGER) AS page, CAST(11 + CASE WHEN l_orderkey % 2 = 0 THEN 4 ELSE 0 END + 3 * n + cells AS BIGINT) AS words,
+        CAST(3 + CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE 0 END + n AS INTEGER) AS lines, n AS marks, CAST(3750 + CASE WHEN l_orderkey % 2 = 0 THEN 280 ELSE 0 END + 110 * n + x AS DOUBLE) AS left,
+        CAST(3750 + 150 + CASE WHEN l_orderkey % 2 = 0 THEN 400 ELSE 0 END + 185 * n + x + 14 * cells AS DOUBLE) AS right FROM g""",
     "page_captions": f"""
       WITH {_BASE}, g AS (SELECT DISTINCT o_custkey, l_orderkey FROM o)
       SELECT o_custkey, l_orderkey, last_value(CASE WHEN l_orderkey % 2 = 0 THEN 'Table ' || l_orderkey % 9 || 'b. World Supply' END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY l_orderkey ROWS UNBOUNDED PRECEDING) AS caption FROM g""",
@@ -179,4 +212,4 @@ SQL = {
       r AS (SELECT l_orderkey, n, found, CASE WHEN found THEN wrong ELSE 8 END AS wrong, found AND s <> 0 AS moved FROM m QUALIFY row_number() OVER (PARTITION BY l_orderkey, n ORDER BY wrong, s) = 1)
       SELECT l_orderkey, count(*) AS rows, count(*) FILTER (WHERE found) AS rows_found, count(*) * 8 AS cells, CAST(sum(wrong) AS BIGINT) AS misplaced, count(*) FILTER (WHERE moved) AS shifted FROM r GROUP BY 1""",
 }
-QUERIES = {"page_captions": q_captions, "page_cells": q_cells, "dense_rows": q_dense, "table_score": q_score}
+QUERIES = {"bbox_words": q_bbox, "page_captions": q_captions, "page_cells": q_cells, "dense_rows": q_dense, "table_score": q_score}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
@@ -176,7 +177,58 @@ def q_route(spark: SparkSession, d: str) -> DataFrame:
 
 
 _Q = "l AS (SELECT (l_orderkey * 3 + l_linenumber) % 8 AS kind, l_suppkey AS s, l_quantity AS q FROM lineitem)"
+#: Words that take back a scenario (fixed values).
+WAIVER = r"без\s+сценар|без\s+услов|без\s+допущ|(?U)базов\w*\s+прогноз|не\s+важно|неважно"
+
+
+def clarified(turns: DataFrame, key: list[str], order: str = "turn", question: str = "question") -> DataFrame:
+    """``turns`` with outcome and effective, the question that is answered.
+
+    A question whose scenario cannot be read asks back, and is pending at the next turn of its conversation. There a waiver answers it
+    without the scenario ("waived"); a reply that makes it readable, and is not readable alone, completes it ("joined"); any other
+    turn is taken for itself ("plain", or "asks" again), and what was pending is forgotten. Whether something is pending before a turn is
+    the value of the last turn that decides it whatever was pending, turned over by each turn since that a pending question alone keeps from asking.
+    """
+    w = W.partitionBy(*key).orderBy(order)
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    text = F.coalesce(F.col(question), F.lit(""))
+    held = turns.withColumns({"__own": text, "__last": F.lag(text).over(w)})
+    held = held.withColumn("__both", F.concat_ws(" ", F.rtrim(F.col("__last"), F.lit(" ?!.")), F.ltrim("__own")))
+    told = lambda rows, name: scenario(rows, name).withColumns({f"{name}_s": F.col("stated"), f"{name}_u": F.col("understood")}).drop("stated", "understood", "unit", "change", "change_far", "note")
+    held = told(told(held, "__own"), "__both")
+    waives = F.lower("__own").rlike(WAIVER)
+    joins = F.col("__both_s") & F.col("__both_u") & ~(F.col("__own_s") & F.col("__own_u"))
+    held = held.withColumns({"__waives": waives, "__ends": F.col("__last").isNotNull() & (waives | joins), "__asks": F.col("__own_s") & ~F.col("__own_u")})
+    turns_over = F.col("__ends") & F.col("__asks")
+    held = held.withColumn("__flips", F.coalesce(F.sum(turns_over.cast("int")).over(before), F.lit(0)))
+    decides = F.last(F.when(~turns_over, F.struct(F.col("__asks").alias("asks"), F.col("__flips").alias("flips"))), True).over(before)
+    held = held.withColumn("__by", decides)
+    flips = F.col("__flips") - F.coalesce("__by.flips", F.lit(0))
+    pending = F.coalesce("__by.asks", F.lit(False)) != (flips % 2 == 1)
+    ends = pending & F.col("__ends")
+    outcome = F.when(ends & F.col("__waives"), "waived").when(ends, "joined").when(F.col("__asks"), "asks").otherwise("plain")
+    effective = F.when(outcome == "waived", F.col("__last")).when(outcome == "joined", F.col("__both")).otherwise(F.col("__own"))
+    return held.select(*turns.columns, outcome.alias("outcome"), effective.alias("effective"))
+
+
+#: Turns of all kinds: a cut without a size, a size without a direction, a waiver, no scenario, a readable scenario, a horizon.
+_SAYS = ["сократит добычу?", "на 2 млн барр/сут", "посчитай без сценария", "что с ценой Brent", "если добыча вырастет на 2 mb/d", "на 3 месяца"]
+
+
+def q_clarified(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events as the turns of a conversation, of one of six kinds by a rule of their values."""
+    e = table(spark, d, "events").select("user_id", "event_id", (F.floor(F.col("value") * 7) % 6).cast("int").alias("kind"))
+    says = F.element_at(F.array(*[F.lit(x) for x in _SAYS]), F.col("kind") + 1)
+    return clarified(e.select("user_id", "event_id", says.alias("question")), ["user_id"], "event_id").select("user_id", "event_id", "outcome", "effective")
+
+
 SQL = {
+    "clarified_questions": f"""
+      WITH RECURSIVE e AS (SELECT user_id, event_id, CAST(floor(value * 7) AS INTEGER) % 6 AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+      r AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(-1 AS INTEGER) AS k, CAST(-1 AS INTEGER) AS last, 'none' AS outcome FROM (SELECT DISTINCT user_id FROM e)
+        UNION ALL SELECT e.user_id, e.n, e.event_id, e.k, r.k, CASE WHEN r.outcome = 'asks' AND e.k = 2 THEN 'waived' WHEN r.outcome = 'asks' AND (r.k, e.k) IN ((0, 1), (1, 0)) THEN 'joined' WHEN e.k IN (0, 1) THEN 'asks' ELSE 'plain' END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1),
+      s AS (SELECT *, {_SAYS!r}[k + 1] AS own, {_SAYS!r}[last + 1] AS before FROM r WHERE n > 0)
+      SELECT user_id, event_id, outcome, CASE outcome WHEN 'waived' THEN before WHEN 'joined' THEN rtrim(before, ' ?!.') || ' ' || own ELSE own END AS effective FROM s""",
     "question_horizon": f"""
       WITH {_Q}, a AS (SELECT kind, s, CASE kind WHEN 0 THEN 7 * s WHEN 2 THEN 5 * 365 WHEN 3 THEN 365 WHEN 4 THEN s END AS asked FROM l)
       SELECT kind, s AS l_suppkey, asked, CAST(greatest(1, least(coalesce(asked, 90), 730)) AS BIGINT) AS days, kind = 1 AS fresh, count(*) AS n FROM a GROUP BY ALL""",
@@ -191,4 +243,5 @@ SQL = {
       SELECT event_id, route, CASE WHEN route = 'forecast' AND user_id % 2 = 0 THEN 'clarify' WHEN route = 'forecast' THEN 'forecast' WHEN route = 'other' THEN 'out_of_scope'
         WHEN event_id % 5 < 2 OR value > 150 THEN 'web' ELSE 'answer' END AS next_step FROM r""",
 }
-QUERIES = {"question_horizon": q_horizon, "question_scenario": q_scenario, "question_route": q_route}
+QUERIES = {
+    "clarified_questions": q_clarified,"question_horizon": q_horizon, "question_scenario": q_scenario, "question_route": q_route}
