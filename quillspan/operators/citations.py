@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..sources.tables import answer_files, shared_folder, table
 from .evidence import LEVELS, normal_numbers
 
 #: Formats of answers (fixed values): the citation of a report's pages, any mark, and the words that stand in a mark for each level.
@@ -212,6 +212,19 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("date", F.col("l_linenumber").alias("page")).agg(F.array_join(F.array_sort(F.collect_set("q")), "; ").alias("text"))
 
 
+def q_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Each conversation as a file of a question, an answer and what was computed, written and read back; some have no answer section."""
+    c = table(spark, d, "conversations")
+    said = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"]), "\n")
+    rows = c.groupBy("conv_id").agg(said("user").alias("q"), said("assistant").alias("a"), F.count("*").cast("string").alias("n"))
+    answer = F.when(F.col("conv_id") % 5 != 0, F.concat(F.lit("### Ответ агента\n"), "a", F.lit("\n---\n"))).otherwise("### Other\n")
+    text = F.concat(F.lit("### Запрос\n"), "q", F.lit("\n"), answer, F.lit("#### Выход расчётного модуля\n```turns\n  "), "n", F.lit("```"))
+    home = shared_folder(spark, "answers")
+    rows.select("conv_id", text.alias("value")).repartition("conv_id").write.partitionBy("conv_id").text(home)
+    out = sections(answer_files(spark, home)).withColumn("conv_id", F.regexp_extract("path", r"conv_id=(\d+)/", 1).cast("bigint"))
+    return out.select("conv_id", F.md5(F.col("question").cast("binary")).alias("question"), F.when(F.col("conv_id") % 5 != 0, F.md5(F.col("answer").cast("binary"))).alias("answer"), (F.col("answer") == F.col("text")).alias("whole"), "computed")
+
+
 def q_claims(spark: SparkSession, d: str) -> DataFrame:
     """Claims of all levels; every third has none."""
     level = F.when(F.col("l_linenumber") % 3 != 0, F.element_at(F.array(*[F.lit(x) for x in LEVELS]), (F.col("l_linenumber") % 4 + 1).cast("int")))
@@ -285,6 +298,9 @@ _STATES = f"""{_BLOCKS}, pg AS (SELECT date, l_linenumber AS page, string_agg(DI
   st AS (SELECT l_orderkey, block, number, CASE WHEN l_linestatus = 'O' THEN 'web' WHEN text IS NULL THEN 'no source' WHEN contains(text, replace(number, ',', '.')) OR contains(text, replace(number, '.', ',')) THEN 'found' ELSE 'missing' END AS state FROM x
     UNION ALL SELECT l_orderkey, block, total, CASE WHEN echo THEN 'echo' ELSE 'bare' END FROM z JOIN t USING (l_orderkey))"""
 SQL = {
+    "answer_sections": """
+      WITH r AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) FILTER (WHERE role = 'user') AS q, string_agg(text, chr(10) ORDER BY turn, text) FILTER (WHERE role = 'assistant') AS a, count(*) AS n FROM conversations GROUP BY 1)
+      SELECT conv_id, md5(coalesce(q, '')) AS question, CASE WHEN conv_id % 5 <> 0 THEN md5(coalesce(a, '')) END AS answer, conv_id % 5 = 0 AS whole, 'turns ' || n AS computed FROM r""",
     "claims": f"WITH {_BASE} SELECT l_orderkey, md5(string_agg({_CLAIM.format(sep='chr(10)', note=_READ)}, chr(10) || chr(10) ORDER BY l_linenumber) || chr(10) || ' ' || chr(10) || 'всего ' || any_value(total)) AS md5 FROM i JOIN t USING (l_orderkey) GROUP BY 1",
     "citations": f"WITH {_BASE} SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INTEGER) AS place, source_name, date, l_linenumber AS first, l_linenumber AS last FROM i JOIN t USING (l_orderkey) WHERE l_linestatus = 'F'",
     "annotated_answers": f"""
@@ -321,6 +337,8 @@ SQL = {
         ELSE regexp_replace(printf('%.6f', CAST(CASE WHEN len(p) > 1 THEN array_to_string(p[1:len(p) - 1], '') || '.' || p[len(p)] ELSE x END AS DOUBLE)), '\.?0+$', '') END AS number FROM b""",
 }
 QUERIES = {
+    "answer_sections": q_sections,
+    
     "claims": q_claims, "citations": q_citations, "annotated_answers": q_annotated, "marked_pages": q_marked, "answer_segments": q_segments, "checked_numbers": q_checked, "check_totals": q_totals, "allowed_numbers": q_allowed,
     "answer_legends": q_legends, "check_summary": q_summary,
 }

@@ -119,6 +119,12 @@ def _recorded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     return record(old, rows.where("seq >= 3"))
 
 
+def q_times(spark: SparkSession, d: str) -> DataFrame:
+    """Events' instants in ISO form, and the three months before each."""
+    e = table(spark, d, "events")
+    return e.select("event_id", utc(F.col("ts").cast("timestamp")).alias("at"), F.array_join(months_back(F.to_date("ts"), 3), " ").alias("months"))
+
+
 def q_recorded(spark: SparkSession, d: str) -> DataFrame:
     """Threads by what happened last, with those of an even number named anew."""
     threads, _, _ = _recorded(spark, d)
@@ -184,6 +190,8 @@ def _title(q: str) -> str:
 _TRAIL = """c AS (SELECT thread_id, ordinal, md5(x) AS chunk, min(i) AS i FROM (SELECT thread_id, ordinal, unnest(string_split(answer, chr(10))) AS x, unnest(range(len(string_split(answer, chr(10))))) AS i FROM n WHERE seq >= 3) WHERE x <> '' GROUP BY 1, 2, 3),
   k AS (SELECT thread_id, ordinal, CAST(row_number() OVER (PARTITION BY thread_id, ordinal ORDER BY i) - 1 AS INTEGER) AS position, chunk FROM c)"""
 SQL = {
+    "event_times": """
+      SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS at, strftime(ts - INTERVAL 1 MONTH, '%Y-%m') || ' ' || strftime(ts - INTERVAL 2 MONTH, '%Y-%m') || ' ' || strftime(ts - INTERVAL 3 MONTH, '%Y-%m') AS months FROM events""",
     "recorded_threads": f"""
       WITH {_TURNS}, g AS (SELECT thread_id, min(seq) FILTER (WHERE seq < 3) AS c0, arg_min(question, seq) FILTER (WHERE seq >= 3) AS q, min(seq) AS created_at, max(seq) AS updated_at, count(*) AS turns FROM n GROUP BY 1)
       SELECT thread_id, md5(CASE WHEN thread_id % 4 = 0 THEN 'Talk number ' || thread_id WHEN c0 IS NOT NULL THEN 'old' ELSE {_title("q")} END) AS title, thread_id % 4 = 0 AS renamed, created_at, updated_at, turns FROM g""",
@@ -210,4 +218,6 @@ SQL = {
       SELECT event_id, CASE WHEN r IS NOT NULL AND w IS NOT NULL THEN 'no source answered: reports (' || r || '), web (' || w || ')' WHEN r IS NOT NULL THEN 'reports were not searched (' || r || ')'
         WHEN w IS NOT NULL THEN 'the web was not searched (' || w || ')' ELSE '' END AS note FROM s""",
 }
-QUERIES = {"recorded_threads": q_recorded, "recorded_trail": q_trail, "deleted_threads": q_deleted, "prompt_history": q_history, "thread_titles": q_titles, "source_notes": q_notes, "fed_context": q_fed, "recent_threads": q_recent}
+QUERIES = {
+    "event_times": q_times,
+    "recorded_threads": q_recorded, "recorded_trail": q_trail, "deleted_threads": q_deleted, "prompt_history": q_history, "thread_titles": q_titles, "source_notes": q_notes, "fed_context": q_fed, "recent_threads": q_recent}

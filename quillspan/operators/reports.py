@@ -212,6 +212,14 @@ def _found(spark: SparkSession, d: str) -> DataFrame:
     return events(streams_of(_pages(spark, d), ["l_orderkey"]), _sections(spark, d), ["l_orderkey"])
 
 
+def q_stamped(spark: SparkSession, d: str) -> DataFrame:
+    """Windows over documents as chunks, each with its document's source and language as name and date; every ninth document has none."""
+    docs = table(spark, d, "documents")
+    made = windows(docs).withColumn("page_start", F.floor(F.col("start") / 1200).cast("int"))
+    meta = docs.where("doc_id % 9 <> 0").select("doc_id", F.col("source").alias("source_name"), F.col("lang").alias("date"))
+    return stamped(made, meta, ["doc_id"]).select("doc_id", F.col("start").cast("bigint").alias("start"), "page", "source_name", "date")
+
+
 def q_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = table_rows(_found(spark, d), ["l_orderkey"])
     return rows.select("l_orderkey", "start", "stop", "label", F.array_join(values_of(F.col("text")), " ").alias("cells"))
@@ -246,6 +254,9 @@ _REPORT = """i AS (SELECT l_orderkey, l_linenumber AS n, l_quantity, l_discount,
   r AS (SELECT *, CAST(length(prose) + length(head) + coalesce(sum(length(body) + 1) OVER (PARTITION BY l_orderkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM h)"""
 _WIDTH = "CASE WHEN arg_min(l_linestatus, n) = 'O' THEN '' ELSE 'Q1 Q2 Q3 Q4 2026' END"
 SQL = {
+    "stamped_chunks": """
+      SELECT doc_id, CAST(k * 1000 AS BIGINT) AS start, CAST(k * 1000 // 1200 AS INTEGER) AS page, CASE WHEN doc_id % 9 <> 0 THEN source END AS source_name, CASE WHEN doc_id % 9 <> 0 THEN lang END AS date
+      FROM (SELECT *, unnest(range(0, CAST(greatest(0, ceil((length(text) - 1200) / 1000)) AS BIGINT) + 1)) AS k FROM documents WHERE text <> '')""",
     "located_sections": f"""
       WITH {_REPORT} SELECT l_orderkey, CAST(2 * n AS INTEGER) AS n, 'State ' || l_linestatus AS title, CAST(24 * row_number() OVER (PARTITION BY l_orderkey ORDER BY n) - 10 AS BIGINT) AS at FROM r""",
     "table_rows": f"WITH {_REPORT} SELECT l_orderkey, start, CAST(start + length(body) + CASE sep WHEN ' ' THEN 1 ELSE 0 END AS BIGINT) AS stop, replace(raw, chr(10), ' ') AS label, cells FROM r",
@@ -264,4 +275,6 @@ SQL = {
         CAST(coalesce(list_last(list_filter(pages, lambda p, i: starts[i] <= a)), 1) AS INTEGER) AS page_start, CAST(coalesce(list_last(list_filter(pages, lambda p, i: starts[i] <= z - 1)), 1) AS INTEGER) AS page_end FROM y)
       SELECT l_orderkey, index, kind, CAST(a AS BIGINT) AS start, CAST(z AS BIGINT) AS stop, page_start, page_end, md5(context) AS context, md5(CASE WHEN context = '' THEN body ELSE context || chr(10) || body END) AS md5 FROM v WHERE trim(body, ' ') <> ''""",
 }
-QUERIES = {"located_sections": q_located, "table_rows": q_rows, "column_headers": q_headers, "report_chunks": q_chunks}
+QUERIES = {
+    "stamped_chunks": q_stamped,
+    "located_sections": q_located, "table_rows": q_rows, "column_headers": q_headers, "report_chunks": q_chunks}
