@@ -81,7 +81,7 @@ def likeliest(x: np.ndarray) -> tuple[float, float, bool]:
     half, inside = WIDEST, False
     for _ in range(ROUNDS):
         steps = half / POINTS * np.arange(-POINTS, POINTS + 1)
-        phi, theta = (g.ravel() for g in np.meshgrid(np.round(p + steps, 6), np.round(t + steps, 6), indexing="ij"))
+        phi, theta = (g.ravel() for g in np.meshgrid(np.round(p + steps, 10), np.round(t + steps, 10), indexing="ij"))
         ok = (abs(phi) <= EDGE) & (abs(theta) <= EDGE)
         phi, theta = phi[ok], theta[ok]
         best = np.lexsort((theta, phi, np.round(innovations(x, phi, theta)["lost"], 9)))[0]
@@ -328,7 +328,7 @@ def _arima_sql() -> str:
     ]
     for n in range(ROUNDS):
         steps += [
-            f"""c{n} AS (SELECT event_type, p, t, half, done, phi, round(t + half / {POINTS} * j, 6) AS theta FROM (SELECT *, round(p + half / {POINTS} * unnest(range(-{POINTS}, {POINTS + 1})), 6) AS phi FROM b{n}), range(-{POINTS}, {POINTS + 1}) k(j) WHERE abs(phi) <= {EDGE} AND abs(round(t + half / {POINTS} * j, 6)) <= {EDGE} AND NOT done)""",
+            f"""c{n} AS (SELECT event_type, p, t, half, done, phi, round(t + half / {POINTS} * j, 10) AS theta FROM (SELECT *, round(p + half / {POINTS} * unnest(range(-{POINTS}, {POINTS + 1})), 10) AS phi FROM b{n}), range(-{POINTS}, {POINTS + 1}) k(j) WHERE abs(phi) <= {EDGE} AND abs(round(t + half / {POINTS} * j, 10)) <= {EDGE} AND NOT done)""",
             f"l{n} AS (SELECT c.*, {walk} AS w, len(x) AS m FROM c{n} c JOIN x USING (event_type))",
             f"""b{n + 1} AS MATERIALIZED (SELECT event_type, phi AS p, theta AS t, CASE WHEN greatest(abs(phi - p), abs(theta - t)) < half - 1e-9 AND half >= {FINE} THEN half / 2 ELSE half END AS half,
               greatest(abs(phi - p), abs(theta - t)) < half - 1e-9 AND half < {FINE} AS done FROM l{n} QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY round(m * ln(greatest(w.s / m, 1e-300)) + w.l, 9), phi, theta) = 1
