@@ -15,6 +15,10 @@ from quillspan.llm import decontaminate, exact_dedup, near_dedup, packing, toxic
 from quillspan.llm.shared import on_workers, stored, table
 
 
+#: Words that a worker remembers in the last stage: its memory also holds what the stages before have left.
+KEEP = 100_000
+
+
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones among them, does not reject; repeated rows are judged alike."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
@@ -40,7 +44,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of 2048-token sequences that hold every id of what is left, of repeated rows as often as they come."""
     on_workers(spark)
-    return packing.pieces(docs)
+    return packing.pieces(docs, KEEP)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import arrow_type, table
-from .tokens import encoder, vocabulary
+from .tokens import WORDS, encoder, vocabulary
 
 CAPACITY, END, CLASSES = 2048, 1, 64
 SCHEMA = "doc_id {0}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
@@ -92,11 +92,11 @@ class Packer:
         self.short, self.bins = [], {}
 
 
-def _pack(path: str, end: int, id_type: pa.DataType, capacity: int, classes: int):
+def _pack(path: str, end: int, id_type: pa.DataType, capacity: int, classes: int, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, tail = encoder(path), np.array([end], "<u4").tobytes()
+        enc, tail = encoder(path, keep), np.array([end], "<u4").tobytes()
         packer = Packer(TaskContext.get().partitionId(), capacity, classes)
         types = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
@@ -121,21 +121,21 @@ def _pack(path: str, end: int, id_type: pa.DataType, capacity: int, classes: int
     return run
 
 
-def pack(docs: DataFrame, vocab: str, end: int = END, capacity: int = CAPACITY, classes: int = CLASSES) -> DataFrame:
+def pack(docs: DataFrame, vocab: str, end: int = END, capacity: int = CAPACITY, classes: int = CLASSES, keep: int = WORDS) -> DataFrame:
     """Pieces of packed sequences of ``docs`` (doc_id, text; null text: empty).
 
     doc_id, start, length, doc_tokens, sequence_id, offset and ids (little-endian unsigned 32-bit).
     Every id of a document, its end id too, lies in exactly one piece; repeated rows are packed
     as often as they occur, a null id stays null, and no sequence needs padding.
-    The sequence id is the task's number and the bin's within it.
+    The sequence id is the task's number and the bin's within it. ``keep`` bounds the words that a worker remembers.
     """
     id_type = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_pack(vocab, end, arrow_type(docs, "doc_id"), capacity, classes), SCHEMA.format(id_type))
+    return docs.select("doc_id", "text").mapInArrow(_pack(vocab, end, arrow_type(docs, "doc_id"), capacity, classes, keep), SCHEMA.format(id_type))
 
 
-def pieces(docs: DataFrame) -> DataFrame:
+def pieces(docs: DataFrame, keep: int = WORDS) -> DataFrame:
     """Packed pieces with the checksum of their ids in place of the ids; rows as ``pack`` takes them, other columns left out."""
-    return pack(docs, vocabulary()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pack(docs, vocabulary(), keep=keep).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ import struct
 
 import numpy as np
 
-WORDS = 450_000  # entries kept per Python worker and kind, half of them in a dictionary that is dropped when the other is full
-_encoders: dict[str, "Encoder"] = {}
+WORDS = 450_000  # entries kept per Python worker and kind by default, half of them in a dictionary that is dropped when the other is full
+_encoders: dict[tuple[str, int], "Encoder"] = {}
 #: Letters and numbers below U+0250; the splitter's classes for texts without higher characters.
 _L, _N = r"a-zA-Zªµº\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9²³¹¼½¾"
 _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -45,14 +45,14 @@ class Encoder:
     string, and all texts of other vocabularies, take the library's own. Null counts as empty.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -95,16 +95,16 @@ class Encoder:
             return b""
         if not self.fast or _control(text) or any(s in text for s in self.special):
             return self.plain(text)
-        if len(self.pieces) > WORDS // 2:  # what is still in use moves on from the old dictionary
+        if len(self.pieces) > self.keep // 2:  # what is still in use moves on from the old dictionary
             self.old_pieces, self.pieces = self.pieces, {}
-        if len(self.words) > WORDS // 2:
+        if len(self.words) > self.keep // 2:
             self.old_words, self.words = self.words, {}
         get, piece = self.pieces.get, self._piece
         return b"".join([get(p) or piece(p) for p in text.split()])
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per vocabulary and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, keep: int = WORDS) -> Encoder:
+    """One encoder per vocabulary, size of its dictionaries and Python worker."""
+    if (path, keep) not in _encoders:
+        _encoders[path, keep] = Encoder(path, keep)
+    return _encoders[path, keep]
