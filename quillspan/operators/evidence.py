@@ -56,15 +56,26 @@ def citation_stats(marked: DataFrame, group: list[str]) -> DataFrame:
 
 def normal_numbers(text: Column) -> Column:
     """Distinct numbers of a text, in order and in one spelling: groups of three digits lose their separators, the last of other separators is the
-    decimal point, and six decimals are kept, less the zeros at their end."""
+    decimal point, and six decimals are kept, less the zeros at their end.
+
+    A number is rounded by the exact value of its double. The JVM rounds the shortest decimal of it instead, which is another number from
+    sixteen digits or seven decimals on: only such numbers go to Python.
+    """
     found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
+    point = lambda x: F.regexp_replace(F.regexp_replace(x, r"[.,](?=.*[.,])", ""), ",", ".")
+    grouped = lambda x: x.rlike(r"^-?\d{1,3}(?:[.,]\d{3})+$")
+    fine = lambda x: ~grouped(x) & ((F.length(x) > 15) | x.rlike(r"[.,]\d{7,}$"))
+
+    @F.udf("map<string,string>")
+    def exact(values):  # type hints would choose another kind of UDF
+        return {x: f"{float(x):.6f}".rstrip("0").rstrip(".") for x in values or []}
 
-    def plain(x: Column) -> Column:
-        point = F.regexp_replace(F.regexp_replace(x, r"[.,](?=.*[.,])", ""), ",", ".")
-        value = F.regexp_replace(F.format_string("%.6f", point.cast("double")), r"\.?0+$", "")
-        return F.when(x.rlike(r"^-?\d{1,3}(?:[.,]\d{3})+$"), F.regexp_replace(x, "[.,]", "")).otherwise(value)
+    def plain(x: Column, known: Column) -> Column:
+        value = F.regexp_replace(F.format_string("%.6f", point(x).cast("double")), r"\.?0+$", "")
+        return F.when(grouped(x), F.regexp_replace(x, "[.,]", "")).when(fine(x), F.element_at(known, point(x))).otherwise(value)
 
-    return F.array_distinct(F.transform(found, plain))
+    both = F.array(F.struct(found.alias("found"), exact(F.transform(F.filter(found, fine), point)).alias("exact")))
+    return F.array_distinct(F.transform(both, lambda b: F.transform(b["found"], lambda x: plain(x, b["exact"])))[0])
 
 
 def unsupported_numbers(answers: DataFrame, sources: DataFrame, key: list[str]) -> DataFrame:

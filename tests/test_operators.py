@@ -83,6 +83,10 @@ def test_evidence_edges(spark):
     numbers = spark.createDataFrame([("1,234 and 1.5, -2,5; 1234",), (None,)], "t string").select(e.normal_numbers(F.col("t"))).collect()
     assert [r[0] for r in numbers] == [["1234", "1.5", "-2.5"], None]
 
+    odd = ["7.1234565", "0,1234565", "0.0000005", "123456789012345678901234", "9007199254740993", "12345678.1234565", "1" * 400, "-0.0000001", "1.2.3", "123,456,789,012,345"]
+    numbers = spark.createDataFrame([(" ".join(odd),)], "t string").select(e.normal_numbers(F.col("t"))).first()[0]
+    assert numbers == ["7.123456", "0.123456", "0", "123456789012345685803008", "9007199254740992", "12345678.123457", "inf", "-0", "12.3", "123456789012345"]
+
     cites = spark.createDataFrame([(1, "a", 2, 3), (2, "a", 9, 9), (3, None, 1, 1)], "citation_id int, src string, first int, last int")
     frags = spark.createDataFrame([("a", 3, 5, "direct"), ("a", 1, 2, "unchecked"), ("a", 4, 5, "disputed")], "src string, page int, page_end int, level string")
     assert {r.citation_id: r.level for r in e.citation_levels(cites, frags, ["src"]).collect()} == {1: "unchecked", 2: None, 3: None}
