@@ -331,7 +331,7 @@ SQL = {
         CAST(sum(missing) AS BIGINT) AS missing, CAST(sum(unmarked) AS BIGINT) AS unmarked, CAST(sum(web) AS BIGINT) AS web FROM c JOIN orders ON o_orderkey = l_orderkey GROUP BY ROLLUP (1))
       SELECT *, CASE WHEN missing > 0 OR unmarked > 0 THEN 'failed' WHEN checked = 0 THEN 'nothing checked' ELSE 'ok' END AS verdict FROM g""",
     "allowed_numbers": rf"""
-      WITH a AS (SELECT DISTINCT page_id, x FROM (SELECT page_id, unnest(regexp_extract_all(url || ' ' || html || ' ' || page_id, '-?\d+(?:[.,]\d+)*')) AS x FROM pages)),
+      WITH a AS (SELECT DISTINCT page_id, x FROM (SELECT page_id, unnest(regexp_extract_all(concat_ws(' ', url, html, page_id), '-?\d+(?:[.,]\d+)*')) AS x FROM pages)),
       b AS (SELECT page_id, x, string_split(replace(x, ',', '.'), '.') AS p FROM a)
       SELECT DISTINCT page_id, CASE WHEN regexp_full_match(x, '-?\d{{1,3}}([.,]\d{{3}})+') THEN regexp_replace(x, '[.,]', '', 'g')
         ELSE regexp_replace(printf('%.6f', CAST(CASE WHEN len(p) > 1 THEN array_to_string(p[1:len(p) - 1], '') || '.' || p[len(p)] ELSE x END AS DOUBLE)), '\.?0+$', '') END AS number FROM b""",
