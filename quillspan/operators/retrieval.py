@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import axis_scale, boilerplate, carries_no_data, digit_ratio, expand, tokens
-from ..sources.tables import stored, table
+from ..sources.tables import on_workers, stored, table
 
 K1, B, FUSION = 1.5, 0.75, 60
-BLOCK = 20_000  # query vectors that are broadcast at once
+BLOCK, SHARD, ROWS = 4096, 16_384, 256  # query vectors and vectors that meet in one group, and query vectors that are multiplied at once
 TOP_K, FLOOR = 5, 0.1  # the floor fits random vectors; trained ones would take 0.55
 
 
@@ -66,15 +66,71 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors of different length"))).otherwise(cos)
 
 
+def _ranked_shard(pool: int):
+    """For a cogroup of queries and vectors: the ``pool`` best rows a query. A product of matrices picks them, and the plain sum in order scores what it picked."""
+
+    def matrix(rows, name):
+        arrays = [None if x is None else np.asarray(x, dtype=object) for x in rows[name]]
+        sizes = {len(x) for x in arrays if x is not None}
+        if len(sizes) > 1:
+            raise ValueError("vectors of different length")
+        width = sizes.pop() if sizes else 0
+        there = np.array([x is not None and not any(y is None for y in x) for x in arrays], dtype=bool)
+        return np.stack([x.astype(float) if ok else np.zeros(width) for x, ok in zip(arrays, there)]), there
+
+    def norms(m):
+        total = np.zeros(len(m))
+        for i in range(m.shape[1]):
+            total += m[:, i] * m[:, i]
+        return np.where(total == 0, 1.0, np.sqrt(total))
+
+    def run(queries, vectors):
+        none = pd.DataFrame({"query_id": queries["query_id"][:0], "id": vectors["id"][:0], "cos": pd.Series([], dtype=float), "there": pd.Series([], dtype=bool)})
+        if queries.empty or vectors.empty:
+            return none
+        vectors = vectors.sort_values("id", kind="stable")
+        (q, q_there), (v, v_there) = matrix(queries, "query"), matrix(vectors, "vector")
+        if q_there.any() and v_there.any() and q.shape[1] != v.shape[1]:
+            raise ValueError("vectors of different length")
+        q_norm, v_norm, found = norms(q), norms(v), []
+        for lo in range(0, len(q), ROWS):
+            hi = min(lo + ROWS, len(q))
+            if q.shape[1] == v.shape[1]:
+                near = (q[lo:hi] @ v.T) / q_norm[lo:hi, None] / v_norm
+            else:  # all of one side are null
+                near = np.zeros((hi - lo, len(v)))
+            near[np.isnan(near)] = np.inf  # NaN comes first and null last, as Spark sorts them
+            near[~q_there[lo:hi]], near[:, ~v_there] = -np.inf, -np.inf
+            least = np.partition(near, -pool, axis=1)[:, -pool] if near.shape[1] > pool else np.full(hi - lo, -np.inf)
+            a, b = np.nonzero(near >= least[:, None] - 1e-8)
+            a, exact, there = a + lo, np.zeros(len(a)), q_there[a + lo] & v_there[b]
+            for i in range(min(q.shape[1], v.shape[1])):
+                exact += q[a, i] * v[b, i]
+            exact /= q_norm[a] * v_norm[b]
+            # Of equal scores only the smallest ids can matter.
+            rows = pd.DataFrame({"a": a, "b": b, "cos": exact, "there": there})
+            found.append(rows[rows.groupby(["a", "there", "cos"], dropna=False).cumcount() < pool])
+        rows = pd.concat(found)
+        return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[rows["a"]], "id": vectors["id"].to_numpy()[rows["b"]], "cos": rows["cos"].to_numpy(), "there": rows["there"].to_numpy()})
+
+    return run
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
     """(query_id, id, cos, place) of the ``pool`` nearest vectors (id, vector) of each query (query_id, query): a stated query set against all rows.
 
-    Queries go to the vectors in blocks of about BLOCK; vectors are read once a block.
+    Blocks of about BLOCK queries meet shards of about SHARD vectors, each pair of them in one group; groups give their best rows only.
     """
-    blocks = max(1, -(-queries.count() // BLOCK))
-    parts = [queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
-    score = cosine(F.col("vector"), F.col("query")).alias("cos")
-    return reduce(lambda a, b: a.unionByName(b), [best(vectors.crossJoin(F.broadcast(p)).select("query_id", "id", score), "cos", pool) for p in parts])
+    on_workers(vectors.sparkSession)
+    blocks, shards = (max(1, -(-rows.count() // size)) for rows, size in ((queries, BLOCK), (vectors, SHARD)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    asked = queries.select("query_id", "query", part("query_id", blocks).alias("block"), every(shards).alias("shard"))
+    held = vectors.select("id", "vector", part("id", shards).alias("shard"), every(blocks).alias("block"))
+    kinds = dict(queries.dtypes) | dict(vectors.dtypes)
+    schema = f"query_id {kinds['query_id']}, id {kinds['id']}, cos double, there boolean"
+    found = asked.groupBy("block", "shard").cogroup(held.groupBy("block", "shard")).applyInPandas(_ranked_shard(pool), schema)
+    return best(found.select("query_id", "id", F.when(F.col("there"), F.col("cos")).alias("cos")), "cos", pool)
 
 
 def rerank(text: Column, score: Column) -> Column:

@@ -1,9 +1,12 @@
 """The index of turns: what it finds, in which order, and that it follows the turns."""
 
 import math
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from quillspan.operators import retrieval
 from quillspan.operators.registry import TurnIndex, found_turns
 
 TURNS = [(1, 0, "oil production grows"), (1, 1, "Production of oil, and productions of banana"), (2, 0, "gas"), (3, 0, None), (4, 0, "oil oil oil"), (5, 0, "нефть и добыча"), (6, 0, "добычи нефти, много слов о добыче")]
@@ -64,3 +67,21 @@ def test_order_and_titles(spark):
 def test_no_nested_loop_over_turns(spark, turns, tmp_path):
     plan = TurnIndex(spark, str(tmp_path)).add(turns).search(asked(spark, "oil"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastNestedLoopJoin") + plan.count("CartesianProduct") <= 1  # the one row of totals
+
+
+def test_nearest_in_blocks_and_shards(spark, monkeypatch):
+    """Against every pair by the plain expression, with copies, null and zero vectors, and more than one block, shard and product."""
+    for name, size in (("BLOCK", 7), ("SHARD", 40), ("ROWS", 3)):
+        monkeypatch.setattr(retrieval, name, size)
+    rng = random.Random(5)
+    rows = [(i, None if i % 31 == 30 else [0.0] * 4 if i % 37 == 36 else [float(rng.randint(-2, 2)) for _ in range(4)]) for i in range(150)]
+    vectors = spark.createDataFrame(rows, "id long, vector array<float>")
+    queries = vectors.where("id % 7 = 2 OR id = 30").selectExpr("id as query_id", "vector as query")
+    pairs = vectors.crossJoin(queries).select("query_id", "id", retrieval.cosine(F.col("vector"), F.col("query")).alias("cos"))
+    for pool in (9, 149):
+        got = {(r.query_id, r.place): (r.id, r.cos) for r in retrieval.nearest(vectors, queries, pool).collect()}
+        assert got == {(r.query_id, r.place): (r.id, r.cos) for r in retrieval.best(pairs, "cos", pool).collect()} and len(got) == pool * queries.count()
+    plan = retrieval.nearest(vectors, queries, 9)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    with pytest.raises(Exception, match="different length"):
+        retrieval.nearest(vectors, queries.selectExpr("query_id", "slice(query, 1, 3) as query"), 9).collect()
