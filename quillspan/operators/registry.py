@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import stem, title
-from ..sources.tables import shared_folder, table
+from ..sources.tables import shared_folder, stored, table
 
 
 def turns(rows: DataFrame) -> DataFrame:
@@ -96,28 +96,45 @@ class TurnIndex:
         """(query_id, conv_id, turn, score) where every stem of a query (query_id, question) occurs within a word of the turn.
 
         The score is BM25 of the stems, each as often as the question has it, over the trigrams of a turn. Stems meet
-        words by the rarest trigram of the stem.
+        words by the rarest trigram of the stem, questions meet turns by their rarest stem, and only what has it meets the next ones.
         """
-        asked = queries.select("query_id", F.explode(stems(F.col("question"))).alias("stem")).groupBy("query_id", "stem").agg(F.count("*").alias("w"))
-        asked = asked.withColumn("stems", F.count("*").over(W.partitionBy("query_id")))
-        postings = self.postings()
-        vocabulary = postings.select("word").distinct()
-        grams = vocabulary.select("word", F.explode(F.array_distinct(trigrams(F.col("word")))).alias("gram"))
-        known = asked.select("stem").distinct()
+        one = queries.select("query_id", F.explode(stems(F.col("question"))).alias("stem")).groupBy("query_id", "stem").agg(F.count("*").alias("w"))
+        bags = one.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("stem", "w"))).alias("stems"))
+        bags = stored(bags.withColumn("bag", F.sha2(F.to_json("stems"), 256)), "bags")  # questions of the same stems are one
+        asked = bags.dropDuplicates(["bag"]).select("bag", F.size("stems").alias("size"), F.inline("stems"))
+        values = self._values(asked.select("stem").distinct())
+        often = values.groupBy("stem").agg(F.count("*").alias("df"))
+        # Of the stems of a bag the rarest comes first; a bag with a stem that no turn has finds nothing.
+        w = W.partitionBy("bag")
+        ranked = asked.join(often, "stem").withColumns({"known": F.count("*").over(w), "place": F.row_number().over(w.orderBy("df", "stem"))})
+        ranked = stored(ranked.where("known = size").select("bag", "stem", "w", "size", "place"), "ranked")
+        turn, score = ["conv_id", "turn"], F.col("w") * F.col("value")
+        first, second, rest = (ranked.where(x) for x in ("place = 1", "place = 2", "place > 2"))
+        found = first.join(values, "stem").select("bag", "size", *turn, score.alias("score"))
+        pairs = found.where("size > 1").select("bag", *turn, F.col("score").alias("before")).join(second, "bag").join(values, ["stem", *turn])
+        pairs = pairs.select("bag", "size", *turn, (F.col("before") + score).alias("score"))
+        more = pairs.where("size > 2").select("bag", *turn, F.col("score").alias("before")).join(rest, "bag").join(values, ["stem", *turn])
+        more = more.groupBy("bag", "size", *turn).agg((F.sum(score) + F.first("before")).alias("score"), F.count("*").alias("have")).where("have = size - 2").drop("have")
+        every = found.where("size = 1").unionByName(pairs.where("size = 2")).unionByName(more)
+        return every.join(bags.select("bag", "query_id"), "bag").select("query_id", *turn, "score")
+
+    def _values(self, known: DataFrame) -> DataFrame:
+        """(stem, conv_id, turn, value): what each of the ``known`` stems (stem) adds to the score of each turn that holds it, written once."""
+        postings = stored(self.postings(), "summed")
+        grams = postings.select("word").distinct().select("word", F.explode(F.array_distinct(trigrams(F.col("word")))).alias("gram"))
         rare = known.select("stem", F.explode(F.array_distinct(trigrams(F.col("stem")))).alias("gram")).join(grams.groupBy("gram").agg(F.count("*").alias("words")), "gram", "left")
         rare = rare.groupBy("stem").agg(F.min_by("gram", F.struct(F.coalesce("words", F.lit(0)), "gram")).alias("gram"))
         hits = F.size(F.filter(F.sequence(F.lit(1), F.length("word") - F.length("stem") + 1), lambda i: F.substring(F.col("word"), i, F.length("stem")) == F.col("stem")))
         meets = rare.join(grams, "gram").where(F.contains("word", F.col("stem"))).select("stem", "word", hits.alias("hits"))
-        held = meets.join(postings, "word").groupBy("stem", "conv_id", "turn").agg(F.sum(F.col("n") * F.col("hits")).alias("tf"))
+        held = stored(meets.join(postings, "word").groupBy("stem", "conv_id", "turn").agg(F.sum(F.col("n") * F.col("hits")).alias("tf")), "held")
         lengths = self.lengths()
         total = lengths.agg(F.sum("rows").alias("docs"), (F.sum("n") / F.sum("rows")).alias("mean"))
         often = held.groupBy("stem").agg(F.count("*").alias("df"))
-        found = asked.join(held.join(often, "stem"), "stem").join(lengths.select("conv_id", "turn", F.col("n").alias("len")), ["conv_id", "turn"]).crossJoin(F.broadcast(total))  # one row
+        rows = held.join(often, "stem").join(lengths.select("conv_id", "turn", F.col("n").alias("len")), ["conv_id", "turn"]).crossJoin(F.broadcast(total))  # one row
         idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         idf = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
-        part = F.col("w") * idf * F.col("tf") * (SATURATION + 1) / (F.col("tf") + SATURATION * (1 - LENGTH + LENGTH * F.col("len") / F.col("mean")))
-        every = found.groupBy("query_id", "conv_id", "turn").agg(F.sum(part).alias("score"), F.count("*").alias("have"), F.first("stems").alias("stems"))
-        return every.where("have = stems").select("query_id", "conv_id", "turn", "score")
+        value = idf * F.col("tf") * (SATURATION + 1) / (F.col("tf") + SATURATION * (1 - LENGTH + LENGTH * F.col("len") / F.col("mean")))
+        return stored(rows.select("stem", "conv_id", "turn", value.alias("value")), "values")
 
 
 def found_turns(matches: DataFrame, heads: DataFrame, limit: int = 50) -> DataFrame:

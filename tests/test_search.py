@@ -69,6 +69,17 @@ def test_no_nested_loop_over_turns(spark, turns, tmp_path):
     assert plan.count("BroadcastNestedLoopJoin") + plan.count("CartesianProduct") <= 1  # the one row of totals
 
 
+def test_questions_go_to_turns_by_their_rarest_stem(spark, tmp_path):
+    """A stem that all turns hold must not multiply rows: what is written and joined by a turn stays with the rare one."""
+    rows = [(i, 0, f"common usual number{i}") for i in range(60)]
+    index = TurnIndex(spark, str(tmp_path)).add(spark.createDataFrame(rows, "conv_id long, turn long, text string"))
+    questions = asked(spark, *(f"common usual number{i}xyz" for i in range(10, 30)), "usual COMMON", "common usual", "common usual nowhere")
+    out = index.search(questions)
+    assert out.groupBy("query_id").count().where("count = 60").count() == 2 and out.where("query_id LIKE '%nowhere'").isEmpty()
+    big = [p for p in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "place#" in p and "= 1" in p]
+    assert big, "the rarest stem goes first"
+
+
 def test_nearest_in_blocks_and_shards(spark, monkeypatch):
     """Against every pair by the plain expression, with copies, null and zero vectors, and more than one block, shard and product."""
     for name, size in (("BLOCK", 7), ("SHARD", 40), ("ROWS", 3)):
