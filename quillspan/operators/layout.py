@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..sources.tables import on_workers, table
 
 #: Formats of the pages (fixed values): how far words of a line may differ in height, captions, values, and names of columns.
 SAME_LINE, CAPTION, VALUE, COLUMN = 1.6, r"^Table\s+\d+[a-z]?\.", r"^(-|--|NA|W|-?\d[\d,]*\.\d+)$", r"^(Q[1-4]|\d{4})$"
@@ -107,17 +108,61 @@ def match_labels(parsed: DataFrame, truth: DataFrame, key: list[str]) -> DataFra
     return truth.join(best, [*key, "label"], "left").withColumn("place", F.col("b.__place")).drop("b")
 
 
+def best_shift(got: list[str | None] | None, want: list[str | None]) -> tuple[int, int]:
+    """``shift`` of cells that ``norm`` has been through, in plain Python."""
+    got, best = got or [], None
+    for s in range(-SHIFT, SHIFT + 1):
+        a, b = (want[-s:], got) if s < 0 else (want, got[s:])
+        wrong = len(want) - sum(x == y and x is not None for x, y in zip(a, b))
+        if best is None or wrong < best[0]:
+            best = wrong, s
+    return best
+
+
+def score_page(labels: list, wanted: list, places: list, names: list, cells: list) -> tuple[int, int, int | None, int | None, int]:
+    """What ``score`` gives for one page: labels and cells of the truth, and places, labels and cells of what was parsed; labels in lower case, all cells as they were."""
+    spelled = lambda x: None if x is None else [None if c is None else c.strip(" ").replace(",", "").replace("−", "-").replace("–", "-") for c in x]
+    held: dict = {}
+    for place, values in zip(places, cells):
+        held.setdefault(place, []).append(spelled(values))
+    rows = found = shifted = 0
+    sizes, missed = [], []
+    for label, want in zip(labels, wanted):
+        meets = [(name != label, place is not None, place) for name, place in zip(names, places) if label is not None and name is not None and label in name]
+        place = min(meets)[2] if meets else None
+        want = spelled(want)
+        for got in held.get(place, [None]) if place is not None else [None]:
+            rows += 1
+            found += place is not None
+            wrong, moved = (None if want is None else len(want)), 0
+            if place is not None:
+                wrong, moved = (None, -SHIFT) if want is None else best_shift(got, want)
+            shifted += moved != 0
+            if want is not None:
+                sizes.append(len(want))
+                missed.append(wrong)
+    return rows, found, sum(sizes) if sizes else None, sum(missed) if missed else None, shifted
+
+
 def score(parsed: DataFrame, truth: DataFrame, key: list[str]) -> DataFrame:
     """(key, rows, rows_found, cells, misplaced, shifted): parsed rows (key, place, label, values) against the truth (key, label, values).
 
-    A row that is not found has all its cells misplaced.
+    A row that is not found has all its cells misplaced. The rows of a page meet once, in one call of ``score_page``; a row is
+    matched as ``match_labels`` and ``shift`` do.
     """
-    held = match_labels(parsed, truth, key).join(parsed.select(*key, "place", F.col("values").alias("__got")), [*key, "place"], "left")
-    held = held.withColumn("s", F.when(F.col("place").isNotNull(), shift(F.col("__got"), F.col("values"))))
-    return held.groupBy(*key).agg(
-        F.count("*").alias("rows"), F.count("place").alias("rows_found"), F.sum(F.size("values")).cast("bigint").alias("cells"),
-        F.sum(F.coalesce("s.wrong", F.size("values"))).cast("bigint").alias("misplaced"), F.count_if(F.col("s.shift") != 0).alias("shifted"),
-    )
+    on_workers(truth.sparkSession)
+    low = F.lower(F.trim("label")).alias("label")
+    t = truth.groupBy(*key).agg(F.collect_list(F.struct(low, "values")).alias("__t"))
+    p = parsed.groupBy(*key).agg(F.collect_list(F.struct("place", low, "values")).alias("__p"))
+
+    @F.arrow_udf("rows long, rows_found long, cells long, misplaced long, shifted long")
+    def scored(labels: pa.Array, wanted: pa.Array, places: pa.Array, names: pa.Array, cells: pa.Array) -> pa.Array:
+        pages = [score_page(*(x or [] for x in page)) for page in zip(*(c.to_pylist() for c in (labels, wanted, places, names, cells)))]
+        columns = [pa.array(c, pa.int64()) for c in zip(*pages)] if pages else [pa.array([], pa.int64())] * 5
+        return pa.StructArray.from_arrays(columns, ["rows", "rows_found", "cells", "misplaced", "shifted"])
+
+    held = t.join(p, key, "left").select(*key, scored("__t.label", "__t.values", "__p.place", "__p.label", "__p.values").alias("s"))
+    return held.select(*key, "s.*")
 
 
 # ---- Pages made of line items: a page an order, a document a customer -------------------------

@@ -162,3 +162,20 @@ def test_files(spark, tmp_path):
     (tmp_path / "answers").mkdir()
     (tmp_path / "answers" / "a.md").write_text("one\ntwo")
     assert [r.text for r in tables.answer_files(spark, str(tmp_path / "answers")).collect()] == ["one\ntwo"]
+
+
+def test_score_of_a_page_is_that_of_matched_rows(spark):
+    """Against the expressions for labels and shifts, row by row, with nulls, repeated labels and pages that were not parsed."""
+    rng = random.Random(9)
+    cell = lambda: rng.choice(["1", "2", " 1,0", "10", "−", "-", "", None])
+    row = lambda: rng.choice([None, *[[cell() for _ in range(rng.randint(0, 5))] for _ in range(9)]])
+    truth = spark.createDataFrame([(k, label, row()) for k in range(60) for label in rng.sample(["a", "B ", "ab", "x", None], 3)], "k long, label string, values array<string>")
+    parsed = spark.createDataFrame([(k, n, rng.choice(["A", "b", "xab", "total x", None]), row()) for k in range(55) for n in range(4)], "k long, place long, label string, values array<string>")
+    held = layout.match_labels(parsed, truth, ["k"]).join(parsed.select("k", "place", F.col("values").alias("got")), ["k", "place"], "left")
+    held = held.withColumn("s", F.when(F.col("place").isNotNull(), layout.shift(F.col("got"), F.col("values"))))
+    want = held.groupBy("k").agg(F.count("*"), F.count("place"), F.sum(F.size("values")), F.sum(F.coalesce("s.wrong", F.size("values"))), F.count_if(F.col("s.shift") != 0))
+    got = layout.score(parsed, truth, ["k"])
+    assert got.dtypes == [("k", "bigint"), *((c, "bigint") for c in ("rows", "rows_found", "cells", "misplaced", "shifted"))]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "array_min" not in plan
