@@ -12,6 +12,7 @@ from ..functions.text import axis_scale, boilerplate, carries_no_data, digit_rat
 from ..sources.tables import on_workers, stored, table
 
 K1, B, FUSION = 1.5, 0.75, 60
+EXACT = 1e14  # parts of a score are summed in units of its inverse
 BLOCK, SHARD, ROWS = 4096, 16_384, 256  # query vectors and vectors that meet in one group, and query vectors that are multiplied at once
 TOP_K, FLOOR = 5, 0.1  # the floor fits random vectors; trained ones would take 0.55
 
@@ -43,11 +44,12 @@ def bm25(docs: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
     held = asked_postings(docs, queries)
     corpus = held.where("word = ''").agg(F.count("*").alias("docs"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avg_len"))
     held = held.where("word <> ''")
-    df = held.groupBy("word").agg(F.count("*").alias("df"))
+    df = stored(held.groupBy("word").agg(F.count("*").alias("df")), "frequencies")  # small, and known to be: postings are not shuffled to meet it
     scored = held.join(df, "word").join(queries, "word").crossJoin(F.broadcast(corpus))  # one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    total = scored.groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
+    # Sums of whole numbers do not depend on the order of rows: equal documents have equal scores. A sum beyond 92,233 is an error.
+    total = scored.groupBy("query_id", "id").agg((F.sum((part * EXACT).cast("bigint")) / EXACT).alias("score")).where("score > 0")
     return best(total, "score", pool)
 
 

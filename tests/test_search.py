@@ -96,3 +96,15 @@ def test_nearest_in_blocks_and_shards(spark, monkeypatch):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     with pytest.raises(Exception, match="different length"):
         retrieval.nearest(vectors, queries.selectExpr("query_id", "slice(query, 1, 3) as query"), 9).collect()
+
+
+def test_postings_are_not_shuffled_to_meet_frequencies(spark):
+    docs = spark.range(5000).selectExpr("id as doc_id", "concat('oil gas coal word ', repeat('oil ', cast(id % 7 as int))) as text")
+    queries = spark.sql("SELECT * FROM VALUES (1, 'oil'), (1, 'gas'), (2, 'coal') AS t(query_id, word)")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8KB")
+    try:
+        plan = retrieval.bm25(docs, queries, 5)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
