@@ -28,6 +28,7 @@ UNITS = [
 CUT = "сокращ|сократ|снижен|сниз|уменьш|срез|урез|упад|паден|выпаден|потер|выбыт|останов|сверн|cut|reduc|declin|drop"
 RAISE = "вырас|выраст|увелич|нараст|наращ|прибав|повыс|рост|подним|добав|rise|increas|grow|boost|raise"
 SUPPLY = r"добыч|предложен|производств|поставк|квот|опек|opec|supply|production|output|баррел|барр\b|б\s*/\s*с|mb\s*/?\s*d"
+SUPPLY_WORD = f"(?U){SUPPLY}"
 HORIZON = r"(?U)\d+(?:[.,]\d+)?\s*(?:кв\b|квартал\w*|мес\w*|month\w*|год\w*|лет\b|year\w*|недел\w*|week\w*|дн\w*|день|day\w*)"
 RANGE = rf"(?U)(?:\b(?:с|от)\s*{NUM}\s*(?:до|по)\s+|{NUM}\s*[‒–—−-]\s*)$"
 CAP_DAYS, DEFAULT_DAYS = 730, 90
@@ -62,19 +63,28 @@ def _before(text: Column, pattern: str) -> Column:
     return F.element_at(F.split(text, pattern, 2), 1)
 
 
-def _direction(text: Column, at: Column) -> Column:
-    """-1 or 1 of the word of cutting or raising nearest to a place, turned by a "не" before it; null without such words. Of two as near, cutting counts."""
+def _matches(text: Column, words: str) -> Column:
+    """(before, size) of all matches of the words in a text: the text between a match and the one before it, and the match's length."""
+    sizes = F.transform(F.regexp_extract_all(text, F.lit(f"({words})"), F.lit(1)), F.length)
+    return F.zip_with(F.split(text, words, -1), sizes, lambda p, n: F.struct(p.alias("before"), n.alias("size")))
 
-    def each(words: str, sign: int) -> Column:
-        parts = F.split(text, words, -1)
-        starts = F.aggregate(F.regexp_extract_all(text, F.lit(f"({words})"), F.lit(1)), F.array(F.lit(0)), lambda a, w: F.concat(a, F.array(F.length(w))))
-        # Start of match i: lengths of the parts up to i and of the matches before it.
-        run = lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, p: a + F.length(p)) + F.aggregate(F.slice(starts, F.lit(1), i), F.lit(0), lambda a, n: a + n)
-        turned = lambda i: F.element_at(parts, i).rlike(r"(?U)\bне\s*$")
-        index = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(index, lambda i: F.struct(F.abs(run(i) - at).alias("d"), F.lit(sign).alias("o"), F.when(turned(i), -sign).otherwise(sign).alias("sign")))
 
-    return F.array_min(F.concat(each(CUT, -1), each(RAISE, 1)))["sign"]
+def _direction(cut: Column, raised: Column, at: Column) -> Column:
+    """-1 or 1 of the word of cutting or raising (``_matches``) nearest to a place, turned by a "не" before it; null without such words. Of two as near, cutting counts."""
+
+    def each(found: Column, sign: int) -> Column:
+        # One pass: a match begins where the one before it ended, and its text before it later.
+        seed = F.struct(F.lit(0).alias("end"), F.expr("cast(null as struct<d:int,o:int,sign:int>)").alias("best"))
+
+        def step(a: Column, m: Column) -> Column:
+            start = a["end"] + F.length(m["before"])
+            one = F.struct(F.abs(start - at).alias("d"), F.lit(sign).alias("o"), F.when(m["before"].rlike(r"(?U)\bне\s*$"), -sign).otherwise(sign).alias("sign"))
+            return F.struct((start + m["size"]).alias("end"), F.least(a["best"], one).alias("best"))
+
+        # What is left after the last match has no size.
+        return F.aggregate(F.filter(found, lambda m: m["size"].isNotNull()), seed, step)["best"]
+
+    return F.least(each(cut, -1), each(raised, 1))["sign"]
 
 
 def scenario(rows: DataFrame, question: str = "question") -> DataFrame:
@@ -82,34 +92,39 @@ def scenario(rows: DataFrame, question: str = "question") -> DataFrame:
 
     change is 0 both without a scenario and with one that cannot be read; ``understood`` tells which. Of a range, change is the end nearer
     to 0 and change_far the other; both have one sign.
+
+    Each pattern is held against a text once: words of direction only where one unit is named, cues only where none is.
     """
-    text = F.lower(F.coalesce(F.col(question), F.lit("")))
-    has = [text.rlike(p) for p, _, _ in UNITS]
-    count = reduce(lambda a, b: a + b, [h.cast("int") for h in has])
-    pick = lambda values: F.coalesce(*[F.when(h, v) for h, v in zip(has, values)])
-    held = rows.withColumns({
-        "__text": text, "__n": count, "unit": pick([F.lit(u) for _, _, u in UNITS]), "__factor": pick([F.lit(f) for _, f, _ in UNITS]),
-        "__size": pick([_number(F.regexp_extract(text, p, 1)) for p, _, _ in UNITS]), "__before": pick([_before(text, p) for p, _, _ in UNITS]),
+    text, n, of = F.col("__text"), F.col("__n"), F.col("__of")
+    held = rows.withColumn("__text", F.lower(F.coalesce(F.col(question), F.lit(""))))
+    held = held.withColumn("__has", F.when(text.rlike(r"(?U)\d"), F.array(*[text.rlike(p) for p, _, _ in UNITS])))  # all units need a number
+    held = held.withColumns({"__n": F.coalesce(F.size(F.filter("__has", lambda h: h)), F.lit(0)), "__of": F.array_position("__has", F.lit(True)).cast("int")})
+    single = n == 1
+    pick = lambda give: F.when(single, reduce(lambda c, iu: c.when(of == iu[0] + 1, give(*iu[1])), list(enumerate(UNITS))[1:], F.when(of == 1, give(*UNITS[0]))))
+    held = held.withColumns({
+        "unit": pick(lambda p, f, u: F.lit(u)), "__factor": pick(lambda p, f, u: F.lit(f)), "__size": pick(lambda p, f, u: _number(F.regexp_extract(text, p, 1))), "__before": pick(lambda p, f, u: _before(text, p)),
+        "__cut": F.when(single, _matches(text, CUT)), "__raise": F.when(single, _matches(text, RAISE)),
+        "__cue": F.when(n == 0, text.rlike(SUPPLY_WORD) & text.rlike(f"{CUT}|{RAISE}")),
     })
-    sign = _direction(F.col("__text"), F.length("__before"))
     tail = F.coalesce(*[_number(F.nullif(F.regexp_extract("__before", RANGE, i), F.lit(""))) for i in (1, 2)])
-    cue = F.col("__text").rlike(f"{CUT}|{RAISE}") & F.col("__text").rlike(f"(?U){SUPPLY}")
-    number_left = F.regexp_replace("__text", HORIZON, " ").rlike(r"\d")
+    held = held.withColumns({"__sign": _direction(F.col("__cut"), F.col("__raise"), F.length("__before")), "__tail": F.when(single, tail)})
+    sign, tail, cue = F.col("__sign"), F.col("__tail"), F.col("__cue")
+    number_left = F.regexp_replace(text, HORIZON, " ").rlike(r"\d")
     note = (
-        F.when((F.col("__n") == 0) & ~cue, "")
-        .when((F.col("__n") == 0) & number_left, "unit unknown")
-        .when(F.col("__n") == 0, "no size given")
-        .when(F.col("__n") > 1, "two units at once")
+        F.when((n == 0) & ~cue, "")
+        .when((n == 0) & number_left, "unit unknown")
+        .when(n == 0, "no size given")
+        .when(n > 1, "two units at once")
         .when(sign.isNull(), "no direction given")
         .when(tail.isNotNull(), "range")
         .otherwise("")
     )
-    held = held.withColumns({"note": note, "stated": (F.col("__n") > 0) | cue, "__sign": sign, "__tail": tail})
-    good = (F.col("__n") == 1) & F.col("__sign").isNotNull()
-    near = F.when(good, F.col("__sign") * F.least("__size", F.coalesce("__tail", "__size")) * F.col("__factor")).otherwise(0.0)
-    far = F.when(good & F.col("__tail").isNotNull(), F.col("__sign") * F.greatest("__size", "__tail") * F.col("__factor"))
-    held = held.withColumns({"change": near, "change_far": far, "understood": ~F.col("stated") | good})
-    return held.withColumn("unit", F.when(F.col("__n") == 1, F.col("unit"))).drop("__text", "__n", "__factor", "__size", "__before", "__sign", "__tail")
+    good = single & sign.isNotNull()
+    near = F.when(good, sign * F.least("__size", F.coalesce("__tail", "__size")) * F.col("__factor")).otherwise(0.0)
+    far = F.when(good & tail.isNotNull(), sign * F.greatest("__size", "__tail") * F.col("__factor"))
+    stated = (n > 0) | cue
+    held = held.withColumns({"change": near, "change_far": far, "note": note, "stated": stated, "understood": ~stated | good})
+    return held.drop("__text", "__has", "__n", "__of", "__factor", "__size", "__before", "__cut", "__raise", "__cue", "__sign", "__tail")
 
 
 def without_reasoning(text: Column) -> Column:
@@ -161,8 +176,9 @@ def q_horizon(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_scenario(spark: SparkSession, d: str) -> DataFrame:
-    rows = scenario(_questions(spark, d)).select("kind", "l_quantity", "l_suppkey", "stated", "understood", "unit", F.round("change", 6).alias("change"), F.round("change_far", 6).alias("change_far"), "note")
-    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    """Equal questions are counted first and read once."""
+    rows = _questions(spark, d).groupBy("kind", "l_quantity", "l_suppkey", "question").agg(F.count("*").alias("n"))
+    return scenario(rows).select("kind", "l_quantity", "l_suppkey", "stated", "understood", "unit", F.round("change", 6).alias("change"), F.round("change_far", 6).alias("change_far"), "note", "n")
 
 
 def q_route(spark: SparkSession, d: str) -> DataFrame:
