@@ -21,8 +21,8 @@ def test_residual_shuffles_nothing(spark):
 
 
 def test_numbers_of_pages_meet_once(spark):
-    rows = [(1, "layout", "1 2 2"), (1, "stream", "2 3 1"), (2, "layout", "5 6"), (2, "stream", "6 5"), (3, "layout", "7"), (4, "stream", "8"), (4, "plain", "9"), (5, "layout", None), (5, "stream", "")]
+    rows = [(1, "layout", "1 2 2"), (1, "stream", "2 3 1"), (2, "layout", "5 6"), (2, "stream", "6 5"), (3, "layout", "7"), (4, "stream", "8"), (4, "plain", "9"), (5, "layout", None), (5, "stream", ""), (6, "layout", "1"), (6, "layout", "2"), (6, "stream", "2")]
     out = readings.residuals(spark.createDataFrame(rows, "page int, reader string, text string"), ["page"], "layout", "stream")
-    assert sorted(map(tuple, out.collect())) == [(1, ["2"], ["3"]), (3, ["7"], []), (4, [], ["8"])]
+    assert sorted(map(tuple, out.collect())) == [(1, ["2"], ["3"]), (3, ["7"], []), (4, [], ["8"]), (6, ["1"], [])]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan
