@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
+from itertools import accumulate, groupby, islice
+from operator import itemgetter
+from xml.parsers import expat
+
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import fixed
 from ..sources.tables import on_workers, table
 
 #: Formats of the pages (fixed values): how far words of a line may differ in height, captions, values, and names of columns.
@@ -14,77 +24,240 @@ SAME_LINE, CAPTION, VALUE, COLUMN = 1.6, r"^Table\s+\d+[a-z]?\.", r"^(-|--|NA|W|
 COLUMNS, VALUES, SHIFT = 8, 3, 3
 
 
-#: What a layout tool writes of a document: pages of flows, blocks, lines and words with the corners of their boxes.
-BBOX = "body struct<doc struct<page array<struct<flow array<struct<block array<struct<line array<struct<word array<struct<_VALUE string, _xMin double, _xMax double, _yMin double>>>>>>>>>>>>"
+#: Where the words stand in what a layout tool writes of a document (below a root of any name), and where a line may end after ``$``, as in the JVM.
+BBOX, CLOSE = ["", "body", "doc", "page", "flow", "block", "line", "word"], r"(?=(?:\r\n|[\n\r\x85\u2028\u2029])?\Z)"
+IS_CAPTION, IS_VALUE, IS_COLUMN, IS_YEAR = (re.compile(x.replace("$", CLOSE), re.ASCII) for x in (CAPTION, VALUE, COLUMN, r"^(\d{4}|Year)$"))
+BLANK = "".join(map(chr, range(33)))
+WORD = pa.struct([("word", pa.string()), ("x0", pa.float64()), ("x1", pa.float64()), ("top", pa.float64())])
+
+
+def _corner(value: str | None) -> float | None:
+    return None if value is None else float(value.replace(",", ""))
+
+
+def read_boxes(xml: str | None) -> list[list[tuple]]:
+    """The words (word, x0, x1, top) of each page of an XML file of boxes; what cannot be read has no page, what follows the root is left."""
+    pages: list[list[tuple]] = []
+    path: list[str] = []
+    said: list[str] = []
+    word: dict | None = None
+
+    def start(name: str, corners: dict) -> None:
+        nonlocal word, root
+        root = root or not path
+        path.append(name if path else "")
+        if name == "word":
+            word = corners if path == BBOX else None
+            said.clear()
+        elif name == "page":
+            if path == BBOX[:4]:
+                pages.append([])
+        elif len(path) < 4 and path == BBOX[: len(path)]:
+            pages.clear()  # of two bodies the last counts
+
+    def end(name: str) -> None:
+        nonlocal word
+        if word is not None and len(path) == len(BBOX):
+            get = word.get
+            pages[-1].append(("".join(said).strip(BLANK), _corner(get("xMin")), _corner(get("xMax")), _corner(get("yMin"))))
+            word = None
+        path.pop()
+
+    def text(part: str) -> None:
+        if word is not None and len(path) == len(BBOX):
+            said.append(part)
+
+    root = False
+    reader = expat.ParserCreate()
+    reader.StartElementHandler, reader.EndElementHandler, reader.CharacterDataHandler, reader.buffer_text = start, end, text, True
+    try:
+        reader.Parse(xml or "", True)
+    except expat.ExpatError:
+        return pages if root and not path else []
+    except ValueError:
+        return []
+    return pages
+
+
+def _lists(sizes: Iterable[int], values: pa.Array) -> pa.Array:
+    """``values`` cut into arrays of these sizes."""
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), values)
+
+
+def bbox_pages(files: DataFrame, text: str = "xml") -> DataFrame:
+    """(path, page, words) of the pages in XML files (path, xml) of boxes, from 1; words as (word, x0, x1, top)."""
+    on_workers(files.sparkSession)
+
+    @F.arrow_udf("array<array<struct<word string, x0 double, x1 double, top double>>>")
+    def read(xml: pa.Array) -> pa.Array:
+        files = [read_boxes(x) for x in xml.to_pylist()]
+        pages = [p for f in files for p in f]
+        columns = zip(*(w for p in pages for w in p)) if any(pages) else [()] * len(WORD)
+        words = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, WORD)], fields=list(WORD))
+        return _lists(map(len, files), _lists(map(len, pages), words))
+
+    rows = files.select("path", read(text).alias("p")).select("path", F.posexplode("p").alias("page", "words"))
+    return rows.select("path", (F.col("page") + 1).alias("page"), "words")
 
 
 def bbox_words(files: DataFrame, text: str = "xml") -> DataFrame:
     """(path, page, word, x0, x1, top) of all words in XML files (path, xml) of boxes, pages from 1; what cannot be read has none."""
-    read = F.from_xml(F.col(text), BBOX)
-    rows = files.select("path", F.posexplode(read["body"]["doc"]["page"]).alias("page", "p"))
-    for inner, outer in (("flow", "p"), ("block", "flow"), ("line", "block"), ("word", "line")):
-        rows = rows.select("path", "page", F.explode(f"{outer}.{inner}").alias(inner))
-    word = F.coalesce("word._VALUE", F.lit(""))
-    return rows.select("path", (F.col("page") + 1).alias("page"), word.alias("word"), F.col("word._xMin").alias("x0"), F.col("word._xMax").alias("x1"), F.col("word._yMin").alias("top"))
+    return bbox_pages(files, text).select("path", "page", F.inline("words"))
 
 
-def with_lines(words: DataFrame, key: list[str]) -> DataFrame:
-    """``words`` (key, word, x0, x1, top) with the line they stand in, from 1: a line goes on while a word is at most 1.6 below its first one."""
-    heights = words.groupBy(*key).agg(F.array_sort(F.collect_set("top")).alias("h"))  # of one page
-    first = lambda acc: F.try_element_at(acc, F.lit(-1))
-    starts = F.aggregate("h", F.array().cast("array<double>"), lambda acc, t: F.when((F.size(acc) > 0) & (t - first(acc) <= SAME_LINE), acc).otherwise(F.concat(acc, F.array(t))))
-    held = words.join(heights.select(*key, starts.alias("__s")), key)
-    return held.withColumn("line", F.size(F.filter("__s", lambda s: s <= F.col("top")))).drop("__s")
+def by_page(words: DataFrame, key: list[str]) -> DataFrame:
+    """Pages (key, words) of words (key, word, x0, x1, top): those of each page as one array, in any order."""
+    return words.dropna(subset=key).groupBy(*key).agg(F.collect_list(F.struct("word", "x0", "x1", "top")).alias("words"))
 
 
-def lines(placed: DataFrame, key: list[str]) -> DataFrame:
-    """(key, line, words): the words of each line from left to right, as (x0, x1, word)."""
-    return placed.groupBy(*key, "line").agg(F.array_sort(F.collect_list(F.struct("x0", "x1", "word"))).alias("words"))
+def line_numbers(tops: list[float | None]) -> list[int]:
+    """The line that each word of a page stands in, from 1: a line goes on while a word is at most 1.6 below its first one. NaN comes last, none is above all lines."""
+    starts: list[float] = []
+    for top in sorted({t for t in tops if t is not None and t == t}):
+        if not starts or not top - starts[-1] <= SAME_LINE:
+            starts.append(top)
+    last = len(starts) + 1
+    return [0 if t is None else bisect_right(starts, t) if t == t else last for t in tops]
 
 
-def page_captions(held: DataFrame, document: str, page: str) -> DataFrame:
-    """(document, page, caption): the first line of each page that is a caption, else the last one of an earlier page of the document."""
-    text = F.array_join(F.transform("words", lambda w: w["word"]), " ")
-    own = held.groupBy(document, page).agg(F.min(F.when(text.rlike(CAPTION), F.struct("line", text.alias("text")))).alias("c"))
-    w = W.partitionBy(document).orderBy(page).rowsBetween(W.unboundedPreceding, 0)
-    return own.select(document, page, F.last("c.text", True).over(w).alias("caption"))
+def with_lines(pages: DataFrame) -> DataFrame:
+    """Pages (words, ...) with lines, the line of each of their words in the order of these."""
+    on_workers(pages.sparkSession)
 
+    @F.arrow_udf("array<int>")
+    def numbered(tops: pa.Array) -> pa.Array:
+        return pa.array([line_numbers(t or []) for t in tops.to_pylist()], pa.list_(pa.int32()))
+
+    return pages.withColumn("lines", numbered("words.top"))
+
+
+def _rank(x: float | str | None) -> tuple:
+    """Orders as Spark does: nulls first, NaN last."""
+    return (0, 0) if x is None else (1, x) if x == x else (2, 0)
+
+
+def _above(a: float | None, b: float | None) -> bool:
+    return a is not None and b is not None and (a > b or (a != a and b == b))
+
+
+def _middle(a: float | None, b: float | None) -> float | None:
+    return None if a is None or b is None else (a + b) / 2
+
+
+def page_lines(words: list, x0: list, x1: list, tops: list, odd: bool = True) -> list[tuple[int, list[tuple]]]:
+    """(line, words) of a page in order: the words of each line from left to right, as (x0, x1, word). Nulls and NaN have places of their own if it may be ``odd``."""
+    rows = sorted(zip(line_numbers(tops), x0, x1, words), key=(lambda w: tuple(map(_rank, w))) if odd else None)
+    return [(line, [w[1:] for w in of]) for line, of in groupby(rows, itemgetter(0))]
 
-def columns(held: DataFrame, key: list[str]) -> DataFrame:
-    """(key, header_line, names, centres): the first line of each page that names eight columns at least and two other words at most, with
-    each quarter's nearest year in the line above."""
-    centre = lambda w: (w["x0"] + w["x1"]) / 2
-    named = F.size(F.filter("words", lambda w: w["word"].rlike(COLUMN)))
-    w = W.partitionBy(*key).orderBy("line")
-    above = F.filter(F.coalesce("above", F.expr("slice(words, 1, 0)")), lambda x: x["word"].rlike(r"^(\d{4}|Year)$"))
-    rows = held.withColumn("above", F.lag("words").over(w)).withColumn("head", (named >= COLUMNS) & (named >= F.size("words") - 2))
-    head = rows.where("head").withColumn("n", F.row_number().over(w)).where("n = 1").withColumn("band", above)
 
-    def name(x: Column) -> Column:
-        near = F.array_min(F.transform("band", lambda b, i: F.struct(F.abs(centre(b) - centre(x)).alias("d"), i.alias("i"), b["word"].alias("w"))))["w"]
-        return F.when(near.isNull() | (near == "Year"), x["word"]).otherwise(F.concat(near, x["word"]))
+def page_caption(lines: list[tuple[int, list[tuple]]]) -> str | None:
+    """The first line of a page that is a caption."""
+    return next((text for _, of in lines if IS_CAPTION.match(text := " ".join(w for *_, w in of if w is not None))), None)
 
-    return head.select(*key, F.col("line").alias("header_line"), F.transform("words", name).alias("names"), F.transform("words", centre).alias("centres"))
 
+@lru_cache(100_000)
+def is_value(word: str) -> bool:
+    return IS_VALUE.match(word) is not None
 
-def cells(placed: DataFrame, heads: DataFrame, key: list[str]) -> DataFrame:
-    """(key, line, label, column, name, value): the values of lines with three of them at least, each in the column whose centre is nearest;
+
+def page_columns(lines: list[tuple[int, list[tuple]]]) -> tuple[int, list, list] | None:
+    """(header_line, names, centres): the first line of a page that names eight columns at least and two other words at most, with
+    each quarter's nearest year in the line above."""
+    above: list[tuple] = []
+    for line, of in lines:
+        if len(of) >= COLUMNS:
+            other = islice((w for *_, w in of if w is None or not IS_COLUMN.match(w)), 3)
+            if (n := sum(1 for _ in other)) <= 2 and len(of) - n >= COLUMNS:
+                break
+        above = of
+    else:
+        return None
+    centres = [_middle(a, b) for a, b, _ in of]
+    band = [(_middle(a, b), w) for a, b, w in above if w is not None and IS_YEAR.match(w)]
+    names = []
+    for at, (*_, word) in zip(centres, of):
+        away = [(_rank(None if at is None or c is None else abs(c - at)), i) for i, (c, _) in enumerate(band)]
+        near = band[min(away)[1]][1] if away else "Year"
+        names.append(word if near == "Year" or word is None else near + word)
+    return line, names, centres
+
+
+def page_cells(lines: list[tuple[int, list[tuple]]]) -> list[tuple]:
+    """(line, label, column, name, value) of a page: the values of lines with three of them at least, each in the column whose centre is nearest;
     what is no value, or lies left of the columns, is the label."""
-    rows = placed.join(heads, key).where("line <> header_line").withColumn("centre", (F.col("x0") + F.col("x1")) / 2)
-    bounds = F.zip_with(F.expr("slice(centres, 1, size(centres) - 1)"), F.expr("slice(centres, 2, size(centres) - 1)"), lambda a, b: (a + b) / 2)
-    rows = rows.withColumn("bounds", bounds)
-    left = F.col("centres")[0] - F.coalesce(F.try_element_at("bounds", F.lit(1)) - F.col("centres")[0], F.lit(0.0))
-    rows = rows.withColumn("is_value", F.col("word").rlike(VALUE) & (F.col("centre") > left)).withColumn("column", F.size(F.filter("bounds", lambda b: b < F.col("centre"))))
-    w = W.partitionBy(*key, "line")
-    label = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_value"), F.struct("x0", "word"))).over(w)), lambda x: x["word"]), " ")
-    rows = rows.withColumns({"label": F.trim(label, F.lit(" .")), "n": F.count_if("is_value").over(w)})
-    return rows.where((F.col("n") >= VALUES) & F.col("is_value")).select(*key, "line", "label", "column", F.expr("names[column]").alias("name"), F.col("word").alias("value"))
+    head = page_columns(lines)
+    if head is None:
+        return []
+    header_line, names, centres = head
+    bounds = [_middle(a, b) for a, b in zip(centres, centres[1:])]
+    first, next_ = centres[0], bounds[0]
+    left = None if first is None else first - (0.0 if next_ is None else next_ - first)
+    ordered = None not in bounds and all(a <= b for a, b in zip(bounds, bounds[1:]))
+    out = []
+    for line, of in lines:
+        if line == header_line or len(of) < VALUES:
+            continue
+        label, values = [], []
+        for x0, x1, word in of:
+            if word is None:
+                continue
+            if is_value(word):
+                at = None if x0 is None or x1 is None else (x0 + x1) / 2
+                if _above(at, left):
+                    values.append((bisect_left(bounds, at) if ordered and at == at else sum(_above(at, b) for b in bounds), word))
+                    continue
+                if at is None or left is None:
+                    continue  # neither a value nor part of the label
+            label.append((x0, word))
+        if len(values) >= VALUES:
+            label.sort(key=lambda w: (_rank(w[0]), w[1]))  # places of equal x0 go by x1 in a line
+            name = " ".join(w for _, w in label).strip(" .")
+            out += [(line, name, column, names[column], word) for column, word in values]
+    return out
+
+
+def pages_of(words: pa.Array) -> Iterator[list[tuple[int, list[tuple]]]]:
+    """The lines of each page of a column of pages' words."""
+    parts = words.flatten().flatten()
+    odd = any(c.null_count or (pa.types.is_floating(c.type) and pc.any(pc.is_nan(c)).as_py()) for c in parts)
+    held = [c.to_pylist() if c.null_count else c.to_numpy(zero_copy_only=False).tolist() for c in parts]
+    at = 0
+    for n in words.value_lengths().fill_null(0).to_pylist():
+        yield page_lines(*(c[at : at + n] for c in held), odd)
+        at += n
+
+
+def page_captions(pages: DataFrame, document: str, page: str) -> DataFrame:
+    """(document, page, caption) of pages (document, page, words): the first line of each that is a caption, else the last one of an earlier page of the document."""
+    on_workers(pages.sparkSession)
+
+    @F.arrow_udf("string")
+    def caption(words: pa.Array) -> pa.Array:
+        return pa.array(map(page_caption, pages_of(words)), pa.string())
+
+    w = W.partitionBy(document).orderBy(page).rowsBetween(W.unboundedPreceding, 0)
+    return pages.select(document, page, caption("words").alias("c")).select(document, page, F.last("c", True).over(w).alias("caption"))
+
+
+def cells(pages: DataFrame, key: list[str]) -> DataFrame:
+    """(key, line, label, column, name, value): what ``page_cells`` finds on pages (key, words)."""
+    on_workers(pages.sparkSession)
+    kinds = {"line": pa.int32(), "label": pa.string(), "column": pa.int32(), "name": pa.string(), "value": pa.string()}
+
+    @F.arrow_udf("array<struct<line int, label string, column int, name string, value string>>")
+    def found(words: pa.Array) -> pa.Array:
+        pages = [page_cells(lines) for lines in pages_of(words)]
+        columns = zip(*(c for p in pages for c in p)) if any(pages) else [()] * len(kinds)
+        return _lists(map(len, pages), pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], list(kinds)))
+
+    return pages.select(*key, found("words").alias("c")).select(*key, F.inline("c"))
 
 
 def dense(sparse: DataFrame, key: list[str], width: int) -> DataFrame:
     """(key, values): cells (key, column, value) as an array of the width, gaps empty; of two in one column the last by text."""
-    held = sparse.groupBy(*key, "column").agg(F.max("value").alias("value")).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("column", "value"))).alias("m"))
-    return held.select(*key, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(""))).alias("values"))
+    held = sparse.groupBy(*key).agg(F.collect_list(F.struct("column", "value")).alias("c"))
+    at = lambda i: F.array_max(F.transform(F.filter("c", lambda c: c["column"] == i), lambda c: c["value"]))
+    return held.select(*key, F.array(*[F.coalesce(at(i), F.lit("")) for i in range(width)]).alias("values"))
 
 
 def norm(cell: Column) -> Column:
@@ -169,58 +342,57 @@ def score(parsed: DataFrame, truth: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_partkey").alias("p"))
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey").repartition("l_orderkey")  # once for all that follows
+    li = items.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_partkey").alias("p"))
     return li.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
 
 
-def _words(spark: SparkSession, d: str) -> DataFrame:
-    """A caption on pages of even numbers, years over eight quarters, and rows whose cells lie off their columns' centres by a few points; every third cell is missing."""
-    rows = _rows(spark, d)
-    pages = rows.select("o_custkey", "l_orderkey").distinct()
-    word = lambda w, x, wide, top: F.struct(w.alias("word"), x.cast("double").alias("x0"), (x + wide).cast("double").alias("x1"), top.cast("double").alias("top"))
-    n = lambda v: F.lit(v)
+def _sheets(spark: SparkSession, d: str, word: Callable[[Column, Column, int, Column], Column]) -> DataFrame:
+    """(o_custkey, l_orderkey, words) as ``word`` writes each: a caption on pages of even numbers, years over eight quarters, and rows whose cells lie off their
+    columns' centres by a few points; every third cell is missing."""
+    rows, n = _rows(spark, d), F.lit
     number = F.concat((F.col("l_orderkey") % 9).cast("string"), F.lit("b."))
     caption = F.array(*[word(w, n(10 + 40 * i), 30, n(5 + i * 0.3)) for i, w in enumerate([n("Table"), number, n("World"), n("Supply")])])
     head = F.array(*[word(n(f"Q{i % 4 + 1}"), n(200 + 50 * i), 10, n(40 + i % 2)) for i in range(8)], *[word(n(str(2025 + i)), n(270 + 200 * i), 20, n(30)) for i in range(2)], word(n("Footer"), n(10), 30, n(900)))
-    caption = F.filter(caption, lambda _: F.col("l_orderkey") % 2 == 0)
-    top = pages.select("o_custkey", "l_orderkey", F.explode(F.concat(caption, head)).alias("w"))
-    y = F.lit(50) + 10 * F.col("l_linenumber")
-    value = F.transform(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda j: (F.col("p") + j) % 3 != 0), lambda j: word(F.format_string("%.1f", F.col("q") + j), F.lit(193) + 50 * j + (F.col("p") % 5) * 5, 14, y + (j % 3) * 0.5))
-    label = F.array(word(n("Line"), n(10), 20, y), word(F.col("l_linenumber").cast("string"), n(40), 5, y + 1), word(n("...."), n(60), 50, y))
-    body = rows.select("o_custkey", "l_orderkey", F.explode(F.concat(label, value)).alias("w"))
-    return top.unionByName(body).select("o_custkey", "l_orderkey", "w.*")
+    y = n(50) + 10 * F.col("l_linenumber")
+    value = [F.when((F.col("p") + j) % 3 != 0, word(fixed(F.col("q") + j, 1), n(193 + 50 * j) + (F.col("p") % 5) * 5, 14, y + (j % 3) * 0.5)) for j in range(8)]
+    label = [word(n("Line"), n(10), 20, y), word(F.col("l_linenumber").cast("string"), n(40), 5, y + 1), word(n("...."), n(60), 50, y)]
+    body = rows.select("o_custkey", "l_orderkey", F.array(*label, *value).alias("w")).groupBy("o_custkey", "l_orderkey").agg(F.flatten(F.collect_list("w")).alias("w"))
+    top = F.when(F.col("l_orderkey") % 2 == 0, F.concat(caption, head)).otherwise(head)
+    return body.select("o_custkey", "l_orderkey", F.array_compact(F.concat(top, "w")).alias("words"))
 
 
-def _placed(spark: SparkSession, d: str) -> DataFrame:
-    return with_lines(_words(spark, d), ["o_custkey", "l_orderkey"])
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return _sheets(spark, d, lambda w, x, wide, top: F.struct(w.alias("word"), x.cast("double").alias("x0"), (x + wide).cast("double").alias("x1"), top.cast("double").alias("top")))
 
 
 def q_bbox(spark: SparkSession, d: str) -> DataFrame:
     """The words of all pages written as boxes, a file a customer, and read back into lines; marks of XML stand in some words."""
-    rows = _words(spark, d).withColumn("word", F.when(F.col("word") == "....", "a<b & \"c\"").otherwise(F.col("word")))
-    plain = F.replace(F.replace(F.replace("word", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
-    one = F.concat(F.lit('<word xMin="'), "x0", F.lit('" yMin="'), "top", F.lit('" xMax="'), "x1", F.lit('" yMax="0">'), plain, F.lit("</word>"))
-    page = rows.groupBy("o_custkey", "l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(one)), "").alias("words"))
-    page = page.withColumn("page", F.concat(F.lit("<page><flow><block><line>"), "words", F.lit("</line></block></flow></page>")))
-    file = page.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "page"))), lambda p: p["page"]), "").alias("pages"))
+    point = lambda x: x.cast("double").cast("string")
+
+    def one(word: Column, x: Column, wide: int, top: Column) -> Column:
+        word = F.when(word == "....", "a<b & \"c\"").otherwise(word)
+        plain = F.replace(F.replace(F.replace(word, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+        return F.concat(F.lit('<word xMin="'), point(x), F.lit('" yMin="'), point(top), F.lit('" xMax="'), point(x + wide), F.lit('" yMax="0">'), plain, F.lit("</word>"))
+
+    page = F.concat(F.lit("<page><flow><block><line>"), F.array_join("words", ""), F.lit("</line></block></flow></page>"))
+    file = _sheets(spark, d, one).select("o_custkey", "l_orderkey", page.alias("page"))
+    file = file.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "page"))), lambda p: p["page"]), "").alias("pages"))
     files = file.select(F.col("o_custkey").cast("string").alias("path"), F.concat(F.lit('<html xmlns="http://www.w3.org/1999/xhtml"><body><doc>'), "pages", F.lit("</doc></body></html>")).alias("xml"))
-    held = with_lines(bbox_words(files), ["path", "page"])
+    held = with_lines(bbox_pages(files)).select("path", "page", F.inline(F.arrays_zip("words", "lines"))).select("path", "page", "words.*", F.col("lines").alias("line"))
     return held.groupBy("path", "page").agg(F.count("*").alias("words"), F.max("line").alias("lines"), F.count_if(F.col("word") == 'a<b & "c"').alias("marks"), F.round(F.sum("x0"), 3).alias("left"), F.round(F.sum("x1"), 3).alias("right"))
 
 
 def q_captions(spark: SparkSession, d: str) -> DataFrame:
-    return page_captions(lines(_placed(spark, d), ["o_custkey", "l_orderkey"]), "o_custkey", "l_orderkey")
+    return page_captions(_pages(spark, d), "o_custkey", "l_orderkey")
 
 
 def q_cells(spark: SparkSession, d: str) -> DataFrame:
-    placed, key = _placed(spark, d), ["o_custkey", "l_orderkey"]
-    return cells(placed, columns(lines(placed, key), key), key).select("l_orderkey", "label", "column", "name", "value")
+    return cells(_pages(spark, d), ["o_custkey", "l_orderkey"]).select("l_orderkey", "label", "column", "name", "value")
 
 
 def q_dense(spark: SparkSession, d: str) -> DataFrame:
-    placed, key = _placed(spark, d), ["o_custkey", "l_orderkey"]
-    found = cells(placed, columns(lines(placed, key), key), key)
-    return dense(found, ["l_orderkey", "label"], 8).withColumn("values", F.array_join("values", "|"))
+    return dense(cells(_pages(spark, d), ["o_custkey", "l_orderkey"]), ["l_orderkey", "label"], 8).withColumn("values", F.array_join("values", "|"))
 
 
 def q_score(spark: SparkSession, d: str) -> DataFrame:
