@@ -10,6 +10,7 @@ from ..operators.pages import NAMESPACE, OVERLAP, SIZE, windows
 from ..sources.tables import shared_folder, table
 
 DOCUMENTS = "doc_id long, text string"
+FILES = 64  # of each delivery at most
 
 
 def chunked(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -48,13 +49,13 @@ def ingest(spark: SparkSession, source: str, store: ChunkStore, checkpoint: str,
 
 
 def q_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """Documents in eight files: five are taken in batches of two, then the rest after a restart; some documents come twice."""
+    """Documents in eight parts of up to eight files, so that a task has a 64th of them: five parts are taken in batches of 16 files, then the rest after a restart; some documents come twice."""
     docs, home = table(spark, d, "documents").select("doc_id", "text"), shared_folder(spark, "ingest")
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(8))
+    part, share = F.pmod(F.xxhash64("doc_id"), F.lit(8)), F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(8))
     store = ChunkStore(spark, f"{home}/chunks")
     for numbers in (range(5), range(4, 8)):
-        docs.where(part.isin(*numbers)).repartition(8, part).write.mode("append").parquet(f"{home}/documents")
-        ingest(spark, f"{home}/documents", store, f"{home}/checkpoint", 2)
+        docs.where(part.isin(*numbers)).repartition(FILES, part, share).write.mode("append").parquet(f"{home}/documents")
+        ingest(spark, f"{home}/documents", store, f"{home}/checkpoint", FILES // 4)
     return store.read().drop("text")
 
 
