@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import axis_scale, boilerplate, carries_no_data, digit_ratio, expand, tokens
+from ..functions.text import axis_scale, boilerplate, carries_no_data, digit_ratio, expand, tokens, written
 from ..sources.tables import on_workers, stored, table
 
 K1, B, FUSION = 1.5, 0.75, 60
@@ -30,8 +30,8 @@ def asked_postings(docs: DataFrame, asked: DataFrame) -> DataFrame:
     One pass over the texts, written once: all that a ranking needs is read from it.
     """
     whole = F.concat_ws("\n", "context", "text") if "context" in docs.columns else F.col("text")
-    words = docs.select(F.col("doc_id").alias("id"), tokens(whole).alias("w"))
-    each = words.select("id", F.size("w").alias("len"), F.explode(F.concat(F.array(F.lit("")), "w")).alias("word"))
+    words = docs.select(F.col("doc_id").alias("id"), written(whole).alias("w"))
+    each = words.select("id", F.size("w").alias("len"), F.explode(F.concat(F.array(F.lit("")), "w")).alias("word")).withColumn("word", F.lower("word"))
     wanted = asked.select("word").unionByName(docs.sparkSession.range(1).select(F.lit("").alias("word"))).distinct()
     return stored(each.join(wanted, "word", "left_semi").groupBy("id", "word").agg(F.count("*").alias("tf"), F.first("len").alias("len")), "postings")
 
@@ -45,7 +45,8 @@ def bm25(docs: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
     corpus = held.where("word = ''").agg(F.count("*").alias("docs"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avg_len"))
     held = held.where("word <> ''")
     df = stored(held.groupBy("word").agg(F.count("*").alias("df")), "frequencies")  # small, and known to be: postings are not shuffled to meet it
-    scored = held.join(df, "word").join(queries, "word").crossJoin(F.broadcast(corpus))  # one row
+    # A document's postings lie together, so that what all queries make of them is summed without a shuffle.
+    scored = held.repartition("id").join(df, "word").join(queries, "word").crossJoin(F.broadcast(corpus))  # one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     # Sums of whole numbers do not depend on the order of rows: equal documents have equal scores. A sum beyond 92,233 is an error.
@@ -149,11 +150,13 @@ def search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, words: DataF
     the floor holds for all that is fused, and the score given is the plain cosine.
     """
     pool = 4 * top_k
-    near = nearest(vectors, queries, pool).where(F.col("cos") >= floor).join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    near, found = stored(nearest(vectors, queries, pool).where(F.col("cos") >= floor), "near"), stored(bm25(docs, words, pool), "found")
+    # Texts meet the few pooled rows first and are judged after: written, as a filter on them would go below the join, to all documents.
+    texts = stored(docs.select(F.col("doc_id").alias("id"), "text").join(near.select("id").union(found.select("id")).distinct(), "id"), "texts")
+    near = near.join(texts, "id")
     w = W.partitionBy("query_id").orderBy(F.round(rerank(F.col("text"), F.col("cos")), 9).desc(), "id")
     near = near.select("query_id", "id", (F.row_number().over(w) - 1).alias("vp"))
-    # Texts meet the few pooled rows first and are judged after.
-    found = docs.select(F.col("doc_id").alias("id"), "text").join(bm25(docs, words, pool), "id").where(~carries_no_data(F.coalesce("text", F.lit(""))))
+    found = texts.join(found, "id").where(~carries_no_data(F.coalesce("text", F.lit(""))))
     found = found.select("query_id", "id", F.col("place").alias("kp"))
     fused = near.join(found, ["query_id", "id"], "full_outer")
     score = F.coalesce(1 / (FUSION + F.col("vp") + 1), F.lit(0.0)) + F.coalesce(1 / (FUSION + F.col("kp") + 1), F.lit(0.0))
