@@ -75,6 +75,15 @@ def innovations(x: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> dict[str,
     return {"lost": len(x) * np.log(np.maximum(var, 1e-300)) + logs, "var": var, "next": ahead}
 
 
+def expected(x: np.ndarray, phi: float, theta: float) -> np.ndarray:
+    """What the model expects each value of ``x`` to be by those before it: one pass, as in ``innovations``."""
+    r, ahead, out = (1 + 2 * phi * theta + theta * theta) / (1 - phi * phi), 0.0, []
+    for value in x.tolist():
+        out.append(ahead)
+        ahead, r = phi * value + theta / r * (value - ahead), 1 + theta * theta - theta * theta / r
+    return np.array(out)
+
+
 def likeliest(x: np.ndarray) -> tuple[float, float, bool]:
     """phi, theta and whether the search ended: nine values of each around the best so far, half as far apart in each round, or moved where the best lies at their edge."""
     p = t = 0.0
@@ -105,8 +114,7 @@ def _arima_rows(key: list[str], horizon: int):
         x = np.diff(y)
         phi, theta, converged = likeliest(x)
         at = innovations(x, np.array([phi]), np.array([theta]))
-        back = [innovations(x[:i], np.array([phi]), np.array([theta]))["next"][0] if i else 0.0 for i in range(len(x))]
-        told = y[:-1] + np.array(back)
+        told = y[:-1] + expected(x, phi, theta)
         left = values[1:] - (np.exp(told) if logs else told)
         j = np.arange(horizon)
         weight = 1 + (phi + theta) * (1 - phi**j) / (1 - phi)
@@ -134,7 +142,9 @@ def arima(series: DataFrame, key: list[str], horizon: int) -> DataFrame:
     rows = series.select(*key, F.col("date").cast("date").alias("date"), F.col("close").cast("double").alias("close")).join(fit, key, "left_semi")
     kinds = dict(rows.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in key), "date date, forecast double, lower double, upper double, phi double, theta double, converged boolean, in_logs boolean, sigma double, n long"])
-    return rows.groupBy(*key).applyInArrow(_arima_rows(key, horizon), schema)
+    # A search costs far more than its series has bytes: so many partitions as a shuffle has, which are not merged for being small.
+    spread = rows.repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    return spread.groupBy(*key).applyInArrow(_arima_rows(key, horizon), schema)
 
 
 def fitness(series: DataFrame, key: list[str]) -> DataFrame:
