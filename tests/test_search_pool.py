@@ -1,17 +1,18 @@
-"""The fused search judges pooled texts only, and joins their rows without a shuffle of all texts."""
+"""The fused search judges pooled texts only: a filter on texts must not go below the join, to all documents."""
 
 from pyspark.sql import functions as F
 
 from quillspan.operators import retrieval
 
 
-def test_only_pooled_texts_are_judged(spark):
-    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, "oil as defined in the glossary").otherwise(F.concat_ws(" ", F.when(F.col("id") < 9, "oil"), F.lit("plain prose"))).alias("text"))
+def test_only_pooled_texts_are_judged(spark, tmp_path):
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, "oil as defined in the glossary").otherwise(F.concat_ws(" ", F.when(F.col("id") < 9, "oil"), F.lit("plain prose"))).alias("text"), F.lit(1).alias("every_document"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
     vectors = spark.range(60).select("id", F.array(F.cos(F.col("id") / 20), F.sin(F.col("id") / 20)).alias("vector"))
     queries = vectors.where("id = 8").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
     words = queries.select("query_id", F.lit("oil").alias("word"))
     out = retrieval.search(docs, vectors, queries, words, 2)
     assert [(r.place, r.doc_id) for r in out.orderBy("place").collect()] == [(1, 8), (2, 6)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert "defined in the glossary" in plan and "Range" not in plan.split("defined in the glossary", 1)[1].split("Join")[0]
-    assert not any("LogicalRDD" in line or "Range (0, 60" in line for line in plan.splitlines() if "text" in line)
+    assert "regexp_extract_all" in plan and "every_document" not in plan
