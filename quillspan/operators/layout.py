@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import accumulate, groupby, islice
 from operator import itemgetter
 from xml.parsers import expat
+from xml.sax.saxutils import unescape
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,6 +23,8 @@ from ..sources.tables import on_workers, table
 #: Formats of the pages (fixed values): how far words of a line may differ in height, captions, values, and names of columns.
 SAME_LINE, CAPTION, VALUE, COLUMN = 1.6, r"^Table\s+\d+[a-z]?\.", r"^(-|--|NA|W|-?\d[\d,]*\.\d+)$", r"^(Q[1-4]|\d{4})$"
 COLUMNS, VALUES, SHIFT = 8, 3, 3
+#: Files of boxes that a worker holds as words at once.
+FILES = 100
 
 
 #: Where the words stand in what a layout tool writes of a document (below a root of any name), and where a line may end after ``$``, as in the JVM.
@@ -31,13 +34,51 @@ BLANK = "".join(map(chr, range(33)))
 WORD = pa.struct([("word", pa.string()), ("x0", pa.float64()), ("x1", pa.float64()), ("top", pa.float64())])
 
 
+#: A word that needs no parser: four numbers, and text without marks but the five that XML names itself. Between such words stands what is parsed; where that holds more than
+#: elements (comments, CDATA, entities and the like may hold what looks like a word), all of the file is.
+IS_WORD = re.compile(r'<word xMin="([-0-9.]+)" yMin="([-0-9.]+)" xMax="([-0-9.]+)" yMax="[-0-9.]+">([^<>\x00-\x1f]*)</word>')
+IS_ODD = re.compile(r"<!(?!DOCTYPE[^<>\[]*>)|<\?(?!xml[ \t\r\n])")
+IS_BAD, IS_TEXT = re.compile("[\ud800-\udfff\ufffe\uffff]"), re.compile("(?:[^&]|&(?:amp|lt|gt|quot|apos);)*")
+QUOTES = {"&quot;": '"', "&apos;": "'"}
+
+
 def _corner(value: str | None) -> float | None:
     return None if value is None else float(value.replace(",", ""))
 
 
-def read_boxes(xml: str | None) -> list[list[tuple]]:
-    """The words (word, x0, x1, top) of each page of an XML file of boxes; what cannot be read has no page, what follows the root is left."""
-    pages: list[list[tuple]] = []
+@lru_cache(10_000)
+def _said(text: str) -> str | None:
+    """What a word says; null if it has marks of a file's own."""
+    return unescape(text, QUOTES).strip(BLANK) if IS_TEXT.fullmatch(text) else None
+
+
+def _plain_words(xml: str) -> tuple[str, pa.StructArray]:
+    """An XML text with each run of plain words as ``<?words from to?>``, and these words; all of it and no words if that might change its meaning."""
+    parts = IS_WORD.split(xml)
+    rest = parts[::5]
+    said = [_said(w) if "&" in w or " " in w else w for w in parts[4::5]]
+    whole = xml, pa.array([], WORD)
+    if not said or None in said or IS_ODD.search("".join(rest)) or (not xml.isascii() and IS_BAD.search(xml)):
+        return whole
+    try:
+        corners = [pa.array(parts[i::5], pa.string()).cast(pa.float64()) for i in (1, 3, 2)]
+    except pa.ArrowInvalid:
+        return whole
+    out, at = [], 0
+    for i, between in enumerate(rest):
+        if between and between.strip(" \t\r\n"):
+            out += [f"<?words {at} {i}?>", between] if i > at else [between]
+            at = i
+    if at < len(said):
+        out.append(f"<?words {at} {len(said)}?>")
+    return "".join(out), pa.StructArray.from_arrays([pa.array(said, pa.string()), *corners], fields=list(WORD))
+
+
+def box_words(xml: str | None) -> tuple[list[int], pa.StructArray]:
+    """The numbers of words of the pages in an XML file of boxes, and these words (word, x0, x1, top); what cannot be read has no page, what follows the root is left."""
+    sizes: list[int] = []
+    spans: list[tuple[int, int]] = []  # of plain words, then of those that were read here
+    found: list[dict] = []
     path: list[str] = []
     said: list[str] = []
     word: dict | None = None
@@ -51,15 +92,29 @@ def read_boxes(xml: str | None) -> list[list[tuple]]:
             said.clear()
         elif name == "page":
             if path == BBOX[:4]:
-                pages.append([])
+                sizes.append(0)
         elif len(path) < 4 and path == BBOX[: len(path)]:
-            pages.clear()  # of two bodies the last counts
+            sizes.clear()  # of two bodies the last counts
+            spans.clear()
+
+    def keep(a: int, b: int) -> None:
+        sizes[-1] += b - a
+        spans.append((a, b))
+
+    def run(_: str, ends: str) -> None:
+        nonlocal word
+        if path == BBOX[:-1]:
+            keep(*map(int, ends.split()))
+        elif not root:
+            raise ValueError("a word is the root")
+        else:
+            word = None
 
     def end(name: str) -> None:
         nonlocal word
         if word is not None and len(path) == len(BBOX):
-            get = word.get
-            pages[-1].append(("".join(said).strip(BLANK), _corner(get("xMin")), _corner(get("xMax")), _corner(get("yMin"))))
+            found.append({"word": "".join(said).strip(BLANK)} | {to: _corner(word.get(x)) for to, x in (("x0", "xMin"), ("x1", "xMax"), ("top", "yMin"))})
+            keep(len(plain) + len(found) - 1, len(plain) + len(found))
             word = None
         path.pop()
 
@@ -68,15 +123,28 @@ def read_boxes(xml: str | None) -> list[list[tuple]]:
             said.append(part)
 
     root = False
+    rest, plain = _plain_words(xml or "")
     reader = expat.ParserCreate()
     reader.StartElementHandler, reader.EndElementHandler, reader.CharacterDataHandler, reader.buffer_text = start, end, text, True
+    if len(plain):
+        reader.ProcessingInstructionHandler = run
     try:
-        reader.Parse(xml or "", True)
+        reader.Parse(rest, True)
     except expat.ExpatError:
-        return pages if root and not path else []
+        if path or not root:
+            return [], plain[:0]
     except ValueError:
-        return []
-    return pages
+        return [], plain[:0]
+    if sum(sizes) == len(plain) and not found:
+        return sizes, plain
+    return sizes, pa.concat_arrays([plain, pa.array(found, WORD)]).take(pa.array([i for span in spans for i in range(*span)], pa.int64()))
+
+
+def read_boxes(xml: str | None) -> list[list[tuple]]:
+    """The words (word, x0, x1, top) of each page that ``box_words`` finds."""
+    sizes, found = box_words(xml)
+    words = zip(*(c.to_pylist() for c in found.flatten()))
+    return [list(islice(words, n)) for n in sizes]
 
 
 def _lists(sizes: Iterable[int], values: pa.Array) -> pa.Array:
@@ -84,25 +152,51 @@ def _lists(sizes: Iterable[int], values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), values)
 
 
-def bbox_pages(files: DataFrame, text: str = "xml") -> DataFrame:
-    """(path, page, words) of the pages in XML files (path, xml) of boxes, from 1; words as (word, x0, x1, top)."""
+def boxes(files: DataFrame, text: str = "xml") -> Column:
+    """The pages in each XML file of boxes, as arrays of words (word, x0, x1, top, line), with the line that ``line_numbers`` gives."""
     on_workers(files.sparkSession)
 
-    @F.arrow_udf("array<array<struct<word string, x0 double, x1 double, top double>>>")
+    def found(xml: pa.Array) -> pa.Array:
+        files = [box_words(x) for x in xml.to_pylist()]
+        sizes = [n for pages, _ in files for n in pages]
+        columns = pa.concat_arrays([pa.array([], WORD), *(words for _, words in files)]).flatten()
+        tops = columns[-1].to_pylist() if columns[-1].null_count else columns[-1].to_numpy().tolist()
+        ends = list(accumulate(sizes))
+        lines = [n for a, b in zip([0, *ends], ends) for n in line_numbers(tops[a:b])]
+        words = pa.StructArray.from_arrays([*columns, pa.array(lines, pa.int32())], fields=[*WORD, pa.field("line", pa.int32())])
+        return _lists((len(pages) for pages, _ in files), _lists(sizes, words))
+
+    @F.arrow_udf("array<array<struct<word string, x0 double, x1 double, top double, line int>>>")
     def read(xml: pa.Array) -> pa.Array:
-        files = [read_boxes(x) for x in xml.to_pylist()]
-        pages = [p for f in files for p in f]
-        columns = zip(*(w for p in pages for w in p)) if any(pages) else [()] * len(WORD)
-        words = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, WORD)], fields=list(WORD))
-        return _lists(map(len, files), _lists(map(len, pages), words))
+        return pa.concat_arrays([found(xml.slice(i, FILES)) for i in range(0, max(len(xml), 1), FILES)])
 
-    rows = files.select("path", read(text).alias("p")).select("path", F.posexplode("p").alias("page", "words"))
+    return read(text)
+
+
+def bbox_pages(files: DataFrame, text: str = "xml") -> DataFrame:
+    """(path, page, words) of the pages in XML files (path, xml) of boxes, from 1; words as ``boxes`` has them."""
+    rows = files.select("path", boxes(files, text).alias("p")).select("path", F.posexplode("p").alias("page", "words"))
     return rows.select("path", (F.col("page") + 1).alias("page"), "words")
 
 
+def page_sums(pages: Column, mark: str) -> Column:
+    """Of each page that ``boxes`` finds the number of words, the last line, the number of words equal to ``mark``, and the sums of x0 and x1."""
+
+    @F.arrow_udf("array<struct<words long, lines int, marks long, left double, right double>>")
+    def sums(files: pa.Array) -> pa.Array:
+        words = pa.table({"page": files.flatten().value_parent_indices()} | dict(zip(("word", "x0", "x1", "top", "line"), files.flatten().flatten().flatten())))
+        words = words.append_column("mark", pc.equal(words["word"], mark))
+        of = words.group_by("page", use_threads=False).aggregate([("page", "count"), ("line", "max"), ("mark", "sum"), ("x0", "sum"), ("x1", "sum")])
+        every = pa.table({"page": pa.array(range(len(files.flatten())), pa.int64())}).join(of, "page", use_threads=False).sort_by("page")
+        columns = [every[c].cast(t).combine_chunks() for c, t in (("page_count", pa.int64()), ("line_max", pa.int32()), ("mark_sum", pa.int64()), ("x0_sum", pa.float64()), ("x1_sum", pa.float64()))]
+        return _lists(files.value_lengths().fill_null(0).to_pylist(), pa.StructArray.from_arrays(columns, ["words", "lines", "marks", "left", "right"]))
+
+    return sums(pages)
+
+
 def bbox_words(files: DataFrame, text: str = "xml") -> DataFrame:
     """(path, page, word, x0, x1, top) of all words in XML files (path, xml) of boxes, pages from 1; what cannot be read has none."""
-    return bbox_pages(files, text).select("path", "page", F.inline("words"))
+    return bbox_pages(files, text).select("path", "page", F.inline("words")).drop("line")
 
 
 def by_page(words: DataFrame, key: list[str]) -> DataFrame:
@@ -112,23 +206,13 @@ def by_page(words: DataFrame, key: list[str]) -> DataFrame:
 
 def line_numbers(tops: list[float | None]) -> list[int]:
     """The line that each word of a page stands in, from 1: a line goes on while a word is at most 1.6 below its first one. NaN comes last, none is above all lines."""
-    starts: list[float] = []
+    lines: dict = {None: 0}
+    first, n = 0.0, 0
     for top in sorted({t for t in tops if t is not None and t == t}):
-        if not starts or not top - starts[-1] <= SAME_LINE:
-            starts.append(top)
-    last = len(starts) + 1
-    return [0 if t is None else bisect_right(starts, t) if t == t else last for t in tops]
-
-
-def with_lines(pages: DataFrame) -> DataFrame:
-    """Pages (words, ...) with lines, the line of each of their words in the order of these."""
-    on_workers(pages.sparkSession)
-
-    @F.arrow_udf("array<int>")
-    def numbered(tops: pa.Array) -> pa.Array:
-        return pa.array([line_numbers(t or []) for t in tops.to_pylist()], pa.list_(pa.int32()))
-
-    return pages.withColumn("lines", numbered("words.top"))
+        if not n or not top - first <= SAME_LINE:
+            first, n = top, n + 1
+        lines[top] = n
+    return [lines.get(t, n + 1) for t in tops]
 
 
 def _rank(x: float | str | None) -> tuple:
@@ -347,40 +431,46 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
     return li.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
 
 
-def _sheets(spark: SparkSession, d: str, word: Callable[[Column, Column, int, Column], Column]) -> DataFrame:
-    """(o_custkey, l_orderkey, words) as ``word`` writes each: a caption on pages of even numbers, years over eight quarters, and rows whose cells lie off their
-    columns' centres by a few points; every third cell is missing."""
-    rows, n = _rows(spark, d), F.lit
+def _written(word: Callable[[Column, Column, int, Column], Column]) -> tuple[Column, Column]:
+    """The words above a page's rows, and those of one row (null where a cell is missing), as ``word`` writes each: a caption on pages of even numbers, years over
+    eight quarters, and rows whose cells lie off their columns' centres by a few points; every third cell is missing."""
+    n = F.lit
     number = F.concat((F.col("l_orderkey") % 9).cast("string"), F.lit("b."))
     caption = F.array(*[word(w, n(10 + 40 * i), 30, n(5 + i * 0.3)) for i, w in enumerate([n("Table"), number, n("World"), n("Supply")])])
     head = F.array(*[word(n(f"Q{i % 4 + 1}"), n(200 + 50 * i), 10, n(40 + i % 2)) for i in range(8)], *[word(n(str(2025 + i)), n(270 + 200 * i), 20, n(30)) for i in range(2)], word(n("Footer"), n(10), 30, n(900)))
-    y = n(50) + 10 * F.col("l_linenumber")
+    height = lambda line: 50 + 10 * line
+    y = height(F.col("l_linenumber"))
     value = [F.when((F.col("p") + j) % 3 != 0, word(fixed(F.col("q") + j, 1), n(193 + 50 * j) + (F.col("p") % 5) * 5, 14, y + (j % 3) * 0.5)) for j in range(8)]
-    label = [word(n("Line"), n(10), 20, y), word(F.col("l_linenumber").cast("string"), n(40), 5, y + 1), word(n("...."), n(60), 50, y)]
-    body = rows.select("o_custkey", "l_orderkey", F.array(*label, *value).alias("w")).groupBy("o_custkey", "l_orderkey").agg(F.flatten(F.collect_list("w")).alias("w"))
-    top = F.when(F.col("l_orderkey") % 2 == 0, F.concat(caption, head)).otherwise(head)
-    return body.select("o_custkey", "l_orderkey", F.array_compact(F.concat(top, "w")).alias("words"))
+    # A function of arrays in one word keeps Spark from generating a single method for all of them: the JVM does not compile one of that length, it interprets it.
+    label = [word(n("Line"), n(10), 20, y), word(F.col("l_linenumber").cast("string"), n(40), 5, y + 1), word(n("...."), n(60), 50, F.get(F.transform(F.array("l_linenumber"), height), n(0)))]
+    return F.when(F.col("l_orderkey") % 2 == 0, F.concat(caption, head)).otherwise(head), F.array(*label, *value)
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return _sheets(spark, d, lambda w, x, wide, top: F.struct(w.alias("word"), x.cast("double").alias("x0"), (x + wide).cast("double").alias("x1"), top.cast("double").alias("top")))
+    """(o_custkey, l_orderkey, words) of the pages."""
+    top, row = _written(lambda w, x, wide, top: F.struct(w.alias("word"), x.cast("double").alias("x0"), (x + wide).cast("double").alias("x1"), top.cast("double").alias("top")))
+    body = _rows(spark, d).select("o_custkey", "l_orderkey", row.alias("w")).groupBy("o_custkey", "l_orderkey").agg(F.flatten(F.collect_list("w")).alias("w"))
+    return body.select("o_custkey", "l_orderkey", F.array_compact(F.concat(top, "w")).alias("words"))
 
 
 def q_bbox(spark: SparkSession, d: str) -> DataFrame:
     """The words of all pages written as boxes, a file a customer, and read back into lines; marks of XML stand in some words."""
-    point = lambda x: x.cast("double").cast("string")
+    point = lambda x: F.concat(x.cast("string"), F.lit(".0"))
 
     def one(word: Column, x: Column, wide: int, top: Column) -> Column:
-        word = F.when(word == "....", "a<b & \"c\"").otherwise(word)
-        plain = F.replace(F.replace(F.replace(word, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
-        return F.concat(F.lit('<word xMin="'), point(x), F.lit('" yMin="'), point(top), F.lit('" xMax="'), point(x + wide), F.lit('" yMax="0">'), plain, F.lit("</word>"))
-
-    page = F.concat(F.lit("<page><flow><block><line>"), F.array_join("words", ""), F.lit("</line></block></flow></page>"))
-    file = _sheets(spark, d, one).select("o_custkey", "l_orderkey", page.alias("page"))
-    file = file.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "page"))), lambda p: p["page"]), "").alias("pages"))
-    files = file.select(F.col("o_custkey").cast("string").alias("path"), F.concat(F.lit('<html xmlns="http://www.w3.org/1999/xhtml"><body><doc>'), "pages", F.lit("</doc></body></html>")).alias("xml"))
-    held = with_lines(bbox_pages(files)).select("path", "page", F.inline(F.arrays_zip("words", "lines"))).select("path", "page", "words.*", F.col("lines").alias("line"))
-    return held.groupBy("path", "page").agg(F.count("*").alias("words"), F.max("line").alias("lines"), F.count_if(F.col("word") == 'a<b & "c"').alias("marks"), F.round(F.sum("x0"), 3).alias("left"), F.round(F.sum("x1"), 3).alias("right"))
+        plain = reduce(lambda w, m: F.replace(w, F.lit(m[0]), F.lit(m[1])), [("....", "a<b & \"c\""), ("&", "&amp;"), ("<", "&lt;"), ('"', "&quot;")], word)
+        return F.concat(F.lit('<word xMin="'), point(x), F.lit('" yMin="'), top.cast("double").cast("string"), F.lit('" xMax="'), point(x + wide), F.lit('" yMax="0">'), plain, F.lit("</word>"))
+
+    top, row = _written(one)
+    # Line items go to their customer as they are, and are written there: no text is shuffled.
+    w = W.partitionBy("o_custkey", "l_orderkey").orderBy("l_linenumber")
+    rows = _rows(spark, d).repartition("o_custkey").withColumns({"first": F.row_number().over(w) == 1, "last": F.lead(F.lit(True)).over(w).isNull()})
+    begin, end = F.concat(F.lit("<page><flow><block><line>"), F.array_join(top, "")), F.lit("</line></block></flow></page>")
+    line = F.concat(F.when(F.col("first"), begin).otherwise(""), F.array_join(row, ""), F.when(F.col("last"), end).otherwise(""))
+    file = rows.select("o_custkey", F.struct("l_orderkey", "l_linenumber", line.alias("line")).alias("l")).groupBy("o_custkey").agg(F.sort_array(F.collect_list("l")).alias("l"))
+    files = file.select(F.col("o_custkey").cast("string").alias("path"), F.concat(F.lit('<html xmlns="http://www.w3.org/1999/xhtml"><body><doc>'), F.array_join("l.line", ""), F.lit("</doc></body></html>")).alias("xml"))
+    pages = files.select("path", F.posexplode(page_sums(boxes(files), 'a<b & "c"')).alias("page", "p")).where("p.words > 0")
+    return pages.select("path", (F.col("page") + 1).alias("page"), "p.words", "p.lines", "p.marks", F.round("p.left", 3).alias("left"), F.round("p.right", 3).alias("right"))
 
 
 def q_captions(spark: SparkSession, d: str) -> DataFrame:
