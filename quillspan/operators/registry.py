@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import stem, title
-from ..sources.tables import shared_folder, stored, table
+from ..sources.tables import on_workers, shared_folder, stored, table
 
 
 def turns(rows: DataFrame) -> DataFrame:
@@ -34,6 +37,8 @@ def within_budget(rows: DataFrame, partition: list[str], order: list[Column], si
 
 #: Weights of ranked search: saturation of a stem's hits in a turn, and how much a turn's length counts.
 SATURATION, LENGTH = 1.2, 0.75
+#: How many turns a query shows.
+PLACES = 50
 WORD = r"(?U)\w{3,}"
 
 
@@ -42,17 +47,139 @@ def stems(question: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(question), F.lit(WORD), F.lit(0)), stem)
 
 
-def trigrams(word: Column) -> Column:
-    """All runs of three characters of a word; none of a shorter one."""
-    return F.when(F.length(word) >= 3, F.transform(F.sequence(F.lit(1), F.length(word) - 2), lambda i: F.substring(word, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+#: Postings in a shard of the index, about; a worker holds one shard as arrays. Longer stems are looked up by so many of their first characters.
+SHARD, HEAD = 1_000_000, 16
+
+
+def by_rank() -> list[Column]:
+    """The order of what a query finds: the best first, of equal ones the latest."""
+    return [F.round("score", 9).desc(), F.col("turn").desc(), F.col("conv_id")]
+
+
+def stems_within(words: list[str], stems: list[str]) -> np.ndarray:
+    """Rows (word, stem, hits): how often each stem, known by its number, stands within each word; in the order of words."""
+    heads: dict[str, list[int]] = {}
+    for i, s in enumerate(stems):
+        heads.setdefault(s[:HEAD], []).append(i)
+    sizes, rows = sorted({len(h) for h in heads}), []
+    for i, word in enumerate(words):
+        hits: dict[int, int] = {}
+        for size in sizes:
+            for at in range(len(word) - size + 1):
+                for s in heads.get(word[at : at + size], ()):
+                    if size < HEAD or word.startswith(stems[s], at):
+                        hits[s] = hits.get(s, 0) + 1
+        rows += [(i, s, n) for s, n in hits.items()]
+    return np.array(rows, np.int64).reshape(-1, 3)
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in order, with the sum of its numbers."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(n, first)
+
+
+def _numbered(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """The place of each value among all, nulls first, and the values in that order."""
+    held = column.combine_chunks().dictionary_encode("encode")
+    order = pc.array_sort_indices(held.dictionary, null_placement="at_start")
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    return place[held.indices.to_numpy()], held.dictionary.take(order)
+
+
+class Shard:
+    """Turns of an index as arrays, from rows (conv_id, turn, word, n, rows): postings, and lengths with a null word. Of each stem the turns that hold it, and how often."""
+
+    def __init__(self, rows: pa.Table, stems: list[str]) -> None:
+        (conv, self.convs), (turn, self.turns) = (_numbered(rows[c]) for c in ("conv_id", "turn"))
+        self.keys, at = np.unique(conv * len(self.turns) + turn, return_inverse=True)
+        size = len(self.keys)
+        n, is_word = rows["n"].to_numpy(), rows["word"].combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+        self.held = np.bincount(at[~is_word], rows["rows"].to_numpy()[~is_word], size) > 0
+        self.length = np.bincount(at[~is_word], n[~is_word], size)
+        words = rows["word"].combine_chunks().drop_null().dictionary_encode()
+        pairs, n = _summed(words.indices.to_numpy().astype(np.int64) * size + at[is_word], n[is_word])
+        pairs, n = pairs[n > 0], n[n > 0]
+        meets = stems_within(words.dictionary.to_pylist(), stems)
+        # Every posting meets the stems within its word: from begin[word] on, so many as its word has.
+        begin = np.searchsorted(meets[:, 0], np.arange(len(words.dictionary) + 1))
+        word = pairs // max(size, 1)
+        many = np.diff(begin)[word]
+        posting = np.repeat(np.arange(len(pairs)), many)
+        meet = np.repeat(begin[word] - (np.cumsum(many) - many), many) + np.arange(len(posting))
+        pairs, self.tf = _summed(meets[meet, 1] * size + pairs[posting] % max(size, 1), n[posting] * meets[meet, 2])
+        self.stem, self.at = pairs // max(size, 1), pairs % max(size, 1)
+        self.begin = np.searchsorted(self.stem, np.arange(len(stems) + 1))
+
+
+def stems_of_shard(key: tuple, rows: pa.Table, asked: pa.Table) -> pa.Table:
+    """(shard, stem, df): how many turns of a shard hold each of the stems asked for (stem); none for stems that no turn holds."""
+    shard = Shard(rows, asked["stem"].to_pylist())
+    df = pa.array(np.diff(shard.begin), pa.int64())
+    return pa.table({"shard": pa.array([key[0].as_py()] * len(df), pa.int32()), "stem": asked["stem"], "df": df}).filter(pa.array(np.diff(shard.begin) > 0))
+
+
+def first_places(score: np.ndarray, turn: np.ndarray, conv: np.ndarray, limit: int | None) -> np.ndarray:
+    """Places that hold the ``limit`` first by ``by_rank``, and some more where the ninth digit decides; all without a limit."""
+    if limit is None or len(score) <= limit:
+        return np.arange(len(score))
+    near = np.flatnonzero(score >= np.partition(score, -limit)[-limit] - 2e-9)
+    near = near[np.lexsort((conv[near], -turn[near], -score[near]))]
+    equal = np.r_[True, score[near][1:] != score[near][:-1]]
+    place = np.arange(len(near)) - np.flatnonzero(equal)[np.cumsum(equal) - 1]  # among those of one score
+    return near[place < limit]
+
+
+def _found(shard: Shard, stems: list[int], w: list[int], value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The turns of a shard that hold all of these stems, and their scores."""
+    part = [(shard.at[a:b], value[a:b]) for a, b in ((shard.begin[s], shard.begin[s + 1]) for s in stems)]
+    turns = min((at for at, _ in part), key=len)
+    for at, _ in sorted(part, key=lambda p: len(p[0]))[1:]:
+        if not len(turns):
+            break
+        turns = turns[at[np.minimum(np.searchsorted(at, turns), len(at) - 1)] == turns]
+    turns = turns[shard.held[turns]]
+    score = np.zeros(len(turns))
+    for n, (at, of) in zip(w, part):
+        score += n * of[np.searchsorted(at, turns)]
+    return turns, score
+
+
+def found_in_shard(rows: pa.Table, asked: pa.Table, mean: float, limit: int | None) -> pa.Table:
+    """(bag, found): for each bag asked for (bag, stems, w, idf) the turns of a shard (conv_id, turn, score) that hold all its stems; with a limit those of ``first_places``."""
+    flat = {c: asked[c].combine_chunks() for c in ("stems", "w", "idf")}
+    named = flat["stems"].flatten().dictionary_encode()
+    stems, number, w = named.dictionary.to_pylist(), named.indices.to_numpy(), flat["w"].flatten().to_pylist()
+    ends = np.cumsum(flat["stems"].value_lengths().to_numpy()).tolist()
+    shard, idf = Shard(rows, stems), np.zeros(len(stems))
+    idf[number] = flat["idf"].flatten().to_numpy()
+    value = idf[shard.stem] * shard.tf * (SATURATION + 1) / (shard.tf + SATURATION * (1 - LENGTH + LENGTH * shard.length[shard.at] / mean))
+    conv, turn = shard.keys // max(len(shard.turns), 1), shard.keys % max(len(shard.turns), 1)
+    bags, sizes, at, scores = [], [0], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for bag, a, b in zip(asked["bag"].to_pylist(), [0, *ends], ends):
+        turns, score = _found(shard, number[a:b].tolist(), w[a:b], value)
+        if len(turns):
+            place = first_places(score, turn[turns], conv[turns], limit)
+            bags.append(bag)
+            sizes.append(len(place))
+            at.append(turns[place])
+            scores.append(score[place])
+    every = np.concatenate(at)
+    found = pa.StructArray.from_arrays([shard.convs.take(pa.array(conv[every])), shard.turns.take(pa.array(turn[every])), pa.array(np.concatenate(scores))], ["conv_id", "turn", "score"])
+    return pa.table({"bag": pa.array(bags, pa.string()), "found": pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), found)})
 
 
 class TurnIndex:
     """A stored inverted index of conversations' turns, kept in step by deltas.
 
     Each ``add`` or ``remove`` appends a batch of postings (conv_id, turn, word, n) and of lengths (conv_id, turn, n, rows), with a sign; their sums are
-    what the index holds. ``check`` compares it with the turns by counts, and rebuilds it when they differ. Words are whole, so
-    a stem, which has no other characters than words, meets the vocabulary first and only then postings.
+    what the index holds. ``check`` compares it with the turns by counts, and rebuilds it when they differ. A search deals postings by turn into
+    shards, so that what questions and turns have in common is made, held and ranked within a shard and is never written or shuffled.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -92,54 +219,54 @@ class TurnIndex:
         held = self.lengths().agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
         return self if held == turns_.count() else TurnIndex(self.spark, shared_folder(self.spark, "turn-index")).add(turns_)
 
-    def search(self, queries: DataFrame) -> DataFrame:
-        """(query_id, conv_id, turn, score) where every stem of a query (query_id, question) occurs within a word of the turn.
+    def _shards(self) -> tuple[DataFrame, int]:
+        """Postings and, with a null word, lengths as (shard, conv_id, turn, word, n, rows) in shards of about a million, dealt by turn; and the number of these."""
+        postings, lengths = (self.spark.read.parquet(f"{self.path}/{x}") for x in ("postings", "lengths"))
+        count = max(2 * self.spark.sparkContext.defaultParallelism, -(-postings.count() // SHARD))
+        rows = postings.select("conv_id", "turn", "word", "n", F.lit(0).cast("long").alias("rows")).unionByName(lengths.withColumn("word", F.lit(None).cast("string")))
+        return rows.withColumn("shard", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(count)).cast("int")), count
 
-        The score is BM25 of the stems, each as often as the question has it, over the trigrams of a turn. Stems meet
-        words by the rarest trigram of the stem, questions meet turns by their rarest stem, and only what has it meets the next ones.
+    def search(self, queries: DataFrame, limit: int | None = None) -> DataFrame:
+        """(query_id, conv_id, turn, score) where every stem of a query (query_id, question) occurs within a word of the turn; with a limit the first so many by ``by_rank``.
+
+        The score is BM25 of the stems, each as often as the question has it, over the trigrams of a turn. Shards of turns first count the
+        stems; then a question goes to the shards that hold its rarest stem, meets the turns there from its rarest stem on, and brings back no more than the limit.
         """
+        on_workers(self.spark)
         one = queries.select("query_id", F.explode(stems(F.col("question"))).alias("stem")).groupBy("query_id", "stem").agg(F.count("*").alias("w"))
         bags = one.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("stem", "w"))).alias("stems"))
         bags = stored(bags.withColumn("bag", F.sha2(F.to_json("stems"), 256)), "bags")  # questions of the same stems are one
         asked = bags.dropDuplicates(["bag"]).select("bag", F.size("stems").alias("size"), F.inline("stems"))
-        values = self._values(asked.select("stem").distinct())
-        often = values.groupBy("stem").agg(F.count("*").alias("df"))
+        rows, count = self._shards()
+        every = asked.select("stem").distinct().select("stem", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("shard"))
+        counts = rows.groupBy("shard").cogroup(every.groupBy("shard")).applyInArrow(stems_of_shard, "shard int, stem string, df long")
+        counts = stored(counts, "counts")
+        docs, mean = self.lengths().agg(F.sum("rows"), F.sum("n") / F.sum("rows")).first()
+        idf = F.log((F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        often = counts.groupBy("stem").agg(F.sum("df").alias("df")).select("stem", "df", F.when(idf > 0, idf).otherwise(F.lit(1e-6)).alias("idf"))
         # Of the stems of a bag the rarest comes first; a bag with a stem that no turn has finds nothing.
         w = W.partitionBy("bag")
         ranked = asked.join(often, "stem").withColumns({"known": F.count("*").over(w), "place": F.row_number().over(w.orderBy("df", "stem"))})
-        ranked = stored(ranked.where("known = size").select("bag", "stem", "w", "size", "place"), "ranked")
-        turn, score = ["conv_id", "turn"], F.col("w") * F.col("value")
-        first, second, rest = (ranked.where(x) for x in ("place = 1", "place = 2", "place > 2"))
-        found = first.join(values, "stem").select("bag", "size", *turn, score.alias("score"))
-        pairs = found.where("size > 1").select("bag", *turn, F.col("score").alias("before")).join(second, "bag").join(values, ["stem", *turn])
-        pairs = pairs.select("bag", "size", *turn, (F.col("before") + score).alias("score"))
-        more = pairs.where("size > 2").select("bag", *turn, F.col("score").alias("before")).join(rest, "bag").join(values, ["stem", *turn])
-        more = more.groupBy("bag", "size", *turn).agg((F.sum(score) + F.first("before")).alias("score"), F.count("*").alias("have")).where("have = size - 2").drop("have")
-        every = found.where("size = 1").unionByName(pairs.where("size = 2")).unionByName(more)
-        return every.join(bags.select("bag", "query_id"), "bag").select("query_id", *turn, "score")
-
-    def _values(self, known: DataFrame) -> DataFrame:
-        """(stem, conv_id, turn, value): what each of the ``known`` stems (stem) adds to the score of each turn that holds it, written once."""
-        postings = stored(self.postings(), "summed")
-        grams = postings.select("word").distinct().select("word", F.explode(F.array_distinct(trigrams(F.col("word")))).alias("gram"))
-        rare = known.select("stem", F.explode(F.array_distinct(trigrams(F.col("stem")))).alias("gram")).join(grams.groupBy("gram").agg(F.count("*").alias("words")), "gram", "left")
-        rare = rare.groupBy("stem").agg(F.min_by("gram", F.struct(F.coalesce("words", F.lit(0)), "gram")).alias("gram"))
-        hits = F.size(F.filter(F.sequence(F.lit(1), F.length("word") - F.length("stem") + 1), lambda i: F.substring(F.col("word"), i, F.length("stem")) == F.col("stem")))
-        meets = rare.join(grams, "gram").where(F.contains("word", F.col("stem"))).select("stem", "word", hits.alias("hits"))
-        held = stored(meets.join(postings, "word").groupBy("stem", "conv_id", "turn").agg(F.sum(F.col("n") * F.col("hits")).alias("tf")), "held")
-        lengths = self.lengths()
-        total = lengths.agg(F.sum("rows").alias("docs"), (F.sum("n") / F.sum("rows")).alias("mean"))
-        often = held.groupBy("stem").agg(F.count("*").alias("df"))
-        rows = held.join(often, "stem").join(lengths.select("conv_id", "turn", F.col("n").alias("len")), ["conv_id", "turn"]).crossJoin(F.broadcast(total))  # one row
-        idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        idf = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
-        value = idf * F.col("tf") * (SATURATION + 1) / (F.col("tf") + SATURATION * (1 - LENGTH + LENGTH * F.col("len") / F.col("mean")))
-        return stored(rows.select("stem", "conv_id", "turn", value.alias("value")), "values")
-
-
-def found_turns(matches: DataFrame, heads: DataFrame, limit: int = 50) -> DataFrame:
+        ranked = stored(ranked.where("known = size").select("bag", "stem", "w", "idf", "place"), "ranked")
+        whole = ranked.groupBy("bag").agg(F.sort_array(F.collect_list(F.struct("place", "stem", "w", "idf"))).alias("s"))
+        there = ranked.where("place = 1").select("bag", "stem").join(counts.select("stem", "shard"), "stem").select("bag", "shard")
+        there = there.join(whole, "bag").select("shard", "bag", F.col("s.stem").alias("stems"), "s.w", "s.idf")
+        kind = ", ".join(f"{c}: {rows.schema[c].dataType.simpleString()}" for c in ("conv_id", "turn"))
+        mean = float(mean or 1)
+
+        def found(here: pa.Table, asked: pa.Table) -> pa.Table:
+            return found_in_shard(here, asked, mean, limit)
+
+        out = rows.groupBy("shard").cogroup(there.groupBy("shard")).applyInArrow(found, f"bag string, found array<struct<{kind}, score: double>>")
+        out = out.repartition("bag").select("bag", F.inline("found"))
+        if limit is not None:
+            out = out.withColumn("place", F.row_number().over(W.partitionBy("bag").orderBy(*by_rank()))).where(F.col("place") <= limit)
+        return out.join(bags.select("bag", "query_id"), "bag").select("query_id", "conv_id", "turn", "score")
+
+
+def found_turns(matches: DataFrame, heads: DataFrame, limit: int = PLACES) -> DataFrame:
     """Matches with the title of their conversation (conv_id, title; its id for one that has none) and their place: the best first, of equal ones the latest, ``limit`` a query at most."""
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("turn").desc(), "conv_id"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(*by_rank()))
     rows = matches.withColumn("place", place).where(F.col("place") <= limit)
     return rows.join(heads.select("conv_id", "title"), "conv_id", "left").withColumn("title", F.coalesce("title", F.col("conv_id").cast("string")))
 
@@ -182,7 +309,7 @@ def q_match(spark: SparkSession, d: str) -> DataFrame:
     """An index that took all turns in two batches and lost those of some conversations; every fifth conversation has no title left."""
     conv = table(spark, d, "conversations")
     index = TurnIndex(spark, shared_folder(spark, "turn-index")).add(conv.where("conv_id % 2 = 0")).add(conv.where("conv_id % 2 = 1")).remove(conv.where("conv_id % 7 = 3"))
-    rows = found_turns(index.search(_questions(spark, d)), threads(conv).where("conv_id % 5 <> 0"))
+    rows = found_turns(index.search(_questions(spark, d), PLACES), threads(conv).where("conv_id % 5 <> 0"))
     return rows.withColumn("score", F.round("score", 6))
 
 
