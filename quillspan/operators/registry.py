@@ -47,7 +47,7 @@ def stems(question: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(question), F.lit(WORD), F.lit(0)), stem)
 
 
-#: Postings in a shard of the index, about; a worker holds one shard as arrays. Longer stems are looked up by so many of their first characters.
+#: Words in a shard of the index, about; a worker holds one shard as arrays. Longer stems are looked up by so many of their first characters.
 SHARD, HEAD = 1_000_000, 16
 
 
@@ -93,17 +93,17 @@ def _numbered(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
 
 
 class Shard:
-    """Turns of an index as arrays, from rows (conv_id, turn, word, n, rows): postings, and lengths with a null word. Of each stem the turns that hold it, and how often."""
+    """Turns of an index as arrays, from its rows (conv_id, turn, words, sign, n, rows): of each stem the turns that hold it, and how often."""
 
     def __init__(self, rows: pa.Table, stems: list[str]) -> None:
         (conv, self.convs), (turn, self.turns) = (_numbered(rows[c]) for c in ("conv_id", "turn"))
         self.keys, at = np.unique(conv * len(self.turns) + turn, return_inverse=True)
         size = len(self.keys)
-        n, is_word = rows["n"].to_numpy(), rows["word"].combine_chunks().is_valid().to_numpy(zero_copy_only=False)
-        self.held = np.bincount(at[~is_word], rows["rows"].to_numpy()[~is_word], size) > 0
-        self.length = np.bincount(at[~is_word], n[~is_word], size)
-        words = rows["word"].combine_chunks().drop_null().dictionary_encode()
-        pairs, n = _summed(words.indices.to_numpy().astype(np.int64) * size + at[is_word], n[is_word])
+        self.held = np.bincount(at, rows["rows"].to_numpy(), size) > 0
+        self.length = np.bincount(at, rows["n"].to_numpy(), size)
+        lists = rows["words"].combine_chunks()
+        words, many = lists.flatten().dictionary_encode(), lists.value_lengths().to_numpy()
+        pairs, n = _summed(words.indices.to_numpy().astype(np.int64) * size + np.repeat(at, many), np.repeat(rows["sign"].to_numpy().astype(np.int64), many))
         pairs, n = pairs[n > 0], n[n > 0]
         meets = stems_within(words.dictionary.to_pylist(), stems)
         # Every posting meets the stems within its word: from begin[word] on, so many as its word has.
@@ -175,11 +175,11 @@ def found_in_shard(rows: pa.Table, asked: pa.Table, mean: float, limit: int | No
 
 
 class TurnIndex:
-    """A stored inverted index of conversations' turns, kept in step by deltas.
+    """A stored index of conversations' turns, kept in step by deltas.
 
-    Each ``add`` or ``remove`` appends a batch of postings (conv_id, turn, word, n) and of lengths (conv_id, turn, n, rows), with a sign; their sums are
-    what the index holds. ``check`` compares it with the turns by counts, and rebuilds it when they differ. A search deals postings by turn into
-    shards, so that what questions and turns have in common is made, held and ranked within a shard and is never written or shuffled.
+    Each ``add`` or ``remove`` appends a row (conv_id, turn, words, sign, n, rows) for a turn: its words in order, and its length and a one with the sign; their sums are
+    what the index holds. ``check`` compares it with the turns by counts, and rebuilds it when they differ. A search deals turns into shards,
+    where words are turned into postings, so that what questions and turns have in common is made, held and ranked within a shard and is never written or shuffled.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -187,10 +187,9 @@ class TurnIndex:
 
     def _append(self, turns_: DataFrame, sign: int) -> None:
         rows = turns_.select("conv_id", "turn", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
-        words = rows.select("conv_id", "turn", F.explode(F.regexp_extract_all("t", F.lit(WORD), F.lit(0))).alias("word"))
-        words.groupBy("conv_id", "turn", "word").agg((F.count("*") * sign).alias("n")).write.mode("append").parquet(f"{self.path}/postings")
-        sizes = rows.groupBy("conv_id", "turn").agg((F.sum(F.greatest(F.length("t") - 2, F.lit(0))) * sign).alias("n"), (F.count("*") * sign).alias("rows"))
-        sizes.write.mode("append").parquet(f"{self.path}/lengths")
+        size, sign_ = F.greatest(F.length("t") - 2, F.lit(0)), F.lit(sign).cast("long")
+        words = F.sort_array(F.regexp_extract_all("t", F.lit(WORD), F.lit(0)))
+        rows.select("conv_id", "turn", words.alias("words"), sign_.alias("sign"), (size * sign_).alias("n"), sign_.alias("rows")).write.mode("append").parquet(self.path)
 
     def add(self, turns_: DataFrame) -> TurnIndex:
         self._append(turns_, 1)
@@ -201,17 +200,22 @@ class TurnIndex:
         self._append(turns_, -1)
         return self
 
+    def _rows(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
     def lengths(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/lengths").groupBy("conv_id", "turn").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).where("rows > 0")
+        return self._rows().groupBy("conv_id", "turn").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).where("rows > 0")
 
     def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings").groupBy("conv_id", "turn", "word").agg(F.sum("n").alias("n")).where("n > 0")
+        words = self._rows().select("conv_id", "turn", F.explode("words").alias("word"), "sign")
+        return words.groupBy("conv_id", "turn", "word").agg(F.sum("sign").alias("n")).where("n > 0")
 
     def compact(self) -> TurnIndex:
         """The same index with all deltas summed up, in a new folder."""
-        new = shared_folder(self.spark, "turn-index")
-        self.postings().write.parquet(f"{new}/postings")
-        self.lengths().write.parquet(f"{new}/lengths")
+        new, none = shared_folder(self.spark, "turn-index"), F.lit(0).cast("long")
+        words = F.sort_array(F.flatten(F.collect_list(F.array_repeat("word", F.col("n").cast("int")))))
+        turns_ = self.postings().groupBy("conv_id", "turn").agg(words.alias("words")).withColumns({"sign": F.lit(1).cast("long"), "n": none, "rows": none})
+        turns_.unionByName(self.lengths().withColumns({"words": F.array().cast("array<string>"), "sign": F.lit(1).cast("long")})).write.parquet(new)
         return TurnIndex(self.spark, new)
 
     def check(self, turns_: DataFrame) -> TurnIndex:
@@ -220,11 +224,10 @@ class TurnIndex:
         return self if held == turns_.count() else TurnIndex(self.spark, shared_folder(self.spark, "turn-index")).add(turns_)
 
     def _shards(self) -> tuple[DataFrame, int]:
-        """Postings and, with a null word, lengths as (shard, conv_id, turn, word, n, rows) in shards of about a million, dealt by turn; and the number of these."""
-        postings, lengths = (self.spark.read.parquet(f"{self.path}/{x}") for x in ("postings", "lengths"))
-        count = max(2 * self.spark.sparkContext.defaultParallelism, -(-postings.count() // SHARD))
-        rows = postings.select("conv_id", "turn", "word", "n", F.lit(0).cast("long").alias("rows")).unionByName(lengths.withColumn("word", F.lit(None).cast("string")))
-        return rows.withColumn("shard", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(count)).cast("int")), count
+        """The index's rows in shards of about a million words, dealt by turn; and the number of shards."""
+        words = self._rows().agg(F.sum(F.size("words"))).first()[0] or 0
+        count = max(2 * self.spark.sparkContext.defaultParallelism, -(-words // SHARD))
+        return self._rows().withColumn("shard", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(count)).cast("int")), count
 
     def search(self, queries: DataFrame, limit: int | None = None) -> DataFrame:
         """(query_id, conv_id, turn, score) where every stem of a query (query_id, question) occurs within a word of the turn; with a limit the first so many by ``by_rank``.

@@ -20,6 +20,7 @@ def test_turns_of_a_stem_are_not_written(spark, tmp_path, monkeypatch):
 
     turns = spark.range(400).selectExpr("id DIV 2 as conv_id", "id % 2 as turn", "concat('common usual w', id DIV 8, 'zzz') as text")
     index = TurnIndex(spark, str(tmp_path)).add(turns).add(spark.sql("SELECT CAST(NULL AS BIGINT) AS conv_id, 5L AS turn, 'common' AS text"))
+    assert spark.read.parquet(str(tmp_path)).count() == 401  # a turn is one row, its words are not dealt alone
     questions = spark.createDataFrame([(q, q) for q in ("common", "usual COMMON", "common usual", "mmo", "common w7zzz")], "query_id string, question string")
     monkeypatch.setattr(registry, "stored", counted)
     some = [tuple(r) for r in index.search(questions, 7).collect()]
