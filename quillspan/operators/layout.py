@@ -32,6 +32,7 @@ BBOX, CLOSE = ["", "body", "doc", "page", "flow", "block", "line", "word"], r"(?
 IS_CAPTION, IS_VALUE, IS_COLUMN, IS_YEAR = (re.compile(x.replace("$", CLOSE), re.ASCII) for x in (CAPTION, VALUE, COLUMN, r"^(\d{4}|Year)$"))
 BLANK = "".join(map(chr, range(33)))
 WORD = pa.struct([("word", pa.string()), ("x0", pa.float64()), ("x1", pa.float64()), ("top", pa.float64())])
+NO_WORDS = pa.array([], WORD)
 
 
 #: A word that needs no parser: four numbers, and text without marks but the five that XML names itself. Between such words stands what is parsed; where that holds more than
@@ -57,13 +58,12 @@ def _plain_words(xml: str) -> tuple[str, pa.StructArray]:
     parts = IS_WORD.split(xml)
     rest = parts[::5]
     said = [_said(w) if "&" in w or " " in w else w for w in parts[4::5]]
-    whole = xml, pa.array([], WORD)
     if not said or None in said or IS_ODD.search("".join(rest)) or (not xml.isascii() and IS_BAD.search(xml)):
-        return whole
+        return xml, NO_WORDS
     try:
-        corners = [pa.array(parts[i::5], pa.string()).cast(pa.float64()) for i in (1, 3, 2)]
+        corners = pa.array([*parts[1::5], *parts[3::5], *parts[2::5]], pa.string()).cast(pa.float64())
     except pa.ArrowInvalid:
-        return whole
+        return xml, NO_WORDS
     out, at = [], 0
     for i, between in enumerate(rest):
         if between and between.strip(" \t\r\n"):
@@ -71,7 +71,7 @@ def _plain_words(xml: str) -> tuple[str, pa.StructArray]:
             at = i
     if at < len(said):
         out.append(f"<?words {at} {len(said)}?>")
-    return "".join(out), pa.StructArray.from_arrays([pa.array(said, pa.string()), *corners], fields=list(WORD))
+    return "".join(out), pa.StructArray.from_arrays([pa.array(said, pa.string()), *(corners.slice(i * len(said), len(said)) for i in range(3))], fields=list(WORD))
 
 
 def box_words(xml: str | None) -> tuple[list[int], pa.StructArray]:
@@ -159,7 +159,7 @@ def boxes(files: DataFrame, text: str = "xml") -> Column:
     def found(xml: pa.Array) -> pa.Array:
         files = [box_words(x) for x in xml.to_pylist()]
         sizes = [n for pages, _ in files for n in pages]
-        columns = pa.concat_arrays([pa.array([], WORD), *(words for _, words in files)]).flatten()
+        columns = pa.concat_arrays([NO_WORDS, *(words for _, words in files)]).flatten()
         tops = columns[-1].to_pylist() if columns[-1].null_count else columns[-1].to_numpy().tolist()
         ends = list(accumulate(sizes))
         lines = [n for a, b in zip([0, *ends], ends) for n in line_numbers(tops[a:b])]
@@ -208,7 +208,7 @@ def line_numbers(tops: list[float | None]) -> list[int]:
     """The line that each word of a page stands in, from 1: a line goes on while a word is at most 1.6 below its first one. NaN comes last, none is above all lines."""
     lines: dict = {None: 0}
     first, n = 0.0, 0
-    for top in sorted({t for t in tops if t is not None and t == t}):
+    for top in sorted(t for t in set(tops) if t is not None and t == t):
         if not n or not top - first <= SAME_LINE:
             first, n = top, n + 1
         lines[top] = n
